@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from quantloom.llm import op02_chat, op06_bpe, op09_exact_dedup, op10_sharding
+from quantloom.llm import op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op09_exact_dedup, op10_sharding
 
 QUERIES = {
     "op2_chat_formatting": op02_chat.query,
+    "op3_substring_dedup": op03_substring.query,
+    "op4_near_dup": op04_near_dup.query,
+    "op5_language_id": op05_language.query,
     "op6_bpe_automaton": op06_bpe.query,
     "op9_exact_dedup": op09_exact_dedup.query,
     "op10_sharding": op10_sharding.query,
 }
 ORACLES = {
     "op2_chat_formatting": op02_chat.ORACLE_SQL,
+    "op3_substring_dedup": op03_substring.ORACLE_SQL,
+    "op4_near_dup": op04_near_dup.ORACLE_SQL,
     "op9_exact_dedup": op09_exact_dedup.ORACLE_SQL,
 }
