@@ -100,8 +100,8 @@ def named_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return done.unionByName(level).select(F.col("doc_id").alias(id_col), "n_chars", "text_sha256", "n_blocks", F.col("bucket").alias("name"), F.col("rank").alias("turn"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, bits: int = 64) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, bits: int = 64, lengths: bool = False) -> DataFrame:
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256; with `lengths` n_chars, too.
 
     Texts are equal when identical without the characters of ``SPACES``; null counts as empty. Of a group the
     row with the most code points stays, then the smallest id (null ids last). Rows that repeat an id are
@@ -112,7 +112,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the smallest of (-length, id), null ids last; combined before the shuffle
     best = rows.groupBy(*ident).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("best"))
     out = rows.join(best, ident).select(
-        "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a"))).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a"))).alias("kept"), "text_sha256", *(["n_chars"] if lengths else [])
     )
     return out.withColumnRenamed("doc_id", id_col)
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from quantloom.llm import op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op09_exact_dedup, op10_sharding
+from quantloom.llm import op01_topk, op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op07_toxicity, op08_packing, op09_exact_dedup, op10_sharding
 
 QUERIES = {
+    "op1_hamming_topk": op01_topk.query,
     "op2_chat_formatting": op02_chat.query,
     "op3_substring_dedup": op03_substring.query,
     "op4_near_dup": op04_near_dup.query,
     "op5_language_id": op05_language.query,
     "op6_bpe_automaton": op06_bpe.query,
+    "op7_toxicity": op07_toxicity.query,
+    "op8_packing": op08_packing.query,
     "op9_exact_dedup": op09_exact_dedup.query,
     "op10_sharding": op10_sharding.query,
 }
 ORACLES = {
+    "op1_hamming_topk": op01_topk.ORACLE_SQL,
     "op2_chat_formatting": op02_chat.ORACLE_SQL,
     "op3_substring_dedup": op03_substring.ORACLE_SQL,
     "op4_near_dup": op04_near_dup.ORACLE_SQL,
