@@ -51,7 +51,11 @@ class MergeAutomaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, vocab), default=1)
+        # by its first two characters, the longest string of a token, without the mark of a word's end
+        self.reach: dict[str, int] = {}
+        for t in vocab:
+            size = len(t) - len(end) if t.endswith(end) and len(t) > len(end) else len(t)
+            self.reach[t[: min(2, size)]] = max(size, self.reach.get(t[: min(2, size)], 1))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u in self.dead or v in self.dead or not self._arc_at(u, v, rank):
@@ -95,27 +99,37 @@ class MergeAutomaton:
         n = len(word)
         if not n:
             return []
-        vocab, dead, arc, longest = self.vocab, self.dead, self.arc, self.longest
-        whole = vocab.get(word + self.end)
+        get, dead, arcs, reach, end = self.vocab.get, self.dead, self.arcs, self.reach, self.end
+        whole = get(word + end)
         if whole is not None and whole not in dead:
             return [whole]
-        last: list[int] = [-1] * (n + 1)
-        start: list[int] = [-1] * (n + 1)
-        start[0] = 0
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(max(0, i - longest), i):
-                if start[j] < 0:
-                    continue
-                token = vocab.get(word[j:i] + tail)
-                if token is not None and token not in dead and (j == 0 or arc(last[j], token)):
-                    last[i], start[i] = token, j
-                    break
-        out, i = [], n
-        while i > 0:
-            out.append(last[i])
-            i = start[i]
-        return out[::-1]
+        # depth first, long arcs first; an accepted way to a position is the only one, so a position that failed once is done with
+        out: list[int] = []
+        starts: list[int] = []
+        failed: set[int] = set()
+        i, j, state = 0, min(n - 1, reach.get(word[:2], 1)), -1
+        while True:
+            while j > i:
+                token = get(word[i:j]) if j < n else get(word[i:] + end)
+                if token is not None and j not in failed and token not in dead:
+                    if state < 0:
+                        break
+                    ok = arcs.get((state, token))
+                    if ok or ok is None and self.arc(state, token):
+                        break
+                j -= 1
+            if j > i:
+                out.append(token)
+                if j == n:
+                    return out
+                starts.append(i)
+                i, state = j, token
+                j = min(n, i + reach.get(word[i : i + 2], 1))
+            else:
+                failed.add(i)
+                j, i = i - 1, starts.pop()
+                out.pop()
+                state = out[-1] if out else -1
 
 
 class WordTokenizer:
@@ -125,7 +139,7 @@ class WordTokenizer:
     its newest answers, at most twice ``keep`` of them.
     """
 
-    def __init__(self, path: str, keep: int = 120_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -149,7 +163,7 @@ class WordTokenizer:
                 part = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
             else:
                 part = part.lower()
-            for word in _SPLIT.findall(part):
+            for word in [part] if part.isascii() and part.isalpha() else _SPLIT.findall(part):
                 if not (word.isascii() and word.isprintable()):
                     word = "".join(map(self.alphabet.__getitem__, word.encode()))
                 ids += self.automaton.encode_word(word)
@@ -157,16 +171,15 @@ class WordTokenizer:
 
     def piece(self, piece: str) -> tuple[int, str, str]:
         """Of a piece without white space: number of ids, ids in decimal, labels, both joined by one space."""
-        found = self.new.get(piece)
+        found = self.old.get(piece)
         if found is None:
-            found = self.old.get(piece)
-            if found is None:
-                ids = self._ids(piece)
-                found = len(ids), " ".join(map(str, ids)), " ".join(map(self.label.__getitem__, ids))
-            if len(piece) <= 64:
-                if len(self.new) >= self.keep:
-                    self.old, self.new = self.new, {}
-                self.new[piece] = found
+            ids = self._ids(piece)
+            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.label.__getitem__, ids))
+        if len(piece) <= 64:
+            if len(self.new) >= self.keep:
+                self.old = dict(self.new)
+                self.new.clear()
+            self.new[piece] = found
         return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -175,5 +188,6 @@ class WordTokenizer:
             pieces = regex.split(r"\p{White_Space}+", text)  # str.split() also cuts at these four, the format does not
         else:
             pieces = text.split()
-        got = [x for x in map(self.piece, pieces) if x[0]]
-        return sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+        known, miss = self.new.get, self.piece
+        got = [x for x in [known(p) or miss(p) for p in pieces] if x[0]]
+        return sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
