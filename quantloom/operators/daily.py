@@ -45,7 +45,8 @@ def rank_ic(scored: DataFrame, by: str) -> DataFrame:
     ok = scored.where("score IS NOT NULL AND outcome IS NOT NULL")
     rank = lambda c: w.average_rank(Window.partitionBy(by).orderBy(c), Window.partitionBy(by, c))
     ranked = ok.withColumns({"r1": rank("score"), "r2": rank("outcome")})
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) > 1) & (F.stddev_pop("r1") > 0) & (F.stddev_pop("r2") > 0), F.corr("r1", "r2")).alias("ic"))
+    spread = F.stddev_pop("r1") * F.stddev_pop("r2")
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("r1", "r2"), spread).alias("ic"))
 
 
 def threshold_grid(scored: DataFrame, low: int = 50, high: int = 70) -> DataFrame:

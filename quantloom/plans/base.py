@@ -26,9 +26,9 @@ class Registry:
 
 
 def rounded(df: DataFrame, *keep: str, six: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` as they are and `six` to six places."""
-    return df.select(*keep, *[F.round(F.col(c), 6).alias(c) for c in six])
+    """The columns `keep` as they are and `six` to six places; no negative zeros."""
+    return df.select(*keep, *[(F.round(F.col(c), 6) + 0.0).alias(c) for c in six])
 
 
 def six(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({n}, 6) + 0.0::DOUBLE AS {n}" for n in names)

@@ -109,7 +109,7 @@ v2 AS (SELECT *, (ema_fast + ema_medium + ema_slow) / 3 AS pressure, {_clip('ema
 v3 AS (SELECT *, {_rank('activity0')} AS activity_rank, {_rank('large_share')} AS large_rank, {_rank('flow_size')} AS pressure_rank, {_rank('toxicity')} AS toxicity_rank, {_rank('concentration')} AS concentration_rank, {_rank('volatility')} AS volatility_rank,
          CASE WHEN tot > 0 THEN -(greatest(bs / tot, 1e-12) * ln(greatest(bs / tot, 1e-12)) + greatest(ss / tot, 1e-12) * ln(greatest(ss / tot, 1e-12)) + greatest(ns / tot, 1e-12) * ln(greatest(ns / tot, 1e-12))) / ln(3) END AS entropy,
          CASE WHEN atr_pct > 1e-8 THEN tanh(bar_return / atr_pct) * sign(pressure) END AS response, sum(move) OVER d4 AS path FROM v2 {_WIN}),
-v4 AS (SELECT *, 100 * {_mean(of.STRENGTH, 3)} AS strength, ({' + '.join(f'({c} IS NOT NULL)::INTEGER' for c in of.STRENGTH)}) AS n_strength, {_mean(('activity_rank', 'large_rank', 'toxicity_rank'), 1)} AS force, 1 - least(abs(response), 1) AS calm, (clv + 1) / 2 AS location,
+v4 AS (SELECT *, 100 * {_mean(of.STRENGTH, 3)} AS strength, ({' + '.join(f'({c} IS NOT NULL)::INTEGER' for c in of.STRENGTH)}) AS n_strength, {_mean(('activity_rank', 'large_rank', 'toxicity_rank'), 1)} AS force, CASE WHEN response IS NOT NULL THEN 1 - least(abs(response), 1) END AS calm, (clv + 1) / 2 AS location,
          response * (0.5 + 0.5 * consistency) AS execution_quality, CASE WHEN past > 0 AND atr_pct > 0 THEN tanh(((close - past) / past) / (atr_pct * 2)) END AS pn, tanh(fs) AS fn, CASE WHEN path > 0 THEN sign(close - past) * least(abs(close - past) / path, 1) END AS regime_score,
          large_delta_ratio * large_share AS large_flow FROM v3),
 v5 AS (SELECT *, greatest(-pressure, 0) * force * calm * (0.5 + 0.5 * location) - greatest(pressure, 0) * force * calm * (1 - 0.5 * location) AS absorption, -sign(pressure) * abs(pressure) * force * {_clip('-acceleration * sign(pressure)', 0, 1)} AS exhaustion0, acceleration IS NOT NULL AS accelerated,
