@@ -164,7 +164,7 @@ def parser(sample: tuple[tuple[str, str], ...]) -> CrossParser:
 
 def train(labelled: DataFrame, lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """The training sample: at most `rows` texts of `chars` characters for each language, of rows that are not held out."""
-    return tuple((str(a), b) for a, b in labelled_sample(labelled.where(~held_out()).select("doc_id", "text", F.col(lang_col).alias("label_")), "label_", rows, chars))
+    return tuple((str(a), b) for a, b in labelled_sample(labelled.where(~held_out()).select("doc_id", "text", F.col(lang_col).alias("label")), rows, chars))
 
 
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

@@ -146,24 +146,22 @@ def _restored(weight: bytes, bias: float) -> SubwordClassifier:
     return SubwordClassifier(np.frombuffer(weight, np.float32), bias)
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> SubwordClassifier:
-    """Fits on at most `rows` rows of each label, of `chars` characters, none of them held out. labelled: doc_id, text, label (0, 1)."""
-    sample = labelled_sample(labelled.where(~held_out() & F.col("label").isin(0, 1)), "label", rows, chars)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> SubwordClassifier:
+    """Fits on at most `rows` rows of each label, of `chars` characters, none of them held out. docs: doc_id, text; labels: doc_id, label (0, 1)."""
+    fold = labels.where(~held_out() & F.col("label").isin(0, 1)).select("doc_id", "label")
+    sample = labelled_sample(docs.select("doc_id", "text"), rows, chars, fold)
     return SubwordClassifier.fit([t for _, t in sample], [int(y) for y, _ in sample])
 
 
 def score_documents(docs: DataFrame, model: SubwordClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: label 1 likelier) for each row of docs; null and empty texts and texts without letters or digits score 0. Other columns are not read."""
-    from quantloom.llm.op04_near_dup import _parts
-
     weight, bias = model.weight.astype(np.float32).tobytes(), model.bias
 
     def run(batches):
         tool = _restored(weight, bias)
         for whole in batches:
-            if whole.num_rows:
-                for batch in _parts(whole):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tool.scores(batch.column(1)), pa.float64())], names=["id", "score"])
+            for batch in ta.slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tool.scores(batch.column(1)), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -171,7 +169,6 @@ def score_documents(docs: DataFrame, model: SubwordClassifier, id_col: str = "do
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label")).where("label IS NOT NULL")
-    model = train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    out = score_documents(docs, model)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    out = score_documents(docs, train(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -11,16 +11,19 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(labelled: DataFrame, label: str, rows: int, chars: int) -> list[tuple[object, str]]:
+def labelled_sample(docs: DataFrame, rows: int, chars: int, labels: DataFrame | None = None) -> list[tuple[object, str]]:
     """(label, text) of at most `rows` rows for each label, the texts at most `chars` characters each.
 
     Rows are dealt to `rows` slots by a hash of doc_id and the least hash of each slot is taken, rows of at most `chars` characters first; of a
-    longer text, if a slot has nothing else, a piece of `chars` characters. labelled: doc_id, text and the label's column.
+    longer text, if a slot has nothing else, a piece of `chars` characters. docs: doc_id, text, label; or the labels come as a table (doc_id, label). Ids and
+    lengths alone are joined and grouped; texts are read for the chosen ids only.
     """
     h = F.xxhash64("doc_id")
-    of = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    pick = F.struct((F.length("text") > chars).alias("long"), h.alias("h"), F.col("doc_id").alias("doc_id"))
-    best = of.groupBy(F.col(label).alias("label"), F.pmod(h, F.lit(rows)).alias("slot")).agg(F.min(pick).alias("best")).select("label", "best.doc_id")
-    ids = [r["doc_id"] for r in best.collect()]  # at most rows ids for each label
-    found = of.where(F.col("doc_id").isin(ids)).select(F.col(label).alias("label"), "doc_id", F.substring("text", 1, chars).alias("text")).dropDuplicates(["doc_id"])
-    return [(r["label"], r["text"]) for r in sorted(found.collect(), key=lambda r: (str(r["label"]), r["doc_id"]))]
+    of = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).withColumn("long", F.length("text") > chars).drop("text")
+    if labels is not None:
+        of = of.join(labels.where("label IS NOT NULL"), "doc_id")
+    pick = F.struct("long", h.alias("h"), "doc_id", "label")
+    best = of.where("label IS NOT NULL").groupBy("label", F.pmod(h, F.lit(rows)).alias("slot")).agg(F.min(pick).alias("best")).select("best.doc_id", "best.label")
+    label_of = {r["doc_id"]: r["label"] for r in best.collect()}  # at most rows ids for each label
+    found = docs.where(F.col("doc_id").isin(list(label_of))).select("doc_id", F.substring("text", 1, chars).alias("text")).dropDuplicates(["doc_id"])
+    return sorted(((label_of[r["doc_id"]], r["text"]) for r in found.collect() if r["text"] is not None), key=lambda x: (str(x[0]), x[1]))
