@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from quantloom.llm import textarrays as ta
 from quantloom.llm.common import documents, partitions_for, text_bytes, text_fingerprint
 
-WINDOW, RUN = 20, 5
+WINDOW, RUN = 20, 3
 #: Bytes of packed strings aimed at for a bucket, and how much longer they are than the text.
-BUCKET_BYTES, GROWN = 16 << 20, 3.3
-#: Windows that a map step or a bucket step holds in arrays at once.
-STEP = 2_000_000
+BUCKET_BYTES, GROWN = 6 << 20, 3.1
+#: Bytes of text that a map step holds in arrays at once; bytes of packed strings it gathers before it compresses them.
+STEP, GATHER = 3_000_000, 24_000_000
 _HEAD = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
 
 
@@ -72,69 +72,86 @@ def _packed_rows(buckets: int, window: int, run: int):
     """mapInArrow: (doc, fp, text) to (bucket, blob)."""
 
     def work(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            order = np.lexsort((fp, doc))  # windows come in order of preference
-            doc, fp = doc[order], fp[order]
-            data, offsets = ta.text_buffers(batch.column(2).take(pa.array(order)))
-            starts, ends, row = ta.word_bounds(data, offsets)
-            if len(starts) < window:
-                continue
-            body, at = ta.packed(data, starts, ends)
-            codes, words = ta.coded(body, at)
-            h = ta.word_hashes(words)[codes]
-            first_word = np.searchsorted(row, np.arange(len(doc)), "left")
-            spaced = at + np.arange(len(at))  # offsets with one space after each word
-            text = np.full(spaced[-1], 32, np.uint8)
-            text[ta.ranges(spaced[:-1], np.diff(at))] = body
-            text = text.tobytes()
-            n = len(starts) - window + 1
-            low = ta.sliding_min(ta.rolling(h, run), window - run + 1)
-            whole = row[:n] == row[window - 1 :]
-            fresh = np.ones(len(doc), np.int64)  # repeated rows are one document
-            fresh[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
-            place = (np.cumsum(fresh)[row] << 32) + np.arange(len(row)) - first_word[row]
-            later = np.zeros(n, bool)
-            pick = np.flatnonzero(whole)
-            later[pick] = _later(ta.rolling(h, window)[pick], codes, pick, window, place[pick])
-            # runs with one minimiser in one document; those seen before go along as bare ranges
-            bound = np.zeros(n, np.int64)
-            bound[1:] = np.cumsum((low[1:n] != low[: n - 1]) | (row[1:n] != row[: n - 1]))
-            send, size = _runs(whole & ~later, bound)
-            known, known_size = _runs(whole & later, row[:n])
-            first = np.concatenate([send, known])
-            head = np.zeros(len(first), _HEAD)
-            r = row[first]
-            head["doc"], head["fp"], head["start"] = doc[r], fp[r], first - first_word[r]
-            head["windows"] = np.concatenate([size, -known_size])
-            a, b = spaced[send], spaced[send + size + window - 1]
-            head["bytes"][: len(send)] = b - a
-            bucket = np.concatenate([low[send] % np.uint64(buckets), ta.mix(doc[row[known]].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-            out_b, out_blob = [], []
-            for lo, hi in zip(edges, np.append(edges[1:], len(by))):
-                k = by[lo:hi]
-                s = k[k < len(send)]
-                raw = np.int64(len(k)).tobytes() + head[k].tobytes() + b"".join([text[x:y] for x, y in zip(a[s].tolist(), b[s].tolist())])
-                out_b.append(int(bucket[k[0]]))
-                out_blob.append(press.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
+        held: dict[int, list[bytes]] = {}
+        size = 0
+        for whole in batches:
+            for batch in ta.slices(whole, 2, STEP):
+                for b, raw in strings(batch):
+                    held.setdefault(b, []).append(raw)
+                    size += len(raw)
+                if size >= GATHER:
+                    yield pressed(held)
+                    held, size = {}, 0
+        if held:
+            yield pressed(held)
+
+    def pressed(held: dict[int, list[bytes]]) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3)
+        blobs = [press.compress(b"".join(parts)) for parts in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def strings(batch):
+        """Bucket, and bytes for it: number of heads, heads, packed strings."""
+        doc, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        order = np.lexsort((fp, doc))  # windows come in order of preference
+        doc, fp = doc[order], fp[order]
+        data, offsets = ta.text_buffers(batch.column(2).take(pa.array(order)))
+        starts, ends, row = ta.word_bounds(data, offsets)
+        if len(starts) < window:
+            return
+        body, at = ta.packed(data, starts, ends)
+        codes, words = ta.coded(body, at)
+        h = ta.word_hashes(words)[codes]
+        first_word = np.searchsorted(row, np.arange(len(doc)), "left")
+        spaced = at + np.arange(len(at))  # offsets with one space after each word
+        text = np.full(spaced[-1], 32, np.uint8)
+        text[ta.ranges(spaced[:-1], np.diff(at))] = body
+        text = text.tobytes()
+        n = len(starts) - window + 1
+        low = ta.sliding_min(ta.rolling(h, run), window - run + 1)
+        whole = row[:n] == row[window - 1 :]
+        fresh = np.ones(len(doc), np.int64)  # repeated rows are one document
+        fresh[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
+        place = (np.cumsum(fresh)[row] << 32) + np.arange(len(row)) - first_word[row]
+        later = np.zeros(n, bool)
+        pick = np.flatnonzero(whole)
+        later[pick] = _later(ta.rolling(h, window)[pick], codes, pick, window, place[pick])
+        # runs with one minimiser in one document; those seen before go along as bare ranges
+        bound = np.zeros(n, np.int64)
+        bound[1:] = np.cumsum((low[1:n] != low[: n - 1]) | (row[1:n] != row[: n - 1]))
+        send, size = _runs(whole & ~later, bound)
+        known, known_size = _runs(whole & later, row[:n])
+        first = np.concatenate([send, known])
+        head = np.zeros(len(first), _HEAD)
+        r = row[first]
+        head["doc"], head["fp"], head["start"] = doc[r], fp[r], first - first_word[r]
+        head["windows"] = np.concatenate([size, -known_size])
+        a, b = spaced[send], spaced[send + size + window - 1]
+        head["bytes"][: len(send)] = b - a
+        bucket = np.concatenate([low[send] % np.uint64(buckets), ta.mix(doc[row[known]].astype(np.uint64)) % np.uint64(buckets)]).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        for lo, hi in zip(edges, np.append(edges[1:], len(by))):
+            k = by[lo:hi]
+            s = k[k < len(send)]
+            yield int(bucket[k[0]]), np.int64(len(k)).tobytes() + head[k].tobytes() + b"".join([text[x:y] for x, y in zip(a[s].tolist(), b[s].tolist())])
 
     return work
 
 
-def _unpack(blobs) -> tuple[np.ndarray, bytes]:
+def _unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
     heads, texts = [], []
     opened = zstandard.ZstdDecompressor()
     for blob in blobs:
-        raw = opened.decompress(blob.as_py())
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        heads.append(np.frombuffer(raw, _HEAD, n, 8))
-        texts.append(np.frombuffer(raw, np.uint8, offset=8 + n * _HEAD.itemsize))
+        raw, at = opened.decompress(blob.as_py()), 0
+        while at < len(raw):
+            n = int(np.frombuffer(raw, np.int64, 1, at)[0])
+            head = np.frombuffer(raw, _HEAD, n, at + 8)
+            at += 8 + n * _HEAD.itemsize
+            size = int(head["bytes"].sum())
+            heads.append(head)
+            texts.append(np.frombuffer(raw, np.uint8, size, at))
+            at += size
     return np.concatenate(heads), np.concatenate(texts)
 
 
@@ -182,17 +199,29 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN, bucke
     return sent.groupBy("bucket").applyInArrow(_bucket_ranges(window), "doc bigint, fp bigint, start int, windows int")
 
 
-def _kept(window: int, digest: bool):
-    """mapInArrow: (..., text, spans) to (..., n_words, n_removed, kept): removes the words that the spans cover."""
+def _pressed_texts(batches):
+    """mapInArrow: the column text, compressed row by row."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        blobs = pa.array([None if t is None else press.compress(t.encode()) for t in (x.as_py() for x in batch.column(at))], pa.binary())
+        yield batch.set_column(at, "text", blobs)
+
+
+def _kept(window: int, digest: bool, carry: bool):
+    """mapInArrow: (..., text, spans) to (..., text, n_words, n_removed, kept), without text unless carried: removes the words that the spans cover."""
 
     def work(batches):
+        opened = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            n, gone, kept = [], [], []
-            for text, span in zip(texts, spans):
-                words = (text or "").encode().split()
+            n, gone, kept, texts = [], [], [], []
+            for packed, span in zip(batch.column("text"), batch.column("spans")):
+                raw = None if not packed.is_valid else opened.decompress(packed.as_py())
+                texts.append(raw)
+                words = (raw or b"").split()
                 n.append(len(words))
-                if span:
+                if span.is_valid and len(span):
+                    span = span.as_py()
                     cover = np.zeros(len(words) + 1, np.int32)
                     for s in span:
                         cover[s["start"]] += 1
@@ -203,7 +232,9 @@ def _kept(window: int, digest: bool):
                 joined = b" ".join(words)
                 kept.append(sha256(joined).hexdigest() if digest else joined.decode())
             rest = [k for k in range(batch.num_columns) if batch.schema.names[k] not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*(batch.schema.names[k] for k in rest), "n_words", "n_removed", "kept"])
+            more = {"text": pa.array([None if t is None else t.decode() for t in texts], pa.string())} if carry else {}
+            more |= {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *more.values()], names=[*(batch.schema.names[k] for k in rest), *more])
 
     return work
 
@@ -214,15 +245,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window over it, of `window` words, also starts earlier: at a smaller id, or earlier in the same document. Windows are judged on the
     input. Null and empty texts have no words. Rows with one id and one text are one document, and each gets its result; rows with one id and
     different texts are ordered by a hash of the text; a null id comes before all others. Texts shorter than a window stay whole. With `carry`
-    the row itself comes along, as the struct `row`, whatever its columns are called; else other columns are not read.
+    the row's other columns come along in the struct `row`, whatever they are called, and the text as `text`; else other columns are not read.
     """
     own = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), text_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text")]
-    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else [F.col(id_col).alias("id")]
+    lead = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row") if carry else F.col(id_col).alias("id")
     found = repeated_ranges(docs.select(*own), window, run, buckets)
     spans = found.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # of one document
-    joined = docs.select(*own, *extra).join(spans.hint("shuffle_hash"), ["doc", "fp"], "left").select(*(["row"] if carry else ["id"]), "text", "spans")
-    kind = joined.schema[0].dataType.simpleString() if not carry else docs.schema.simpleString()
-    out = joined.mapInArrow(_kept(window, digest), f"{'row' if carry else 'id'} {kind}, n_words bigint, n_removed bigint, kept string")
+    rows = docs.select(lead, *own)
+    kind = f"{rows.columns[0]} {rows.schema[0].dataType.simpleString()}"
+    # texts cross the shuffle compressed
+    rows = rows.mapInArrow(_pressed_texts, f"{kind}, doc bigint, fp bigint, text binary")
+    joined = rows.join(spans.hint("shuffle_hash"), ["doc", "fp"], "left").select(rows.columns[0], "text", "spans")
+    out = joined.mapInArrow(_kept(window, digest, carry), f"{kind}, {'text string, ' if carry else ''}n_words bigint, n_removed bigint, kept string")
     return out if carry else out.withColumnRenamed("id", id_col)
 
 

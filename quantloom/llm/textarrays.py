@@ -128,3 +128,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     at = np.cumsum(lengths)[:-1]
     out[at] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(out)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000):
+    """Slices of a batch with about `size` bytes of text in a column, a long row alone. What Arrow no longer uses goes back to the system after each."""
+    n = batch.num_rows
+    if not n:
+        return
+    piece = np.cumsum(np.diff(text_buffers(batch.column(column))[1])) // size
+    cuts = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), n)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
