@@ -19,11 +19,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space, the longest stays, then the smallest doc_id. Rows are told apart by doc_id and length: of rows alike in both all stay if one does."""
+    """Of documents equal but for white space, the longest stays, then the smallest doc_id; of rows that repeat an id and a text one stays.
+
+    Rows are told apart by doc_id and length: of rows alike in both, with different texts, all stay if one does.
+    """
     groups = op09_exact_dedup.exact_groups(docs, lengths=True)
-    gone = groups.groupBy(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")).agg(F.max("kept").alias("stays")).where("NOT stays")
-    length = F.length(F.coalesce("text", F.lit("")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (length == gone["__n"]), "left_anti")
+    marks = groups.groupBy(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
+    marks = written(marks.where("NOT __stays OR __rows > 1"), "marks")
+    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.length(F.coalesce("text", F.lit(""))) == marks["__n"])
+    out = docs.join(marks.where("NOT __stays"), same, "left_anti")
+    repeated = marks.where("__stays")
+    if repeated.isEmpty():
+        return out
+    return out.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
