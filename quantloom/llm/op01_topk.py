@@ -65,7 +65,8 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
     while radius <= width:
         masks = np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], dtype=np.int64)
         probes = open_queries.select("q", "cap", F.posexplode(F.array(*[_segment(F.col("q"), j, width) for j in range(m)])).alias("seg", "own")).select("q", "cap", "seg", "own", F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(index, ["seg", "value"])
+        # the planner takes probes for as small as their queries: keep it from broadcasting them
+        met = probes.join(index.hint("shuffle_hash"), ["seg", "value"])
         # each code once: at the least distance over its segments, in the first segment that has it
         far = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), j, width)) for j in range(m)]
         once = F.lit(True)
