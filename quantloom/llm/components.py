@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import written
+from quantloom.llm.common import dropped, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
-        e = written(small, "small-star")
+        before, e = e, written(small, "small-star")
+        dropped(before, large)
         seen = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (seen["n"], seen["s"]) == state:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents, partitions_for, text_bytes, text_fingerprint
+from quantloom.llm.common import documents, partitions_for, small_batches, text_bytes, text_fingerprint
 
 WINDOW, RUN = 20, 3
 #: Bytes of packed strings aimed at for a bucket, and how much longer they are than the text.
@@ -247,6 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     different texts are ordered by a hash of the text; a null id comes before all others. Texts shorter than a window stay whole. With `carry`
     the row's other columns come along in the struct `row`, whatever they are called, and the text as `text`; else other columns are not read.
     """
+    small_batches(docs.sparkSession)
     own = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), text_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text")]
     lead = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row") if carry else F.col(id_col).alias("id")
     found = repeated_ranges(docs.select(*own), window, run, buckets)

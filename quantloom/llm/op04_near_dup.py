@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents, partitions_for, written
+from quantloom.llm.common import documents, dropped, partitions_for, small_batches, written
 from quantloom.llm.components import connected_components
 
 SHINGLE, THRESHOLD, ROWS = 3, 85, 3
@@ -176,6 +176,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordless texts have an empty set and no link. Rows that repeat an id share that id's component, each with its own set's size; where their texts differ,
     both texts' links count for the id. A row without id takes no part: component_id null, kept true. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     half = half_keys(threshold, rows)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     sig = written(source.where("doc IS NOT NULL").mapInArrow(_signatures(shingle, rows, half), "doc bigint, n_shingles bigint, set1 bigint, set2 bigint, keys array<bigint>"), "signatures")
@@ -185,13 +186,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = sig.join(classes.select(F.col("cid").alias("doc"), "set1", "set2"), ["doc", "set1", "set2"], "left_semi")
     keys = leads.select("doc", F.posexplode("keys").alias("slot", "key")).distinct()
     keys = written(keys, "half-keys")
+    dropped(sig)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     mine = keys.join(shared, "key").groupBy("doc").agg(*[F.collect_set(F.when(c, F.col("key"))).alias(n) for n, c in (("a", F.col("slot") < half), ("b", F.col("slot") >= half))])  # half keys each at most, but for ids that repeat
     tables = mine.select("doc", F.explode("a").alias("x"), "b").select("doc", "x", F.explode("b").alias("y")).select("doc", F.xxhash64("x", "y").alias("key"))
     tables = written(tables, "tables")
+    dropped(keys)
     low = tables.groupBy("key").agg(F.min("doc").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
     ties = tables.join(low, "key").where("doc <> low").select(F.col("doc").alias("u"), F.col("low").alias("v")).distinct()
     family = written(connected_components(ties).select(F.col("node").alias("doc"), F.col("component").alias("family")), "families")
+    dropped(tables)
     links = _links(source, family, shingle, threshold, block)
     # ids whose classes are linked, then ids that hold several classes
     found = member.select("doc", "cid").where("doc <> cid").select(F.col("doc").alias("u"), F.col("cid").alias("v")).unionByName(links)
@@ -223,7 +227,9 @@ def _links(source: DataFrame, family: DataFrame, shingle: int, threshold: int, b
         spread = sets.join(large, "family").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("doc", "family", "shingles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         out = out.unionByName(spread.groupBy("family", "i", "j").applyInArrow(_verified(threshold), schema))
-    return written(out.where("doc <> component").select(F.col("doc").alias("u"), F.col("component").alias("v")), "links")
+    links = written(out.where("doc <> component").select(F.col("doc").alias("u"), F.col("component").alias("v")), "links")
+    dropped(sets)
+    return links
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents
+from quantloom.llm.common import documents, small_batches
 from quantloom.llm.sampling import held_out, labelled_sample
 
 #: Bounds of the training sample: rows of a language, characters of a row.
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], id_col: str =
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["id", *batch.schema.names[2:], "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, f"id {kind}, {f'row {docs.schema.simpleString()}, ' if carry else ''}lang_pred string, score double")

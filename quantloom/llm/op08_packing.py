@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents, partitions_for, written
+from quantloom.llm.common import documents, partitions_for, small_batches, written
 
 LENGTHS = (256, 512, 1024, 2048, 4096)
 #: What a sequence costs beside its length, in words.
@@ -98,6 +98,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     permitted one that holds it. Null, empty and wordless texts have one piece of no words and null bin, offset and length.
     Repeated ids and null ids are packed as rows of their own. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cols = f"id {kind}, piece int, start_word bigint, n_words bigint"
     pieces = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_pieces(max(lengths)), cols), "pieces")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACES, documents, written
+from quantloom.llm.common import SPACES, documents, small_batches, written
 
 _DROP = SPACES.encode()
 
@@ -107,6 +107,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row with the most code points stays, then the smallest id (null ids last). Rows that repeat an id are
     rows of their own; of repeated rows with the winning id all with the winner's length are kept. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     ident = ["n_blocks", "name", "turn"]
     rows = written(named_identities(docs, id_col, text_col, block, bits).withColumnRenamed(id_col, "doc_id"), "identities")
     # the smallest of (-length, id), null ids last; combined before the shuffle
