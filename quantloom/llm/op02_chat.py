@@ -38,8 +38,10 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     """conv_id, path (rank of the branch), depth_from_root (0, 1, ...), role, text of the `top` best branches of each tree.
 
     messages: conv_id, node, parent (null, or no node of the conversation: a root), role, text, score. A branch's score is the sum of its
-    messages' scores (null: 0); ties go to the smaller leaf. node is unique in a conversation.
+    messages' scores (null: 0); ties go to the smaller leaf. node is unique in a conversation. Messages whose conv_id is null are one conversation.
     """
+    # in a struct, which is never null itself, a null conv_id equals a null one in the joins
+    messages = messages.withColumn("conv_id", F.struct(F.col("conv_id").alias("id")))
     nodes = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     inner = nodes.select("conv_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
     leaves = nodes.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
@@ -62,7 +64,7 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     return (
         paths.join(chosen, ["conv_id", "leaf"])
         .join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
-        .select("conv_id", "path", (F.col("depth") - F.col("up")).alias("depth_from_root"), "role", "text")
+        .select(F.col("conv_id.id").alias("conv_id"), "path", (F.col("depth") - F.col("up")).alias("depth_from_root"), "role", "text")
     )
 
 
@@ -102,7 +104,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """Formats each conversation (rows by turn: one branch; repeated or null turns in the order turn, role, text) and digests what is read back."""
+    """Formats each conversation (rows by turn: one branch; repeated or null turns in the order turn, role, text; rows with a null conv_id: one conversation) and digests what is read back."""
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     messages = conversations.select("conv_id", "role", "text", F.row_number().over(w).alias("node")).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
     messages = written(messages, "messages")

@@ -93,6 +93,18 @@ def test_chat_reads_back_control_strings(spark):
     assert {r["conv_id"]: r["n_turns"] for r in op02_chat.digests(odd).collect() if r["conv_id"] is not None} == {1: 3}
 
 
+def test_chat_null_conversation(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "né"), (None, 2, "user", None), (4, 0, "assistant", "x")]
+    got = {r["conv_id"]: r for r in op02_chat.digests(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert set(got) == {None, 4}
+    said, none = "user\nq\nassistant\nné\nuser\n\n", got[None]
+    assert (none["n_turns"], none["loss_chars"], none["formatted_chars"]) == (3, 2, len("user" "q" "assistant" "né" "user") + 3 * 24)
+    assert none["turns_sha256"] == sha256(said.encode()).hexdigest() and none["loss_sha256"] == sha256("né".encode()).hexdigest()
+    tree = [(None, 1, None, "user", "q", 0.0), (None, 2, 1, "user", "a", 1.0), (None, 3, 1, "user", "b", 5.0), (1, 1, None, "user", "z", 0.0)]
+    m = spark.createDataFrame(tree, "conv_id bigint, node bigint, parent bigint, role string, text string, score double")
+    assert sorted((r["conv_id"] or 0, r["depth_from_root"], r["text"]) for r in op02_chat.branches(m).collect()) == [(0, 0, "q"), (0, 1, "b"), (1, 0, "z")]
+
+
 # 3
 
 
