@@ -1,7 +1,7 @@
 """Intraday order flow: bars with flow, same-clock baselines, signals, blended score, participation.
 
-Bars are keyed by symbol, date_key (YYYYMMDD) and minute (of the day).  `day` windows run over one symbol's bars of a date, `slot` windows over the
-bars of one symbol and minute on the dates before.
+Bars are keyed by symbol, date_key (YYYYMMDD) and minute (of the day).  `day` windows run over one symbol's bars of a date, `segment` windows over an
+unbroken run of them, `slot` windows over the bars of one symbol and minute on the dates before.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import windows as w
-from quantloom.functions.expr import clip, first_match, mean_of, ratio, sign, true
+from quantloom.functions.expr import clip, first_match, mean_of, ratio, session_part, sign, true
 from quantloom.operators import resample
 
 TIME = ("date_key", "minute")
@@ -43,6 +43,7 @@ class Config:
     direction: float = 30.0
     strong_score: float = 60.0
     confirm: int = 2
+    whole_days: bool = False  # blended windows run through breaks, gaps and invalid bars of a date
 
 
 def slot():
@@ -53,6 +54,24 @@ def day():
     return w.by("symbol", "date_key", order=("minute",))
 
 
+def segment():
+    return w.by("symbol", "date_key", "segment", order=("minute",))
+
+
+def segments(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds segment, the number of the unbroken run of bars in a date.
+
+    A run ends with its half session, at a missing bar, and where validity changes; a bar that is invalid or out of session is alone.
+    """
+    d, part, ok = day(), session_part(F.col("minute")), F.col("valid")
+    follows = (part == F.lag(part).over(d)) & (part != "out") & (F.col("minute") - F.lag("minute").over(d) <= cfg.minutes) & ok & F.lag(ok).over(d)
+    return feat.withColumn("_starts", ~true(follows)).withColumn("segment", w.islands(F.col("_starts"), d)).drop("_starts")
+
+
+def _blended_window(cfg: Config):
+    return day() if cfg.whole_days else segment()
+
+
 def flow_bars(prints: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Bars of prints (symbol, date_key, second, price, volume, direction, event_id) with their flow."""
     p = prints.withColumn("minute", resample.bar_minute("second", cfg.minutes))
@@ -109,14 +128,14 @@ SCORE = ("pressure", "execution_quality", "absorption", "alignment", "divergence
 def blended_features(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Pressure from three exponential means, consistency, entropy, toxicity, ranks of strength, response, absorption, exhaustion, divergence, regime and the blended score.
 
-    All windows restart with each date. feat: from baseline_features.
+    All windows restart with each segment (with each date if cfg.whole_days). feat: from baseline_features.
     """
-    s, f, r = day(), cfg.flow_window, cfg.regime_window
+    s, f, r = _blended_window(cfg), cfg.flow_window, cfg.regime_window
     ok = F.col("valid")
     when_ok = lambda c: F.when(ok, c)
     total = lambda c, n=f: w.trailing("sum", c, s, n, 1)
     c, o, h, lo = (F.col(x) for x in ("close", "open", "high", "low"))
-    out = feat.withColumn("flow", when_ok(clip(ratio("delta", "print_volume"), -1.0, 1.0))).withColumn("volume_ok", when_ok(F.col("print_volume"))).withColumn("delta_ok", when_ok(F.col("delta")))
+    out = segments(feat, cfg).withColumn("flow", when_ok(clip(ratio("delta", "print_volume"), -1.0, 1.0))).withColumn("volume_ok", when_ok(F.col("print_volume"))).withColumn("delta_ok", when_ok(F.col("delta")))
     out = out.withColumns({f"ema_{n}": clip(w.ewm("flow", s, span), -1.0, 1.0) for n, span in zip(("fast", "medium", "slow"), cfg.spans)})
     out = out.withColumns({
         "pressure": clip(mean_of(["ema_fast", "ema_medium", "ema_slow"], 2), -1.0, 1.0), "flow_trend": clip(F.col("ema_fast") - F.col("ema_slow"), -1.0, 1.0), "acceleration": clip(w.change("ema_fast", s), -1.0, 1.0),
@@ -164,14 +183,15 @@ def blended_features(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def blended_signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """1 or -1 where an entry or exit has held for `confirm` bars of a date."""
+    """1 or -1 where an entry or exit has held for `confirm` bars of a segment (of a date if cfg.whole_days)."""
+    s = _blended_window(cfg)
     sure = F.col("score").isNotNull() & (F.col("confidence") >= 0.6)
     buy, sell = (true(F.col("strength") >= cfg.strong) & true(t) for t in (F.col("direction_score") >= cfg.direction, F.col("direction_score") <= -cfg.direction))
     contrary = true(F.col("absorption") >= 0.2) & true(F.col("direction_score") <= 0)
     entry = sure & (true(F.col("score") >= 0.2) | contrary) & (buy | contrary)
     exit_ = sure & (true(F.col("score") <= -0.2) | sell | true(F.col("absorption") <= -0.2) & true(F.col("direction_score") >= 0) | true(F.col("exhaustion") <= -0.1))
     out = feat.withColumns({"entry_candidate": entry, "exit_candidate": exit_})
-    return out.withColumn("signal", F.when(w.persistent("entry_candidate", day(), cfg.confirm), 1).when(w.persistent("exit_candidate", day(), cfg.confirm), -1).otherwise(0))
+    return out.withColumn("signal", F.when(w.persistent("entry_candidate", s, cfg.confirm), 1).when(w.persistent("exit_candidate", s, cfg.confirm), -1).otherwise(0))
 
 
 RANKS = {"volume_rank": "print_volume", "count_rank": "trade_count", "amount_rank": "average_amount", "share_rank": "large_share", "delta_rank": "delta_size", "large_delta_rank": "large_delta_size", "return_rank": "return_size", "vwap_rank": "vwap_size"}

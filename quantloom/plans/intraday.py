@@ -13,6 +13,8 @@ from quantloom.sources.tables import INTRADAY_PRINTS, intraday_prints
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 CFG = of.Config()
+#: The SQL of the flow_blended_* queries lets their windows run through a whole date; the flow_segment_* queries restart them with each segment.
+DAYS = of.Config(whole_days=True)
 
 
 def _r(a: str, b: str) -> str:
@@ -121,7 +123,7 @@ _F2 = ("ema_fast", "ema_slow", "pressure", "consistency", "entropy", "toxicity",
 
 @query("flow_blended_features", f"WITH {BLEND_SQL} SELECT symbol, date_key, minute, regime, {six(*_F2)} FROM v WHERE score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL")
 def flow_blended_features(spark, sf_dir):
-    return rounded(of.blended_features(features(spark, sf_dir), CFG).where("score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL"), "symbol", "date_key", "minute", "regime", six=_F2)
+    return rounded(of.blended_features(features(spark, sf_dir), DAYS).where("score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL"), "symbol", "date_key", "minute", "regime", six=_F2)
 
 
 BLEND_SIG_SQL = BLEND_SQL + """,
@@ -132,13 +134,48 @@ x AS (SELECT *, CASE WHEN sum(en::INTEGER) OVER d2 = 2 THEN 1 WHEN sum(ex::INTEG
 
 @query("flow_blended_signals", f"WITH {BLEND_SIG_SQL} SELECT symbol, date_key, minute, signal FROM x WHERE signal <> 0")
 def flow_blended_signals(spark, sf_dir):
-    return of.blended_signals(of.blended_features(features(spark, sf_dir), CFG), CFG).where("signal <> 0").select("symbol", "date_key", "minute", "signal")
+    return of.blended_signals(of.blended_features(features(spark, sf_dir), DAYS), DAYS).where("signal <> 0").select("symbol", "date_key", "minute", "signal")
+
+
+def _blended_totals(s):
+    return rounded(s.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("signal") == 1).alias("n_entry"), F.count_if(F.col("signal") == -1).alias("n_exit"), F.avg("score").alias("mean_score"), F.percentile("score", 0.5).alias("median_score")), "regime", "n", "n_entry", "n_exit", six=("mean_score", "median_score"))
 
 
 @query("flow_blended_summary", f"WITH {BLEND_SIG_SQL} SELECT regime, count(*) AS n, count(*) FILTER (signal = 1) AS n_entry, count(*) FILTER (signal = -1) AS n_exit, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score FROM x GROUP BY regime")
 def flow_blended_summary(spark, sf_dir):
-    s = of.blended_signals(of.blended_features(features(spark, sf_dir), CFG), CFG)
-    return rounded(s.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("signal") == 1).alias("n_entry"), F.count_if(F.col("signal") == -1).alias("n_exit"), F.avg("score").alias("mean_score"), F.percentile("score", 0.5).alias("median_score")), "regime", "n", "n_entry", "n_exit", six=("mean_score", "median_score"))
+    return _blended_totals(of.blended_signals(of.blended_features(features(spark, sf_dir), DAYS), DAYS))
+
+def _in_segments(sql: str) -> str:
+    """The blended SQL with its windows restarting at half sessions, missing bars and invalid bars."""
+    part = "CASE WHEN minute BETWEEN 570 AND 690 THEN 'am' WHEN minute BETWEEN 780 AND 899 THEN 'pm' END"
+    ok = "(print_volume > 0 AND high >= low AND low > 0)"
+    cut = f"""{FEAT_SQL},
+s0 AS (SELECT *, CASE WHEN {part} = lag({part}) OVER d AND minute - lag(minute) OVER d <= 30 AND {ok} AND lag({ok}) OVER d THEN 0 ELSE 1 END AS starts FROM g WINDOW d AS (PARTITION BY symbol, date_key ORDER BY minute)),
+s1 AS (SELECT *, sum(starts) OVER (PARTITION BY symbol, date_key ORDER BY minute ROWS UNBOUNDED PRECEDING) AS segment FROM s0)"""
+    rest = sql.removeprefix(FEAT_SQL).replace("AS flow FROM g)", "AS flow FROM s1)")
+    return cut + rest.replace("PARTITION BY symbol, date_key ORDER BY minute", "PARTITION BY symbol, date_key, segment ORDER BY minute")
+
+
+SEGMENT_SQL, SEGMENT_SIG_SQL = _in_segments(BLEND_SQL), _in_segments(BLEND_SIG_SQL)
+
+
+def segment_signals(spark, sf_dir):
+    return of.blended_signals(of.blended_features(features(spark, sf_dir), CFG), CFG)
+
+
+@query("flow_segment_features", f"WITH {SEGMENT_SQL} SELECT symbol, date_key, minute, segment, regime, {six(*_F2)} FROM v WHERE score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL")
+def flow_segment_features(spark, sf_dir):
+    return rounded(of.blended_features(features(spark, sf_dir), CFG).where("score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL"), "symbol", "date_key", "minute", "segment", "regime", six=_F2)
+
+
+@query("flow_segment_signals", f"WITH {SEGMENT_SIG_SQL} SELECT symbol, date_key, minute, signal FROM x WHERE signal <> 0")
+def flow_segment_signals(spark, sf_dir):
+    return segment_signals(spark, sf_dir).where("signal <> 0").select("symbol", "date_key", "minute", "signal")
+
+
+@query("flow_segment_summary", f"WITH {SEGMENT_SIG_SQL} SELECT regime, count(*) AS n, count(*) FILTER (signal = 1) AS n_entry, count(*) FILTER (signal = -1) AS n_exit, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score FROM x GROUP BY regime")
+def flow_segment_summary(spark, sf_dir):
+    return _blended_totals(segment_signals(spark, sf_dir))
 
 
 def _prank(c: str) -> str:

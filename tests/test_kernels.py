@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import expr
 from quantloom.functions import windows as w
-from quantloom.operators import backtest, learning, technical, vsa
+from quantloom.operators import backtest, learning, order_flow, technical, vsa
 
 
 @pytest.fixture(scope="module")
@@ -189,3 +189,22 @@ def test_running_totals_keep_state(spark, tmp_path):
     q = sb.running_totals(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["symbol"], r["n"], r["volume"]) for r in got if r["n"] == 6) == [("a", 6, 12.0), ("b", 6, 6.0)]
+
+
+def test_blended_windows_restart_with_segments(spark):
+    # 09:30, 10:00, (10:30 missing), 11:00 | 13:00, 13:30, 14:00 invalid, 14:30 | 15:00 out of session | next date
+    minutes = [(1, 570), (1, 600), (1, 660), (1, 780), (1, 810), (1, 840), (1, 870), (1, 900), (2, 570)]
+    flow = [0.8, 0.4, -0.6, 0.2, -1.0, 1.0, 0.6, 0.2, -0.4]
+    prints = [("x", d, m * 60 + k, 0.0 if m == 840 else 10.0 + k, 50 + side * 50 * f, side, k) for (d, m), f in zip(minutes, flow) for k, side in enumerate((1, -1))]
+    cfg = order_flow.Config()
+    feat = order_flow.baseline_features(order_flow.flow_bars(spark.createDataFrame(prints, "symbol string, date_key int, second int, price double, volume double, direction int, event_id int"), cfg), cfg)
+    out = order_flow.blended_features(feat, cfg)
+    rows = out.orderBy("date_key", "minute").collect()
+    assert [r["segment"] for r in rows] == [1, 1, 2, 3, 3, 4, 5, 6, 1]
+    want = [0.8, 0.6, -0.6, 0.2, -0.4, None, 0.6, 0.2, -0.4]  # span 3: half old, half new; first bars carry nothing over
+    assert [r["ema_fast"] for r in rows] == [x if x is None else pytest.approx(x) for x in want]
+    assert [r["acceleration"] is None for r in rows] == [True, False, True, True, False, True, True, True, True]
+    # a candidate on each bar is confirmed only where the bar before is of its segment
+    sure = {"score": 1.0, "confidence": 1.0, "strength": 100.0, "direction_score": 100.0}
+    sig = order_flow.blended_signals(out.withColumns({k: F.lit(v) for k, v in sure.items()}), cfg).orderBy("date_key", "minute").collect()
+    assert [r["signal"] for r in sig] == [0, 1, 0, 0, 1, 0, 0, 0, 0]
