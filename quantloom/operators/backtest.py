@@ -2,11 +2,13 @@
 
 Each symbol is a state machine over its bars in order.  Symbols are dealt over the cluster; a symbol's bars are one group, in order of ts.
 Fills: a signal at a bar's close fills at the next bar's open, with slippage; lots of 100; sells not on the day of the buy.
+A resting stop fills in the first later bar that reaches it: at the open if that is not above the stop, else at the stop.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import floor, isfinite
 
 import numpy as np
 import pandas as pd
@@ -79,6 +81,80 @@ def simulate(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return signals.select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "signal").groupBy("symbol").applyInPandas(run, TRADE)
 
 
+@dataclass(frozen=True)
+class VsaRules:
+    cash: float = 1_000_000.0
+    commission: float = 0.0003
+    stamp: float = 0.001
+    transfer: float = 0.00001
+    slippage: float = 0.0002
+    size: int = 100
+    max_hold: int = 20
+    gap_stop: float = 0.997
+    reward: float = 2.0
+    tick: float = 0.01
+
+
+def _vsa_trades(pdf: pd.DataFrame, rules: VsaRules) -> list[tuple]:
+    pdf = pdf.sort_values("ts", kind="mergesort")
+    ts, op, hi, lo, cl, sig, stops, targets = (pdf[c].tolist() for c in ("ts", "open", "high", "low", "close", "signal", "stop", "target"))
+    fees = rules.commission + rules.transfer
+    down = lambda x: floor(x / rules.tick + 1e-9) * rules.tick
+    out, cash, shares, entry, entry_at, pending = [], rules.cash, 0, 0.0, -1, ""
+    levels = stop = target = None
+    for i in range(len(ts)):
+        if pending == "buy":
+            price = op[i] * (1 + rules.slippage)
+            if rules.size * price * (1 + fees) <= cash:
+                shares, entry, entry_at = rules.size, price, i
+                cash -= shares * price * (1 + fees)
+        elif shares:
+            reason, price = pending, op[i]
+            if not reason and stop is not None and lo[i] <= stop:
+                reason, price = "stop", min(op[i], stop)
+            if reason:
+                price *= 1 - rules.slippage
+                got, paid = shares * price * (1 - fees - rules.stamp), shares * entry * (1 + fees)
+                out.append((str(pdf["symbol"].iloc[0]), ts[entry_at], ts[i], entry, price, shares, got - paid, reason, i - entry_at))
+                cash += got
+                shares = 0
+        pending = ""
+        if shares == 0:
+            levels = stop = target = None
+            if sig[i] == 1 and stops[i] is not None and targets[i] is not None and isfinite(stops[i]) and isfinite(targets[i]) and 0 < stops[i] < targets[i] and targets[i] > cl[i]:
+                pending, levels = "buy", (stops[i], targets[i])
+        elif ts[i] > ts[entry_at]:
+            if levels:
+                stop, target = down(levels[0]), levels[1]
+                if stop >= cl[i]:
+                    stop = down(cl[i] * rules.gap_stop)
+                if target <= cl[i]:
+                    target = cl[i] + rules.reward * (cl[i] - stop)
+                levels = None
+            if sig[i] == -1:
+                pending = "exit_signal"
+            elif hi[i] >= target:
+                pending = "take"
+            elif i - entry_at >= rules.max_hold:
+                pending = "max_hold"
+    return out
+
+
+def simulate_vsa(signals: DataFrame, rules: VsaRules = VsaRules()) -> DataFrame:
+    """Closed trades of each symbol under the rules of the VSA strategy. signals: as for simulate(), with stop and target of the confirming bar.
+
+    Enters `size` shares on a 1 with a finite stop above zero and a target above stop and close. On the first bar after the day of the buy the stop,
+    rounded down to the tick, is set to rest from the next bar; a stop not below the close is set to gap_stop of it, and a target not above the close
+    anew at `reward` times the risk. Exits at the next open after a -1, a high at the target, or max_hold bars (the bar of the buy is bar 0). Each
+    position gets its stop, also one entered on the very bar in which the last stop filled (the reference sets none then).
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_vsa_trades(pdf, rules), columns=[c.split()[0] for c in TRADE.split(", ")])
+
+    return signals.select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "signal", "stop", "target").groupBy("symbol").applyInPandas(run, TRADE)
+
+
 def trade_metrics(trades: DataFrame, cash: float = Rules.cash) -> DataFrame:
     """For each symbol: trades, wins, profit factor, mean bars held, total return on its cash."""
     gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0)))

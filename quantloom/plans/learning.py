@@ -14,6 +14,7 @@ query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 #: Prices are whole cents: cash is, too.
 RULES = backtest.Rules(cash=1e10)
+VSA_RULES = backtest.VsaRules(cash=1e10, tick=1.0)
 FEATURES = ["ret_1", "ret_5", "dev_5", "dev_10", "volume_ratio"]
 
 
@@ -56,7 +57,7 @@ def walk_forward(spark, sf_dir):
 
 @query("backtest_vsa")
 def backtest_vsa(spark, sf_dir):
-    return rounded(backtest.simulate(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), RULES), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", six=("entry_price", "exit_price", "pnl"))
+    return rounded(backtest.simulate_vsa(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), VSA_RULES), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", six=("entry_price", "exit_price", "pnl"))
 
 
 @query("backtest_momentum")

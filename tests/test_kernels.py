@@ -208,3 +208,35 @@ def test_blended_windows_restart_with_segments(spark):
     sure = {"score": 1.0, "confidence": 1.0, "strength": 100.0, "direction_score": 100.0}
     sig = order_flow.blended_signals(out.withColumns({k: F.lit(v) for k, v in sure.items()}), cfg).orderBy("date_key", "minute").collect()
     assert [r["signal"] for r in sig] == [0, 1, 0, 0, 1, 0, 0, 0, 0]
+
+
+def vsa_trades(spark, bars, **rules):
+    """Trades as (bar of the buy, bar of the sale, price of the sale, reason). bars: open, high, low, close, signal, stop, target; no slippage."""
+    d = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(len(bars))]
+    rows = [("x", d[i], *(None if v is None else float(v) for v in b[:4]), b[4], *(None if v is None else float(v) for v in b[5:])) for i, b in enumerate(bars)]
+    df = spark.createDataFrame(rows, "symbol string, ts date, open double, high double, low double, close double, signal int, stop double, target double")
+    got = backtest.simulate_vsa(df, backtest.VsaRules(slippage=0.0, **rules)).orderBy("entry_ts").collect()
+    assert all(t["shares"] == 100 for t in got)
+    return [(d.index(t["entry_ts"]), d.index(t["exit_ts"]), round(t["exit_price"], 6), t["reason"]) for t in got]
+
+
+def test_vsa_strategy_by_hand(spark):
+    quiet, buy = (10, 10.2, 9.8, 10, 0, None, None), (10, 10.2, 9.8, 10, 1, 9.509, 11)
+    low = (10, 10.2, 9.4, 10, 0, None, None)
+    # the stop rests from bar 3 on: the low of bars 1 and 2 passes, bar 3 fills at the stop, rounded down
+    assert vsa_trades(spark, [buy, low, low, low, quiet]) == [(1, 3, 9.5, "stop")]
+    # a bar that opens below the stop fills at its open
+    assert vsa_trades(spark, [buy, quiet, quiet, (9, 9.1, 8.9, 9, 0, None, None), quiet]) == [(1, 3, 9.0, "stop")]
+    # closes below the stop on bar 2: the stop goes to 0.997 of that close (8.973, down to 8.97)
+    assert vsa_trades(spark, [buy, quiet, (9, 9.1, 8.9, 9, 0, None, None), (9, 9.1, 8.98, 9, 0, None, None), (9, 9.1, 8.96, 9, 0, None, None)]) == [(1, 4, 8.97, "stop")]
+    # closes above the target on bar 2: anew at 12 + 2 x (12 - 9.5) = 17, which bar 4 reaches
+    up = (12, 12.1, 11.9, 12, 0, None, None)
+    assert vsa_trades(spark, [buy, quiet, up, up, (16, 17, 16, 16, 0, None, None), (15, 15, 15, 15, 0, None, None)]) == [(1, 5, 15.0, "take")]
+    # a -1 on the day of the buy does nothing, one on the day after sells
+    bear = (10, 10.2, 9.8, 10, -1, None, None)
+    assert vsa_trades(spark, [buy, bear, quiet, bear, quiet]) == [(1, 4, 10.0, "exit_signal")]
+    assert vsa_trades(spark, [buy] + [quiet] * 24) == [(1, 22, 10.0, "max_hold")]
+    # no entry without a stop, without a target, or with a target not above the close; nor without cash
+    for stop, target in ((None, 11), (9.5, None), (9.5, 10), (float("nan"), 11), (0, 11)):
+        assert vsa_trades(spark, [(10, 10.2, 9.8, 10, 1, stop, target)] + [quiet] * 24) == []
+    assert vsa_trades(spark, [buy] + [quiet] * 24, cash=999.0) == []
