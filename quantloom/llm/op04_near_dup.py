@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents, dropped, partitions_for, small_batches, written
+from quantloom.llm.common import documents, dropped, partitions_for, small_batches, text_fingerprint, written
 from quantloom.llm.components import connected_components
 
 SHINGLE, THRESHOLD, ROWS = 3, 85, 3
@@ -233,9 +233,23 @@ def _links(source: DataFrame, family: DataFrame, shingle: int, threshold: int, b
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id; all columns as they are."""
-    gone = near_components(docs, id_col, text_col, shingle, threshold).where("NOT kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs that stay: of each component the row with the smallest id; all columns as they are.
+
+    Where ids repeat or are null, rows are told apart by id and text: of one id the smaller fingerprint comes first, null ids come last. Rows alike in
+    both stay or go together.
+    """
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        gone = near_components(docs, id_col, text_col, shingle, threshold).where("NOT kept").select(id_col).distinct()
+        return docs.join(gone, id_col, "left_anti")
+    mark = text_fingerprint(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), F.col(text_col).alias("text")).dropDuplicates(["__id", "__mark"])
+    order = [F.col("__id").asc_nulls_last(), F.col("__mark")]
+    # ids of partitions by range, sorted: their order is the order of the rows
+    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    gone = near_components(rows, "key", "text", shingle, threshold).where("NOT kept").select("key")
+    gone = written(rows.select("key", "__id", "__mark").join(gone, "key", "left_semi").select("__id", "__mark"), "near-copies")
+    dropped(rows)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (mark == gone["__mark"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

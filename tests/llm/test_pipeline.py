@@ -54,3 +54,12 @@ def test_stages_on_odd_documents(spark, odd, tmp_path):  # noqa: F811
 def test_stages_on_no_documents(spark, empty):  # noqa: F811
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcd")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c + " more"), (None, d), (None, d + " more"), (None, b + " more"), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_stage(spark, docs, SMALL).collect()]
+    assert {(1, a), (2, b), (4, None), (4, "")} <= set(got) and len(got) == 6
+    assert sum(i == 3 for i, _ in got) == 1 and [t[:2] for i, t in got if i is None] == ["d0"]
