@@ -13,8 +13,15 @@ SHINGLE, THRESHOLD = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter (null texts too), and those whose text is not in a known language; lang becomes the predicted one where it is null."""
-    out = op05_language.identify(docs, op05_language.train(docs), carry=True).where(F.col("lang_pred") != op05_language.UNKNOWN)
+    """Rejects documents without any letter (null texts too); lang becomes the predicted one where it is null.
+
+    The predicted language is the nearest of those learned, also for a text in none of them: foreign texts stay. If none could be learned (no row has
+    both a lang and a text to learn from), lang becomes `und`.
+    """
+    sample = op05_language.train(docs)
+    # without a sample every text is `und`, those with a letter too
+    lettered = F.col("lang_pred") != op05_language.UNKNOWN if sample else F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\p{L}")
+    out = op05_language.identify(docs, sample, carry=True).where(lettered)
     return out.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

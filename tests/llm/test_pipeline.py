@@ -63,3 +63,10 @@ def test_near_stage_tells_rows_of_one_id_apart(spark):
     got = [(r["doc_id"], r["text"]) for r in pipeline.near_stage(spark, docs, SMALL).collect()]
     assert {(1, a), (2, b), (4, None), (4, "")} <= set(got) and len(got) == 6
     assert sum(i == 3 for i, _ in got) == 1 and [t[:2] for i, t in got if i is None] == ["d0"]
+
+
+def test_language_stage_without_labels(spark):
+    texts = ["plain words", "слова", "12 + 3", "", None, "𐐷 1"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in pipeline.language_stage(spark, docs, SMALL).collect())
+    assert got == [(i, texts[i], "und") for i in (0, 1, 5)]
