@@ -8,10 +8,11 @@ at rank i
 * adds an arc ``p -w->`` beside every arc ``p -u->`` whose target still has an arc ``v``, and
 * takes the arc ``v`` away from state ``u`` (``u`` then ``v`` would have been merged).
 
-Copies are stored as (state copied, rank at which it was copied), so that the compiled automaton is a few
-tables as long as the vocabulary, not states times tokens.  A token sequence is accepted exactly if it
-is the BPE encoding of its own string; reading a word from the left, the accepted token
-that ends at each position is unique, and so one table-driven pass encodes it.
+Copies are stored as (state copied, rank at which it was copied), a few tables as long as the vocabulary, not
+states times tokens.  There is no table of transitions: ``arc`` decides an arc when it is first asked for, by walking
+the copies, and keeps the answer.  A token sequence is accepted exactly if it is the BPE encoding of its own
+string, so the accepted way to each position of a word is the only one; ``encode_word`` searches it depth first,
+long tokens first, and goes back where no arc leads on.
 """
 
 from __future__ import annotations
