@@ -269,9 +269,12 @@ def test_bpe_equals_the_library(odd, empty, spark):
     r = random.Random(1)
     texts = [t for _, t in pairs(odd)] + ["".join(r.choice("ab lothexin's .,!?<|>éÉßΣσ12²日한😀\n\x00\x1c") for _ in range(r.randrange(50))) for _ in range(3000)]
     texts += ["<|endoftext|>a <|startoftext|>", "<|endoftext|", "aaaaaaaaaaaaaaaaaaa" * 20, "hahahahahaha", "-" * 77]
-    tok = WordTokenizer(path, keep=50)
-    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
-        assert tok.encode(t) == (len(e.ids), " ".join(map(str, e.ids)), lib.decode(e.ids, skip_special_tokens=False))
+    texts += ["日本語漢字仮名" * 700, "<|ENDOFTEXT|>x<|endoftext|>", "\u00a0 \u2003", "e\u0301\u0323 \u0301"]
+    tok = WordTokenizer(path)
+    want = [(len(e.ids), " ".join(map(str, e.ids)), lib.decode(e.ids, skip_special_tokens=False)) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    n, ids, decoded = tok.encode_batch(pa.array(texts))
+    assert list(zip(n.tolist(), ids.to_pylist(), decoded.to_pylist())) == want
+    assert [tok.encode(t) for t in texts[-20:]] == want[-20:]
     out = op06_bpe.encode_documents(odd)
     assert out.count() == odd.count() and {(r["n_tokens"], r["ids"]) for r in out.where("doc_id IN (2, 3, 4)").collect()} == {(0, "")}
     assert op06_bpe.encode_documents(empty, digests=True).count() == 0
