@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import documents, small_batches
 from quantloom.llm.sampling import held_out, labelled_sample
+from quantloom.llm.textarrays import ranges
 
-#: Bounds of the training sample: rows of a language, characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 24, 3000
-#: A phrase ends where a piece of so many symbols ends; characters parsed in step at once.
-PIECE, AT_ONCE = 1024, 1_500_000
+#: Bound of the training sample: rows of a language.
+SAMPLE_ROWS = 24
+#: Symbols that a lane parses ahead from a guessed beginning; characters held in arrays at once.
+AHEAD, AT_ONCE = 1024, 2_000_000
 UNKNOWN = "und"
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transition table (states x width) of all substrings; state 0 is the root, and 0 also says that there is no transition."""
+def suffix_automaton(symbols: list[int]) -> tuple[int, np.ndarray]:
+    """Number of states, and the transitions as rows (state, symbol, next state), of all substrings; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -52,11 +53,50 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), width), np.int32)
-    for state, arcs in enumerate(nxt):
-        for c, to in arcs.items():
-            table[state, c] = to
-    return table
+    arcs = np.fromiter((x for state, to in enumerate(nxt) for c, t in to.items() for x in (state, c, t)), np.int64)
+    return len(nxt), arcs.reshape(-1, 3)
+
+
+class ArcTable:
+    """Transitions (state, symbol) -> state of all languages, rows of states laid over each other in one array.
+
+    A state's transition for a symbol, if it has one, is at its offset plus the symbol, with the state's number. Memory grows with the transitions, not with
+    states times letters.
+    """
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, states: int, width: int):
+        self.cells = np.full(2 * len(state) + 2 * width, -1, np.int64)  # state << 32 | next state
+        self.offset = np.zeros(states, np.int64)
+        order = np.argsort(state, kind="stable")
+        state, symbol, cell = state[order], symbol[order], (state << 32 | to)[order]
+        many = np.bincount(state, minlength=states)
+        begin = np.cumsum(many) - many
+        rng = np.random.default_rng(5)
+        open_ = np.flatnonzero(many > 1)
+        while len(open_):  # the widest rows first, at random offsets, until they meet no other
+            wide = open_[2 * many[open_] > many[open_].max()]
+            at = rng.integers(0, len(self.cells) - width, len(wide))
+            arc = ranges(begin[wide], many[wide])
+            owner = np.repeat(np.arange(len(wide)), many[wide])
+            slot = at[owner] + symbol[arc]
+            taken = self.cells[slot] >= 0
+            by = np.argsort(slot, kind="stable")
+            taken[by[1:]] |= slot[by[1:]] == slot[by[:-1]]
+            fits = np.bincount(owner, taken, len(wide)) == 0
+            put = fits[owner]
+            self.cells[slot[put]] = cell[arc[put]]
+            self.offset[wide[fits]] = at[fits]
+            open_ = np.setdiff1d(open_, wide[fits])
+        one = np.flatnonzero(many == 1)
+        slot = np.flatnonzero(self.cells < 0)
+        slot = slot[slot >= width][: len(one)]
+        self.cells[slot] = cell[begin[one]]
+        self.offset[one] = slot - symbol[begin[one]]
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is no transition."""
+        cell = self.cells[self.offset[state] + symbol]
+        return np.where(cell >> 32 == state, cell & 0xFFFFFFFF, 0)
 
 
 @lru_cache(1)
@@ -72,7 +112,7 @@ def letter_table() -> np.ndarray:
 
 
 class CrossParser:
-    """Languages with their automata, in one flat table."""
+    """Languages with their automata, in one table."""
 
     def __init__(self, sample: tuple[tuple[str, str], ...]):
         self.languages = sorted({lang for lang, _ in sample})
@@ -82,20 +122,23 @@ class CrossParser:
         alphabet = np.unique(np.concatenate([*points.values(), np.zeros(1, np.uint32)]))[1:]
         # symbols: 0 what isn't a letter, 1 a letter seen in no language, then the alphabet
         self.width = len(alphabet) + 2
-        self.symbol = np.where(letters > 0, 1, 0).astype(np.int32)
-        known = np.zeros(0x110000, np.int32)
+        self.symbol = np.where(letters > 0, 1, 0)
+        known = np.zeros(0x110000, np.int64)
         known[alphabet] = np.arange(2, self.width)
         self.symbol = np.where(known[letters] > 0, known[letters], self.symbol)
-        tables, self.base, at = [], [], 0
-        self.weight = []
-        for lang in self.languages:
+        # states are numbered on from language to language
+        self.weight, self.first = [], np.zeros((len(self.languages), self.width), np.int64)
+        rows, states = [np.zeros((0, 3), np.int64)], 0
+        for k, lang in enumerate(self.languages):
             symbols = self._squeezed(self.symbol[np.frombuffer(texts[lang].encode("utf-32-le"), np.uint32)])
-            table = suffix_automaton(symbols.tolist(), self.width)
-            tables.append(table.ravel())
-            self.base.append(at)
-            at += table.size
+            n, arcs = suffix_automaton(symbols.tolist())
+            inner = arcs[:, 0] > 0
+            rows.append(arcs[inner] + [states, 0, states])
+            self.first[k, arcs[~inner, 1]] = arcs[~inner, 2] + states
+            states += n
             self.weight.append(math.log2(max(2, len(symbols))))
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.first = self.first.ravel()
+        self.arcs = ArcTable(*np.concatenate(rows).T, states, self.width)
 
     @staticmethod
     def _squeezed(symbols: np.ndarray) -> np.ndarray:
@@ -115,32 +158,67 @@ class CrossParser:
         has = np.bincount(owner[points > 0], minlength=n) > 0
         count = np.bincount(owner, minlength=n)
         first = np.cumsum(count) - count
-        # pieces, the longest first
-        pieces = -(-count // PIECE)
-        of = np.repeat(np.arange(n), pieces)
-        start = first[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        size = np.minimum(PIECE, first[of] + count[of] - start)
-        order = np.argsort(-size, kind="stable")
-        of, start, size = of[order], start[order], size[order]
-        state = np.zeros((n_lang, len(of)), np.int32)
-        made = np.zeros((n_lang, len(of)), np.int32)
-        base = np.array(self.base, np.int64)[:, None]
-        table, width = self.table, self.width
-        live = len(of)
+        return self._parsed(points, np.tile(first, n_lang), np.tile(count, n_lang), np.repeat(np.arange(n_lang), n)).reshape(n_lang, n), has
+
+    def _step(self, root: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """States after a symbol, 0 where the phrase can't go on; from state 0 a phrase begins. root: where a language's row of first states begins."""
+        new = self.arcs.find(state, symbol)
+        fresh = np.flatnonzero(state == 0)
+        new[fresh] = self.first[root[fresh] + symbol[fresh]]
+        return new
+
+    def _parsed(self, points: np.ndarray, first: np.ndarray, count: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Phrases of each text, points[first:first + count], in its language; a text comes once for each language.
+
+        Lanes of AHEAD symbols are parsed in step, each as if a phrase began where it begins. Then every text is parsed from its beginning: where one of
+        its phrases begins at a symbol at which a lane's phrase begins, the two go alike to the lane's end and beyond, until the phrase
+        that is under way there ends; else it goes on symbol by symbol.
+        """
+        n, total = len(count), len(points) + 1
+        lanes = -(-count // AHEAD)
+        of = np.repeat(np.arange(n), lanes)
+        start = first[of] + AHEAD * (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        stop, end, root, shift = np.minimum(start + AHEAD, (first + count)[of]), (first + count)[of], (lang * self.width)[of], (lang * total)[of]
+        order = np.argsort(start - stop, kind="stable")  # the longest first
+        begins = np.zeros((int(lang.max(initial=0)) + 1) * total, np.int32)
+        at, size, base, row, state, live = start[order], (stop - start)[order], root[order], shift[order], np.zeros(len(of), np.int64), len(of)
         for t in range(int(size[0]) if len(size) else 0):
             while live and size[live - 1] <= t:
                 live -= 1
-            s = points[start[:live] + t]
-            old = state[:, :live]
-            root = base + s
-            new = table[root + old.astype(np.int64) * width]
-            begins = (new == 0) | (old == 0)
-            made[:, :live] += begins
-            state[:, :live] = np.where(new == 0, table[root], new)
-        out = np.zeros((n_lang, n), np.int64)
-        for k in range(n_lang):
-            out[k] = np.bincount(of, made[k], minlength=n)
-        return out, has
+            here = at[:live] + t
+            s, old = points[here], state[:live]
+            new = self._step(base[:live], old, s)
+            begins[(row[:live] + here)[(new == 0) | (old == 0)]] = 1
+            ended = np.flatnonzero((new == 0) & (old > 0))
+            new[ended] = self.first[base[ended] + s[ended]]
+            state[:live] = new
+        # to the end of the phrase under way
+        leave, carried = stop.copy(), np.zeros(len(of), np.int64)
+        carried[order] = state
+        going = np.flatnonzero((carried > 0) & (leave < end))
+        while len(going):
+            carried[going] = self._step(root[going], carried[going], points[leave[going]])
+            going = going[carried[going] > 0]
+            leave[going] += 1
+            going = going[leave[going] < end[going]]
+        before = np.cumsum(begins, dtype=np.int32) - begins  # phrases of lanes before a symbol
+        made = np.zeros(n, np.int64)
+        text = np.flatnonzero(count > 0)
+        lane0, cur, state, root, shift = np.cumsum(lanes) - lanes, first.copy(), np.zeros(n, np.int64), lang * self.width, lang * total
+        while len(text):
+            known = (state[text] == 0) & (begins[shift[text] + cur[text]] > 0)
+            jump = text[known]
+            lane = lane0[jump] + (cur[jump] - first[jump]) // AHEAD
+            made[jump] += before[shift[jump] + stop[lane]] - before[shift[jump] + cur[jump]]
+            cur[jump] = leave[lane]
+            walk = text[~known]
+            old = state[walk]
+            new = self._step(root[walk], old, points[cur[walk]])
+            made[walk] += old == 0
+            cur[walk] += (new > 0) | (old == 0)
+            state[walk] = new
+            text = text[cur[text] < first[text] + count[text]]
+        return made
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not texts or not self.languages:
@@ -162,9 +240,9 @@ def parser(sample: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(sample)
 
 
-def train(labelled: DataFrame, lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
-    """The training sample: at most `rows` texts of `chars` characters for each language, of rows that are not held out."""
-    return tuple((str(a), b) for a, b in labelled_sample(labelled.where(~held_out()).select("doc_id", "text", F.col(lang_col).alias("label")), rows, chars))
+def train(labelled: DataFrame, lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[tuple[str, str], ...]:
+    """The training sample: at most `rows` whole texts for each language, of rows that are not held out."""
+    return tuple((str(a), b) for a, b in labelled_sample(labelled.where(~held_out()).select("doc_id", "text", F.col(lang_col).alias("label")), rows))
 
 
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
