@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -14,7 +16,7 @@ import pytest
 from conftest import SMALL, same
 from pyspark.sql import functions as F
 
-from quantloom.llm import components, op01_topk, op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op07_toxicity, op08_packing, op09_exact_dedup, op10_sharding, registry, textarrays
+from quantloom.llm import components, op01_topk, op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op07_toxicity, op08_packing, op09_exact_dedup, op10_sharding, registry, sampling, textarrays
 from quantloom.llm.merge_automaton import WordTokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, row string, bucket int, family string, kept string, n_words int, task int, bin int, key string"
@@ -238,14 +240,42 @@ def brute_phrases(text, train):
 def test_cross_parse_against_brute_force():
     train = {"xx": "the cat sat on the mat and the hat", "yy": "der hund und die katze sitzen"}
     p = op05_language.CrossParser(tuple(train.items()))
+    r = random.Random(12)
     texts = ["the hound sat", "katze und hut", "", "123", "ﬁsh the the zq", "and" * 400]
+    texts += [train["xx"][4:] * 90, "".join(r.choice(["the cat ", "und", "on the", "q", " sitz", "hat"]) for _ in range(6000))]  # over 20,000 symbols
     got, has = p.phrases(texts)
     for k, lang in enumerate(p.languages):
         for t, n in zip(texts, got[k]):
-            flat = "".join(c if c.isalpha() else " " for c in t)
-            flat = " ".join(flat.split(" ")) if flat.strip() else " " * bool(flat)
-            assert n == sum(brute_phrases(flat[a : a + 1024], train[lang]) for a in range(0, len(flat), 1024)), t
-    assert has.tolist() == [True, True, False, False, True, True]
+            flat = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t))
+            assert n == brute_phrases(flat, train[lang]), t[:50]
+    assert has.tolist() == [True, True, False, False, True, True, True, True]
+    langs, scores = p.predict(texts)
+    for k, t in enumerate(texts):
+        flat = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t))
+        cost = sorted((brute_phrases(flat, train[x]) * math.log2(len(train[x])), x) for x in train)
+        assert (langs[k], round(float(scores[k]), 9)) == ((cost[0][1], round(1 - cost[0][0] / cost[1][0], 9)) if has[k] else ("und", 0.0))
+
+
+def test_cross_parse_of_a_wide_alphabet():
+    r = random.Random(3)
+    train = {k: "".join(chr(0x4E00 + r.randrange(2700)) for _ in range(4000)) for k in "ab"}
+    p = op05_language.CrossParser(tuple(train.items()))
+    assert p.arcs.cells.nbytes < 4_000_000  # as its transitions, not states times letters
+    texts = [train["a"][500:900] + train["b"][:300], train["b"][7:80]]
+    assert p.phrases(texts)[0].tolist() == [[brute_phrases(t, train[k]) for t in texts] for k in "ab"]
+
+
+def test_sample_is_whole_and_the_same_twice(spark):
+    long = "long " * 9000
+    rows = [(1, "x", "en"), (1, "y", "de"), (2, "z", "en"), (2, "z", "en"), (2, "z", "fr"), (3, long, "en"), (4, None, "en"), (None, "n", "en"), (5, "u", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string").repartition(4)
+    got = sampling.labelled_sample(docs, 9)
+    assert got == [("de", "y"), ("en", long), ("en", "x"), ("en", "z"), ("fr", "z")]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, None)], "doc_id bigint, label int")
+    assert sampling.labelled_sample(docs, 9, labels) == [(0, "x"), (0, "y"), (0, "z"), (1, "z")]
+    many = spark.createDataFrame([(k, f"t{k}", "en") for k in range(300)], "doc_id bigint, text string, label string")
+    one, two = (sampling.labelled_sample(many.repartition(n), 20) for n in (2, 5))
+    assert one == two and len(one) == 20
 
 
 def test_language_odd_inputs(odd, empty, spark):
@@ -317,6 +347,48 @@ def test_toxicity_learns_stems_and_keeps_its_folds(spark):
     assert s[0] >= 0.7 and s[4] >= 0.7 and s[1] < 0.7 and s[2] == s[3] == 0
 
 
+def test_toxicity_against_a_slow_loop():
+    """The scores by plain loops over words and n-grams, with the buckets that single words get."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdéß9") for _ in range(r.randrange(1, 9))) for _ in range(50)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(40)] + ["", "-- !", "Ab,aB ab"]
+    model = op07_toxicity.SubwordClassifier.fit(texts[:30], [k % 2 for k in range(30)], 5)
+    got = model.scores(pa.array(texts))
+    for t, score in zip(texts, got):
+        logits = []
+        for w in {x for x in re.split(r"[^\w]+", t.lower()) if x}:
+            bag = op07_toxicity.subwords(pa.array([w.encode()], pa.large_binary()))[0]
+            marked = f"<{w}>"
+            assert len(bag) == 1 + sum(len(marked[i:].encode()) >= k for i in range(len(marked)) for k in op07_toxicity.GRAMS)
+            logits.append(op07_toxicity.GAIN * sum(float(model.toxic[b]) for b in bag) / len(bag))
+        if not logits:
+            assert score == 0
+            continue
+        heed = [math.exp(op07_toxicity.HEED * x) for x in logits]
+        z = sum(h * x for h, x in zip(heed, logits)) / sum(heed) + model.bias
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-5
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(4)
+    m, buckets, dim = 6, 9, 3
+    of = np.repeat(np.arange(m), 3)
+    spell = op07_toxicity.Sparse(of, rng.integers(0, buckets, len(of)), np.full(len(of), 4 / 3), (m, buckets))
+    word, starts, y, balance = np.array([0, 1, 2, 2, 3, 4, 5, 0]), np.array([0, 3, 5]), np.array([0, 1, 1]), np.array([1.5, 0.75])
+    params = [rng.normal(0, 0.3, (buckets, dim)), rng.normal(0, 0.5, (dim, 2)), rng.normal(0, 0.1, 2)]
+    f = op07_toxicity.SubwordClassifier.gradients
+    _, grads = f(params, spell, word, starts, y, balance)
+    for p, g in zip(params, grads):
+        for at in np.ndindex(p.shape):
+            old, step = p[at], 1e-5
+            p[at] = old + step
+            up = f(params, spell, word, starts, y, balance)[0]
+            p[at] = old - step
+            down = f(params, spell, word, starts, y, balance)[0]
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-4
+
+
 def test_toxicity_odd_inputs(odd, empty, spark):
     labels = spark.createDataFrame([(1, 0, "x"), (5, 1, "x"), (6, None, "x"), (None, 1, "x")], "doc_id bigint, label int, text string")
     model = op07_toxicity.train(odd, labels)
@@ -325,13 +397,15 @@ def test_toxicity_odd_inputs(odd, empty, spark):
     assert op07_toxicity.score_documents(empty, op07_toxicity.train(empty, labels)).count() == 0
 
 
-def test_toxicity_held_out(spark, duck):
-    d = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.88), ("sf0.1", 0.9)])
+def test_toxicity_held_out(spark, duck, sf, least):
+    """At sf0.01 two of the 18 held-out toxic rows have no toxic word: 16 is all there is to find."""
+    d = f"/root/testdata/{sf}"
     if not os.path.isdir(d):
         pytest.skip("needs the larger tables")
     got = registry.QUERIES["op7_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     hit, false = (np.mean([r["predicted"] for r in got if r["toxic"] == y]) for y in (1, 0))
-    assert hit >= 0.8 and false <= 0.06
+    assert hit >= least and false <= 0.03
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
