@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the ASCII controls TAB to CR.
@@ -17,12 +17,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset, on a local master only, a new local one (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -46,6 +49,40 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, written in order, with `number`: its place in the order, from 0 without gaps.
+
+    Range partitions are sorted each in its own task; the driver adds up one count for each of them.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    parts = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), name)
+    offsets, total = [], 0
+    for r in sorted(parts.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    before = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")  # a row for each partition
+    w = Window.partitionBy("_part").orderBy(*keys)
+    out = written(parts.join(F.broadcast(before), "_part").withColumn("number", F.row_number().over(w) - 1 + F.col("_before")).drop("_part", "_before"), f"{name}-numbered")
+    dropped(parts)
+    return out
+
+
+#: A group with more than this share of all rows is hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """rows joined to their groups (one row for each key, with the number of its rows), every key of rows being there.
+
+    Hot groups, under HOT in number, are broadcast, so their rows stay where they are; the others meet in a shuffle. Both tables are written ones: each is read twice.
+    """
+    total = groups.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot, cold = groups.where(F.col(count) * HOT > total), groups.where(F.col(count) * HOT <= total)
+    near = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return near.unionByName(rest.join(cold, keys))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts hold at most `rows` rows: Python workers keep one batch, and what they make of it, in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,118 +1,100 @@
 """Op 9, exact dedup by deterministic block naming.
 
-A normalised text is cut into blocks of fixed size.  Equal blocks get the same integer name and different
-blocks different ones; then adjacent names are paired and the pairs named the same way, level by
-level, until one name stands for the whole text.
-
-Naming sorts blocks inside hash buckets: a block's bucket is its 64-bit hash, its rank among the bucket's distinct
-blocks is found by sorting them.  Where a bucket holds one block (all of them, but for collisions) the name
-is the bucket's number; the second and later blocks of a bucket get fresh names, from a table that
-holds just those.  So each block's bytes are shuffled once, combined before the shuffle, and a hash collision
-costs a look-up but never joins two texts.
+A normalised text is cut into blocks of fixed size.  The distinct blocks are sorted, and a block's name is its place in the order: equal blocks get
+the same integer and different blocks different ones.  Then adjacent names are paired and the distinct pairs sorted and named the same way,
+level by level, until one integer stands for the whole text.
+
+The order of blocks is by their 64-bit hash, then by their bytes.  So the bytes are shuffled once, combined before the shuffle, to find the hashes that
+two or more different blocks share; their bytes alone take part in the sort, which for all others goes by the hash.  A hash collision costs a
+look-up but never joins two texts.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACES, documents, small_batches, written
-
-_DROP = SPACES.encode()
+from quantloom.llm.common import SPACES, documents, dropped, numbered, with_groups, written
 
+#: Bytes of a block.
+BLOCK = 2048
+_KEY = ["doc_id", "n_chars", "text_sha256", "n_blocks"]
 
-def _digest(data: bytes, bits: int) -> int:
-    h = xxhash.xxh3_64_intdigest(data) & ((1 << bits) - 1)
-    return h - (1 << 64) if h >= 1 << 63 else h
 
-
-def _blocks(docs: DataFrame, block: int, bits: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int, bits: int) -> DataFrame:
     """doc_id, n_chars, text_sha256, n_blocks, pos, bucket, block: one row for each block; an empty text has one empty block."""
-
-    def run(batches):
-        for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                data = text.encode().translate(None, _DROP)
-                hexed, n = sha256(data).hexdigest(), max(1, -(-len(data) // block))
-                for pos in range(n):
-                    piece = data[pos * block : (pos + 1) * block]
-                    for c, v in zip(cols, (doc_id, len(text), hexed, n, pos, _digest(piece, bits), piece)):
-                        c.append(v)
-                if len(cols[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
-                    cols = ([], [], [], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
-
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    names = ["doc_id", "n_chars", "text_sha256", "n_blocks", "pos", "bucket", "block"]
-    return docs.mapInArrow(run, "doc_id bigint, n_chars bigint, text_sha256 string, n_blocks int, pos int, bucket bigint, block binary")
-
-
-def _clashes(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The distinct (bucket, *keys) of buckets that hold two or more, with their rank by sorting; mostly none."""
-    key = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
-    crowded = written(rows.groupBy("bucket").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("bucket"), f"{name}-crowded")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"), F.encode(F.translate(text, SPACES, ""), "utf-8").alias("data"))
+    whole = whole.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("data") / block)).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.substring(F.col("data"), k * block + 1, F.lit(block)))
+    cut = whole.select("doc_id", "n_chars", F.sha2("data", 256).alias("text_sha256"), "n_blocks", F.posexplode(pieces).alias("pos", "block"))
+    mask = -1 if bits >= 64 else (1 << bits) - 1
+    return cut.withColumn("bucket", F.xxhash64("block").bitwiseAND(F.lit(mask).cast("bigint")))
+
+
+def _block_names(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """rows (doc_id, ..., pos, bucket) with `name`, the place of its block among the distinct ones. cut: the same rows with the blocks."""
+    buckets = written(cut.groupBy("bucket").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count(F.lit(1)).alias("n")).select("bucket", "n", (F.col("low") != F.col("high")).alias("crowded")), "buckets")
+    crowded = buckets.where("crowded").select("bucket")
     if crowded.isEmpty():
-        return crowded
-    distinct = rows.join(crowded, "bucket", "left_semi").select("bucket", *keys).distinct()
-    return written(distinct.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*keys)).cast("int")), name)
-
-
-def _named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows with `rank`: (bucket, rank) is equal exactly for equal keys."""
-    clash = _clashes(rows, keys, name)
-    if "rank" not in clash.columns:
-        return rows.withColumn("rank", F.lit(1))
-    return rows.join(clash, ["bucket", *keys], "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
-
-
-def named_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, bits: int = 64) -> DataFrame:
-    """id, n_chars, text_sha256, n_blocks, name, turn: (n_blocks, name, turn) is equal exactly for equal normalised texts.
-
-    A name is a pair (bucket, rank): rank 1 in a bucket without collision. ``bits`` below 64 forces collisions, for tests.
+        names = numbered(buckets.select("bucket", "n"), ["bucket"], "block-names")
+        out = written(with_groups(rows, names.withColumnRenamed("number", "name"), ["bucket"]).drop("n", "bucket"), "named")
+        dropped(names, buckets)
+        return out
+    # blocks of shared hashes: with their rank among the blocks of the hash, by bytes
+    full = cut.join(crowded, "bucket", "left_semi")
+    ranks = full.select("bucket", "block").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("block")))
+    ranked = full.join(ranks, ["bucket", "block"]).select(*_KEY, "pos", "bucket", "rank")
+    every = written(rows.join(crowded, "bucket", "left_anti").select(*_KEY, "pos", "bucket", F.lit(1).alias("rank")).unionByName(ranked), "ranked")
+    names = numbered(every.groupBy("bucket", "rank").agg(F.count(F.lit(1)).alias("n")), ["bucket", "rank"], "block-names")
+    out = written(with_groups(every, names.withColumnRenamed("number", "name"), ["bucket", "rank"]).drop("n", "bucket", "rank"), "named")
+    dropped(every, names, buckets)
+    return out
+
+
+def named_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
+    """id, n_chars, text_sha256, n_blocks, name: (n_blocks, name) is equal exactly for equal normalised texts.
+
+    ``bits`` below 64 forces hash collisions, for tests.
     """
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    named = _named(_blocks(source, block, bits), ["block"], "block-names").withColumn("copies", F.lit(1).cast("bigint"))
-    key = ["doc_id", "n_chars", "text_sha256", "n_blocks", "pos"]
-    named = written(named.select(*key, "copies", "bucket", "rank"), "names")
+    cut = _blocks(docs, id_col, text_col, block, bits)
+    rows = written(cut.drop("block"), "blocks")
+    named = _block_names(rows, cut)
+    dropped(rows)
     longest = named.agg(F.max("n_blocks").alias("n")).first()["n"] or 1
-    done, level = named.where("n_blocks = 1"), named.where("n_blocks > 1")
-    parts = ["bucket0", "rank0", "bucket1", "rank1"]
-    mask = F.lit(-1 if bits >= 64 else (1 << bits) - 1).cast("bigint")
-    while longest > 1:
-        # rows that repeat an id and its text travel as one, with their number; a last block without partner pairs with (0, 0)
-        pairs = (
-            level.withColumn("side", F.col("pos") % 2)
-            .withColumn("pos", F.floor(F.col("pos") / 2).cast("int"))
-            .groupBy(*key)
-            .agg(F.sum(F.when(F.col("side") == 0, F.col("copies"))).alias("copies"), *[F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), F.lit(0)).alias(f"{c}{s}") for s in (0, 1) for c in ("bucket", "rank")])
-            .withColumn("bucket", F.xxhash64(*parts).bitwiseAND(mask))
-        )
-        level = _named(written(pairs, "pairs"), parts, "pair-names").select(*key, "copies", "bucket", "rank")
-        longest = -(-longest // 2)
-    level = level.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    return done.unionByName(level).select(F.col("doc_id").alias(id_col), "n_chars", "text_sha256", "n_blocks", F.col("bucket").alias("name"), F.col("rank").alias("turn"))
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 8192, bits: int = 64, lengths: bool = False) -> DataFrame:
+    out = [named.where("n_blocks = 1").select(*_KEY, F.lit(1).cast("bigint").alias("copies"), "name")]
+    # rows that repeat an id and its text travel as one from here on, with their number
+    level = named.where("n_blocks > 1").withColumn("copies", F.lit(1).cast("bigint"))
+    size = 1
+    while size < longest:
+        size *= 2
+        side = lambda k: F.max(F.when(F.col("pos") % 2 == k, F.col("name")))
+        pairs = level.groupBy(*_KEY, F.floor(F.col("pos") / 2).cast("int").alias("half")).agg(F.sum(F.when(F.col("pos") % 2 == 0, F.col("copies"))).alias("copies"), side(0).alias("left"), F.coalesce(side(1), F.lit(-1)).alias("right"))
+        pairs = written(pairs.withColumnRenamed("half", "pos"), "pairs")
+        names = numbered(pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n")), ["left", "right"], "pair-names")
+        level = written(with_groups(pairs, names.withColumnRenamed("number", "name"), ["left", "right"]).drop("n", "left", "right"), "named")
+        dropped(pairs, names)
+        out.append(level.where(F.col("n_blocks") <= size).select(*_KEY, "copies", "name"))
+        level = level.where(F.col("n_blocks") > size)
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    whole = whole.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies")
+    return whole.withColumnRenamed("doc_id", id_col)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64, lengths: bool = False) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256; with `lengths` n_chars, too.
 
     Texts are equal when identical without the characters of ``SPACES``; null counts as empty. Of a group the
     row with the most code points stays, then the smallest id (null ids last). Rows that repeat an id are
     rows of their own; of repeated rows with the winning id all with the winner's length are kept. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    ident = ["n_blocks", "name", "turn"]
+    ident = ["n_blocks", "name"]
     rows = written(named_identities(docs, id_col, text_col, block, bits).withColumnRenamed(id_col, "doc_id"), "identities")
     # the smallest of (-length, id), null ids last; combined before the shuffle
     best = rows.groupBy(*ident).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("best"))
-    out = rows.join(best, ident).select(
+    out = with_groups(rows, written(best, "groups"), ident, "group_size").select(
         "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a"))).alias("kept"), "text_sha256", *(["n_chars"] if lengths else [])
     )
     return out.withColumnRenamed("doc_id", id_col)

@@ -413,29 +413,73 @@ def test_toxicity_held_out(spark, duck, sf, least):
 
 
 def brute_pack(sizes, lengths, overhead):
-    bins, out, left = [], [], sum(sizes)
-    for s in sizes:
-        fit = [(length - used, k) for k, (used, length) in enumerate(bins) if length - used >= s]
-        if fit:
-            k = min(fit)[1]
-        else:
-            k = len(bins)
-            bins.append([0, min((x for x in sorted(lengths) if x >= s), key=lambda x: ((overhead + x) / min(x, left), x))])
-        out.append((k, bins[k][0]))
-        bins[k][0] += s
-        left -= s
-    return out, [min(x for x in lengths if x >= u) for u, _ in bins]
+    found = []
+    for opening in (lengths, [max(lengths)]):
+        bins, out = [], []
+        for i, s in enumerate(sizes):
+            fit = [(length - used, k) for k, (used, length) in enumerate(bins) if length - used >= s]
+            if fit:
+                k = min(fit)[1]
+            else:
+                k, costs = len(bins), []
+                for x in sorted(opening):
+                    if x >= s:
+                        full = s
+                        for t in sizes[i + 1 :]:  # longest first
+                            full += t if full + t <= x else 0
+                        costs.append(((overhead + min(y for y in lengths if y >= full)) / full, x))
+                bins.append([0, min(costs)[1]])
+            out.append((k, bins[k][0]))
+            bins[k][0] += s
+        final = [min(x for x in lengths if x >= u) for u, _ in bins]
+        found.append((sum(overhead + x for x in final), len(found), out, final))
+    return min(found)[2:]
 
 
 def test_packing_against_brute_force():
     r = random.Random(8)
     for _ in range(60):
-        lengths = (8, 16, 32)
+        lengths = r.choice([(8, 16, 32), (5, 12, 20, 32), (32,)])
         sizes = sorted((r.randrange(1, 33) for _ in range(r.randrange(1, 60))), reverse=True)
         bins, offsets, final = op08_packing.pack(sizes, lengths, 3)
         assert (list(zip(bins, offsets)), final) == brute_pack(sizes, lengths, 3)
 
 
+def test_packing_lengths_jointly_beats_each_length_alone():
+    r = random.Random(3)
+    lengths = op08_packing.LENGTHS
+    mixes = [  # sizes, and the least gain over one length with the bins downsized at the end
+        ([r.randrange(1400, 2100) for _ in range(500)], 0.03),
+        ([1360] * 200 + [r.randrange(1000, 1500) for _ in range(200)], 0.0),
+        ([r.randrange(1, 4097) for _ in range(500)], 0.0),
+        ([min(4096, int(r.lognormvariate(5.8, 1.1)) + 1) for _ in range(500)], 0.0),
+    ]
+    for sizes, gain in mixes:
+        sizes = sorted(sizes, reverse=True)
+        cost = lambda final: sum(op08_packing.OVERHEAD + x for x in final)
+        joint, (bins, _, alone) = op08_packing.pack(sizes)[2], op08_packing.pack(sizes, (4096,))
+        used = Counter()
+        for b, s in zip(bins, sizes):
+            used[b] += s
+        assert cost(joint) <= (1 - gain) * cost([min(x for x in lengths if x >= u) for u in used.values()])
+        assert cost(joint) < cost(alone)
+
+
+def test_packed_sequences_read_back(odd):
+    packed = op08_packing.pack_documents(odd, lengths=(64, 96, 1024), lane_words=9000, texts=True)
+    found, total = Counter(), 0
+    for r in op08_packing.sequences(packed).collect():
+        words = r["text"].encode().split()
+        assert len(words) == r["n_words"] <= r["length"]
+        for p in r["parts"]:
+            found[(p["id"], p["piece"], b" ".join(words[p["offset"] : p["offset"] + p["n_words"]]).decode())] += 1
+    want = Counter()
+    for i, t in pairs(odd):
+        w = t.encode().split()
+        want.update((i, k // 1024, b" ".join(w[k : k + 1024]).decode()) for k in range(0, len(w), 1024))
+    assert found == want
+
+
 def test_packing_holds_every_word_once(odd, empty):
     out = op08_packing.pack_documents(odd, lengths=(64, 256, 1024), lane_words=9000).collect()
     assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == Counter(i for i, _ in pairs(odd))
@@ -503,8 +547,22 @@ def test_cuts_are_minimax(spark, limit, hot):
         sizes[700] = 60_000
     ends = np.cumsum(sizes).tolist()
     cuts = op10_sharding.minimax_cuts(spark.createDataFrame([(e,) for e in ends], "upto bigint"), ends[-1], max(sizes), 7, limit)
-    assert set(cuts) <= set(ends) and cuts[-1] == ends[-1] and len(cuts) <= 7
-    assert max(b - a for a, b in zip([0, *cuts], cuts)) == brute_capacity(sizes, 7)
+    assert set(cuts) <= set(ends) and cuts[-1] == ends[-1] and len(cuts) == 7
+    loads = [b - a for a, b in zip([0, *cuts], cuts)]
+    assert max(loads) == brute_capacity(sizes, 7)
+    rest = sorted(loads)[: 6 if hot else 7]  # the hot group is a shard's whole load
+    assert min(rest) >= (0.9 if limit > 40 else 0.5) * max(rest)
+
+
+def test_cuts_leave_no_shard_empty():
+    r = random.Random(1)
+    for _ in range(300):
+        sizes = [r.choice([1, 5, 40, 700]) for _ in range(r.randrange(1, 40))]
+        ends, shards = np.cumsum(sizes).tolist(), r.randrange(1, 9)
+        c = brute_capacity(sizes, shards)
+        cuts = op10_sharding._even(ends, c, shards)
+        assert len(cuts) == min(shards, len(sizes)) and cuts[-1] == ends[-1] and cuts == sorted(set(cuts))
+        assert max(b - a for a, b in zip([0, *cuts], cuts)) == c
 
 
 def test_shards_keep_groups_whole(odd, empty, spark, duck):
@@ -522,6 +580,17 @@ def test_shards_keep_groups_whole(odd, empty, spark, duck):
     assert op10_sharding.shard_documents(empty).count() == 0
 
 
+def test_shards_of_a_hot_text_are_even(spark):
+    rows = [(i, "h" * 4999 if i == 500 else f"t{i:08d}") for i in range(1000)] + [(2000 + i, "copies of it") for i in range(300)]
+    out = op10_sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 16).collect()
+    load = Counter()
+    for r in out:
+        load[r["shard"]] += r["size"]
+    assert sorted(load) == list(range(16)) and len({r["shard"] for r in out if r["doc_id"] >= 2000}) == 1
+    small = sorted(load.values())[:14]  # beside the two hot groups
+    assert max(load.values()) == 5000 and small[0] >= 0.9 * small[-1]
+
+
 # arrays
 
 
