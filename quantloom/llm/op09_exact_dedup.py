@@ -14,20 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACES, documents, dropped, numbered, with_groups, written
+from quantloom.llm.common import SPACES, documents, dropped, numbered, text_fingerprint, with_groups, written
 
 #: Bytes of a block.
 BLOCK = 2048
-_KEY = ["doc_id", "n_chars", "text_sha256", "n_blocks"]
+_KEY = ["doc_id", "n_chars", "fp", "text_sha256", "n_blocks"]
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int, bits: int) -> DataFrame:
-    """doc_id, n_chars, text_sha256, n_blocks, pos, bucket, block: one row for each block; an empty text has one empty block."""
+    """doc_id, n_chars, fp (of the text as it is), text_sha256, n_blocks, pos, bucket, block: one row for each block; an empty text has one empty block."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"), F.encode(F.translate(text, SPACES, ""), "utf-8").alias("data"))
+    whole = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_chars"), text_fingerprint(text).alias("fp"), F.encode(F.translate(text, SPACES, ""), "utf-8").alias("data"))
     whole = whole.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.length("data") / block)).cast("int"))
     pieces = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.substring(F.col("data"), k * block + 1, F.lit(block)))
-    cut = whole.select("doc_id", "n_chars", F.sha2("data", 256).alias("text_sha256"), "n_blocks", F.posexplode(pieces).alias("pos", "block"))
+    cut = whole.select("doc_id", "n_chars", "fp", F.sha2("data", 256).alias("text_sha256"), "n_blocks", F.posexplode(pieces).alias("pos", "block"))
     mask = -1 if bits >= 64 else (1 << bits) - 1
     return cut.withColumn("bucket", F.xxhash64("block").bitwiseAND(F.lit(mask).cast("bigint")))
 
@@ -53,7 +53,7 @@ def _block_names(rows: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def named_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64) -> DataFrame:
-    """id, n_chars, text_sha256, n_blocks, name: (n_blocks, name) is equal exactly for equal normalised texts.
+    """id, n_chars, fp, text_sha256, n_blocks, name: (n_blocks, name) is equal exactly for equal normalised texts.
 
     ``bits`` below 64 forces hash collisions, for tests.
     """
@@ -83,19 +83,20 @@ def named_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return whole.withColumnRenamed("doc_id", id_col)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64, lengths: bool = False) -> DataFrame:
-    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256; with `lengths` n_chars, too.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bits: int = 64, fingerprints: bool = False) -> DataFrame:
+    """One row for each row of docs: id, keep_id, group_size, kept, text_sha256; with `fingerprints` fp (of the text as it is), too.
 
     Texts are equal when identical without the characters of ``SPACES``; null counts as empty. Of a group the
     row with the most code points stays, then the smallest id (null ids last). Rows that repeat an id are
-    rows of their own; of repeated rows with the winning id all with the winner's length are kept. Other columns are not read.
+    rows of their own; if the winning id has several texts of the winner's length, the one with the least fingerprint stays; rows that repeat the
+    winner's id and text are all kept. Other columns are not read.
     """
     ident = ["n_blocks", "name"]
     rows = written(named_identities(docs, id_col, text_col, block, bits).withColumnRenamed(id_col, "doc_id"), "identities")
     # the smallest of (-length, id), null ids last; combined before the shuffle
-    best = rows.groupBy(*ident).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("best"))
+    best = rows.groupBy(*ident).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("fp").alias("d"))).alias("best"))
     out = with_groups(rows, written(best, "groups"), ident, "group_size").select(
-        "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a"))).alias("kept"), "text_sha256", *(["n_chars"] if lengths else [])
+        "doc_id", F.col("best.c").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.c")) & (F.col("n_chars") == -F.col("best.a")) & (F.col("fp") == F.col("best.d"))).alias("kept"), "text_sha256", *(["fp"] if fingerprints else [])
     )
     return out.withColumnRenamed("doc_id", id_col)
 

@@ -70,3 +70,11 @@ def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
     got = sorted((r["doc_id"], r["text"], r["lang"]) for r in pipeline.language_stage(spark, docs, SMALL).collect())
     assert got == [(i, texts[i], "und") for i in (0, 1, 5)]
+
+
+def test_exact_stage_tells_rows_of_one_id_and_length_apart(spark):
+    rows = [(7, "a b\tc"), (7, "a\tb c"), (7, "x y z"), (8, "abc"), (9, "xyz"), (9, "xyz"), (None, "q"), (None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.exact_stage(spark, docs, SMALL).collect()]
+    assert len(got) == 3 and {(7, "x y z"), (None, "q")} <= set(got) and got.count((None, "q")) == 1
+    assert sum(t.split() == ["a", "b", "c"] for _, t in got) == 1
