@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import op03_substring, op04_near_dup, op05_language, op08_packing, op09_exact_dedup
-from quantloom.llm.common import documents, written
+from quantloom.llm.common import documents, text_fingerprint, written
 
 #: The near-duplicate stage: words of a shingle, similarity in hundredths.
 SHINGLE, THRESHOLD = 5, 80
@@ -28,12 +28,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the longest stays, then the smallest doc_id; of rows that repeat an id and a text one stays.
 
-    Rows are told apart by doc_id and length: of rows alike in both, with different texts, all stay if one does.
+    Rows are told apart by doc_id and a 64-bit fingerprint of the text.
     """
-    groups = op09_exact_dedup.exact_groups(docs, lengths=True)
-    marks = groups.groupBy(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
+    groups = op09_exact_dedup.exact_groups(docs, fingerprints=True)
+    marks = groups.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
     marks = written(marks.where("NOT __stays OR __rows > 1"), "marks")
-    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (F.length(F.coalesce("text", F.lit(""))) == marks["__n"])
+    same = docs["doc_id"].eqNullSafe(marks["__id"]) & (text_fingerprint(F.col("text")) == marks["__fp"])
     out = docs.join(marks.where("NOT __stays"), same, "left_anti")
     repeated = marks.where("__stays")
     if repeated.isEmpty():
