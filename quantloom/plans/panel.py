@@ -2,60 +2,90 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import daily, technical
 from quantloom.plans.base import Registry, rounded, six
-from quantloom.sources.tables import MONTH_BARS, month_bars
+from quantloom.sources.tables import MONTH_BARS, SUPPLIER_DAY_BARS, month_bars, supplier_day_bars
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
-IND_SQL = MONTH_BARS + """,
-i0 AS (SELECT *, lag(close) OVER s AS prev FROM b WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
-i1 AS (SELECT *, CASE WHEN prev IS NOT NULL THEN greatest(close - prev, 0) END AS gain, CASE WHEN prev IS NOT NULL THEN greatest(prev - close, 0) END AS loss,
-         greatest(high - low, abs(high - prev), abs(low - prev)) AS true_range FROM i0),
-i2 AS (SELECT *, CASE WHEN count(*) OVER w5 >= 5 THEN round(avg(close) OVER w5, 4) END AS sma_5, CASE WHEN count(*) OVER w10 >= 10 THEN round(avg(close) OVER w10, 4) END AS sma_10,
-         CASE WHEN count(*) OVER w20 >= 20 THEN round(avg(close) OVER w20, 4) END AS sma_20,
-         CASE WHEN count(gain) OVER w14 >= 14 THEN avg(gain) OVER w14 END AS up, CASE WHEN count(loss) OVER w14 >= 14 THEN avg(loss) OVER w14 END AS down,
-         CASE WHEN count(*) OVER w14 >= 14 THEN avg(true_range) OVER w14 END AS atr, avg(volume) OVER p20 AS vbase, max(close) OVER w20 AS peak, lag(close, 5) OVER s AS c5,
-         CASE WHEN count(*) OVER w20 >= 20 THEN max(high) OVER w20 END AS resistance, CASE WHEN count(*) OVER w20 >= 20 THEN min(low) OVER w20 END AS support,
-         CASE WHEN count(*) OVER p20 >= 20 THEN max(high) OVER p20 END AS prior_top, CASE WHEN count(*) OVER p20 >= 20 THEN min(low) OVER p20 END AS prior_floor
-       FROM i1 WINDOW s AS (PARTITION BY symbol ORDER BY ts), w5 AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING),
-         w14 AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), p20 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-i AS (SELECT *, sma_10 - lag(sma_10, 3) OVER (PARTITION BY symbol ORDER BY ts) AS slope, CASE WHEN c5 > 0 THEN 100 * ((close - c5) / c5) END AS pct_change,
-        CASE WHEN down = 0 THEN CASE WHEN up = 0 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END ELSE 100 - 100 / (1 + up / down) END AS rsi, CASE WHEN vbase > 0 THEN volume / vbase END AS volume_ratio,
-        CASE WHEN resistance - support > 0 THEN 100 * ((close - support) / (resistance - support)) END AS position, CASE WHEN peak > 0 THEN 100 * ((peak - close) / peak) END AS drawdown FROM i2),
-o0 AS (SELECT *, CASE WHEN sma_20 IS NULL THEN 'insufficient' WHEN close > sma_5 AND sma_5 > sma_10 AND sma_10 > sma_20 THEN 'uptrend' WHEN close < sma_5 AND sma_5 < sma_10 AND sma_10 < sma_20 THEN 'downtrend'
-         WHEN close > sma_5 AND sma_5 <= sma_20 THEN 'recovering' WHEN close < sma_5 AND sma_5 >= sma_20 THEN 'weakening' ELSE 'range' END AS trend,
-         CASE WHEN close > prior_top THEN 'up' WHEN close < prior_floor THEN 'down' ELSE 'none' END AS breakout, coalesce(atr, greatest(0.03::DOUBLE * close, 0.01::DOUBLE)) AS a FROM i),
-o1 AS (SELECT *, breakout <> 'none' AND coalesce(volume_ratio >= 1.5, false) AS confirmed, CASE WHEN breakout = 'up' THEN close WHEN resistance <= close THEN close + a ELSE resistance END AS trigger FROM o0),
-o2 AS (SELECT *, CASE WHEN support < trigger THEN greatest(0.01::DOUBLE, close - 1.5::DOUBLE * a, least(support, trigger - 0.01::DOUBLE)) ELSE greatest(0.01::DOUBLE, close - 1.5::DOUBLE * a) END AS s0 FROM o1),
-o AS (SELECT *, CASE WHEN trend = 'insufficient' THEN 'wait' WHEN breakout = 'up' AND confirmed THEN 'breakout' WHEN trend = 'uptrend' AND rsi >= 70 THEN 'extended' WHEN trend = 'uptrend' THEN 'constructive'
-        WHEN trend IN ('downtrend', 'weakening') THEN 'defensive' ELSE 'neutral' END AS stance, CASE WHEN s0 >= trigger THEN trigger - greatest(a, 0.03::DOUBLE * trigger) ELSE s0 END AS stop FROM o2)"""
+def _last(n: int, f: str) -> str:
+    return f"{f} OVER (PARTITION BY symbol ORDER BY ts ROWS {n - 1} PRECEDING)"
+
+
+def _prior(n: int, f: str) -> str:
+    return f"{f} OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+def _trend_sql(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN close > {a} AND {a} > {b} AND ({c} IS NULL OR close > {c}) THEN 'uptrend' WHEN close < {a} AND {a} < {b} AND ({c} IS NULL OR close < {c}) THEN 'downtrend' WHEN close > {a} THEN 'recovering' WHEN close < {a} THEN 'weakening' ELSE 'range_or_transition' END"
+
+
+# the weekly side keeps lists of the closes, highs and lows of the weeks before and appends the current one
+IND_SQL = SUPPLIER_DAY_BARS + f""",
+i0 AS (SELECT *, lag(close) OVER s AS prev, row_number() OVER s AS n, lag(close, 5) OVER s AS c5, lag(close, 20) OVER s AS c20, date_trunc('week', ts)::DATE AS week FROM b WINDOW s AS (PARTITION BY symbol ORDER BY ts)),
+i1 AS (SELECT *, greatest(high - low, coalesce(abs(high - prev), 0), coalesce(abs(low - prev), 0)) AS tr, {', '.join(f"CASE WHEN n >= {k} THEN round({_last(k, 'avg(close)')}, 4) END AS sma{k}" for k in (20, 50, 200))} FROM i0),
+i2 AS (SELECT *, CASE WHEN n > 14 THEN {_last(14, 'avg(greatest(close - prev, 0))')} END AS up, CASE WHEN n > 14 THEN {_last(14, 'avg(greatest(prev - close, 0))')} END AS down,
+         CASE WHEN n >= 14 THEN round({_last(14, 'avg(tr)')}, 4) END AS atr, round({_prior(20, 'avg(volume)')}, 4) AS vbase, round({_last(20, 'avg(volume)')}, 4) AS volume_average,
+         {_last(60, 'max(high)')} AS top60, {_last(60, 'min(low)')} AS support_lower, {_last(60, 'max(close)')} AS peak, {_last(20, 'max(high)')} AS resistance_upper,
+         CASE WHEN n > 20 THEN {_prior(20, 'max(high)')} END AS prior_high, CASE WHEN n > 20 THEN {_prior(20, 'min(low)')} END AS prior_low, lag(sma20, 5) OVER (PARTITION BY symbol ORDER BY ts) AS sma20_before,
+         max(high) OVER (PARTITION BY symbol, week ORDER BY ts) AS wh0, min(low) OVER (PARTITION BY symbol, week ORDER BY ts) AS wl0 FROM i1),
+wk AS (SELECT symbol, week, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM i0 GROUP BY 1, 2),
+wl AS (SELECT symbol, week, row_number() OVER (PARTITION BY symbol ORDER BY week) AS weeks, list(c) OVER q AS cs, list(h) OVER q AS hs, list(l) OVER q AS ls FROM wk WINDOW q AS (PARTITION BY symbol ORDER BY week ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)),
+x0 AS (SELECT i2.*, weeks, list_append(coalesce(cs, []), close) AS wc, list_append(coalesce(hs, []), wh0) AS wh, list_append(coalesce(ls, []), wl0) AS wlow FROM i2 JOIN wl USING (symbol, week)),
+x1 AS (SELECT *, {', '.join(f"CASE WHEN len(wc) >= {k} THEN round(list_avg(wc[-{k}:]), 4) END AS week_sma{k}" for k in (10, 20, 40))},
+         CASE WHEN len(wc) >= 24 THEN round(list_avg(wc[-24:-5]), 4) END AS far, CASE WHEN len(wc) > 14 THEN list_sum(list_transform(range(1, 15), lambda k: greatest(wc[-k] - wc[-k - 1], 0))) / 14 END AS wup,
+         CASE WHEN len(wc) > 14 THEN list_sum(list_transform(range(1, 15), lambda k: greatest(wc[-k - 1] - wc[-k], 0))) / 14 END AS wdown,
+         CASE WHEN len(wc) >= 14 THEN round(list_sum(list_transform(range(1, 15), lambda k: greatest(wh[-k] - wlow[-k], coalesce(abs(wh[-k] - wc[-k - 1]), 0), coalesce(abs(wlow[-k] - wc[-k - 1]), 0)))) / 14, 4) END AS week_atr,
+         list_max(wh[-20:]) AS wtop, list_min(wlow[-20:]) AS wfloor FROM x0),
+i AS (SELECT *, round((close / c5 - 1) * 100, 2) AS return_5, round((close / c20 - 1) * 100, 2) AS return_20, round(sma20 - sma20_before, 4) AS slope, CASE WHEN down = 0 THEN CASE WHEN up > 0 THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END ELSE round(100 - 100 / (1 + up / down), 2) END AS rsi,
+        CASE WHEN atr <> 0 THEN round(atr / close * 100, 2) END AS atr_pct, CASE WHEN vbase > 0 THEN round(volume / vbase, 3) END AS volume_ratio, CASE WHEN top60 > support_lower THEN round((close - support_lower) / (top60 - support_lower) * 100, 2) END AS position, round((close / peak - 1) * 100, 2) AS drawdown,
+        {_trend_sql('sma20', 'sma50', 'sma200')} AS trend, {_trend_sql('week_sma10', 'week_sma20', 'week_sma40')} AS week_trend, round(support_lower + greatest(coalesce(atr, 0) * 0.5::DOUBLE, close * 0.005::DOUBLE), 4) AS support_upper, round(resistance_upper - greatest(coalesce(atr, 0) * 0.5::DOUBLE, close * 0.005::DOUBLE), 4) AS resistance_lower,
+        CASE WHEN close > prior_high THEN 'up' WHEN close < prior_low THEN 'down' ELSE 'none' END AS direction, round((close / wc[-5] - 1) * 100, 2) AS week_return_4, round((close / wc[-13] - 1) * 100, 2) AS week_return_12, round(week_sma20 - far, 4) AS week_slope,
+        CASE WHEN wdown = 0 THEN CASE WHEN wup > 0 THEN 100.0::DOUBLE ELSE 50.0::DOUBLE END ELSE round(100 - 100 / (1 + wup / wdown), 2) END AS week_rsi, CASE WHEN wtop > wfloor THEN round((close - wfloor) / (wtop - wfloor) * 100, 2) END AS week_position FROM x1),
+o0 AS (SELECT *, CASE WHEN n <= 20 THEN 'insufficient_data' WHEN direction = 'none' THEN 'none' WHEN volume_ratio >= 1.2::DOUBLE THEN 'confirmed' ELSE 'needs_volume_confirmation' END AS breakout, CASE WHEN atr <> 0 THEN atr ELSE greatest(close * 0.03::DOUBLE, 0.01::DOUBLE) END AS u FROM i),
+o1 AS (SELECT *, CASE WHEN direction = 'up' THEN close WHEN resistance_upper <= close THEN close + u ELSE resistance_upper END AS trigger FROM o0),
+o2 AS (SELECT *, CASE WHEN support_lower < trigger THEN greatest(0.01::DOUBLE, close - u * 1.5::DOUBLE, least(support_lower, trigger - 0.01::DOUBLE)) ELSE greatest(0.01::DOUBLE, close - u * 1.5::DOUBLE) END AS s0 FROM o1),
+o3 AS (SELECT *, CASE WHEN s0 >= trigger THEN greatest(0.01::DOUBLE, trigger - greatest(u, trigger * 0.03::DOUBLE)) ELSE s0 END AS stop FROM o2),
+o AS (SELECT * REPLACE (round(trigger, 4) AS trigger, round(stop, 4) AS stop), round(trigger + 2 * greatest(trigger - stop, 0.01::DOUBLE), 4) AS target, round((trigger + 2 * greatest(trigger - stop, 0.01::DOUBLE) - trigger) / greatest(trigger - stop, 0.01::DOUBLE), 2) AS risk_reward,
+        CASE WHEN direction = 'up' AND breakout = 'confirmed' THEN 'bullish' WHEN week_trend = 'downtrend' AND trend IN ('downtrend', 'weakening') THEN 'bearish' ELSE 'neutral' END AS stance,
+        CASE WHEN direction = 'up' AND breakout = 'confirmed' THEN 'volume_breakout' WHEN week_trend = 'downtrend' AND trend IN ('downtrend', 'weakening') THEN 'both_timeframes_weak' WHEN rsi >= 75 THEN 'overheated' ELSE 'unfinished' END AS headline,
+        CASE WHEN direction = 'up' THEN 'breakout_wait_for_retest' WHEN week_trend = 'downtrend' OR trend = 'downtrend' THEN 'long_setup_suspended' ELSE 'wait_for_volume_breakout' END AS setup FROM o3)"""
 
 
 def _outlook(spark, sf_dir):
-    return technical.outlook(technical.indicators(month_bars(spark, sf_dir)))
+    return technical.outlook(supplier_day_bars(spark, sf_dir))
 
 
-_IND = ("sma_5", "sma_10", "sma_20", "slope", "pct_change", "rsi", "atr", "volume_ratio", "position", "drawdown")
+_IND = ("return_5", "return_20", "sma20", "sma50", "sma200", "slope", "rsi", "atr", "atr_pct", "volume_average", "volume_ratio", "position", "drawdown", "support_lower", "support_upper", "resistance_lower", "resistance_upper")
+_WEEK = ("week_sma10", "week_sma20", "week_sma40", "week_return_4", "week_return_12", "week_slope", "week_rsi", "week_atr", "week_position")
 
 
-@query("technical_indicators", f"WITH {IND_SQL} SELECT symbol, ts, {six(*_IND)} FROM i WHERE sma_20 IS NOT NULL AND slope IS NOT NULL", dates=("ts",))
+@query("technical_indicators", f"WITH {IND_SQL} SELECT symbol, ts, trend, direction, {six(*_IND)} FROM i", dates=("ts",))
 def technical_indicators(spark, sf_dir):
-    return rounded(technical.indicators(month_bars(spark, sf_dir)).where("sma_20 IS NOT NULL AND slope IS NOT NULL"), "symbol", "ts", six=_IND)
+    return rounded(technical.daily(supplier_day_bars(spark, sf_dir)), "symbol", "ts", "trend", "direction", six=_IND)
 
 
-@query("technical_outlook", f"WITH {IND_SQL} SELECT symbol, ts, trend, breakout, confirmed, stance, {six('trigger', 'stop')}, round(trigger + 2 * greatest(trigger - stop, 0.01::DOUBLE), 6) AS target FROM o WHERE resistance IS NOT NULL", dates=("ts",))
+@query("technical_weekly", f"WITH {IND_SQL} SELECT symbol, ts, weeks, week_trend, {six(*_WEEK)} FROM i", dates=("ts",))
+def technical_weekly(spark, sf_dir):
+    """The weekly timeframe as far as it had gone at each bar."""
+    return rounded(technical.weekly(supplier_day_bars(spark, sf_dir)).withColumn("weeks", F.col("weeks").cast("bigint")), "symbol", "ts", "weeks", "week_trend", six=_WEEK)
+
+
+@query("technical_outlook", f"WITH {IND_SQL} SELECT symbol, ts, trend, week_trend, direction, breakout, stance, headline, setup, {six('trigger', 'stop', 'target', 'risk_reward')} FROM o", dates=("ts",))
 def technical_outlook(spark, sf_dir):
-    return rounded(_outlook(spark, sf_dir).where("resistance IS NOT NULL"), "symbol", "ts", "trend", "breakout", "confirmed", "stance", six=("trigger", "stop", "target"))
+    return rounded(_outlook(spark, sf_dir), "symbol", "ts", "trend", "week_trend", "direction", "breakout", "stance", "headline", "setup", six=("trigger", "stop", "target", "risk_reward"))
 
 
 @query(
     "technical_patterns",
-    f"""WITH {IND_SQL} SELECT symbol, ts, trend AS pattern FROM o WHERE trend IN ('uptrend', 'downtrend') UNION ALL SELECT symbol, ts, 'breakout_' || breakout FROM o WHERE breakout <> 'none'
-UNION ALL SELECT symbol, ts, 'overbought' FROM o WHERE rsi >= 70 UNION ALL SELECT symbol, ts, 'oversold' FROM o WHERE rsi <= 30""",
+    f"""WITH {IND_SQL}, z AS (SELECT *, trend = week_trend AND trend IN ('uptrend', 'downtrend') AS al FROM o)
+SELECT symbol, ts, 'trend' AS pattern, CASE WHEN al THEN 'aligned' ELSE 'mixed' END AS status, 'not_applicable' AS volume_confirmation, CASE WHEN al THEN 'medium' ELSE 'low' END AS confidence FROM z
+UNION ALL SELECT symbol, ts, 'structure_' || direction, CASE WHEN direction = 'none' THEN 'range_or_transition' WHEN breakout = 'confirmed' THEN 'confirmed' ELSE 'needs_confirmation' END, CASE WHEN direction = 'none' THEN 'not_triggered' WHEN breakout = 'confirmed' THEN 'confirmed' ELSE 'weak_or_missing' END, CASE WHEN direction <> 'none' AND breakout = 'confirmed' THEN 'medium' ELSE 'low' END FROM z
+UNION ALL SELECT symbol, ts, 'momentum', CASE WHEN rsi IS NULL THEN 'insufficient_data' WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' ELSE 'neutral' END, 'not_applicable', CASE WHEN rsi >= 70 OR rsi <= 30 THEN 'low' ELSE 'medium' END FROM z""",
     dates=("ts",),
 )
 def technical_patterns(spark, sf_dir):
@@ -63,37 +93,36 @@ def technical_patterns(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    """A record for each January and July: the set-up of that bar, reviewed at the next."""
-    from quantloom.functions import windows as w
-
-    rec = _outlook(spark, sf_dir).where("month(ts) IN (1, 7) AND resistance IS NOT NULL").select("symbol", F.col("ts").alias("as_of"), "trigger", "stop", "target")
-    return rec.withColumn("next_of", F.lead("as_of").over(w.by("symbol", order=("as_of",)))).where("next_of IS NOT NULL")
+    """A record for the last bar of each month."""
+    out = _outlook(spark, sf_dir).withColumn("newest", F.max("ts").over(Window.partitionBy("symbol", F.trunc("ts", "month"))))
+    return out.where("ts = newest").select("symbol", F.col("ts").alias("as_of"), "trigger", "stop", "target")
 
 
 REC_SQL = IND_SQL + """,
-rec AS (SELECT * FROM (SELECT symbol, ts AS as_of, trigger, stop, trigger + 2 * greatest(trigger - stop, 0.01::DOUBLE) AS target, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS next_of
-          FROM o WHERE month(ts) IN (1, 7) AND resistance IS NOT NULL) WHERE next_of IS NOT NULL)"""
+rec AS (SELECT symbol, ts AS as_of, trigger, stop, target FROM o QUALIFY ts = max(ts) OVER (PARTITION BY symbol, date_trunc('month', ts)))"""
 
 
 @query(
     "setup_review",
-    f"""WITH {REC_SQL}, m AS (SELECT r.symbol, r.as_of, count(b.ts) AS n_bars, coalesce(bool_or(b.high >= r.trigger), false) AS tr, bool_or(b.low <= r.stop) AS st, bool_or(b.high >= r.target) AS ta
-FROM rec r LEFT JOIN b ON b.symbol = r.symbol AND b.ts > r.as_of AND b.ts <= r.next_of GROUP BY 1, 2)
-SELECT symbol, as_of, n_bars, CASE WHEN n_bars = 0 THEN 'no_new_bars' WHEN NOT tr THEN 'not_triggered' WHEN st AND ta THEN 'ambiguous' WHEN st THEN 'stop' WHEN ta THEN 'target' ELSE 'open' END AS result FROM m""",
-    dates=("as_of",),
+    f"""WITH {REC_SQL}, pr AS (SELECT symbol, as_of, lag(as_of) OVER s AS prev_as_of, lag(trigger) OVER s AS pt, lag(stop) OVER s AS ps, lag(target) OVER s AS pg FROM rec WINDOW s AS (PARTITION BY symbol ORDER BY as_of)),
+m AS (SELECT pr.symbol, pr.as_of, prev_as_of, count(b.ts) AS n_bars, min(b.ts) AS period_start, max(b.ts) AS period_end, round((arg_max(b.close, b.ts) / arg_min(b.close, b.ts) - 1) * 100, 2) AS pct_change, min(b.low) <= any_value(ps) AS st, max(b.high) >= any_value(pg) AS ta, max(b.high) >= any_value(pt) AS tr
+FROM pr LEFT JOIN b ON b.symbol = pr.symbol AND b.ts > prev_as_of AND b.ts <= pr.as_of GROUP BY 1, 2, 3),
+r AS (SELECT *, CASE WHEN prev_as_of IS NULL THEN 'not_applicable' WHEN n_bars = 0 THEN 'no_new_bars' WHEN st AND ta THEN 'both_levels_touched_order_unknown' WHEN st THEN 'stop_loss_touched' WHEN ta THEN 'target_touched' WHEN tr THEN 'trigger_touched_pending' ELSE 'not_triggered' END AS outcome FROM m)
+SELECT symbol, as_of, prev_as_of, CASE WHEN prev_as_of IS NOT NULL THEN n_bars END AS n_bars, period_start, period_end, pct_change, outcome,
+CASE outcome WHEN 'not_applicable' THEN 'not_available' WHEN 'both_levels_touched_order_unknown' THEN 'ambiguous' WHEN 'stop_loss_touched' THEN 'invalidated' WHEN 'target_touched' THEN 'confirmed' ELSE 'pending' END AS thesis FROM r""",
+    dates=("as_of", "prev_as_of", "period_start", "period_end"),
 )
 def setup_review(spark, sf_dir):
-    return technical.review(_records(spark, sf_dir), month_bars(spark, sf_dir))
+    return rounded(technical.review(_records(spark, sf_dir), supplier_day_bars(spark, sf_dir)), "symbol", "as_of", "prev_as_of", "n_bars", "period_start", "period_end", "outcome", "thesis", six=("pct_change",))
 
 
 @query(
     "as_of_previous_record",
-    f"""WITH {REC_SQL} SELECT b.symbol, b.ts, r.as_of AS prev_as_of, round(r.trigger, 6) AS prev_trigger FROM b ASOF JOIN rec r ON b.symbol = r.symbol AND b.ts > r.as_of""",
+    f"""WITH {REC_SQL} SELECT b.symbol, b.ts, r.as_of AS prev_as_of, round(r.trigger, 6) AS prev_trigger FROM b ASOF LEFT JOIN rec r ON b.symbol = r.symbol AND b.ts > r.as_of""",
     dates=("ts", "prev_as_of"),
 )
 def as_of_previous_record(spark, sf_dir):
-    out = technical.as_of_previous(_records(spark, sf_dir), month_bars(spark, sf_dir)).where("prev_as_of IS NOT NULL")
-    return rounded(out, "symbol", "ts", "prev_as_of", six=("prev_trigger",))
+    return rounded(technical.as_of_previous(_records(spark, sf_dir), supplier_day_bars(spark, sf_dir)), "symbol", "ts", "prev_as_of", six=("prev_trigger",))
 
 
 def _lagged(n: int) -> str:

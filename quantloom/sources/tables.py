@@ -23,7 +23,8 @@ def daily_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0).alias("direction"),
         F.col("l_linenumber").alias("trade_count"),
         F.col("l_returnflag").alias("flag"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"),
+        # one number, so that aggregates by it stay in hash tables: day, order, line
+        (F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * (1 << 47) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
     )
 
 
@@ -52,6 +53,11 @@ def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(daily_prints(spark, sf_dir), "flag", F.col("day"))
 
 
+def supplier_day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bar for each supplier and day with prints."""
+    return bars(daily_prints(spark, sf_dir), "symbol", F.col("day"))
+
+
 def _bars_sql(name: str, key: str, start: str) -> str:
     return f"""{name} AS (
   SELECT {key} AS symbol, {start} AS ts, first(price ORDER BY {_SEQ}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {_SEQ}) AS close,
@@ -60,6 +66,7 @@ def _bars_sql(name: str, key: str, start: str) -> str:
 
 
 MONTH_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "symbol", "date_trunc('month', day)::DATE")
+SUPPLIER_DAY_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "symbol", "day")
 DAY_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "flag", "day")
 
 BAR_MINUTES = 30
