@@ -64,17 +64,24 @@ def tail_slice(rows: DataFrame, key: str, order: list[str], start: int, count: i
 
 
 def repeated_pages(rows: DataFrame, page: str, content: list[str]) -> DataFrame:
-    """Pages with the same rows as an earlier page: a sum of the rows' hashes stands for a page."""
+    """Pages with the same rows as an earlier page.
+
+    The number of rows and a sum of their hashes only say which pages to compare; a page is one if none of its rows, counted, is missing from the other.
+    """
     h = F.xxhash64(*content)
     pages = rows.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("digest"))
     w = Window.partitionBy("n", "digest").orderBy(page)
-    return pages.withColumns({"_n": F.row_number().over(w), "first_page": F.first(page).over(w)}).where(F.col("_n") > 1).select(page, "first_page", "n")
+    like = pages.withColumns({"_n": F.row_number().over(w), "first_page": F.first(page).over(w)}).where(F.col("_n") > 1).select(page, "first_page", "n")
+    counted = rows.groupBy(page, *content).agg(F.count(F.lit(1)).alias("_times"))
+    mine, first = like.join(counted, page), counted.withColumnRenamed(page, "first_page").withColumnRenamed("_times", "_there")
+    both = mine.join(first, ["first_page", *content], "left").groupBy(page, "first_page", "n").agg(F.min(F.coalesce(F.col("_times") == F.col("_there"), F.lit(False))).alias("same"))
+    return both.where("same").drop("same")
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """Totals of two sources side by side; `mismatch` where they differ by more than the tolerance or one is absent."""
+    """Totals of two sources side by side, for the keys of either; `mismatch` where they differ by more than the tolerance or one is absent. An absent total stays NULL."""
     left, right = a.groupBy(*keys).agg(F.sum(value).alias("left_total")), b.groupBy(*keys).agg(F.sum(value).alias("right_total"))
-    out = left.join(right, keys, "left").withColumn("share", ratio("right_total", "left_total"))
+    out = left.join(right, keys, "full").withColumn("share", ratio("right_total", "left_total"))
     return out.withColumn("mismatch", F.coalesce(F.abs(F.col("share") - 1) > tolerance, F.lit(True)))
 
 

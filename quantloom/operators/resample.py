@@ -39,14 +39,16 @@ def join_flow(bars: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
 def roll_up(bars: DataFrame, period: str, complete_sums: bool = False) -> DataFrame:
     """Longer bars: `friday` (weeks from Saturday to Friday), `iso` (weeks from Monday) or `month`.
 
-    ts is the period's last day with a bar. change and pct_change are against the close of the period before, amplitude in percent of it. With `complete_sums` volume
+    ts is the period's last day with a bar. change and pct_change are against the close of the period before, for `iso` weeks against the week's own open; amplitude is in percent of the
+    close before. With `complete_sums` volume
     and amount are NULL unless every bar has them; else missing ones are left out.
     """
     key = {"friday": week_ending_friday("ts"), "iso": F.date_trunc("week", "ts").cast("date"), "month": F.trunc("ts", "month")}[period]
     total = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)) if complete_sums else F.sum(c)
     out = bars.groupBy("symbol", key.alias("period")).agg(F.max("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), total("volume").alias("volume"), total("amount").alias("amount"))
     before = F.lag("close").over(w.by("symbol", order=("period",)))
-    return out.withColumn("prev_close", before).withColumns({"change": F.col("close") - F.col("prev_close"), "pct_change": 100 * ratio(F.col("close") - F.col("prev_close"), "prev_close"), "amplitude": 100 * ratio(F.col("high") - F.col("low"), "prev_close")})
+    base = F.col("open") if period == "iso" else F.col("prev_close")
+    return out.withColumn("prev_close", before).withColumns({"change": F.col("close") - base, "pct_change": 100 * ratio(F.col("close") - base, base), "amplitude": 100 * ratio(F.col("high") - F.col("low"), "prev_close")})
 
 
 def adjusted(bars: DataFrame, kind: str) -> DataFrame:
@@ -72,17 +74,19 @@ def period_summary(bars: DataFrame) -> DataFrame:
 
 
 def label_convention(bars: DataFrame, minutes: int) -> DataFrame:
-    """For each symbol whether its bars are labelled by start (`floor`) or end (`ceil`), from the first and last label of each half session.
+    """For each symbol whether its bars are labelled by start (`floor`) or end (`ceil`). bars: symbol, day, minute.
 
-    bars: symbol, day, minute. A first label on the session's start, or a last one a bar before its end, speaks for floor; labels a bar later for ceil. A tie is floor.
+    Labels inside the sessions (their ends included) count. First labels of half sessions vote: on the start for floor, a bar later for ceil. Only if they tie, a label anywhere on
+    a start or a bar after one, and then the last labels (a bar before the end, or on it), decide; else it is floor.
     """
-    half = F.when(F.col("minute") <= 690, "am").otherwise("pm")
-    ends = bars.groupBy("symbol", "day", half.alias("half")).agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
-    start = F.when(F.col("half") == "am", 570).otherwise(780)
-    stop = F.when(F.col("half") == "am", 690).otherwise(900)
-    count = lambda test: F.count_if(test)
+    m = F.col("minute")
+    half = F.when(m.between(570, 690), "am").when(m.between(780, 900), "pm")
+    ends = bars.withColumn("half", half).groupBy("symbol", "day", "half").agg(F.min("minute").alias("first"), F.max("minute").alias("last"), F.max(m.isin(570, 780)).alias("starts"), F.max(m.isin(570 + minutes, 780 + minutes)).alias("steps"))
+    start, stop = F.when(F.col("half") == "am", 570).otherwise(780), F.when(F.col("half") == "am", 690).otherwise(900)
+    inside = F.col("half").isNotNull()
     votes = ends.groupBy("symbol").agg(
-        (count(F.col("first") == start) + count(F.col("last") == stop - minutes)).alias("floor_votes"),
-        (count(F.col("first") == start + minutes) + count(F.col("last") == stop)).alias("ceil_votes"),
-    )
-    return votes.withColumn("convention", F.when(F.col("ceil_votes") > F.col("floor_votes"), "ceil").otherwise("floor"))
+        F.count_if(inside & (F.col("first") == start)).alias("floor_votes"), F.count_if(inside & (F.col("first") == start + minutes)).alias("ceil_votes"),
+        F.count_if(inside & (F.col("last") == stop - minutes)).alias("floor_last"), F.count_if(inside & (F.col("last") == stop)).alias("ceil_last"), F.max("starts").alias("starts"), F.max("steps").alias("steps"),
+    )
+    ceil = (F.col("ceil_votes") > F.col("floor_votes")) | (F.col("ceil_votes") == F.col("floor_votes")) & (F.col("steps") & ~F.col("starts") | (F.col("ceil_last") > F.col("floor_last")))
+    return votes.withColumn("convention", F.when(ceil, "ceil").otherwise("floor")).drop("starts", "steps")

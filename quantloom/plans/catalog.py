@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import expr
 from quantloom.operators import catalog as op
 from quantloom.plans.base import Registry, rounded
-from quantloom.sources.tables import MONTH_BARS, concept_members, concepts, month_bars, table
+from quantloom.sources.tables import MONTH_BARS, SUPPLIER_DAY_BARS, concept_members, concepts, daily_prints, month_bars, supplier_day_bars, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -74,9 +74,11 @@ def date_and_clock_parse(spark, sf_dir):
 )
 def journal_search(spark, sf_dir):
     """Free text over several fields: the newest 20 hits and how many there are."""
-    d = table(spark, sf_dir, "documents")
-    hits = d.where(F.lower(F.concat_ws(" ", "source", "lang", "text")).contains("license")).select("doc_id", "source", "lang")
-    return hits.orderBy(F.col("doc_id").desc()).limit(20).withColumn("total", F.lit(hits.count()).cast("bigint"))
+    hits = table(spark, sf_dir, "documents").where(F.lower(F.concat_ws(" ", "source", "lang", "text")).contains("license")).select("doc_id", "source", "lang")
+    # one scan: each partition keeps its count and its newest 20
+    some = hits.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("doc_id", "source", "lang")))), 1, 20).alias("top"))
+    whole = some.agg(F.sum("n").alias("total"), F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("top")))), 1, 20).alias("top"))
+    return whole.select("total", F.inline("top"))
 
 
 @query("cache_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -123,12 +125,14 @@ def repeated_pages(spark, sf_dir):
     return op.repeated_pages(both, "page", ["event_id"])
 
 
-@query("daily_reconciliation", """WITH a AS (SELECT o_orderdate::DATE AS day, sum(1)::DOUBLE AS left_total FROM orders GROUP BY 1), b AS (SELECT l_shipdate::DATE AS day, sum(1)::DOUBLE AS right_total FROM lineitem GROUP BY 1)
-SELECT CAST(day AS VARCHAR) AS day, left_total, coalesce(right_total, 0) AS right_total, coalesce(abs(right_total / left_total - 1) > 3, true) AS mismatch FROM a LEFT JOIN b USING (day)""")
+@query("daily_reconciliation", f"""WITH {SUPPLIER_DAY_BARS}, a AS (SELECT day, sum(volume) AS v FROM p WHERE NOT (flag = 'A' AND l_linenumber = 7) GROUP BY 1), t AS (SELECT ts, sum(volume) AS v FROM b GROUP BY 1)
+SELECT coalesce(a.day, t.ts)::VARCHAR AS day, a.v AS left_total, t.v AS right_total, round(t.v / a.v, 6) AS share, coalesce(abs(t.v / a.v - 1) > 0.05::DOUBLE, true) AS mismatch FROM a FULL JOIN t ON a.day = t.ts""")
 def daily_reconciliation(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.lit(1.0).alias("n"))
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"), F.lit(1.0).alias("n"))
-    return op.reconcile(a, b, ["day"], "n", 3).select(F.col("day").cast("string").alias("day"), "left_total", F.coalesce("right_total", F.lit(0.0)).alias("right_total"), "mismatch")
+    """Volume of the prints that were collected (some never arrive) against volume of the bars, day by day: more than 5 % apart is a mismatch."""
+    p = daily_prints(spark, sf_dir)
+    a = p.where("NOT (flag = 'A' AND trade_count = 7)").select("day", "volume")
+    b = supplier_day_bars(spark, sf_dir).select(F.col("ts").alias("day"), "volume")
+    return rounded(op.reconcile(a, b, ["day"], "volume", 0.05).withColumn("day", F.col("day").cast("string")), "day", "left_total", "right_total", "mismatch", six=("share",))
 
 
 @query("set_operations", "(SELECT c_custkey AS k, 'never_ordered' AS kind FROM customer EXCEPT SELECT o_custkey, 'never_ordered' FROM orders) UNION ALL (SELECT DISTINCT o_custkey, 'large' FROM orders WHERE o_totalprice > 400000 INTERSECT SELECT c_custkey, 'large' FROM customer WHERE c_acctbal > 5000)")

@@ -61,9 +61,9 @@ def flow_bars(spark, sf_dir):
 _F1 = ("volume_base", "delta_base", "delta_std", "relative_volume", "relative_prints", "delta_z", "vwap_distance", "impact", "efficiency")
 
 
-@query("flow_baseline_features", f"WITH {FEAT_SQL} SELECT symbol, date_key, minute, divergence, bullish_absorption, bearish_absorption, cvd, session_cvd, {six(*_F1)} FROM g WHERE ready AND delta_z IS NOT NULL AND relative_prints IS NOT NULL")
+@query("flow_baseline_features", f"WITH {FEAT_SQL} SELECT symbol, date_key, minute, divergence, bullish_absorption, bearish_absorption, cvd, session_cvd, {six(*_F1)} , ready FROM g")
 def flow_baseline_features(spark, sf_dir):
-    return rounded(features(spark, sf_dir).where("ready AND delta_z IS NOT NULL AND relative_prints IS NOT NULL"), "symbol", "date_key", "minute", "divergence", "bullish_absorption", "bearish_absorption", "cvd", "session_cvd", six=_F1)
+    return rounded(features(spark, sf_dir), "symbol", "date_key", "minute", "ready", "divergence", "bullish_absorption", "bearish_absorption", "cvd", "session_cvd", six=_F1)
 
 
 SIG_SQL = FEAT_SQL + """,
@@ -121,9 +121,9 @@ v AS (SELECT *, CASE WHEN accelerated THEN exhaustion0 END AS exhaustion, CASE W
 _F2 = ("ema_fast", "ema_slow", "pressure", "consistency", "entropy", "toxicity", "strength", "absorption", "divergence_score", "score")
 
 
-@query("flow_blended_features", f"WITH {BLEND_SQL} SELECT symbol, date_key, minute, regime, {six(*_F2)} FROM v WHERE score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL")
+@query("flow_blended_features", f"WITH {BLEND_SQL} SELECT symbol, date_key, minute, regime, {six(*_F2)} FROM v")
 def flow_blended_features(spark, sf_dir):
-    return rounded(of.blended_features(features(spark, sf_dir), DAYS).where("score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL"), "symbol", "date_key", "minute", "regime", six=_F2)
+    return rounded(of.blended_features(features(spark, sf_dir), DAYS), "symbol", "date_key", "minute", "regime", six=_F2)
 
 
 BLEND_SIG_SQL = BLEND_SQL + """,
@@ -163,9 +163,9 @@ def segment_signals(spark, sf_dir):
     return of.blended_signals(of.blended_features(features(spark, sf_dir), CFG), CFG)
 
 
-@query("flow_segment_features", f"WITH {SEGMENT_SQL} SELECT symbol, date_key, minute, segment, regime, {six(*_F2)} FROM v WHERE score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL")
+@query("flow_segment_features", f"WITH {SEGMENT_SQL} SELECT symbol, date_key, minute, segment, regime, {six(*_F2)} FROM v")
 def flow_segment_features(spark, sf_dir):
-    return rounded(of.blended_features(features(spark, sf_dir), CFG).where("score IS NOT NULL AND absorption IS NOT NULL AND consistency IS NOT NULL"), "symbol", "date_key", "minute", "segment", "regime", six=_F2)
+    return rounded(of.blended_features(features(spark, sf_dir), CFG), "symbol", "date_key", "minute", "segment", "regime", six=_F2)
 
 
 @query("flow_segment_signals", f"WITH {SEGMENT_SIG_SQL} SELECT symbol, date_key, minute, signal FROM x WHERE signal <> 0")
@@ -208,9 +208,9 @@ def part(spark, sf_dir):
     return of.participation(features(spark, sf_dir), CFG)
 
 
-@query("participation", f"WITH {PART_SQL} SELECT symbol, date_key, minute, state, side, confirmed, {six(*_F3)} FROM y WHERE eligible")
+@query("participation", f"WITH {PART_SQL} SELECT symbol, date_key, minute, state, side, confirmed, {six(*_F3)} FROM y")
 def participation(spark, sf_dir):
-    return rounded(part(spark, sf_dir).where("eligible"), "symbol", "date_key", "minute", "state", "side", "confirmed", six=_F3)
+    return rounded(part(spark, sf_dir), "symbol", "date_key", "minute", "state", "side", "confirmed", six=_F3)
 
 
 @query("participation_states", f"WITH {PART_SQL} SELECT state, count(*) AS n FROM y GROUP BY state")
@@ -223,18 +223,18 @@ def participation_states(spark, sf_dir):
     f"""WITH {PART_SQL}, st AS (SELECT symbol, date_key, state, round(sum(participation_score), 6) AS wt FROM y WHERE strong GROUP BY 1, 2, 3), dm AS (SELECT symbol, date_key, first(state ORDER BY wt DESC, state) AS dominant FROM st GROUP BY 1, 2),
 ss AS (SELECT symbol, date_key, count(*) AS n_bars, quantile_cont(participation_score, 0.9) AS p90, avg(participation_score) AS mean_score, max(participation_score) AS max_score, sum(participation_score * direction_score) / sum(participation_score) AS direction,
   CASE WHEN count(*) FILTER (eligible) > 0 THEN count(*) FILTER (strong) / (count(*) FILTER (eligible))::DOUBLE END AS strong_share, count(*) FILTER (confirmed) AS n_confirmed FROM y GROUP BY 1, 2)
-SELECT symbol, date_key, n_bars, dominant, n_confirmed, {six('p90', 'mean_score', 'max_score', 'direction', 'strong_share')} FROM ss LEFT JOIN dm USING (symbol, date_key) WHERE mean_score > 0""",
+SELECT symbol, date_key, n_bars, dominant, n_confirmed, {six('p90', 'mean_score', 'max_score', 'direction', 'strong_share')} FROM ss LEFT JOIN dm USING (symbol, date_key)""",
 )
 def participation_sessions(spark, sf_dir):
-    return rounded(of.session_summary(part(spark, sf_dir)).where("mean_score > 0"), "symbol", "date_key", "n_bars", "dominant", "n_confirmed", six=("p90", "mean_score", "max_score", "direction", "strong_share"))
+    return rounded(of.session_summary(part(spark, sf_dir)), "symbol", "date_key", "n_bars", "dominant", "n_confirmed", six=("p90", "mean_score", "max_score", "direction", "strong_share"))
 
 
 @query(
     "daily_factors",
-    f"""WITH {PART_SQL} SELECT symbol, date_key, round(sum(buy_volume - sell_volume) / sum(print_volume), 6) AS delta_factor, round(quantile_cont(participation_score, 0.9), 6) AS participation_factor FROM y GROUP BY 1, 2 HAVING count(participation_score) > 0""",
+    f"""WITH {PART_SQL} SELECT symbol, date_key, round(sum(buy_volume - sell_volume) / sum(print_volume), 6) AS delta_factor, round(quantile_cont(participation_score, 0.9), 6) AS participation_factor FROM y GROUP BY 1, 2""",
 )
 def daily_factors(spark, sf_dir):
-    return rounded(of.daily_factors(features(spark, sf_dir), part(spark, sf_dir)).where("participation_factor IS NOT NULL"), "symbol", "date_key", six=("delta_factor", "participation_factor"))
+    return rounded(of.daily_factors(features(spark, sf_dir), part(spark, sf_dir)), "symbol", "date_key", six=("delta_factor", "participation_factor"))
 
 
 @query(
@@ -248,12 +248,17 @@ def forward_labels(spark, sf_dir):
     return rounded(out.withColumn("reason", F.coalesce("reason", F.lit(""))), "symbol", "date_key", "minute", "reason", six=("net_return",))
 
 
-@query("label_convention", f"""WITH {BARS_SQL}, k AS (SELECT symbol, date_key, CASE WHEN minute <= 690 THEN 'am' ELSE 'pm' END AS half, min(minute) AS a, max(minute) AS z FROM ib GROUP BY 1, 2, 3),
-q AS (SELECT *, CASE half WHEN 'am' THEN 570 ELSE 780 END AS s, CASE half WHEN 'am' THEN 690 ELSE 900 END AS t FROM k)
-SELECT symbol, count(*) FILTER (a = s) + count(*) FILTER (z = t - 30) AS floor_votes, count(*) FILTER (a = s + 30) + count(*) FILTER (z = t) AS ceil_votes,
-CASE WHEN count(*) FILTER (a = s + 30) + count(*) FILTER (z = t) > count(*) FILTER (a = s) + count(*) FILTER (z = t - 30) THEN 'ceil' ELSE 'floor' END AS convention FROM q GROUP BY symbol""")
+# the intraday bars as they are; those of S1 relabelled by their ends; those of S2 without the first bar of each half session, by their ends; of S3 without it, by their starts
+_LABELLED = """k0 AS (SELECT symbol, date_key AS day, minute + CASE WHEN symbol IN ('S1', 'S2') THEN 30 ELSE 0 END AS minute FROM ib WHERE NOT (symbol IN ('S2', 'S3') AND minute IN (570, 780)))"""
+
+
+@query("label_convention", f"""WITH {BARS_SQL}, {_LABELLED}, k AS (SELECT *, CASE WHEN minute >= 570 AND minute <= 690 THEN 1 WHEN minute >= 780 AND minute <= 900 THEN 2 END AS s FROM k0),
+f AS (SELECT symbol, day, s, min(minute) AS a, max(minute) AS z, CASE s WHEN 1 THEN 570 ELSE 780 END AS b, CASE s WHEN 1 THEN 690 ELSE 900 END AS e FROM k WHERE s IS NOT NULL GROUP BY 1, 2, 3),
+v AS (SELECT symbol, count(*) FILTER (a = b) AS fv, count(*) FILTER (a = b + 30) AS cv, count(*) FILTER (z = e - 30) AS fl, count(*) FILTER (z = e) AS cl FROM f GROUP BY 1), x AS (SELECT symbol, bool_or(minute IN (570, 780)) AS fb, bool_or(minute IN (600, 810)) AS cb FROM k0 GROUP BY 1)
+SELECT symbol, fv AS floor_votes, cv AS ceil_votes, fl AS floor_last, cl AS ceil_last, CASE WHEN cv > fv THEN 'ceil' WHEN fv > cv THEN 'floor' WHEN cb AND NOT fb OR cl > fl AND cl > 0 THEN 'ceil' ELSE 'floor' END AS convention FROM v JOIN x USING (symbol)""")
 def label_convention(spark, sf_dir):
-    return resample.label_convention(of.flow_bars(intraday_prints(spark, sf_dir), CFG).withColumn("day", F.col("date_key")), 30)
+    b = of.flow_bars(intraday_prints(spark, sf_dir), CFG).where("NOT (symbol IN ('S2', 'S3') AND minute IN (570, 780))")
+    return resample.label_convention(b.select("symbol", F.col("date_key").alias("day"), (F.col("minute") + F.when(F.col("symbol").isin("S1", "S2"), 30).otherwise(0)).alias("minute")), 30)
 
 
 @query("session_classes", f"WITH {INTRADAY_PRINTS}, t AS (SELECT *, second - 1800 AS s2 FROM e) SELECT CASE WHEN s2 >= 33300 AND s2 < 34200 THEN 'auction' WHEN s2 >= 34200 AND s2 < 41400 OR s2 >= 46800 AND s2 < 54000 THEN 'continuous' WHEN s2 >= 54000 THEN 'after_hours' ELSE 'out' END AS session, CASE WHEN s2 // 60 BETWEEN 570 AND 690 THEN 'am' WHEN s2 // 60 BETWEEN 780 AND 899 THEN 'pm' ELSE 'out' END AS part, count(*) AS n FROM t GROUP BY 1, 2")

@@ -88,22 +88,22 @@ def bars_with_flow(spark, sf_dir):
     return rounded(out.withColumn("trade_count", F.col("trade_count").cast("double")), "symbol", "ts", "observed", "trade_count", "buy_volume", "sell_volume", "delta", six=("delta_ratio", "vwap", "coverage", "large_delta_ratio", "concentration", "max_share"))
 
 
-def _roll_sql(key: str) -> str:
+def _roll_sql(key: str, base: str = "prev_close") -> str:
     return f"""WITH {DAY_BARS}, r AS (SELECT symbol, {key} AS period, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, sum(amount) AS amount FROM b GROUP BY 1, 2),
 q AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY period) AS prev_close FROM r)
-SELECT symbol, period, ts, open, high, low, close, volume, amount, round(CASE WHEN prev_close > 0 THEN 100 * ((close - prev_close) / prev_close) END, 6) AS pct_change, round(CASE WHEN prev_close > 0 THEN 100 * ((high - low) / prev_close) END, 6) AS amplitude FROM q"""
+SELECT symbol, period, ts, open, high, low, close, volume, amount, close - {base} AS change, round(CASE WHEN {base} > 0 THEN 100 * ((close - {base}) / {base}) END, 6) AS pct_change, round(CASE WHEN prev_close > 0 THEN 100 * ((high - low) / prev_close) END, 6) AS amplitude FROM q"""
 
 
 def _roll(period: str):
     def run(spark, sf_dir):
         out = resample.roll_up(day_bars(spark, sf_dir), period, complete_sums=period == "iso")
-        return rounded(out, "symbol", "period", "ts", "open", "high", "low", "close", "volume", "amount", six=("pct_change", "amplitude"))
+        return rounded(out, "symbol", "period", "ts", "open", "high", "low", "close", "volume", "amount", "change", six=("pct_change", "amplitude"))
 
     return run
 
 
 query("roll_up_week_friday", _roll_sql("(date_trunc('week', ts + 2)::DATE + 4)"), dates=("period", "ts"))(_roll("friday"))
-query("roll_up_week_iso", _roll_sql("date_trunc('week', ts)::DATE"), dates=("period", "ts"))(_roll("iso"))
+query("roll_up_week_iso", _roll_sql("date_trunc('week', ts)::DATE", "open"), dates=("period", "ts"))(_roll("iso"))
 query("roll_up_month", _roll_sql("date_trunc('month', ts)::DATE"), dates=("period", "ts"))(_roll("month"))
 
 

@@ -141,9 +141,9 @@ d AS (SELECT *, CASE WHEN no > 0 THEN (nc - no) / no END AS next_return, CASE WH
 _FEAT = ("ret_1", "ret_5", "ret_10", "ret_20", "dev_5", "dev_10", "dev_20", "vol_20", "volume_ratio")
 
 
-@query("panel_features", f"WITH {PANEL_SQL} SELECT symbol, ts, limit_up, {six(*_FEAT)} FROM d WHERE vol_20 IS NOT NULL", dates=("ts",))
+@query("panel_features", f"WITH {PANEL_SQL} SELECT symbol, ts, limit_up, {six(*_FEAT)} FROM d", dates=("ts",))
 def panel_features(spark, sf_dir):
-    return rounded(daily.panel_features(month_bars(spark, sf_dir)).where("vol_20 IS NOT NULL"), "symbol", "ts", "limit_up", six=_FEAT)
+    return rounded(daily.panel_features(month_bars(spark, sf_dir)), "symbol", "ts", "limit_up", six=_FEAT)
 
 
 def panel(spark, sf_dir):

@@ -14,19 +14,19 @@ query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
-def _shared(spark) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, else (tests) a new local one."""
-    import tempfile
+def events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
 
-
-def _streamed(spark, sf_dir, shape, mode="append"):
-    """The events as a stream of one folder through `shape`, written and read back."""
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{at}/in")
+def _streamed(spark, given, shape, updates=False):
+    """`given` as a stream of one folder through `shape`, written and read back."""
+    at = f"{bars.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    given.write.parquet(f"{at}/in")
     out = shape(bars.prints_of(bars.event_stream(spark, f"{at}/in")))
-    bars.run_to_end(out, f"{at}/out", f"{at}/checkpoint", mode)
+    if updates:
+        bars.run_updates_to_end(out, f"{at}/out", f"{at}/checkpoint")
+        return spark.read.parquet(f"{at}/out")
+    bars.run_to_end(out, f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
@@ -45,7 +45,14 @@ def window_bars_batch(spark, sf_dir):
 # in append mode the bars whose end the watermark has passed: the newest time less ten minutes
 @query("window_bars_stream", f"SELECT * FROM ({_BARS}) b WHERE strptime(start, '%Y-%m-%d %H:%M') + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def window_bars_stream(spark, sf_dir):
-    return _start(_streamed(spark, sf_dir, bars.window_bars))
+    return _start(_streamed(spark, events(spark, sf_dir), bars.window_bars))
+
+
+@query("deduplicated_bars_stream", f"SELECT * FROM ({_BARS}) b WHERE strptime(start, '%Y-%m-%d %H:%M') + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def deduplicated_bars_stream(spark, sf_dir):
+    """Every third event is sent twice and must count once."""
+    once = events(spark, sf_dir)
+    return _start(_streamed(spark, once.unionByName(once.where("event_id % 3 = 0")), lambda p: bars.window_bars(p, deduplicate=True)))
 
 
 @query("sliding_bars_batch", """SELECT event_type AS symbol, strftime(time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k, '%Y-%m-%d %H:%M') AS start, count(*) AS n, sum(floor(value * 100) % 500 + 1) AS volume, max(value) AS high, min(value) AS low FROM events, range(0, 2) r(k) GROUP BY 1, 2""")
@@ -53,6 +60,29 @@ def sliding_bars_batch(spark, sf_dir):
     return _start(bars.window_bars(bars.prints_of(table(spark, sf_dir, "events")), "60 minutes", "30 minutes"))
 
 
+_SLIDING = ORACLES["sliding_bars_batch"]
+
+
+@query("sliding_bars_stream", f"SELECT * FROM ({_SLIDING}) b WHERE strptime(start, '%Y-%m-%d %H:%M') + INTERVAL 60 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def sliding_bars_stream(spark, sf_dir):
+    return _start(_streamed(spark, events(spark, sf_dir), lambda p: bars.window_bars(p, "60 minutes", "30 minutes")))
+
+
+@query("running_totals_stream", "SELECT event_type AS symbol, count(*) AS n, sum(floor(value * 100) % 500 + 1) AS volume FROM events GROUP BY 1")
+def running_totals_stream(spark, sf_dir):
+    """State kept for each symbol across batches; its last word."""
+    return bars.newest_totals(_streamed(spark, events(spark, sf_dir), bars.running_totals, updates=True))
+
+
+_SESSIONS = """WITH g AS (SELECT event_type AS symbol, ts, floor(value * 100) % 500 + 1 AS volume, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT symbol, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, sum(volume) AS volume FROM s GROUP BY symbol, k"""
+
+
+@query("session_bars_stream", f"{_SESSIONS} HAVING max(ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def session_bars_stream(spark, sf_dir):
+    return _start(_streamed(spark, events(spark, sf_dir), bars.session_bars))
+
+
 @query("session_bars_batch", """WITH g AS (SELECT event_type AS symbol, ts, floor(value * 100) % 500 + 1 AS volume, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT symbol, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, sum(volume) AS volume FROM s GROUP BY symbol, k""")
 def session_bars_batch(spark, sf_dir):

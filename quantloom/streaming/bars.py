@@ -5,6 +5,7 @@ The same totals as the batch operators, with watermarks for late prints: in appe
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,9 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A folder of event files as a stream; schema from the files there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
+    """A folder of event files as a stream; schema from the files there.
+
+    What has gathered is read at once, so the order of the files doesn't matter. With `files_at_once` a backlog comes in steps, and the
+    watermark takes the files for ordered in time: set it only where they are.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir, or on a local master, where it is unset, a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
 
 
 def prints_of(events: DataFrame) -> DataFrame:
@@ -52,3 +69,18 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     """Runs a query over what is there now into Parquet, then stops."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_updates_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The same for a query in update mode: each batch's rows go to a folder of their own, with the batch's number; a batch that runs again replaces its folder."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_totals(updates: DataFrame) -> DataFrame:
+    """The last totals of each symbol. updates: symbol, n, volume, batch."""
+    last = updates.groupBy("symbol").agg(F.max_by(F.struct("n", "volume"), "batch").alias("x"))
+    return last.select("symbol", "x.n", "x.volume")
