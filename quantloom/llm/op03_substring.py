@@ -4,7 +4,8 @@ A window is `window` consecutive words.  Its minimiser is the least hash among i
 minimisers.  Consecutive windows of a document with one minimiser travel as one packed string to the minimiser's bucket.
 In a bucket the windows are sorted by a hash of their words' exact codes, equal ones are compared word by word, and all but the
 first are reported.  Before that, each map batch drops windows it has itself seen earlier, so that a passage shared by
-many documents is sent once for each batch, however often it occurs.
+many documents is sent once for each batch, however often it occurs.  Windows of a minimiser that very many unlike windows share
+are dealt by that minimiser and their next-least run.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from quantloom.llm.common import documents, partitions_for, small_batches, text_
 WINDOW, RUN = 20, 3
 #: Bytes of packed strings aimed at for a bucket, and how much longer they are than the text.
 BUCKET_BYTES, GROWN = 6 << 20, 3.1
+#: Bytes of packed strings from which a minimiser is split, one document in so many that are weighed for it, how many are split at most.
+HOT_BYTES, SAMPLED, MOST_HOT = 4 << 20, 32, 1_000_000
 #: Bytes of text that a map step holds in arrays at once; bytes of packed strings it gathers before it compresses them.
 STEP, GATHER = 3_000_000, 24_000_000
 _HEAD = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("bytes", "<i4")])
@@ -68,7 +71,51 @@ def _runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idx[first], np.diff(np.append(first, len(idx)))
 
 
-def _packed_rows(buckets: int, window: int, run: int):
+def _second(runs: np.ndarray, low: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Of windows of n runs that begin at `at`: the least run hash beside the minimiser."""
+    out = np.empty(len(at), np.uint64)
+    for k in range(0, len(at), 100_000):
+        some = at[k : k + 100_000]
+        each = runs[some[:, None] + np.arange(n)]
+        out[k : k + len(some)] = np.where(each == low[some, None], np.uint64(0xFFFFFFFFFFFFFFFF), each).min(1)
+    return out
+
+
+def _weighed(window: int, run: int):
+    """mapInArrow: (text) to (low, bytes): what the windows of each minimiser would send, about."""
+
+    def work(batches):
+        for whole in batches:
+            for batch in ta.slices(whole, 0, STEP):
+                data, offsets = ta.text_buffers(batch.column(0))
+                starts, ends, row = ta.word_bounds(data, offsets)
+                n = len(starts) - window + 1
+                if n < 1:
+                    continue
+                codes, words = ta.coded(*ta.packed(data, starts, ends))
+                low = ta.sliding_min(ta.rolling(ta.word_hashes(words)[codes], run), window - run + 1)
+                use = row[:n] == row[window - 1 :]
+                first = use.copy()
+                first[1:] &= (low[1:n] != low[: n - 1]) | ~use[:-1]
+                size = (ends[:n] - starts[:n] + 1) + first * (window - 1) * 8
+                found, at = np.unique(low[:n][use], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, size[use]).astype(np.int64))], names=["low", "bytes"])
+
+    return work
+
+
+def hot_minimisers(docs: DataFrame, window: int, run: int, total: int) -> np.ndarray:
+    """Minimisers whose windows would send HOT_BYTES or more, judged by one document in SAMPLED; at most MOST_HOT of them, the driver and each task hold them sorted.
+
+    Which ones are split changes where windows meet, never what is found.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc", "fp"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(_weighed(window, run), "low bigint, bytes bigint")
+    least = max(HOT_BYTES, int(total * GROWN) // MOST_HOT) / SAMPLED
+    found = some.groupBy("low").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") >= least).select("low")
+    return np.sort(np.array([r["low"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def _packed_rows(buckets: int, window: int, run: int, hot: np.ndarray):
     """mapInArrow: (doc, fp, text) to (bucket, blob)."""
 
     def work(batches):
@@ -108,8 +155,12 @@ def _packed_rows(buckets: int, window: int, run: int):
         text[ta.ranges(spaced[:-1], np.diff(at))] = body
         text = text.tobytes()
         n = len(starts) - window + 1
-        low = ta.sliding_min(ta.rolling(h, run), window - run + 1)
+        runs = ta.rolling(h, run)
+        low = ta.sliding_min(runs, window - run + 1)
         whole = row[:n] == row[window - 1 :]
+        if len(hot):
+            split = np.flatnonzero(whole & (hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low))
+            low[split] = ta.mix(low[split] + ta.mix(_second(runs, low, split, window - run + 1)))
         fresh = np.ones(len(doc), np.int64)  # repeated rows are one document
         fresh[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
         place = (np.cumsum(fresh)[row] << 32) + np.arange(len(row)) - first_word[row]
@@ -191,11 +242,14 @@ def _bucket_ranges(window: int):
     return work
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN, buckets: int | None = None) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN, buckets: int | None = None, hot: np.ndarray | None = None) -> DataFrame:
     """doc, fp, start, windows: runs of windows (by first word, from 0) whose words also start earlier. docs: doc, fp, text."""
+    total = text_bytes(docs)
     if buckets is None:
-        buckets = partitions_for(int(text_bytes(docs) * GROWN), BUCKET_BYTES, 32)
-    sent = docs.mapInArrow(_packed_rows(buckets, window, run), "bucket int, blob binary")
+        buckets = partitions_for(int(total * GROWN), BUCKET_BYTES, 32)
+    if hot is None:
+        hot = hot_minimisers(docs, window, run, total)
+    sent = docs.mapInArrow(_packed_rows(buckets, window, run, hot), "bucket int, blob binary")
     return sent.groupBy("bucket").applyInArrow(_bucket_ranges(window), "doc bigint, fp bigint, start int, windows int")
 
 
@@ -239,7 +293,7 @@ def _kept(window: int, digest: bool, carry: bool):
     return work
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, buckets: int | None = None, digest: bool = False, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, buckets: int | None = None, digest: bool = False, carry: bool = False, hot: np.ndarray | None = None) -> DataFrame:
     """For each row of docs: id, n_words, n_removed, kept (kept words joined by one space; with `digest` its SHA-256 in hex).
 
     A word goes if a window over it, of `window` words, also starts earlier: at a smaller id, or earlier in the same document. Windows are judged on the
@@ -250,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     own = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), text_fingerprint(F.col(text_col)).alias("fp"), F.col(text_col).alias("text")]
     lead = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row") if carry else F.col(id_col).alias("id")
-    found = repeated_ranges(docs.select(*own), window, run, buckets)
+    found = repeated_ranges(docs.select(*own), window, run, buckets, hot)
     spans = found.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))  # of one document
     rows = docs.select(lead, *own)
     kind = f"{rows.columns[0]} {rows.schema[0].dataType.simpleString()}"
