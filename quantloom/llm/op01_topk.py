@@ -1,6 +1,6 @@
 """Op 1, exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of B bits is cut into m segments, each with an index of its own.  After all segments have been searched to radius r, every code within
+A code of B bits is cut into m segments of about log2 of the number of codes, each with an index of its own.  After all segments have been searched to radius r, every code within
 m * (r + 1) - 1 bits of a query has been met, for a code farther in every segment differs in m * (r + 1) bits at least.  The radius grows until
 a query's kth verified distance is within that bound; such queries are done, the rest go on.
 """
@@ -14,14 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import written
+from quantloom.llm.common import dropped, written
 
-TOP, SEGMENT = 10, 16
-BITS = 64
+TOP, BITS = 10, 64
+#: Codes that a segment's value may have in one group of the index; more are dealt to several.
+HOT_CODES = 50_000
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
-    """id, code (bigint): bit i is set where component i is over 0; missing, null and NaN components count as 0. Rows with a null vector or id go."""
+    """id, code (bigint): bit i is set where component i is over 0; missing, null and NaN components count as 0. Rows with a null vector or id go; a vector with more than `bits` components is an error."""
 
     def run(batches):
         for batch in batches:
@@ -30,45 +31,66 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             size = np.asarray(column.value_lengths())
             values = np.nan_to_num(np.asarray(column.flatten().fill_null(0.0), np.float64))
             row = np.repeat(np.arange(batch.num_rows), size)
+            if len(size) and np.nanmax(np.nan_to_num(np.asarray(size, np.float64))) > bits:
+                raise ValueError(f"a vector has more than {bits} components")
             at = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            use = (values > 0) & (at < bits)
+            use = values > 0
             np.bitwise_or.at(out, row[use], np.uint64(1) << at[use].astype(np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "code"])
 
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id bigint, code bigint")
 
 
-def _segment(code: Column, j: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, j * width).bitwiseAND((1 << width) - 1)
+def _segment(code: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, at).bitwiseAND((1 << width) - 1)
 
 
-def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, width: int = SEGMENT) -> DataFrame:
+def segments(bits: int, width: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment: about bits / width of them, no two widths more than one apart."""
+    m = min(bits, max(1, round(bits / width)))
+    edges = [bits * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _indexed(codes: DataFrame, parts: list[tuple[int, int]], hot_codes: int) -> tuple[DataFrame, DataFrame]:
+    """The index (seg, value, lot, code, first), and how many lots a hot (seg, value) has."""
+    index = codes.select("code", F.col("ids")[0].alias("first"), F.posexplode(F.array(*[_segment(F.col("code"), at, w) for at, w in parts])).alias("seg", "value"))
+    crowded = written(index.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_codes).select("seg", "value", F.ceil(F.col("n") / hot_codes).cast("int").alias("lots")), "crowded")
+    index = index.join(crowded, ["seg", "value"], "left").withColumn("lot", F.coalesce(F.pmod(F.xxhash64("code"), F.col("lots")), F.lit(0)).cast("int")).drop("lots")
+    return written(index, "index"), crowded
+
+
+def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, width: int | None = None, hot_codes: int = HOT_CODES) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k items nearest to each query, ties by id; fewer if there are fewer items. items, queries: id, code.
 
     Equal codes are one entry with its k smallest ids, so a vector that a third of the rows share costs one entry; equal queries are one
-    query. Repeated rows count once for each row.
+    query. Repeated rows count once for each row. Segments are as wide as log2 of the number of codes, unless `width` says otherwise; codes that share a
+    segment's value beyond `hot_codes` are dealt to lots, and probes go to each of them.
     """
-    m = -(-bits // width)
-    if m * width != bits:
-        raise ValueError("bits must be a multiple of the segment width")
     w = Window.partitionBy("code").orderBy("id")
     first = items.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)  # cut before the shuffle, too
     codes = written(first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     asked = written(queries.select(F.col("code").alias("q")).distinct().withColumn("cap", F.lit(bits)), "queries")
-    index = codes.select("code", F.col("ids")[0].alias("first"), F.posexplode(F.array(*[_segment(F.col("code"), j, width) for j in range(m)])).alias("seg", "value"))
-    index = written(index, "index")
-    total = codes.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
-    wanted = min(k, total)
+    seen = codes.agg(F.sum(F.size("ids")).alias("n"), F.count(F.lit(1)).alias("codes")).first()
+    wanted = min(k, seen["n"] or 0)
+    parts = segments(bits, width or max(1, (seen["codes"] or 1).bit_length()))
+    m, widest = len(parts), max(x for _, x in parts)
+    index, crowded = _indexed(codes, parts, hot_codes)
     best, open_queries, radius = None, asked, 0
-    done = []
+    done, spent = [], [codes, index, crowded, asked]
     w = Window.partitionBy("q").orderBy("distance", "id")
-    while radius <= width:
-        masks = np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], dtype=np.int64)
-        probes = open_queries.select("q", "cap", F.posexplode(F.array(*[_segment(F.col("q"), j, width) for j in range(m)])).alias("seg", "own")).select("q", "cap", "seg", "own", F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    while radius <= widest:
+        probes = None
+        for j, (at, size) in enumerate(parts):
+            if radius <= size:
+                masks = np.array([sum(1 << b for b in c) for c in combinations(range(size), radius)], dtype=np.int64)
+                own = open_queries.select("q", "cap", F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", _segment(F.col("q"), at, size).bitwiseXOR(F.col("mask")).alias("value"))
+                probes = own if probes is None else probes.unionByName(own)
+        probes = probes.join(crowded, ["seg", "value"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
         # the planner takes probes for as small as their queries: keep it from broadcasting them
-        met = probes.join(index.hint("shuffle_hash"), ["seg", "value"])
+        met = probes.join(index.hint("shuffle_hash"), ["seg", "value", "lot"])
         # each code once: at the least distance over its segments, in the first segment that has it
-        far = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), j, width)) for j in range(m)]
+        far = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), at, size)) for at, size in parts]
         once = F.lit(True)
         for j in range(m):
             once = once & F.when(F.col("seg") > j, far[j] > radius).otherwise(far[j] >= radius)
@@ -84,19 +106,22 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
         ranked = written(new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), f"radius-{radius}")
         covered = m * (radius + 1) - 1
         state = ranked.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        over = written(state.where((F.col("n") >= wanted) & (F.col("kth") <= covered)).select("q"), "covered") if radius < width else asked.select("q")
+        over = written(state.where((F.col("n") >= wanted) & (F.col("kth") <= covered)).select("q") if radius < widest else asked.select("q"), "covered")
         done.append(ranked.join(over, "q", "left_semi"))
         best = ranked.join(over, "q", "left_anti").drop("rank")
         cap = F.when(F.col("n") >= wanted, F.col("kth")).otherwise(F.lit(bits))
         open_queries = open_queries.select("q").join(over, "q", "left_anti").join(state, "q", "left")
         open_queries = written(open_queries.select("q", F.coalesce(cap, F.lit(bits)).alias("cap")), "open")
+        spent += [ranked, over, open_queries]
         radius += 1
         if open_queries.isEmpty():
             break
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(out, "q").select("query_id", "rank", "id", "distance")
+    out = written(queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(out, "q").select("query_id", "rank", "id", "distance"), "nearest")
+    dropped(*spent)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
