@@ -1,8 +1,8 @@
 """Op 2, chat formatting over reply trees, in DataFrame functions only.
 
 A message has a parent; a conversation is a tree.  Iterative self-joins double the distance they look up the tree, so
-that after log2(depth) joins every leaf has met each of its ancestors.  Branches (root-to-leaf paths) are ranked by score
-and the best are formatted, each as one conversation.
+that after log2(depth) joins every message has the score of its whole path from the root.  Leaves are ranked by it, and only the best
+branches (root-to-leaf paths) are expanded, by the same doubled jumps, and formatted, each as one conversation.
 """
 
 from __future__ import annotations
@@ -34,37 +34,63 @@ class Template:
         return F.regexp_replace(c, r"([<\[])\\(\\*)(/?(?:s>|INST\]))", "$1$2$3")
 
 
+def _uncircled(nodes: DataFrame, jump: DataFrame) -> DataFrame:
+    """nodes with the parent of each circle's smallest node taken away. jump: what still leads on after more steps than a conversation has messages: it ends on circles.
+
+    Along a circle the smallest node is found as far paths are: by steps that double.
+    """
+    on = written(jump.select("conv_id", F.col("to").alias("node")).distinct(), "circles")
+    step = on.join(nodes, ["conv_id", "node"]).select("conv_id", "node", F.col("parent").alias("to"), F.col("node").alias("low"))
+    reach, longest = 1, on.groupBy("conv_id").count().agg(F.max("count").alias("n")).first()["n"]
+    while reach < longest:
+        far = step.select("conv_id", F.col("node").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
+        step = written(step.join(far, ["conv_id", "to"]).select("conv_id", "node", F.col("far").alias("to"), F.least("low", "far_low").alias("low")), "circle-steps")
+        reach *= 2
+    heads = step.where("node = low").select("conv_id", "node", F.lit(True).alias("head"))
+    return written(nodes.join(heads, ["conv_id", "node"], "left").withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))).drop("head"), "nodes")
+
+
 def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     """conv_id, path (rank of the branch), depth_from_root (0, 1, ...), role, text of the `top` best branches of each tree.
 
     messages: conv_id, node, parent (null, or no node of the conversation: a root), role, text, score. A branch's score is the sum of its
-    messages' scores (null: 0); ties go to the smaller leaf. node is unique in a conversation. Messages whose conv_id is null are one conversation.
+    messages' scores (null: 0); ties go to the smaller leaf. node is unique in a conversation: of repeated ones the least (parent, role, text) is taken. Of messages whose
+    parents run in a circle the one with the smallest node is a root. Rows without a node are left out. Messages whose conv_id is null are one conversation.
     """
     # in a struct, which is never null itself, a null conv_id equals a null one in the joins
-    messages = messages.withColumn("conv_id", F.struct(F.col("conv_id").alias("id")))
-    nodes = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    inner = nodes.select("conv_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = nodes.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    known = nodes.select("conv_id", F.col("node").alias("to"))
-    jump = nodes.select("conv_id", "node", F.col("parent").alias("to")).join(known, ["conv_id", "to"], "left_semi").select("conv_id", "node", "to")
-    paths, reach = leaves, 1
+    key = F.struct(F.col("conv_id").alias("id"))
+    said = F.struct(F.col("parent").isNotNull().alias("a"), "parent", F.coalesce("role", F.lit("")).alias("b"), F.coalesce("text", F.lit("")).alias("c"), F.coalesce("score", F.lit(0.0)).alias("score"), "role", "text")
+    one = messages.where("node IS NOT NULL").groupBy(key.alias("conv_id"), "node").agg(F.min(said).alias("x"))
+    messages = written(one.select("conv_id", "node", "x.parent", "x.role", "x.text", "x.score"), "tree")
+    nodes = messages.select("conv_id", "node", "parent", "score")
+    longest = nodes.groupBy("conv_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
     while True:
-        jump = written(jump, "jumps")
-        if jump.isEmpty():
+        known = nodes.select(F.col("conv_id").alias("same"), F.col("node").alias("to"))
+        inside = nodes.join(known, (F.col("conv_id") == F.col("same")) & (F.col("parent") == F.col("to")), "left").select("conv_id", "node", "to", "score")
+        # total: the scores from a message up to the one before `to`, which is null once the root has been counted
+        state, jumps, reach = written(inside.withColumnRenamed("score", "total"), "jumps"), [], 1
+        while reach <= longest and not state.where("to IS NOT NULL").isEmpty():
+            jumps.append((reach, state.where("to IS NOT NULL").select("conv_id", "node", "to")))
+            far = state.select("conv_id", F.col("node").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"))
+            state = written(state.join(far, ["conv_id", "to"], "left").select("conv_id", "node", F.col("far").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "jumps")
+            reach *= 2
+        circles = state.where("to IS NOT NULL")
+        if circles.isEmpty():
             break
-        paths = paths.unionByName(paths.join(jump, ["conv_id", "node"]).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up")))
-        paths = written(paths, "paths")
-        on = jump.select("conv_id", F.col("node").alias("to"), F.col("to").alias("far"))
-        jump = jump.join(on, ["conv_id", "to"]).select("conv_id", "node", F.col("far").alias("to"))
-        reach *= 2
-    scored = paths.join(nodes.select("conv_id", "node", "score"), ["conv_id", "node"])
-    ranked = scored.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.max("up").alias("depth"))
-    w = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "leaf")
-    chosen = ranked.withColumn("path", F.row_number().over(w)).where(F.col("path") <= top).select("conv_id", "leaf", "path", "depth")
+        nodes = _uncircled(nodes, circles)
+    inner = nodes.select("conv_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
+    leaves = state.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "total")
+    w = Window.partitionBy("conv_id").orderBy(F.col("total").desc(), "leaf")
+    chosen = leaves.withColumn("path", F.row_number().over(w)).where(F.col("path") <= top).select("conv_id", "path", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    paths = written(chosen, "paths")
+    # a path that is known `reach` steps far from its leaf gets as many again
+    for step, jump in jumps:
+        paths = written(paths.unionByName(paths.join(jump, ["conv_id", "node"]).select("conv_id", "path", F.col("to").alias("node"), (F.col("up") + step).alias("up"))), "paths")
+    depth = F.max("up").over(Window.partitionBy("conv_id", "path"))
     return (
-        paths.join(chosen, ["conv_id", "leaf"])
+        paths.withColumn("depth_from_root", depth - F.col("up"))
         .join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
-        .select(F.col("conv_id.id").alias("conv_id"), "path", (F.col("depth") - F.col("up")).alias("depth_from_root"), "role", "text")
+        .select(F.col("conv_id.id").alias("conv_id"), "path", "depth_from_root", "role", "text")
     )
 
 
@@ -125,6 +151,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table.unionByName(more))
 
 
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of each conversation read as a tree: turn t replies to turn (t - 1) / 2, and a message scores by the length of its text, so that ties come up."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = F.col("turn").cast("bigint")
+    tree = c.select("conv_id", t.alias("node"), F.when(t > 0, F.floor((t - 1) / 2)).alias("parent"), "role", "text", (F.length(F.coalesce("text", F.lit(""))) % 4).cast("double").alias("score"))
+    return branches(tree, top=2).select("conv_id", "path", "depth_from_root", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+TREE_SQL = """
+WITH RECURSIVE c AS (SELECT conv_id, turn::BIGINT AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role, coalesce(text, '') AS text, length(coalesce(text, '')) % 4 AS score FROM conversations),
+r AS (
+  SELECT conv_id, node AS leaf, node, parent, score AS total, 0 AS up FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.parent = c.node)
+  UNION ALL SELECT r.conv_id, r.leaf, c.node, c.parent, r.total + c.score, r.up + 1 FROM r JOIN c ON c.conv_id = r.conv_id AND c.node = r.parent
+),
+e AS (SELECT conv_id, leaf, max(up) AS depth, max(total) AS total FROM r GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, leaf) AS path FROM e)
+SELECT r.conv_id, path::INTEGER AS path, (depth - up)::INTEGER AS depth_from_root, role, sha256(text) AS text_sha256 FROM r JOIN k USING (conv_id, leaf) JOIN c ON c.conv_id = r.conv_id AND c.node = r.node WHERE path <= 2
+"""
+
 ORACLE_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

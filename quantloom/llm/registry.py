@@ -7,6 +7,7 @@ from quantloom.llm import op01_topk, op02_chat, op03_substring, op04_near_dup, o
 QUERIES = {
     "op1_hamming_topk": op01_topk.query,
     "op2_chat_formatting": op02_chat.query,
+    "chat_reply_trees": op02_chat.reply_trees,
     "op3_substring_dedup": op03_substring.query,
     "op4_near_dup": op04_near_dup.query,
     "op5_language_id": op05_language.query,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_hamming_topk": op01_topk.ORACLE_SQL,
     "op2_chat_formatting": op02_chat.ORACLE_SQL,
+    "chat_reply_trees": op02_chat.TREE_SQL,
     "op3_substring_dedup": op03_substring.ORACLE_SQL,
     "op4_near_dup": op04_near_dup.ORACLE_SQL,
     "op9_exact_dedup": op09_exact_dedup.ORACLE_SQL,

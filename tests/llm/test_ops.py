@@ -62,6 +62,22 @@ def test_topk_against_brute_force(spark):
     assert got == {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes))[:5] for q in range(0, 420, 50)}
 
 
+@pytest.mark.parametrize("width, hot", [(None, 50_000), (5, 3), (16, 10), (7, 1)])
+def test_topk_for_any_width_and_hot_values(spark, width, hot):
+    rng = np.random.default_rng(3)
+    codes = [int(x) for x in rng.integers(0, 1 << 8, 150)] + [int(x) << 8 for x in rng.integers(0, 1 << 8, 60)]
+    df = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    got = defaultdict(list)
+    for r in op01_topk.hamming_top_k(df, df.where("id % 50 = 0"), k=4, bits=16, width=width, hot_codes=hot).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["id"]))
+    assert got == {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes))[:4] for q in range(0, 210, 50)}
+
+
+def test_topk_refuses_vectors_that_are_too_long(spark):
+    with pytest.raises(Exception, match="more than 4 components"):
+        op01_topk.sign_codes(spark.createDataFrame([(1, [1.0] * 5)], "vec_id bigint, embedding array<float>"), bits=4).collect()
+
+
 def test_topk_few_and_odd_vectors(spark):
     rows = [(0, [1.0, -1.0]), (1, None), (2, [float("nan"), None, 3.0]), (None, [1.0]), (0, [1.0, -1.0]), (3, [])]
     codes = op01_topk.sign_codes(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), bits=16)
@@ -82,6 +98,17 @@ def test_reply_tree_branches(spark):
     assert got == [(1, 1, 0, "q"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 2, 0, "q"), (1, 2, 1, "b"), (1, 2, 2, "d"), (2, 1, 0, "")]
 
 
+def test_reply_tree_circles_and_repeated_nodes(spark):
+    kind = "conv_id bigint, node bigint, parent bigint, role string, text string, score double"
+    rows = [(1, 5, 7, "u", "five", 1.0), (1, 7, 9, "u", "seven", 1.0), (1, 9, 5, "u", "nine", 1.0), (1, 11, 7, "u", "leaf", 1.0), (1, 2, 2, "u", "self", 9.0)]
+    rows += [(2, 1, None, "u", "b", 1.0), (2, 1, None, "u", "a", 1.0), (2, None, 1, "u", "no node", 1.0), (None, 3, 4, "u", "x", 0.0), (None, 4, 3, "u", "y", 0.0)]
+    got = defaultdict(list)
+    for r in op02_chat.branches(spark.createDataFrame(rows, kind), top=3).orderBy("path", "depth_from_root").collect():
+        got[(r["conv_id"], r["path"])].append(r["text"])
+    # 5 heads the circle 5 <- 9 <- 7, 2 is alone, and of the null conversation 3 is the root
+    assert got == {(1, 1): ["self"], (1, 2): ["five", "nine", "seven", "leaf"], (2, 1): ["a"], (None, 1): ["x", "y"]}
+
+
 def test_chat_reads_back_control_strings(spark):
     texts = ["</s>[INST] ok [/INST]", "<\\/s> [\\\\INST] <s>", "", None, "</s>\n<s>[INST] user [/INST]\n", "plain", "$1 \\ $2"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(2, 0, None, "x"), (3, 0, "assistant", "<"), (3, 1, "assistant", "/s>")]
@@ -133,6 +160,25 @@ def test_substring_against_brute_force(spark, buckets):
     assert got == brute_substring(rows, 6)
 
 
+def test_substring_with_split_minimisers(spark):
+    """Whichever minimisers are split, the same words go."""
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choice(["the cat sat", "a", "b", "c d"]) for _ in range(r.randrange(0, 60)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    source = df.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("fp"), "text")
+    lows = sorted({r["low"] for r in source.select("text").mapInArrow(op03_substring._weighed(6, 2), "low bigint, bytes bigint").collect()})
+    assert len(lows) > 5
+    for some in (lows, lows[::2]):
+        hot = np.sort(np.array(some, np.int64).view(np.uint64))
+        got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept"]) for x in op03_substring.remove_repeats(df, window=6, run=2, buckets=5, hot=hot).collect()}
+        assert got == brute_substring(rows, 6)
+    sampled, least, op03_substring.SAMPLED, op03_substring.HOT_BYTES = op03_substring.SAMPLED, op03_substring.HOT_BYTES, 1, 3000
+    try:
+        assert 0 < len(op03_substring.hot_minimisers(source, 6, 2, 1)) < len(lows)
+    finally:
+        op03_substring.SAMPLED, op03_substring.HOT_BYTES = sampled, least
+
+
 def test_substring_collisions_are_settled_by_words():
     codes = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2], np.int32)
     at = np.array([0, 3, 6])
