@@ -80,12 +80,13 @@ def parse_date(raw: str | Column) -> Column:
 
 
 def parse_clock(raw: str | Column) -> Column:
-    """Seconds of the day from an integer (below 86400: seconds, else HHMMSS) or HH:MM[:SS]; NULL if out of range."""
+    """Seconds of the day from an integer (below 86400: seconds, else HHMMSS) or HH:MM[:SS]; NULL if any part is out of range."""
     c = F.trim(col(raw))
     number = F.when(c.rlike(r"^\d{1,6}$"), c.cast("int"))
-    hms = F.when(number < 86400, number).otherwise(F.floor(number / 10000) * 3600 + F.floor(number % 10000 / 100) * 60 + number % 100)
+    proper = (F.floor(number % 10000 / 100) < 60) & (number % 100 < 60)
+    hms = F.when(number < 86400, number).when(proper, F.floor(number / 10000) * 3600 + F.floor(number % 10000 / 100) * 60 + number % 100)
     parts = F.split(c, ":")
-    clock = F.when(c.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + F.coalesce(F.get(parts, F.lit(2)).cast("int"), F.lit(0)))
+    clock = F.when(c.rlike(r"^\d{1,2}:[0-5]\d(:[0-5]\d)?$"), parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + F.coalesce(F.get(parts, F.lit(2)).cast("int"), F.lit(0)))
     out = F.coalesce(hms, clock)
     return F.when((out >= 0) & (out < 86400), out).cast("int")
 

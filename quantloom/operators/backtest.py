@@ -32,6 +32,7 @@ class Rules:
     stop: float = 0.05
     take: float = 0.10
     cooldown: int = 3
+    flat_at_session_end: bool = False
 
 
 TRADE = "symbol string, entry_ts date, exit_ts date, entry_price double, exit_price double, shares long, pnl double, reason string, held int"
@@ -39,13 +40,13 @@ TRADE = "symbol string, entry_ts date, exit_ts date, entry_price double, exit_pr
 
 def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
     pdf = pdf.sort_values("ts", kind="mergesort")
-    ts, op, hi, lo, cl, sig = (pdf[c].tolist() for c in ("ts", "open", "high", "low", "close", "signal"))
-    out, cash, shares, entry, entry_at, pending, free_from = [], rules.cash, 0, 0.0, -1, "", 0
+    ts, op, hi, lo, cl, sig, valid, last = (pdf[c].tolist() for c in ("ts", "open", "high", "low", "close", "signal", "valid", "session_last"))
+    out, cash, shares, entry, entry_at, pending, free_from, signal_at, reference = [], rules.cash, 0, 0.0, -1, "", 0, -1, 0.0
     for i in range(len(ts)):
         if pending == "buy" and shares == 0:
             price = op[i] * (1 + rules.slippage)
             cost = price * (1 + rules.commission + rules.transfer)
-            shares = int(cash // (cost * rules.lot)) * rules.lot
+            shares = floor(cash / (cost * rules.lot)) * rules.lot
             if shares:
                 cash -= shares * cost
                 entry, entry_at = price, i
@@ -55,30 +56,55 @@ def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
             paid = shares * entry * (1 + rules.commission + rules.transfer)
             out.append((str(pdf["symbol"].iloc[0]), ts[entry_at], ts[i], entry, price, shares, got - paid, pending, i - entry_at))
             cash += got
-            shares, free_from = 0, i + rules.cooldown
+            shares = 0
         pending = ""
         if shares == 0:
-            if i >= free_from and sig[i] == 1:
-                pending = "buy"
-        elif ts[i] > ts[entry_at] and i - entry_at >= rules.min_hold:
-            if lo[i] <= entry * (1 - rules.stop):
-                pending = "stop"
-            elif hi[i] >= entry * (1 + rules.take):
-                pending = "take"
-            elif i - entry_at >= rules.max_hold:
+            if i >= free_from and valid[i] and sig[i] == 1:
+                pending, signal_at, reference = "buy", i, cl[i]
+        elif ts[i] > ts[entry_at] and i - signal_at >= rules.min_hold:
+            if lo[i] <= reference * (1 - rules.stop):
+                pending = "stop_loss"
+            elif hi[i] >= reference * (1 + rules.take):
+                pending = "take_profit"
+            elif i - signal_at >= rules.max_hold:
                 pending = "max_hold"
+            elif rules.flat_at_session_end and last[i]:
+                pending = "session_end"
             elif sig[i] == -1:
                 pending = "exit_signal"
+            if pending:
+                free_from = i + rules.cooldown
     return out
 
 
 def simulate(signals: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Closed trades of each symbol. signals: symbol, ts (date), open, high, low, close, signal (1 entry, -1 exit, 0); a symbol's bars are one group."""
+    """Closed trades of each symbol. signals: symbol, ts (date), open, high, low, close, signal (1 entry, -1 exit, 0), and if they are there valid (else true) and session_last (else
+    false); a symbol's bars are one group.
+
+    Entries need a valid bar. Stop and target are shares of the close of the entry's signal bar, and the hold is counted from it; exits wait for a bar after the day of the buy, in the
+    order stop_loss, take_profit, max_hold, session_end (if flat_at_session_end), exit_signal. The cooldown runs from the exit's signal bar.
+    """
+    for c, value in (("valid", True), ("session_last", False)):
+        if c not in signals.columns:
+            signals = signals.withColumn(c, F.lit(value))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_trades(pdf, rules), columns=[c.split()[0] for c in TRADE.split(", ")])
 
-    return signals.select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "signal").groupBy("symbol").applyInPandas(run, TRADE)
+    return signals.select(F.col("symbol").cast("string").alias("symbol"), "ts", "open", "high", "low", "close", "signal", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("session_last", F.lit(False)).alias("session_last")).groupBy("symbol").applyInPandas(run, TRADE)
+
+
+def table_signals(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """Bars with the signal of their symbol and day from a table (symbol, ts, signal), 0 where it has none: 1 is held, anything else is left."""
+    found = bars.join(signals.select("symbol", "ts", F.col("signal").alias("_s")), ["symbol", "ts"], "left")
+    return found.withColumn("signal", F.when(F.coalesce("_s", F.lit(0)) == 1, 1).otherwise(-1)).drop("_s")
+
+
+def trade_list(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """Trades with the closes of the bars they were filled in, found by symbol and day."""
+    at = bars.select(F.col("symbol").cast("string").alias("symbol"), "ts", "close")
+    entry = at.select("symbol", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_close"))
+    return trades.join(entry, ["symbol", "entry_ts"], "left").join(at.select("symbol", F.col("ts").alias("exit_ts"), F.col("close").alias("exit_close")), ["symbol", "exit_ts"], "left")
 
 
 @dataclass(frozen=True)

@@ -85,30 +85,103 @@ def choose_threshold(scored: DataFrame, candidates: list[float], outcome: str, c
     return candidates[-max(able)[1]] if able else float("inf")
 
 
-def walk_forward(rows: DataFrame, columns: list[str], target: str, train: int, validate: int, test: int, candidates: list[float], cost: float = 0.0, least: int = 30) -> DataFrame:
+def _fold_models(rows: DataFrame, columns: list[str], target: str, penalty: float) -> dict[int, tuple[int, Ridge]]:
+    """For each fold (column `fold`) the number of its rows and its model: two aggregates for all folds together."""
+    rows = rows.where(F.col(target).isNotNull())
+    med = rows.groupBy("fold").agg(*[F.percentile(c, 0.5).alias(f"_m{i}") for i, c in enumerate(columns)])
+    spark = rows.sparkSession
+    found = {r["fold"]: r for r in med.collect()}  # a row for each fold
+    if not found:
+        return {}
+    kind = "fold int, " + ", ".join(f"_m{i} double" for i in range(len(columns)))
+    filled = rows.join(F.broadcast(spark.createDataFrame([tuple(r) for r in found.values()], kind)), "fold")
+    x = [F.coalesce(F.col(c), F.col(f"_m{i}")) for i, c in enumerate(columns)]
+    y = F.col(target)
+    sums = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("y")]
+    for i, a in enumerate(x):
+        sums += [F.avg(a).alias(f"m{i}"), F.stddev_pop(a).alias(f"s{i}"), F.covar_pop(a, y).alias(f"y{i}"), *[F.covar_pop(a, b).alias(f"c{i}_{j}") for j, b in enumerate(x) if j >= i]]
+    out = {}
+    for r in filled.groupBy("fold").agg(*sums).collect():
+        kept = [i for i in range(len(columns)) if found[r["fold"]][f"_m{i}"] is not None]
+        out[r["fold"]] = r["n"], _solved(r, [columns[i] for i in kept], kept, [float(found[r["fold"]][f"_m{i}"]) for i in kept], penalty)
+    return out
+
+
+def _solved(r, columns: list[str], at: list[int], medians: list[float], penalty: float) -> Ridge:
+    p, n = len(at), r["n"]
+    scale = np.array([r[f"s{i}"] if r[f"s{i}"] > 1e-12 else 1.0 for i in at])
+    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in at] for i in at]).reshape(p, p)
+    gram, moment = n * cov / np.outer(scale, scale) + penalty * np.eye(p), n * np.array([r[f"y{i}"] for i in at]) / scale
+    try:
+        weight = np.linalg.solve(gram, moment)
+    except np.linalg.LinAlgError:
+        weight = np.linalg.lstsq(gram, moment, rcond=None)[0]
+    return Ridge(tuple(columns), tuple(medians), tuple(float(r[f"m{i}"]) for i in at), tuple(map(float, scale)), tuple(map(float, weight)), float(r["y"]))
+
+
+def _scored(rows: DataFrame, models: dict[int, Ridge], columns: list[str]) -> DataFrame:
+    """rows with `score`, each by its fold's model; the models travel as a small table."""
+    table = []
+    for fold, m in models.items():
+        of = {c: (med, mean, s, w) for c, med, mean, s, w in zip(m.columns, m.medians, m.means, m.scales, m.weights)}
+        table.append((fold, m.intercept, *[v for c in columns for v in of.get(c, (0.0, 0.0, 1.0, 0.0))]))
+    kind = "fold int, _b double" + "".join(f", _a{i} double, _e{i} double, _s{i} double, _w{i} double" for i in range(len(columns)))
+    score = F.col("_b")
+    for i, c in enumerate(columns):
+        score = score + F.col(f"_w{i}") * (F.coalesce(F.col(c), F.col(f"_a{i}")) - F.col(f"_e{i}")) / F.col(f"_s{i}")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, kind)), "fold").withColumn("score", score).drop("_b", *[f"_{k}{i}" for i in range(len(columns)) for k in "aesw"])
+
+
+def walk_forward(rows: DataFrame, columns: list[str], target: str, train: int, validate: int, test: int, candidates: list[float], cost: float = 0.0, least: int = 30, penalty: float = 1.0) -> DataFrame:
     """Out-of-sample scores: over sessions in order, fit on `train`, choose a threshold on `validate`, refit on both and score `test`; then move on by `test`.
 
     rows: session (ordered), label_end (session in which the label is known), columns, target. Rows whose label is known only at or after the next
-    part begins are left out of a fit. The number of folds is that of sessions over `test`; each fold filters the same table.
+    part begins are left out of a fit. A row is dealt to each fold whose windows it lies in, (train + validate) / test + 1 of them, and all folds are fitted, tuned and
+    scored together, in five jobs however many there are. The driver holds the sessions and a model for each fold.
     """
+    spark = rows.sparkSession
     days = [r["session"] for r in rows.select("session").distinct().orderBy("session").collect()]
-    out = None
-    for start in range(train + validate, len(days), test):
-        a, b = days[start - train - validate], days[start - validate]
-        c, d = days[start], days[min(start + test, len(days)) - 1]
-        s, end = F.col("session"), F.col("label_end")
-        first = rows.where((s >= a) & (s < b) & (end < b))
-        if first.count() < least:
-            continue
-        valid = rows.where((s >= b) & (s < c) & (end < c))
-        cut = choose_threshold(valid.withColumn("score", fit_ridge(first, columns, target).score()), candidates, target, cost)
-        model = fit_ridge(rows.where((s >= a) & (s < c) & (end < c)), columns, target)
-        fold = rows.where((s >= c) & (s <= d)).withColumns({"score": model.score(), "threshold": F.lit(cut), "fold": F.lit(c)}).withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
-        out = fold if out is None else out.unionByName(fold)
-    if out is None:
-        none = F.lit(None).cast("double")
-        out = rows.limit(0).withColumns({"score": none, "threshold": none, "fold": F.col("session"), "prediction": F.lit(0)})
-    return out
+    base, n = train + validate, len(range(train + validate, len(days), test))
+    none = F.lit(None).cast("double")
+    empty = rows.limit(0).withColumns({"score": none, "threshold": none, "fold": F.col("session"), "prediction": F.lit(0)})
+    if not n:
+        return empty
+    kind = rows.schema["session"].dataType.simpleString()
+    at = F.broadcast(spark.createDataFrame(list(zip(days, range(len(days)))), f"session {kind}, _at int"))
+    edges = F.broadcast(spark.createDataFrame([(f, days[base + f * test - validate], days[base + f * test]) for f in range(n)], f"fold int, _valid {kind}, _test {kind}"))
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("_at") - (test - 1) - base) / test)).cast("int"), F.least(F.lit(n - 1), F.floor((F.col("_at") + base - base) / test)).cast("int")
+    dealt = rows.join(at, "session").withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("fold", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    begin = base + F.col("fold") * test
+    part = F.when(F.col("_at") >= begin, "test").when(F.col("_at") >= begin - validate, "valid").otherwise("train")
+    dealt = dealt.withColumn("_part", part).where(F.col("_at") >= begin - base).join(edges, "fold")
+    known, end = F.col("_part"), F.col("label_end")
+    fitted = _fold_models(dealt.where((known == "train") & (end < F.col("_valid"))), columns, target, penalty)
+    fitted = {f: m for f, (k, m) in fitted.items() if k >= least}
+    if not fitted:
+        return empty
+    valid = _scored(dealt.where((known == "valid") & (end < F.col("_test"))), fitted, columns)
+    tries = [x for i, t in enumerate(candidates) for x in (F.avg(F.when(F.col("score") >= t, F.col(target) - cost)).alias(f"m{i}"), F.count_if(F.col("score") >= t).alias(f"n{i}"))]
+    cut = dict.fromkeys(fitted, float("inf"))
+    for r in valid.groupBy("fold").agg(*tries).collect():
+        able = [(r[f"m{i}"], -i) for i in range(len(candidates)) if r[f"n{i}"] >= 10 and r[f"m{i}"] is not None]
+        cut[r["fold"]] = candidates[-max(able)[1]] if able else float("inf")
+    both = {f: m for f, (_, m) in _fold_models(dealt.where((known != "test") & (end < F.col("_test")) & F.col("fold").isin(list(fitted))), columns, target, penalty).items()}
+    out = _scored(dealt.where(known == "test"), both, columns).join(F.broadcast(spark.createDataFrame(list(cut.items()), "fold int, threshold double")), "fold")
+    out = out.withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int")).withColumn("fold", F.col("_test"))
+    return out.select(*rows.columns, "score", "threshold", "fold", "prediction")
+
+
+def score_latest(rows: DataFrame, columns: list[str], target: str, penalty: float = 1.0) -> DataFrame:
+    """The newest session's rows with their score, by a model of the rows whose label was known before it. rows: as for walk_forward."""
+    newest = rows.agg(F.max("session").alias("s")).first()["s"]
+    model = fit_ridge(rows.where(F.col("label_end") < F.lit(newest)), columns, target, penalty)
+    return rows.where(F.col("session") == F.lit(newest)).withColumn("score", model.score())
+
+
+def execution_signals(scored: DataFrame, threshold: float, exit_threshold: float = 0.0) -> DataFrame:
+    """Adds signal: 1 where an eligible row's score reaches the threshold, -1 where it is at most exit_threshold, else 0. Rows without score or not eligible never trade. scored: score, eligible."""
+    able = F.coalesce(F.col("eligible"), F.lit(False)) & F.col("score").isNotNull()
+    return scored.withColumn("signal", F.when(able & (F.col("score") >= threshold), 1).when(able & (F.col("score") <= exit_threshold), -1).otherwise(0))
 
 
 def summary(predicted: DataFrame, target: str, cost: float) -> DataFrame:

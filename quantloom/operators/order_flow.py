@@ -182,6 +182,33 @@ def blended_features(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out.withColumn("score", F.when(ready, clip(mean_of(list(SCORE), cfg.least_components), -1.0, 1.0)))
 
 
+def blended_proxies(out: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds the rolling VWAP and the distance from it, the slope of cumulative delta, price against flow, shares by direction, trade intensity against the slot, and whether the bar is its day's last.
+
+    The bar's amount is the prints' own, else their VWAP or the close times their volume. out: from blended_features.
+    """
+    s, f, ok = _blended_window(cfg), cfg.flow_window, F.col("valid")
+    total = lambda c: w.trailing("sum", c, s, f, 1)
+    v = F.col("print_volume")
+    amount = F.coalesce(*[F.when(x > 0, x) for x in (F.col("amount"), F.col("vwap") * v, F.col("close") * v)])
+    out = out.withColumns({"amount_ok": F.when(ok, amount), "flow_move": total("flow"), "flow_path": total(F.abs("flow"))})
+    out = out.withColumns({"rolling_vwap": ratio(total("amount_ok"), total("volume_ok")), "cvd_slope": ratio("flow_move", "flow_path"), "price_flow_divergence": -F.col("divergence_score")})
+    out = out.withColumns({"rolling_vwap_distance": ratio(F.col("close") - F.col("rolling_vwap"), "rolling_vwap"), "trade_base": w.prior("median", "trade_count", slot(), cfg.baseline, 2)})
+    out = out.withColumns({f"{k}_share": ratio(f"{k}_volume", "print_volume") for k in ("buy", "sell", "neutral")})
+    return out.withColumns({"trade_intensity": ratio("trade_count", "trade_base"), "session_last": F.col("minute") + cfg.minutes >= 900}).drop("amount_ok", "flow_move", "flow_path", "trade_base")
+
+
+def quote_proxies(quotes: DataFrame, levels: int = 5) -> DataFrame:
+    """Adds imbalance and microprice_edge of a quote, and whether it is `observed`: else both are NULL. Columns: bid1, ask1, bid_vol1.., ask_vol1..; missing levels count as none, all missing as NULL."""
+    side = lambda k: mean_of([f"{k}_vol{i}" for i in range(1, levels + 1)]) * sum((F.col(f"{k}_vol{i}").isNotNull().cast("int") for i in range(1, levels + 1)), F.lit(0))
+    out = quotes.withColumns({"bids": side("bid"), "asks": side("ask")})
+    b, a, depth = F.col("bid1"), F.col("ask1"), F.col("bids") + F.col("asks")
+    middle = (b + a) / 2
+    imbalance, edge = ratio(F.col("bids") - F.col("asks"), depth), ratio(ratio(a * F.col("bids") + b * F.col("asks"), depth) - middle, middle)
+    seen = true(imbalance.isNotNull() & edge.isNotNull() & (b > 0) & (a >= b) & (F.col("bids") >= 0) & (F.col("asks") >= 0))
+    return out.withColumns({"observed": seen, "imbalance": F.when(seen, imbalance), "microprice_edge": F.when(seen, edge)}).drop("bids", "asks")
+
+
 def blended_signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     """1 or -1 where an entry or exit has held for `confirm` bars of a segment (of a date if cfg.whole_days)."""
     s = _blended_window(cfg)
@@ -196,6 +223,8 @@ def blended_signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 RANKS = {"volume_rank": "print_volume", "count_rank": "trade_count", "amount_rank": "average_amount", "share_rank": "large_share", "delta_rank": "delta_size", "large_delta_rank": "large_delta_size", "return_rank": "return_size", "vwap_rank": "vwap_size"}
 PARTS = ("activity", "size", "imbalance", "control")
+#: States that a strong bar can be in.
+STATES = ("active_buy", "active_sell", "conflicting_evidence", "passive_buy_absorption", "passive_sell_distribution")
 
 
 def participation(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -238,7 +267,7 @@ def participation(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     out = out.withColumn("confirmed", w.persistent(directed & (F.col("side") == 1), run, cfg.confirm) | w.persistent(directed & (F.col("side") == -1), run, cfg.confirm))
     stable = F.coalesce(clip(1 - F.abs(F.col("participation_score") - F.lag("participation_score").over(run)) / 100, 0.0, 1.0), F.lit(0.5))
     quality = (clip(1 - F.abs(F.col("coverage") - 1), 0.0, 1.0) + clip(F.col("observations") / float(n), 0.0, 1.0) + whole / float(len(PARTS)) + stable) / 4
-    return out.withColumn("participation_confidence", F.when(ok, clip(100 * quality, 0.0, 100.0)))
+    return out.withColumns({"score_stability": stable, "participation_confidence": F.when(ok, clip(100 * quality, 0.0, 100.0))})
 
 
 def session_summary(part: DataFrame) -> DataFrame:
@@ -248,17 +277,27 @@ def session_summary(part: DataFrame) -> DataFrame:
     base = part.groupBy("symbol", "date_key").agg(
         F.count(F.lit(1)).alias("n_bars"), F.percentile(sc, 0.9).alias("p90"), F.avg(sc).alias("mean_score"), F.max(sc).alias("max_score"), ratio(F.sum(sc * F.col("direction_score")), F.sum(sc)).alias("direction"),
         ratio(F.count_if("strong"), F.count_if("eligible")).alias("strong_share"), F.count_if("confirmed").alias("n_confirmed"), F.max_by("participation_score", "minute").alias("last_score"),
-    )
-    states = part.where("strong").groupBy("symbol", "date_key", "state").agg(F.sum(sc).alias("weight"))
-    top = states.groupBy("symbol", "date_key").agg(F.min_by("state", F.struct(-F.round("weight", 6), "state")).alias("dominant"))
-    return base.join(top, ["symbol", "date_key"], "left")
+        F.array(*[F.struct(F.lit(x).alias("state"), F.sum(F.when(F.col("strong") & (F.col("state") == x), sc)).alias("weight")) for x in STATES]).alias("states"),
+    ).withColumn("states", F.filter("states", lambda x: x.weight.isNotNull()))
+    return base.withColumn("dominant", _dominant()).drop("states")
 
 
-def daily_factors(feat: DataFrame, part: DataFrame) -> DataFrame:
-    """For each symbol and date: delta over volume of the valid bars (not the mean of their ratios) and the P90 of participation."""
+def _dominant():
+    """The state with the largest sum of scores (to six places), the first name of equals; NULL without strong bars."""
+    best = F.array_sort(F.transform("states", lambda x: F.struct((-F.round(x.weight, 6)).alias("w"), x.state.alias("state"))))
+    return F.when(F.size(best) > 0, best[0]["state"])
+
+
+def daily_factors(part: DataFrame) -> DataFrame:
+    """For each symbol and date: delta over volume of the valid bars (not the mean of their ratios) and the P90 of participation, in one aggregate."""
     ok = F.col("valid")
-    flow = feat.groupBy("symbol", "date_key").agg(ratio(F.sum(F.when(ok, F.col("buy_volume") - F.col("sell_volume"))), F.sum(F.when(ok, F.col("print_volume")))).alias("delta_factor"))
-    return flow.join(part.groupBy("symbol", "date_key").agg(F.percentile("participation_score", 0.9).alias("participation_factor")), ["symbol", "date_key"], "left")
+    delta = ratio(F.sum(F.when(ok, F.col("buy_volume") - F.col("sell_volume"))), F.sum(F.when(ok, F.col("print_volume"))))
+    return part.groupBy("symbol", "date_key").agg(delta.alias("delta_factor"), F.percentile("participation_score", 0.9).alias("participation_factor"))
+
+
+def daily_score_factor(blended: DataFrame) -> DataFrame:
+    """For each symbol and date the mean blended score of its valid bars."""
+    return blended.groupBy("symbol", "date_key").agg(F.avg(F.when(F.col("valid"), F.col("score"))).alias("score_factor"), F.count(F.when(F.col("valid"), F.col("score"))).alias("n_scored"))
 
 
 def forward_labels(bars: DataFrame, minutes: int, horizon: int, cost: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import windows as w
 from quantloom.functions.expr import first_match, ratio, true
+from quantloom.operators.quality import bar_reason
 
 
 @dataclass(frozen=True)
@@ -31,19 +32,14 @@ class Config:
 CODES = {"test": 3, "stopping_volume": 2, "upthrust": -2, "no_demand": -1, "no_supply": 1}
 
 
-def validity_reason():
-    """First fault of a bar: missing value, order of prices, negative volume; NULL if none."""
-    o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
-    missing = o.isNull() | h.isNull() | lo.isNull() | c.isNull() | v.isNull()
-    return first_match([(missing, "missing"), ((h < F.greatest(o, c)) | (lo > F.least(o, c)) | (lo <= 0), "price_order"), (v < 0, "volume")])
-
-
 def features(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds spread, wick, location, baseline and trend columns to bars (symbol, ts, open, high, low, close, volume); baselines look at the bars before only."""
     s, n = w.by("symbol"), cfg.window
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    out = bars.withColumn("reason", validity_reason()).withColumn("valid", F.col("reason").isNull())
+    reason = bar_reason()
+    out = bars.withColumn("reason", F.when(reason != "", reason)).withColumn("valid", F.col("reason").isNull())
     out = out.withColumns({"spread": h - lo, "body": F.abs(c - o), "upper_wick": h - F.greatest(o, c), "lower_wick": F.least(o, c) - lo})
+    out = out.withColumns({f"{k}_ratio": ratio(k, "spread") for k in ("body", "upper_wick", "lower_wick")})
     out = out.withColumns({
         "close_location": ratio(c - lo, "spread"), "clv": ratio(2 * c - h - lo, "spread"),
         "volume_base": w.prior("median", "volume", s, n), "spread_base": w.prior("median", "spread", s, n),

@@ -8,7 +8,7 @@ from quantloom.functions.expr import session_class, session_part
 from quantloom.operators import order_flow as of
 from quantloom.operators import resample
 from quantloom.plans.base import Registry, rounded, six
-from quantloom.sources.tables import INTRADAY_PRINTS, intraday_prints
+from quantloom.sources.tables import INTRADAY_PRINTS, intraday_prints, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -178,6 +178,42 @@ def flow_segment_summary(spark, sf_dir):
     return _blended_totals(segment_signals(spark, sf_dir))
 
 
+_PROXY = ("persistence", "kyle_lambda", "impact_score", "rolling_vwap", "rolling_vwap_distance", "cvd_slope", "price_flow_divergence", "buy_share", "sell_share", "neutral_share", "trade_intensity")
+_SEG = "PARTITION BY symbol, date_key, segment ORDER BY minute"
+PROXY_SQL = SEGMENT_SQL + f""",
+z0 AS (SELECT *, abs(bar_return) / sqrt(print_volume / median(print_volume) OVER d4) AS kyle_lambda, CASE WHEN count(flow) OVER d4 >= 2 THEN avg(sign(flow)) OVER d4 END AS persistence, sum(amount) OVER d4 / sum(print_volume) OVER d4 AS rolling_vwap, sum(abs(flow)) OVER d4 AS fp,
+         CASE WHEN count(trade_count) OVER sp >= 2 THEN median(trade_count) OVER sp END AS trade_base FROM v WINDOW d4 AS ({_SEG} ROWS 3 PRECEDING), sp AS (PARTITION BY symbol, minute ORDER BY date_key ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+z1 AS (SELECT *, CASE WHEN count(kyle_lambda) OVER d4 >= 3 THEN median(kyle_lambda) OVER d4 END AS lm, CASE WHEN count(kyle_lambda) OVER d4 >= 3 THEN stddev_samp(kyle_lambda) OVER d4 END AS ls FROM z0 WINDOW d4 AS ({_SEG} ROWS 3 PRECEDING)),
+z AS (SELECT * REPLACE (CASE WHEN fp > 0 THEN fs / fp END AS fs), tanh({_clip('CASE WHEN ls > 0 THEN (kyle_lambda - lm) / ls END', -4, 4)} / 2) * sign(pressure) AS impact_score0, ls IS NOT NULL AND ls > 0 AS zed, (close - rolling_vwap) / rolling_vwap AS rolling_vwap_distance, -divergence_score AS price_flow_divergence,
+        buy_volume / print_volume AS buy_share, sell_volume / print_volume AS sell_share, neutral_volume / print_volume AS neutral_share, {_r('trade_count', 'trade_base')} AS trade_intensity, minute + 30 >= 900 AS session_last FROM z1)"""
+
+
+@query("flow_segment_proxies", f"WITH {PROXY_SQL}, zz AS (SELECT *, fs AS cvd_slope, CASE WHEN zed THEN impact_score0 END AS impact_score FROM z) SELECT symbol, date_key, minute, segment, session_last, {six(*_PROXY)} FROM zz")
+def flow_segment_proxies(spark, sf_dir):
+    return rounded(of.blended_proxies(of.blended_features(features(spark, sf_dir), CFG), CFG).withColumnRenamed("lambda", "kyle_lambda"), "symbol", "date_key", "minute", "segment", "session_last", six=_PROXY)
+
+
+@query("daily_score_factor", f"WITH {SEGMENT_SQL} SELECT symbol, date_key, count(score) AS n_scored, round(avg(score), 6) AS score_factor FROM v GROUP BY 1, 2")
+def daily_score_factor(spark, sf_dir):
+    return rounded(of.daily_score_factor(of.blended_features(features(spark, sf_dir), CFG)), "symbol", "date_key", "n_scored", six=("score_factor",))
+
+
+_QUOTES = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS bid1, l_extendedprice * (1 + (l_tax - 0.01::DOUBLE)) AS ask1, CASE WHEN l_orderkey % 5 > 0 THEN l_quantity END AS bid_vol1, CASE WHEN l_orderkey % 3 > 0 THEN l_linenumber::DOUBLE END AS bid_vol2, CASE WHEN l_orderkey % 7 > 0 THEN l_quantity + 1 END AS ask_vol1 FROM lineitem)"""
+
+
+@query("quote_imbalance", f"""WITH {_QUOTES}, r AS (SELECT *, CASE WHEN bid_vol1 IS NOT NULL OR bid_vol2 IS NOT NULL THEN coalesce(bid_vol1, 0) + coalesce(bid_vol2, 0) END AS b, ask_vol1 AS a, (bid1 + ask1) / 2 AS m FROM q),
+t AS (SELECT *, CASE WHEN a + b > 0 THEN (b - a) / (a + b) END AS im, CASE WHEN a + b > 0 AND m > 0 THEN ((ask1 * b + bid1 * a) / (a + b) - m) / m END AS ed FROM r), u AS (SELECT *, coalesce(im IS NOT NULL AND ed IS NOT NULL AND bid1 > 0 AND ask1 >= bid1, false) AS observed FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, bid1, observed, round(CASE WHEN observed THEN im END, 6) + 0.0::DOUBLE AS imbalance, round(CASE WHEN observed THEN ed END, 6) + 0.0::DOUBLE AS microprice_edge FROM u""")
+def quote_imbalance(spark, sf_dir):
+    li, k = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    none = F.lit(None).cast("double")
+    q = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("bid1"), (F.col("l_extendedprice") * (1 + (F.col("l_tax") - 0.01))).alias("ask1"), F.when(k % 5 > 0, F.col("l_quantity")).alias("bid_vol1"),
+        F.when(k % 3 > 0, F.col("l_linenumber").cast("double")).alias("bid_vol2"), F.when(k % 7 > 0, F.col("l_quantity") + 1).alias("ask_vol1"), none.alias("ask_vol2"),
+    )
+    return rounded(of.quote_proxies(q, 2), "l_orderkey", "l_linenumber", "l_partkey", "bid1", "observed", six=("imbalance", "microprice_edge"))
+
+
 def _prank(c: str) -> str:
     h = f"(list({c}) FILTER ({c} IS NOT NULL) OVER sp)"
     return f"CASE WHEN {c} IS NOT NULL AND len({h}) >= 10 THEN CASE WHEN {c} = 0 AND len(list_filter({h}, lambda x: x < 0)) = 0 THEN 0 ELSE (len(list_filter({h}, lambda x: x < {c})) + 0.5::DOUBLE * len(list_filter({h}, lambda x: x = {c}))) / len({h}) END END"
@@ -213,6 +249,13 @@ def participation(spark, sf_dir):
     return rounded(part(spark, sf_dir), "symbol", "date_key", "minute", "state", "side", "confirmed", six=_F3)
 
 
+@query("participation_quality", f"""WITH {PART_SQL}, w AS (SELECT *, (activity IS NOT NULL)::INTEGER + (size IS NOT NULL)::INTEGER + (imbalance IS NOT NULL)::INTEGER + (control IS NOT NULL)::INTEGER AS parts, coalesce({_clip('1 - abs(participation_score - lag(participation_score) OVER r) / 100', 0, 1)}, 0.5) AS st0, lag(participation_score) OVER r AS before FROM y WINDOW r AS (PARTITION BY symbol, date_key, run ORDER BY minute)),
+x AS (SELECT *, CASE WHEN participation_score IS NULL OR before IS NULL THEN 0.5::DOUBLE ELSE st0 END AS score_stability FROM w)
+SELECT symbol, date_key, minute, round(score_stability, 6) AS score_stability, round(100 * ({_clip('1 - abs(coverage - 1)', 0, 1)} + {_clip('observations / 10.0::DOUBLE', 0, 1)} + parts / 4.0::DOUBLE + score_stability) / 4, 6) AS participation_confidence FROM x""")
+def participation_quality(spark, sf_dir):
+    return rounded(part(spark, sf_dir), "symbol", "date_key", "minute", six=("score_stability", "participation_confidence"))
+
+
 @query("participation_states", f"WITH {PART_SQL} SELECT state, count(*) AS n FROM y GROUP BY state")
 def participation_states(spark, sf_dir):
     return part(spark, sf_dir).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
@@ -234,7 +277,7 @@ def participation_sessions(spark, sf_dir):
     f"""WITH {PART_SQL} SELECT symbol, date_key, round(sum(buy_volume - sell_volume) / sum(print_volume), 6) AS delta_factor, round(quantile_cont(participation_score, 0.9), 6) AS participation_factor FROM y GROUP BY 1, 2""",
 )
 def daily_factors(spark, sf_dir):
-    return rounded(of.daily_factors(features(spark, sf_dir), part(spark, sf_dir)), "symbol", "date_key", six=("delta_factor", "participation_factor"))
+    return rounded(of.daily_factors(part(spark, sf_dir)), "symbol", "date_key", six=("delta_factor", "participation_factor"))
 
 
 @query(

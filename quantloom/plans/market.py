@@ -46,6 +46,16 @@ def vsa_ready(spark, sf_dir):
     return rounded(f, "symbol", "ts", six=("close_location", "clv", "volume_ratio", "spread_ratio", "range_position", "trend_return", "bar_return"))
 
 
+_SHAPES = ("body_ratio", "upper_wick_ratio", "lower_wick_ratio", "close_location", "gap_return", "bar_return", "trend_return", "volume_ratio")
+
+
+@query("vsa_bar_shapes", f"""WITH {VSA_SQL}, q AS (SELECT *, CASE WHEN spread > 0 THEN abs(close - open) / spread END AS body_ratio, CASE WHEN spread > 0 THEN (high - greatest(open, close)) / spread END AS upper_wick_ratio, CASE WHEN spread > 0 THEN (least(open, close) - low) / spread END AS lower_wick_ratio, CASE WHEN prior_close > 0 THEN (open - prior_close) / prior_close END AS gap_return FROM f)
+SELECT symbol, ts, ready AND spread_base IS NOT NULL AS ready, spread, {six(*_SHAPES)} FROM q""", dates=("ts",))
+def vsa_bar_shapes(spark, sf_dir):
+    """Every bar's shape, also before there is a baseline."""
+    return rounded(vsa.features(month_bars(spark, sf_dir), CFG), "symbol", "ts", "ready", "spread", six=_SHAPES)
+
+
 @query("bars_month", f"WITH {MONTH_BARS} SELECT * FROM b", dates=("ts",))
 def bars_month(spark, sf_dir):
     return month_bars(spark, sf_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import expr
 from quantloom.functions import windows as w
-from quantloom.operators import backtest, learning, order_flow, technical, vsa
+from quantloom.operators import backtest, learning, order_flow, resample, technical, vsa
 
 
 @pytest.fixture(scope="module")
@@ -117,22 +117,21 @@ def test_zero_range_and_missing_bars(spark):
         return [*row[:2], 50.0, 50.0, 50.0, 50.0, *row[6:]] if i == 10 else [*row[:5], None, *row[6:]] if i == 12 else row
 
     f = columns(vsa.features(bars(spark, change=flat), vsa.Config(window=5)), "clv", "valid", "reason")
-    assert f[10][:2] == (None, True) and f[12][1:] == (False, "missing")
+    assert f[10][:2] == (None, True) and f[12][1:] == (False, "missing_required")
 
 
 def test_rsi_of_rising_prices(spark):
     def rise(i, row):
         return [*row[:2], 10.0 + i, 11.5 + i, 9.5 + i, 11.0 + i, *row[6:]]
 
-    out = columns(technical.outlook(technical.indicators(bars(spark, change=rise))), "rsi", "trend", "drawdown")
-    assert out[-1] == (100.0, "uptrend", 0.0)
+    out = columns(technical.outlook(bars(spark, change=rise), technical.Config(daily=(5, 10, 20), weekly=(2, 3, 4))), "rsi", "trend", "week_trend", "drawdown")
+    assert out[-1] == (100.0, "uptrend", "uptrend", 0.0)
 
 
-def test_review_and_as_of(spark):
+def test_as_of_previous(spark):
     d = dt.date
-    b = spark.createDataFrame([("x", d(2024, 1, k), 10.0 + k, 8.0 + k) for k in range(1, 9)], "symbol string, ts date, high double, low double")
-    rec = spark.createDataFrame([("x", d(2024, 1, 2), d(2024, 1, 5), 14.0, 3.0, 15.0), ("x", d(2024, 1, 5), d(2024, 1, 8), 99.0, 1.0, 100.0), ("x", d(2024, 1, 8), d(2024, 1, 9), 9.0, 1.0, 100.0)], "symbol string, as_of date, next_of date, trigger double, stop double, target double")
-    assert [r["result"] for r in technical.review(rec, b).orderBy("as_of").collect()] == ["target", "not_triggered", "no_new_bars"]
+    b = spark.createDataFrame([("x", d(2024, 1, k)) for k in range(1, 9)], "symbol string, ts date")
+    rec = spark.createDataFrame([("x", d(2024, 1, k), 14.0) for k in (2, 5, 8)], "symbol string, as_of date, trigger double")
     seen = technical.as_of_previous(rec, b).orderBy("ts").collect()
     assert [r["prev_as_of"] and r["prev_as_of"].day for r in seen] == [None, None, 2, 2, 2, 5, 5, 5]
 
@@ -175,7 +174,7 @@ def test_simulation_fills_and_rules(spark):
     rows = [("x", d[i], o, o + 0.2, o - 0.2, o, s) for i, (o, s) in enumerate([(10, 1), (10, 0), (10, 0), (12, 0), (12, 0), (12, 1), (12, 0), (12, 0)])]
     df = spark.createDataFrame([tuple(float(v) if isinstance(v, int) and k not in (6,) else v for k, v in enumerate(r)) for r in rows], "symbol string, ts date, open double, high double, low double, close double, signal int")
     (t,) = backtest.simulate(df, backtest.Rules(cash=100_000, cooldown=10)).collect()
-    assert (t["entry_ts"], t["exit_ts"], t["reason"]) == (d[1], d[4], "take")
+    assert (t["entry_ts"], t["exit_ts"], t["reason"]) == (d[1], d[4], "take_profit")
     assert t["shares"] % 100 == 0 and t["entry_price"] == pytest.approx(10 * 1.0002) and t["pnl"] > 0
 
 
@@ -240,3 +239,101 @@ def test_vsa_strategy_by_hand(spark):
     for stop, target in ((None, 11), (9.5, None), (9.5, 10), (float("nan"), 11), (0, 11)):
         assert vsa_trades(spark, [(10, 10.2, 9.8, 10, 1, stop, target)] + [quiet] * 24) == []
     assert vsa_trades(spark, [buy] + [quiet] * 24, cash=999.0) == []
+
+
+def _simulated(spark, bars, rules):
+    """Closed trades of one symbol: (entry day, exit day, reason), days from 1. bars: (open, high, low, close, signal[, valid, session_last])."""
+    rows = [("x", dt.date(2024, 1, k), *map(float, b[:4]), b[4], *(b[5:] or (True, False))) for k, b in enumerate(bars, 1)]
+    df = spark.createDataFrame(rows, "symbol string, ts date, open double, high double, low double, close double, signal int, valid boolean, session_last boolean")
+    return [(t["entry_ts"].day, t["exit_ts"].day, t["reason"]) for t in backtest.simulate(df, rules).orderBy("entry_ts").collect()]
+
+
+def test_simulation_counts_from_the_signal_bar(spark):
+    flat = (10, 10, 10, 10, 0)
+    rules = backtest.Rules(cash=1e6, cooldown=2, stop=0.05, take=0.1, max_hold=4)
+    # the fill at 12 is over the target of the signal's close, 11: reached on the first bar after the day of the buy
+    assert _simulated(spark, [(10, 10, 10, 10, 1), (12, 12, 12, 12, 0), (12, 12, 12, 12, 0), flat, flat], rules) == [(2, 4, "take_profit")]
+    # four bars from the signal, the fill is not counted
+    assert _simulated(spark, [(10, 10, 10, 10, 1), *[flat] * 6], rules) == [(2, 6, "max_hold")]
+    # stop before target in one bar, and no entry on an invalid bar or in the cooldown that runs from the exit's signal
+    both = (10, 20, 1, 10, 1)
+    assert _simulated(spark, [(10, 10, 10, 10, 1, False, False), (10, 10, 10, 10, 1), flat, both, (10, 10, 10, 10, 1), flat, (10, 10, 10, 10, 1), *[flat] * 6], rules)[:2] == [(3, 5, "stop_loss"), (8, 12, "max_hold")]
+    end = backtest.Rules(cash=1e6, flat_at_session_end=True)
+    assert _simulated(spark, [(10, 10, 10, 10, 1), (10, 10, 10, 10, 0, True, True), (10, 10, 10, 10, -1, True, True), flat, flat], end) == [(2, 4, "session_end")]
+
+
+def test_review_looks_at_stop_and_target_before_the_trigger(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    records = spark.createDataFrame([("a", day(1), 12.0, 9.0, 15.0), ("a", day(4), 12.0, 9.0, 15.0), ("a", day(7), 12.0, 9.0, 15.0), ("a", day(10), 0.0, 0.0, 0.0)], "symbol string, as_of date, trigger double, stop double, target double")
+    rows = [(2, 10, 8), (4, 11, 10), (5, 16, 8), (7, 11, 10), (8, 12, 10)]
+    bars = spark.createDataFrame([("a", day(k), float(h), float(lo), 10.0) for k, h, lo in rows], "symbol string, ts date, high double, low double, close double")
+    got = {r["as_of"].day: (r["outcome"], r["thesis"], r["n_bars"]) for r in technical.review(records, bars).collect()}
+    assert got == {1: ("not_applicable", "not_available", None), 4: ("stop_loss_touched", "invalidated", 2), 7: ("both_levels_touched_order_unknown", "ambiguous", 2), 10: ("trigger_touched_pending", "pending", 1)}
+
+
+def test_label_convention_ties(spark):
+    def convention(minutes):
+        df = spark.createDataFrame([("s", 1, m) for m in minutes], "symbol string, day int, minute int")
+        return resample.label_convention(df, 30).first()["convention"]
+
+    assert convention([570, 600, 690]) == "floor" and convention([600, 630, 690]) == "ceil"
+    assert convention([630, 660, 690]) == "ceil"  # no first label tells; the last one is on the end
+    assert convention([630, 660]) == "floor" and convention([570, 660, 810, 900]) == "floor"  # firsts and lasts tie
+    assert convention([500, 630, 950]) == "floor"  # labels outside the sessions don't count
+
+
+def test_stream_of_files_in_any_order_loses_nothing(spark, tmp_path):
+    from quantloom.streaming import bars as sb
+
+    rows = [(k, dt.datetime(2024, 1, 1, 9, 0) + dt.timedelta(minutes=3 * k), "a" if k % 3 else "b", float(k)) for k in range(200)]
+    for part in (rows[150:], rows[50:100], rows[100:150], rows[:50]):  # newest first
+        spark.createDataFrame(part, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = sb.window_bars(sb.prints_of(sb.event_stream(spark, str(tmp_path / "in"))))
+    sb.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    newest = rows[-1][1] - dt.timedelta(minutes=10)
+    floor = lambda t: t.replace(minute=t.minute // 30 * 30)
+    closed = sum(floor(t) + dt.timedelta(minutes=30) <= newest for _, t, _, _ in rows)
+    assert spark.read.parquet(str(tmp_path / "out")).agg({"n": "sum"}).first()[0] == closed
+
+
+def test_input_checks(spark):
+    from quantloom.operators import history, quality
+
+    raw = spark.createDataFrame([("s", 1, "09:31", "10", "1", "1", "7"), ("s", 1, "9:99", "10", "1", "1", "0")], "symbol string, day int, time string, price string, raw_volume string, trade_count string, flag string")
+    assert [(r["label"], r["direction"], r["reason"]) for r in quality.normalize_prints(raw).orderBy("time").collect()] == [("unknown", 0, ""), (None, None, "invalid_time")]
+    assert quality.normalize_prints(raw, unknown="drop").count() == 1
+    with pytest.raises(Exception, match="unknown flag 7"):
+        quality.normalize_prints(raw, unknown="error").collect()
+    with pytest.raises(ValueError):
+        quality.normalize_prints(raw, unknown="guess")
+    bars = spark.createDataFrame([("a", 1, 1.0, 2.0, 0.5, 1.5, 3.0), ("a", 1, 1.0, 2.0, 0.5, 1.5, 3.0)], "symbol string, ts int, open double, high double, low double, close double, volume double")
+    with pytest.raises(ValueError, match="repeat"):
+        quality.require(bars, ["symbol", "ts"], quality.bar_reason())
+    with pytest.raises(ValueError, match="invalid_ohlc_order 1"):
+        quality.require(bars.limit(1).withColumn("low", bars["high"] + 1), ["symbol", "ts"], quality.bar_reason())
+    assert quality.require(bars.limit(1), ["symbol", "ts"], quality.bar_reason()).count() == 1
+    with pytest.raises(ValueError, match="columns"):
+        quality.resolve(spark.createDataFrame([(1, 2)], "Code int, CODE int"), {"symbol": ("code",)})
+    day = spark.createDataFrame([("a", dt.date(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, None, None, None, 1.0, 1.0, 1.0, None)], "symbol string, ts date, open double, high double, low double, close double, prev_close double, change double, pct_change double, volume double, amount double, turnover double, factor double")
+    with pytest.raises(Exception, match="no factor: a"):
+        history.historical_bars(day, "2024-01-01", "2024-12-31", "daily", "hfq").collect()
+    with pytest.raises(ValueError):
+        history.historical_bars(day, "2024-02-01", "2024-01-31")
+    assert tuple(history.historical_bars(day, "2025-01-01", "2025-12-31", "weekly").columns) == history.SHAPE
+
+
+def test_walk_forward_equals_fold_by_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, k, k + 1 + s % 2, float(rng.normal()) if rng.random() > 0.1 else None, float(rng.normal()), float(rng.normal())) for k in range(26) for s in range(8)]
+    df = spark.createDataFrame(rows, "symbol int, session int, label_end int, f double, g double, y double").cache()
+    got = {(r["symbol"], r["session"]): (r["fold"], round(r["score"], 9), r["threshold"], r["prediction"]) for r in learning.walk_forward(df, ["f", "g"], "y", 9, 4, 5, [-0.2, 0.0, 0.1], 0.01, least=20).collect()}
+    want = {}
+    for c in range(13, 26, 5):
+        a, b = c - 13, c - 4
+        model = learning.fit_ridge(df.where((F.col("session") >= a) & (F.col("session") < b) & (F.col("label_end") < b)), ["f", "g"], "y")
+        valid = df.where((F.col("session") >= b) & (F.col("session") < c) & (F.col("label_end") < c))
+        cut = learning.choose_threshold(valid.withColumn("score", model.score()), [-0.2, 0.0, 0.1], "y", 0.01)
+        model = learning.fit_ridge(df.where((F.col("session") >= a) & (F.col("session") < c) & (F.col("label_end") < c)), ["f", "g"], "y")
+        for r in df.where((F.col("session") >= c) & (F.col("session") < c + 5)).withColumn("score", model.score()).collect():
+            want[(r["symbol"], r["session"])] = (c, round(r["score"], 9), cut, int(r["score"] >= cut))
+    assert got == want
