@@ -83,11 +83,20 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     return near.unionByName(rest.join(cold, keys))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts hold at most `rows` rows: Python workers keep one batch, and what they make of it, in memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+#: Bytes of an Arrow batch of whole texts; a longer row is a batch alone.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession, rows: int | None = 1000) -> None:
+    """Python workers keep one Arrow batch, and what they make of it, in memory: lowers, never raises, the session's bound on its bytes and (if given) on its rows.
+
+    Spark reads both settings when a query is planned, so they can't be given to one query alone; results don't depend on them.
+    """
+    for key, most, default in (("maxBytesPerBatch", BATCH_BYTES, "0"), ("maxRecordsPerBatch", rows, "10000")):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, default)
+        if most and not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def text_fingerprint(text):

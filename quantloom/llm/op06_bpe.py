@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents
+from quantloom.llm.common import documents, small_batches
 from quantloom.llm.merge_automaton import WordTokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -51,6 +51,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 strings = [pa.array([sha256(x.as_buffer()).hexdigest() for x in s], pa.string()) if digests else s.cast(pa.string()) for s in strings]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *strings], names=["id", "n_tokens", *names])
 
+    small_batches(docs.sparkSession, None)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, {names[0]} string, {names[1]} string").withColumnRenamed("id", id_col)
 

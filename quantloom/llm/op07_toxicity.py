@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import textarrays as ta
-from quantloom.llm.common import documents
+from quantloom.llm.common import documents, small_batches
 from quantloom.llm.sampling import held_out, labelled_sample
 
 #: Bound of the training sample: rows of each label.
@@ -188,6 +188,7 @@ def score_documents(docs: DataFrame, model: SubwordClassifier, id_col: str = "do
             for batch in ta.slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tool.scores(batch.column(1)), pa.float64())], names=["id", "score"])
 
+    small_batches(docs.sparkSession, None)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
