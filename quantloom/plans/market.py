@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import resample, vsa
 from quantloom.plans.base import Registry, rounded, six
-from quantloom.sources.tables import DAILY_PRINTS, DAY_BARS, MONTH_BARS, daily_prints, day_bars, month_bars
+from quantloom.sources.tables import DAILY_PRINTS, MONTH_BARS, SUPPLIER_DAY_BARS, daily_prints, month_bars, supplier_day_bars
 
 CFG = vsa.Config(window=10)
 query = Registry()
@@ -99,14 +99,14 @@ def bars_with_flow(spark, sf_dir):
 
 
 def _roll_sql(key: str, base: str = "prev_close") -> str:
-    return f"""WITH {DAY_BARS}, r AS (SELECT symbol, {key} AS period, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, sum(amount) AS amount FROM b GROUP BY 1, 2),
+    return f"""WITH {SUPPLIER_DAY_BARS}, r AS (SELECT symbol, {key} AS period, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume, sum(amount) AS amount FROM b GROUP BY 1, 2),
 q AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY period) AS prev_close FROM r)
 SELECT symbol, period, ts, open, high, low, close, volume, amount, close - {base} AS change, round(CASE WHEN {base} > 0 THEN 100 * ((close - {base}) / {base}) END, 6) AS pct_change, round(CASE WHEN prev_close > 0 THEN 100 * ((high - low) / prev_close) END, 6) AS amplitude FROM q"""
 
 
 def _roll(period: str):
     def run(spark, sf_dir):
-        out = resample.roll_up(day_bars(spark, sf_dir), period, complete_sums=period == "iso")
+        out = resample.roll_up(supplier_day_bars(spark, sf_dir), period, complete_sums=period == "iso")
         return rounded(out, "symbol", "period", "ts", "open", "high", "low", "close", "volume", "amount", "change", six=("pct_change", "amplitude"))
 
     return run

@@ -48,11 +48,6 @@ def month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(daily_prints(spark, sf_dir), "symbol", F.trunc("day", "month"))
 
 
-def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar for each return flag and day."""
-    return bars(daily_prints(spark, sf_dir), "flag", F.col("day"))
-
-
 def supplier_day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar for each supplier and day with prints."""
     return bars(daily_prints(spark, sf_dir), "symbol", F.col("day"))
@@ -67,7 +62,6 @@ def _bars_sql(name: str, key: str, start: str) -> str:
 
 MONTH_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "symbol", "date_trunc('month', day)::DATE")
 SUPPLIER_DAY_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "symbol", "day")
-DAY_BARS = DAILY_PRINTS + ",\n" + _bars_sql("b", "flag", "day")
 
 BAR_MINUTES = 30
 

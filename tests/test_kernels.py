@@ -337,3 +337,29 @@ def test_walk_forward_equals_fold_by_fold(spark):
         for r in df.where((F.col("session") >= c) & (F.col("session") < c + 5)).withColumn("score", model.score()).collect():
             want[(r["symbol"], r["session"])] = (c, round(r["score"], 9), cut, int(r["score"] >= cut))
     assert got == want
+
+
+def test_factor_registry_and_bundle(spark, tmp_path):
+    from quantloom.operators import factors as fa
+
+    half = fa.Factor("half", "test", "half of x", ("x",), lambda: F.col("x") / 2, "ok", (0.0, 5.0))
+    reg = fa.Factors(half)
+    assert reg.register(half) is half and reg.definitions() == [("half", "test", "half of x", "x")]
+    with pytest.raises(ValueError, match="another factor"):
+        reg.register(fa.Factor("half", "test", "other", ("y",), lambda: F.col("y")))
+    df = spark.createDataFrame([("a", 4.0, True), ("b", float("inf"), True), ("c", 2.0, False)], "k string, x double, ok boolean")
+    made = reg.add(df, "half")
+    assert {r["k"]: r["half"] for r in made.collect()} == {"a": 2.0, "b": None, "c": None}
+    for bad, why in ((("third",), "no factor"), (("half",), "already")):
+        with pytest.raises(ValueError, match=why):
+            reg.add(made, *bad)
+    with pytest.raises(ValueError, match=r"needs columns \['ok', 'x'\]"):
+        reg.add(df.select("k"), "half")
+    m = fa.bundle(made, half, str(tmp_path / "b"), ["k"], "here")
+    assert (m["rows"], m["missing"]) == (3, 2) and spark.read.parquet(str(tmp_path / "b" / "data")).columns == ["k", "half"]
+    assert spark.read.json(str(tmp_path / "b" / "manifest")).first()["bounds"] == [0.0, 5.0]
+    with pytest.raises(ValueError, match="out_of_bounds 1"):
+        fa.bundle(made.withColumn("half", F.col("half") * 4), half, str(tmp_path / "c"), ["k"], "here")
+    with pytest.raises(ValueError, match="repeat"):
+        fa.bundle(made.unionByName(made), half, str(tmp_path / "c"), ["k"], "here")
+    assert not (tmp_path / "c").exists()
