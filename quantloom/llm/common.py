@@ -92,10 +92,10 @@ def small_batches(spark: SparkSession, rows: int | None = 1000) -> None:
 
     Spark reads both settings when a query is planned, so they can't be given to one query alone; results don't depend on them.
     """
-    for key, most, default in (("maxBytesPerBatch", BATCH_BYTES, "0"), ("maxRecordsPerBatch", rows, "10000")):
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", rows)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, default)
-        if most and not (now.isdigit() and 0 < int(now) <= most):
+        now = spark.conf.get(key, None) or ""
+        if most and not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
             spark.conf.set(key, str(most))
 
 
