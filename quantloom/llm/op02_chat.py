@@ -67,19 +67,20 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     while True:
         known = nodes.select(F.col("conv_id").alias("same"), F.col("node").alias("to"))
         inside = nodes.join(known, (F.col("conv_id") == F.col("same")) & (F.col("parent") == F.col("to")), "left").select("conv_id", "node", "to", "score")
-        # total: the scores from a message up to the one before `to`, which is null once the root has been counted
-        state, jumps, reach = written(inside.withColumnRenamed("score", "total"), "jumps"), [], 1
-        while reach <= longest and not state.where("to IS NOT NULL").isEmpty():
-            jumps.append((reach, state.where("to IS NOT NULL").select("conv_id", "node", "to")))
-            far = state.select("conv_id", F.col("node").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"))
-            state = written(state.join(far, ["conv_id", "to"], "left").select("conv_id", "node", F.col("far").alias("to"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "jumps")
+        # total: the scores from a message up to the one before `to`, which is null once the root has been counted; those that are done are only looked up
+        first = written(inside.withColumnRenamed("score", "total"), "jumps")
+        done, state, jumps, reach = first.where("to IS NULL"), first.where("to IS NOT NULL"), [], 1
+        while reach <= longest and not state.isEmpty():
+            jumps.append((reach, state.select("conv_id", "node", "to")))
+            far = done.unionByName(state).select("conv_id", F.col("node").alias("to"), F.col("to").alias("far"), F.col("total").alias("more"))
+            step = written(state.join(far, ["conv_id", "to"]).select("conv_id", "node", F.col("far").alias("to"), (F.col("total") + F.col("more")).alias("total")), "jumps")
+            done, state = done.unionByName(step.where("to IS NULL")), step.where("to IS NOT NULL")
             reach *= 2
-        circles = state.where("to IS NOT NULL")
-        if circles.isEmpty():
+        if state.isEmpty():
             break
-        nodes = _uncircled(nodes, circles)
+        nodes = _uncircled(nodes, state)
     inner = nodes.select("conv_id", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = state.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "total")
+    leaves = done.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "total")
     w = Window.partitionBy("conv_id").orderBy(F.col("total").desc(), "leaf")
     chosen = leaves.withColumn("path", F.row_number().over(w)).where(F.col("path") <= top).select("conv_id", "path", F.col("leaf").alias("node"), F.lit(0).alias("up"))
     paths = written(chosen, "paths")
