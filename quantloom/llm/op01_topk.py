@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import dropped, written
 
 TOP, BITS = 10, 64
+#: Least width of a segment that is chosen by the number of codes.
+LEAST_WIDTH = 16
 #: Codes that a segment's value may have in one group of the index; more are dealt to several.
 HOT_CODES = 50_000
 
@@ -64,7 +66,7 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
     """query_id, rank (from 1), id, distance: the k items nearest to each query, ties by id; fewer if there are fewer items. items, queries: id, code.
 
     Equal codes are one entry with its k smallest ids, so a vector that a third of the rows share costs one entry; equal queries are one
-    query. Repeated rows count once for each row. Segments are as wide as log2 of the number of codes, unless `width` says otherwise; codes that share a
+    query. Repeated rows count once for each row. Segments are as wide as log2 of the number of codes, 16 bits at least, unless `width` says otherwise; codes that share a
     segment's value beyond `hot_codes` are dealt to lots, and probes go to each of them.
     """
     w = Window.partitionBy("code").orderBy("id")
@@ -73,7 +75,7 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
     asked = written(queries.select(F.col("code").alias("q")).distinct().withColumn("cap", F.lit(bits)), "queries")
     seen = codes.agg(F.sum(F.size("ids")).alias("n"), F.count(F.lit(1)).alias("codes")).first()
     wanted = min(k, seen["n"] or 0)
-    parts = segments(bits, width or max(1, (seen["codes"] or 1).bit_length()))
+    parts = segments(bits, width or max(LEAST_WIDTH, (seen["codes"] or 1).bit_length()))
     m, widest = len(parts), max(x for _, x in parts)
     index, crowded = _indexed(codes, parts, hot_codes)
     best, open_queries, radius = None, asked, 0
