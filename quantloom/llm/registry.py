@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import op01_topk, op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op07_toxicity, op08_packing, op09_exact_dedup, op10_sharding
+from quantloom.llm import op01_topk, op02_chat, op03_substring, op04_near_dup, op05_language, op06_bpe, op07_toxicity, op08_packing, op09_exact_dedup, op10_sharding, op11_token_files, op12_alignment, op13_prefix_trie
 
 QUERIES = {
     "op1_hamming_topk": op01_topk.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packing": op08_packing.query,
     "op9_exact_dedup": op09_exact_dedup.query,
     "op10_sharding": op10_sharding.query,
+    "op11_token_files": op11_token_files.query,
+    "op12_alignment": op12_alignment.query,
+    "op13_prefix_trie": op13_prefix_trie.query,
 }
 ORACLES = {
     "op1_hamming_topk": op01_topk.ORACLE_SQL,
@@ -24,4 +27,5 @@ ORACLES = {
     "op3_substring_dedup": op03_substring.ORACLE_SQL,
     "op4_near_dup": op04_near_dup.ORACLE_SQL,
     "op9_exact_dedup": op09_exact_dedup.ORACLE_SQL,
+    "op13_prefix_trie": op13_prefix_trie.ORACLE_SQL,
 }
