@@ -61,14 +61,18 @@ class Encoder:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.known: dict[bytes, bytes | None] = {}
 
-    def ids(self, pieces: list[bytes]) -> list[bytes | None]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        found = dict(self._joined(new))
-        if len(known) + len(found) <= KEPT:
-            known.update(found)
-            return [known[p] for p in pieces]
-        return [known[p] if p in known else found[p] for p in pieces]
+    def ids(self, pieces: list[bytes], counts: np.ndarray | None = None) -> list[bytes | None]:
+        """Ids of distinct pieces. Those that occur more than once (by counts) are kept, while there is room: most others never come again."""
+        known, missing = self.known, object()
+        out = [known.get(p, missing) for p in pieces]
+        at = [i for i, x in enumerate(out) if x is missing]
+        found = dict(self._joined([pieces[i] for i in at]))
+        for i in at:
+            out[i] = found[pieces[i]]
+        often = at if counts is None else np.array(at, np.int64)[counts[at] > 1].tolist()
+        for i in often[: max(0, KEPT - len(known))]:
+            known[pieces[i]] = out[i]
+        return out
 
     def _joined(self, pieces: list[bytes]):
         ascii_end, ascii_head, alone = [], [], []
@@ -154,7 +158,7 @@ def sentence_pieces(path: str) -> Encoder:
 def ids_of_rows(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, one after another, and each row's first and past-the-last place among them."""
     codes, pieces, ends = distinct_pieces(data, offsets)
-    found = encoder.ids(pieces)
+    found = encoder.ids(pieces, np.bincount(codes, minlength=len(pieces)))
     if None in found:
         raise ValueError("tokens that are not their text's bytes")
     sizes = np.array([len(x) // 4 for x in found], np.int64)
