@@ -27,6 +27,10 @@ SIGN = "▁".encode()
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII but white space.
+_PLAIN = ~_SPACE
+_PLAIN[128:] = False
+_PLAIN[0] = False
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -43,9 +47,25 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first[:n])
 
 
-def distinct_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+_WORD, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+
+
+def byte_level_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The same for byte-level BPE alone, whose words end before any white space that follows ASCII that is none, and before a mark of the end of a clause that follows an ASCII letter or digit."""
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    if n > 1:
+        before, at = data[:-1], data[1:]
+        first[1:n] = (_SPACE[at] & ~_SPACE[before] & (before < 128)) | (_STOP[at] & _WORD[before]) | ((at == 32) & (before >= 128) & (before != SIGN[-1]) & _PLAIN[np.append(data[2:], 0)])
+    first[offsets] = True
+    return np.flatnonzero(first[:n])
+
+
+def distinct_pieces(data: np.ndarray, offsets: np.ndarray, cut=piece_starts) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Code of each piece, the distinct pieces by code, and how many pieces end by each row's end (from 0)."""
-    starts = piece_starts(data, offsets)
+    starts = cut(data, offsets)
     ends = np.append(starts, len(data)).astype(np.int64)
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
     coded = column.dictionary_encode()
@@ -55,9 +75,9 @@ def distinct_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 class Encoder:
     """Ids of pieces (int32 bytes) by one library; None where the joined tokens are not the piece's bytes."""
 
-    def __init__(self, tokens: list[bytes], encode, skip: int = 0):
-        """tokens: bytes of each id; encode: strings to lists of ids; skip: bytes at the head of a string that the library adds itself."""
-        self.tokens, self.encode, self.skip = tokens, encode, skip
+    def __init__(self, tokens: list[bytes], encode, cut=piece_starts, skip: int = 0):
+        """tokens: bytes of each id; encode: strings to lists of ids; cut: where pieces start; skip: bytes at the head of a string that the library adds itself."""
+        self.tokens, self.encode, self.cut, self.skip = tokens, encode, cut, skip
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.known: dict[bytes, bytes | None] = {}
 
@@ -75,13 +95,13 @@ class Encoder:
         return out
 
     def _joined(self, pieces: list[bytes]):
-        ascii_end, ascii_head, alone = [], [], []
+        ascii_end, ascii_head, alone, space = [], [], [], _SPACE.tolist()
         for p in pieces:
-            if len(p) < 2 or p[0] != 32 or _SPACE[p[-1]]:
+            if len(p) < 2 or not space[p[0]] or space[p[-1]]:
                 alone.append(p)
             elif p[-1] < 128:
                 ascii_end.append(p)
-            elif p[1] < 128 and not _SPACE[p[1]]:
+            elif p[1] < 128 and not space[p[1]]:
                 ascii_head.append(p)
             else:
                 alone.append(p)
@@ -137,7 +157,7 @@ def byte_level(path: str, plain: bool) -> Encoder:
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     for word, i in vocabulary.items():
         tokens[i] = word.encode() if word in special else bytes(symbols[c] for c in word)
-    return Encoder(tokens, lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    return Encoder(tokens, lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], byte_level_starts)
 
 
 @lru_cache(4)
@@ -157,7 +177,7 @@ def sentence_pieces(path: str) -> Encoder:
 
 def ids_of_rows(encoder: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, one after another, and each row's first and past-the-last place among them."""
-    codes, pieces, ends = distinct_pieces(data, offsets)
+    codes, pieces, ends = distinct_pieces(data, offsets, encoder.cut)
     found = encoder.ids(pieces, np.bincount(codes, minlength=len(pieces)))
     if None in found:
         raise ValueError("tokens that are not their text's bytes")

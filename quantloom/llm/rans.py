@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 
-LANES, STEPS, SEGMENTS = 256, 128, 8
+LANES, STEPS, SEGMENTS = 512, 128, 4
 #: Symbols between two checkpoints, and of a block.
 SEGMENT = LANES * STEPS
 BLOCK = SEGMENT * SEGMENTS
