@@ -1,13 +1,15 @@
 """Op 1, exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of B bits is cut into m segments of about log2 of the number of codes, each with an index of its own.  After all segments have been searched to radius r, every code within
+A code of B bits is cut into m segments, as many as make probes and codes met by them fewest, each with an index of its own.  After all segments have been searched to radius r, every code within
 m * (r + 1) - 1 bits of a query has been met, for a code farther in every segment differs in m * (r + 1) bits at least.  The radius grows until
-a query's kth verified distance is within that bound; such queries are done, the rest go on.
+a query's kth verified distance is within that bound; such queries are done, the rest go on, until the next radius would cost a query more probes and codes met by them than there are
+codes: what is still open then is compared with all codes, block by block.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +19,19 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import dropped, written
 
 TOP, BITS = 10, 64
-#: Least width of a segment that is chosen by the number of codes.
-LEAST_WIDTH = 16
+#: Queries and codes that meet in one row when open queries are compared with all codes.
+QUERY_BLOCK, CODE_BLOCK = 1024, 16_384
 #: Codes that a segment's value may have in one group of the index; more are dealt to several.
 HOT_CODES = 50_000
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = BITS) -> DataFrame:
     """id, code (bigint): bit i is set where component i is over 0; missing, null and NaN components count as 0. Rows with a null vector or id go; a vector with more than `bits` components is an error."""
-
-    def run(batches):
-        for batch in batches:
-            out = np.zeros(batch.num_rows, np.uint64)
-            column = batch.column(1)
-            size = np.asarray(column.value_lengths())
-            values = np.nan_to_num(np.asarray(column.flatten().fill_null(0.0), np.float64))
-            row = np.repeat(np.arange(batch.num_rows), size)
-            if len(size) and np.nanmax(np.nan_to_num(np.asarray(size, np.float64))) > bits:
-                raise ValueError(f"a vector has more than {bits} components")
-            at = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            use = values > 0
-            np.bitwise_or.at(out, row[use], np.uint64(1) << at[use].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "code"])
-
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id bigint, code bigint")
+    v = F.col(vector_col)
+    bit = F.transform(v, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    code = F.aggregate(bit, F.lit(0).cast("bigint"), lambda all_, one: all_.bitwiseOR(one))
+    code = F.when(F.size(v) > bits, F.raise_error(F.lit(f"a vector has more than {bits} components"))).otherwise(code)
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), code.cast("bigint").alias("code"))
 
 
 def _segment(code: Column, at: int, width: int) -> Column:
@@ -49,11 +40,65 @@ def _segment(code: Column, at: int, width: int) -> Column:
 
 def segments(bits: int, width: int) -> list[tuple[int, int]]:
     """First bit and width of each segment: about bits / width of them, no two widths more than one apart."""
-    m = min(bits, max(1, round(bits / width)))
+    return _cut(bits, min(bits, max(1, round(bits / width))))
+
+
+def _cut(bits: int, m: int) -> list[tuple[int, int]]:
     edges = [bits * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def cheapest_segments(bits: int, codes: int, k: int) -> list[tuple[int, int]]:
+    """The segments for which a query is expected to cost least, in probes and codes met by them, were codes spread evenly.
+
+    Then the kth nearest of `codes` lies at the least distance d within which codes * P(at most d of the bits differ) reaches k; segments must be searched to the least radius r with m (r + 1) - 1 >= d.
+    """
+    d, met = 0, codes / 2.0**bits
+    while met < k and d < bits:
+        d += 1
+        met += codes * comb(bits, d) / 2.0**bits
+    cost = []
+    for m in range(1, bits + 1):
+        radius, parts = -(-(d + 1) // m) - 1, _cut(bits, m)
+        cost.append((sum((1 + codes / 2.0**w) * sum(comb(w, i) for i in range(min(radius, w) + 1)) for _, w in parts), m))
+    return _cut(bits, min(cost)[1])
+
+
+def radius_cost(parts: list[tuple[int, int]], radius: int, codes: int) -> float:
+    """Probes of one query at this radius alone, and the codes they are expected to meet."""
+    return sum((1 + codes / 2.0**w) * comb(w, radius) for _, w in parts)
+
+
+def _scanned(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """q, code, distance of at least the k codes nearest to each query by (distance, first id), for each block of codes: both sides are dealt to blocks, and each two meet in one row."""
+
+    def blocks(size: int):
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, part.num_rows], c) for c in part.columns], names=part.schema.names)
+
+        return run
+
+    def nearest(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, code, first = (np.asarray(batch.column(c)[row].values) for c in ("q", "code", "first"))
+                order = np.argsort(first, kind="stable")
+                code = code[order]
+                for at in range(0, len(q), 64):
+                    some = q[at : at + 64]
+                    far = np.bitwise_count(some[:, None] ^ code[None, :])
+                    # ties by first id: codes are in that order
+                    best = np.argsort(far, axis=1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, best.shape[1])), pa.array(code[best].ravel()), pa.array(np.take_along_axis(far, best, 1).ravel().astype(np.int32))], names=["q", "code", "distance"])
+
+    q = queries.select("q").mapInArrow(blocks(QUERY_BLOCK), "q array<bigint>")
+    c = codes.select("code", F.col("ids")[0].alias("first")).mapInArrow(blocks(CODE_BLOCK), "code array<bigint>, first array<bigint>")
+    return c.crossJoin(q).mapInArrow(nearest, "q bigint, code bigint, distance int")
+
+
 def _indexed(codes: DataFrame, parts: list[tuple[int, int]], hot_codes: int) -> tuple[DataFrame, DataFrame]:
     """The index (seg, value, lot, code, first), and how many lots a hot (seg, value) has."""
     index = codes.select("code", F.col("ids")[0].alias("first"), F.posexplode(F.array(*[_segment(F.col("code"), at, w) for at, w in parts])).alias("seg", "value"))
@@ -62,11 +107,33 @@ def _indexed(codes: DataFrame, parts: list[tuple[int, int]], hot_codes: int) ->
     return written(index, "index"), crowded
 
 
+def _probed(open_queries: DataFrame, index: DataFrame, crowded: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """q, code, first, distance: the codes that lie at this radius in some segment and within cap, each once."""
+    m = len(parts)
+    probes = None
+    for j, (at, size) in enumerate(parts):
+        if radius <= size:
+            masks = np.array([sum(1 << b for b in c) for c in combinations(range(size), radius)], dtype=np.int64)
+            own = open_queries.select("q", "cap", F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", _segment(F.col("q"), at, size).bitwiseXOR(F.col("mask")).alias("value"))
+            probes = own if probes is None else probes.unionByName(own)
+    probes = probes.join(crowded, ["seg", "value"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
+    # the planner takes probes for as small as their queries: keep it from broadcasting them
+    met = probes.join(index.hint("shuffle_hash"), ["seg", "value", "lot"])
+    # each code once: at the least distance over its segments, in the first segment that has it
+    far = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), at, size)) for at, size in parts]
+    once = F.lit(True)
+    for j in range(m):
+        once = once & F.when(F.col("seg") > j, far[j] > radius).otherwise(far[j] >= radius)
+    # what is farther than the kth found so far is of no use: Spark tests this in the join
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+    return met.where(once & (distance <= F.col("cap"))).select("q", "code", "first", distance.alias("distance"))
+
+
 def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, width: int | None = None, hot_codes: int = HOT_CODES) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k items nearest to each query, ties by id; fewer if there are fewer items. items, queries: id, code.
 
     Equal codes are one entry with its k smallest ids, so a vector that a third of the rows share costs one entry; equal queries are one
-    query. Repeated rows count once for each row. Segments are as wide as log2 of the number of codes, 16 bits at least, unless `width` says otherwise; codes that share a
+    query. Repeated rows count once for each row. Segments are those that cost least by cheapest_segments() unless `width` says otherwise; codes that share a
     segment's value beyond `hot_codes` are dealt to lots, and probes go to each of them.
     """
     w = Window.partitionBy("code").orderBy("id")
@@ -75,40 +142,28 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
     asked = written(queries.select(F.col("code").alias("q")).distinct().withColumn("cap", F.lit(bits)), "queries")
     seen = codes.agg(F.sum(F.size("ids")).alias("n"), F.count(F.lit(1)).alias("codes")).first()
     wanted = min(k, seen["n"] or 0)
-    parts = segments(bits, width or max(LEAST_WIDTH, (seen["codes"] or 1).bit_length()))
+    parts = segments(bits, width) if width else cheapest_segments(bits, seen["codes"], wanted)
     m, widest = len(parts), max(x for _, x in parts)
     index, crowded = _indexed(codes, parts, hot_codes)
     best, open_queries, radius = None, asked, 0
     done, spent = [], [codes, index, crowded, asked]
     w = Window.partitionBy("q").orderBy("distance", "id")
-    while radius <= widest:
-        probes = None
-        for j, (at, size) in enumerate(parts):
-            if radius <= size:
-                masks = np.array([sum(1 << b for b in c) for c in combinations(range(size), radius)], dtype=np.int64)
-                own = open_queries.select("q", "cap", F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", _segment(F.col("q"), at, size).bitwiseXOR(F.col("mask")).alias("value"))
-                probes = own if probes is None else probes.unionByName(own)
-        probes = probes.join(crowded, ["seg", "value"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
-        # the planner takes probes for as small as their queries: keep it from broadcasting them
-        met = probes.join(index.hint("shuffle_hash"), ["seg", "value", "lot"])
-        # each code once: at the least distance over its segments, in the first segment that has it
-        far = [F.bit_count(_segment(F.col("q").bitwiseXOR(F.col("code")), at, size)) for at, size in parts]
-        once = F.lit(True)
-        for j in range(m):
-            once = once & F.when(F.col("seg") > j, far[j] > radius).otherwise(far[j] >= radius)
-        # what is farther than the kth found so far is of no use: Spark tests this in the join
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        new = met.where(once & (distance <= F.col("cap"))).select("q", "code", "first", distance.alias("distance"))
+    scan = False
+    while not scan:
+        scan = radius > widest or radius_cost(parts, radius, seen["codes"]) > seen["codes"]
+        new = _scanned(open_queries, codes, k) if scan else _probed(open_queries, index, crowded, parts, radius)
         # the k ids wanted are among the k codes nearest by (distance, smallest id)
+        if scan:
+            new = new.join(codes.select("code", F.col("ids")[0].alias("first")), "code")
         near = Window.partitionBy("q").orderBy("distance", "first")
         new = new.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).select("q", "code", "distance")
         new = new.join(codes, "code").select("q", F.explode("ids").alias("id"), "distance")
-        if best is not None:
+        if best is not None and not scan:
             new = new.unionByName(best)
         ranked = written(new.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), f"radius-{radius}")
         covered = m * (radius + 1) - 1
         state = ranked.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        over = written(state.where((F.col("n") >= wanted) & (F.col("kth") <= covered)).select("q") if radius < widest else asked.select("q"), "covered")
+        over = written(state.where((F.col("n") >= wanted) & (F.col("kth") <= covered)).select("q") if not scan else asked.select("q"), "covered")
         done.append(ranked.join(over, "q", "left_semi"))
         best = ranked.join(over, "q", "left_anti").drop("rank")
         cap = F.when(F.col("n") >= wanted, F.col("kth")).otherwise(F.lit(bits))
