@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import col
@@ -57,21 +57,55 @@ def prior_percentile(c: str | Column, w: WindowSpec, n: int, least: int) -> Colu
     return F.when(col(c).isNotNull() & (F.size(values) >= least), rank)
 
 
-def ewm(c: str | Column, w: WindowSpec, span: int) -> Column:
-    """Exponentially weighted mean, not adjusted; missing values let the old weight decay. For short segments: a prefix is folded for each row."""
-    a = 2.0 / (span + 1)
-    prefix = F.collect_list(F.struct(col(c).alias("x"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
-
-    def fold(s: Column, v: Column) -> Column:
-        old = s["w"] * (1 - a)
-        return (
-            F.when(v["x"].isNull(), F.struct(s["m"].alias("m"), F.when(s["m"].isNull(), s["w"]).otherwise(old).alias("w")))
-            .when(s["m"].isNull(), F.struct(v["x"].alias("m"), F.lit(1.0).alias("w")))
-            .otherwise(F.struct(((old * s["m"] + a * v["x"]) / (old + a)).alias("m"), F.lit(1.0).alias("w")))
-        )
-
-    return F.aggregate(prefix, start, fold, lambda s: s["m"])
+#: Rows of a block, blocks of a larger block, of ewm().
+BLOCK = 128
+
+
+def ewm(df: DataFrame, means: dict[str, tuple[str, int]], keys: list[str], order: list[str], block: int = BLOCK) -> DataFrame:
+    """df with exponentially weighted means (not adjusted), name -> (column, span), over the rows of equal keys; missing values let the old weight decay and repeat the mean.
+
+    A value x after g missing ones turns the mean m into (d m + a x) / (d + a) with a = 2 / (span + 1) and d = (1 - a)^(g + 1): a map m -> A m + B, and maps compose. The map of all rows so far is put
+    together from those of the full large blocks before, of the full blocks before in this large block, and of the rows of this block: at most `block` of each are folded for a row
+    (large blocks: one for each block^2 rows), so the work is in proportion to the rows.
+    """
+    s = by(*keys, order=tuple(order))
+    row, last = "_ewm_row", Window.unboundedPreceding
+    names = {n: f"_ewm_{i}" for i, n in enumerate(means)}
+    out = df.withColumn(row, F.row_number().over(s) - 1)
+    seen = {n: F.max(F.when(F.col(c).isNotNull(), F.col(row))).over(s.rowsBetween(last, -1)) for n, (c, _) in means.items()}
+    steps = {}
+    for n, (c, span) in means.items():
+        a = 2.0 / (span + 1)
+        d = F.pow(F.lit(1 - a), F.col(row) - seen[n])
+        step = F.when(F.col(c).isNull(), _map(1.0, 0.0)).when(seen[n].isNull(), _map(0.0, F.col(c))).otherwise(_map(d / (d + a), a * F.col(c) / (d + a)))
+        steps[names[n]] = step
+        steps[f"{names[n]}_any"] = seen[n].isNotNull() | F.col(c).isNotNull()
+    out = out.withColumns(steps)
+    k = [*keys, "_ewm_block"]
+    out = out.withColumns({"_ewm_block": F.floor(F.col(row) / block), "_ewm_large": F.floor(F.col(row) / block**2)})
+    inside, around = by(*k, order=tuple(order)).rowsBetween(last, 0), by(*keys, "_ewm_large", order=tuple(order)).rowsBetween(last, -1)
+    out = out.withColumns({m: _composed(F.collect_list(m).over(inside)) for m in names.values()})
+    full = (F.col(row) + 1) % block == 0
+    out = out.withColumns({f"{m}_b": _composed(F.collect_list(F.when(full, F.col(m))).over(around)) for m in names.values()})
+    whole = (F.col(row) + 1) % block**2 == 0
+    large = lambda m: F.when(whole, _after(F.col(f"{m}_b"), F.col(m)))
+    out = out.withColumns({f"{m}_l": _composed(F.collect_list(large(m)).over(s.rowsBetween(last, -1))) for m in names.values()})
+    mean = {n: F.when(F.col(f"{m}_any"), _after(_after(F.col(f"{m}_l"), F.col(f"{m}_b")), F.col(m))["b"]) for n, m in names.items()}
+    return out.withColumns(mean).drop(row, "_ewm_block", "_ewm_large", *[f"{m}{x}" for m in names.values() for x in ("", "_any", "_b", "_l")])
+
+
+def _map(a: float | Column, b: float | Column) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(lit(a).cast("double").alias("a"), lit(b).cast("double").alias("b"))
+
+
+def _after(first: Column, then: Column) -> Column:
+    """The map `first`, then the map `then`."""
+    return F.struct((then["a"] * first["a"]).alias("a"), (then["a"] * first["b"] + then["b"]).alias("b"))
+
+
+def _composed(maps: Column) -> Column:
+    return F.aggregate(maps, _map(1.0, 0.0), _after)
 
 
 def islands(boundary: Column, w: WindowSpec) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 
 from quantloom.functions import windows as w
 from quantloom.functions.expr import first_match, ratio
+from quantloom.operators.learning import spearman
+from quantloom.operators.ranks import running_before
 
 RETURNS, AVERAGES = (1, 5, 10, 20), (5, 10, 20)
 
@@ -31,22 +33,17 @@ def panel_labels(feat: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """Area under the ROC curve from rank sums with average ranks for ties. scored: score, label (0, 1). With `by`, for each group; ranks need a group's rows in order in one
-    partition, one row for each distinct score after a partial sum."""
+    """Area under the ROC curve from rank sums with average ranks for ties. scored: score, label (0, 1). With `by`, for each group. Distinct scores are ranked over range partitions, so a group,
+    or the whole table, may be of any size."""
     keys = [by] if by else []
     counts = scored.where("score IS NOT NULL AND label IS NOT NULL").groupBy(*keys, "score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = counts.withColumn("wins", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0.0)) + 0.5 * F.col("neg")))
+    pairs = running_before(counts, keys, ["score"], {"below": "neg"}).withColumn("wins", F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     return pairs.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def rank_ic(scored: DataFrame, by: str) -> DataFrame:
     """Spearman correlation of score and outcome in each group: Pearson over average ranks."""
-    ok = scored.where("score IS NOT NULL AND outcome IS NOT NULL")
-    rank = lambda c: w.average_rank(Window.partitionBy(by).orderBy(c), Window.partitionBy(by, c))
-    ranked = ok.withColumns({"r1": rank("score"), "r2": rank("outcome")})
-    spread = F.stddev_pop("r1") * F.stddev_pop("r2")
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("r1", "r2"), spread).alias("ic"))
+    return spearman(scored, by)
 
 
 def threshold_grid(scored: DataFrame, low: int = 50, high: int = 70) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import ratio
+from quantloom.operators.ranks import average_ranks, numbered
+from quantloom.sources.shared import written
 
 
 def bucket_edge(n, k: int, q: int):
@@ -24,8 +26,7 @@ def event_study(rows: DataFrame, q: int, cost: float) -> DataFrame:
 
     rows: group, key, factor, outcome.
     """
-    w = Window.partitionBy("group")
-    ranked = rows.where("factor IS NOT NULL AND outcome IS NOT NULL").withColumns({"rank": F.row_number().over(w.orderBy("factor", "key")), "n": F.count(F.lit(1)).over(w)})
+    ranked = numbered(rows.where("factor IS NOT NULL AND outcome IS NOT NULL"), ["group"], ["factor", "key"], size="n")
     # the bucket is the first whose upper edge reaches the rank
     bucket = F.lit(1)
     for k in range(1, q):
@@ -54,28 +55,9 @@ class Ridge:
 
 
 def fit_ridge(rows: DataFrame, columns: list[str], target: str, penalty: float = 1.0) -> Ridge:
-    """Fits from two passes of aggregates (medians; sums of products); only p x p numbers reach the driver."""
-    rows = rows.where(F.col(target).isNotNull())
-    med = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    kept = [c for c in columns if med[c] is not None]
-    x = {c: F.coalesce(F.col(c), F.lit(float(med[c]))) for c in kept}
-    y = F.col(target)
-    sums = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("y")]
-    sums += [F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(kept)] + [F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(kept)]
-    sums += [F.covar_pop(x[c], y).alias(f"y{i}") for i, c in enumerate(kept)]
-    sums += [F.covar_pop(x[a], x[b]).alias(f"c{i}_{j}") for i, a in enumerate(kept) for j, b in enumerate(kept) if j >= i]
-    r = rows.agg(*sums).first()
-    p, n = len(kept), r["n"]
-    if not n:
-        return Ridge((), (), (), (), (), 0.0)
-    scale = np.array([r[f"s{i}"] if r[f"s{i}"] > 1e-12 else 1.0 for i in range(p)])
-    cov = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]).reshape(p, p)
-    gram, moment = n * cov / np.outer(scale, scale), n * np.array([r[f"y{i}"] for i in range(p)]) / scale
-    try:
-        weight = np.linalg.solve(gram + penalty * np.eye(p), moment)
-    except np.linalg.LinAlgError:
-        weight = np.linalg.lstsq(gram + penalty * np.eye(p), moment, rcond=None)[0]
-    return Ridge(tuple(kept), tuple(float(med[c]) for c in kept), tuple(float(r[f"m{i}"]) for i in range(p)), tuple(map(float, scale)), tuple(map(float, weight)), float(r["y"]))
+    """Fits from two passes of aggregates (medians; sums of products); only p x p numbers reach the driver. Without rows: a model that scores 0."""
+    found = _fold_models(rows.withColumn("fold", F.lit(0)), columns, target, penalty)
+    return found[0][1] if found else Ridge((), (), (), (), (), 0.0)
 
 
 def choose_threshold(scored: DataFrame, candidates: list[float], outcome: str, cost: float, least: int = 10) -> float:
@@ -154,6 +136,8 @@ def walk_forward(rows: DataFrame, columns: list[str], target: str, train: int, v
     begin = base + F.col("fold") * test
     part = F.when(F.col("_at") >= begin, "test").when(F.col("_at") >= begin - validate, "valid").otherwise("train")
     dealt = dealt.withColumn("_part", part).where(F.col("_at") >= begin - base).join(edges, "fold")
+    names = list(dict.fromkeys([*rows.columns, "fold", "_part", "_valid", "_test"]))
+    dealt = written(dealt.select(*names), "walk-forward")  # five passes read it
     known, end = F.col("_part"), F.col("label_end")
     fitted = _fold_models(dealt.where((known == "train") & (end < F.col("_valid"))), columns, target, penalty)
     fitted = {f: m for f, (k, m) in fitted.items() if k >= least}
@@ -185,6 +169,14 @@ def execution_signals(scored: DataFrame, threshold: float, exit_threshold: float
 
 
 def summary(predicted: DataFrame, target: str, cost: float) -> DataFrame:
-    """For each fold: rows, predictions, their mean net outcome and share of gains."""
+    """For each fold: rows, predictions, their mean net outcome and share of gains, and the Spearman correlation of score and outcome (`ic`) over rows that have both."""
     hit = F.col("prediction") == 1
-    return predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_predicted"), F.avg(F.when(hit, F.col(target) - cost)).alias("mean_net"), ratio(F.count_if(hit & (F.col(target) > cost)), F.count_if(hit)).alias("hit_rate"))
+    out = predicted.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_predicted"), F.avg(F.when(hit, F.col(target) - cost)).alias("mean_net"), ratio(F.count_if(hit & (F.col(target) > cost)), F.count_if(hit)).alias("hit_rate"))
+    return out.join(spearman(predicted.select("fold", "score", F.col(target).alias("outcome")), "fold").select("fold", "ic"), "fold", "left")
+
+
+def spearman(scored: DataFrame, by: str) -> DataFrame:
+    """n and ic for each group: Pearson's correlation of average ranks of score and outcome, NULL where either has one rank only; rows without both are left out. scored: `by`, score, outcome."""
+    both = scored.where("score IS NOT NULL AND outcome IS NOT NULL").select(by, "score", "outcome")
+    ranked = average_ranks(average_ranks(both, [by], "score", "r1"), [by], "outcome", "r2")
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), ratio(F.covar_pop("r1", "r2"), F.stddev_pop("r1") * F.stddev_pop("r2")).alias("ic"))

@@ -68,12 +68,17 @@ def segments(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     return feat.withColumn("_starts", ~true(follows)).withColumn("segment", w.islands(F.col("_starts"), d)).drop("_starts")
 
 
+def session_last(cfg: Config = Config()):
+    """Whether a bar is in a session and no further one of its date can be."""
+    return (session_part(F.col("minute")) != "out") & (F.col("minute") + cfg.minutes >= 900)
+
+
 def _blended_window(cfg: Config):
     return day() if cfg.whole_days else segment()
 
 
 def flow_bars(prints: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Bars of prints (symbol, date_key, second, price, volume, direction, event_id) with their flow."""
+    """Bars of prints (symbol, date_key, second, price, volume, direction, trade_count, event_id) with their flow."""
     p = prints.withColumn("minute", resample.bar_minute("second", cfg.minutes))
     keys = ["symbol", *TIME]
     order = F.struct("second", "event_id")
@@ -106,14 +111,14 @@ def baseline_features(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def baseline_signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """1 on entry, -1 on exit, entries first; each must hold on `persistence` bars of one date."""
+    """Adds entry_signal and exit_signal, and signal: 1 on entry, -1 on exit, entries first; each must hold on `persistence` bars of one date."""
     d, rv, loc, r = (F.col(x) for x in ("delta_ratio", "relative_volume", "close_location", "bar_return"))
     able = F.col("valid") & F.col("ready")
     entry = able & true(d >= cfg.entry_delta) & true(rv >= cfg.entry_volume) & true(loc >= cfg.entry_location) & true(r >= 0) & true(F.col("vwap_distance") >= 0)
     exit_ = able & (true(d <= cfg.exit_delta) & true(rv >= cfg.entry_volume) & true(loc <= cfg.exit_location) | F.col("bearish_absorption") | (F.col("divergence") == 1))
     out = feat.withColumns({"entry_candidate": entry, "exit_candidate": exit_})
     hold = {k: w.persistent(f"{k}_candidate", day(), cfg.persistence) for k in ("entry", "exit")}
-    return out.withColumn("signal", F.when(hold["entry"], 1).when(hold["exit"], -1).otherwise(0))
+    return out.withColumns({"entry_signal": hold["entry"], "exit_signal": hold["exit"], "session_last": session_last(cfg)}).withColumn("signal", F.when(F.col("entry_signal"), 1).when(F.col("exit_signal"), -1).otherwise(0))
 
 
 def baseline_summary(sig: DataFrame) -> DataFrame:
@@ -136,7 +141,9 @@ def blended_features(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     total = lambda c, n=f: w.trailing("sum", c, s, n, 1)
     c, o, h, lo = (F.col(x) for x in ("close", "open", "high", "low"))
     out = segments(feat, cfg).withColumn("flow", when_ok(clip(ratio("delta", "print_volume"), -1.0, 1.0))).withColumn("volume_ok", when_ok(F.col("print_volume"))).withColumn("delta_ok", when_ok(F.col("delta")))
-    out = out.withColumns({f"ema_{n}": clip(w.ewm("flow", s, span), -1.0, 1.0) for n, span in zip(("fast", "medium", "slow"), cfg.spans)})
+    names = ("ema_fast", "ema_medium", "ema_slow")
+    out = w.ewm(out, {n: ("flow", span) for n, span in zip(names, cfg.spans)}, ["symbol", "date_key"] if cfg.whole_days else ["symbol", "date_key", "segment"], ["minute"])
+    out = out.withColumns({n: clip(n, -1.0, 1.0) for n in names})
     out = out.withColumns({
         "pressure": clip(mean_of(["ema_fast", "ema_medium", "ema_slow"], 2), -1.0, 1.0), "flow_trend": clip(F.col("ema_fast") - F.col("ema_slow"), -1.0, 1.0), "acceleration": clip(w.change("ema_fast", s), -1.0, 1.0),
         "persistence": w.trailing("mean", sign("flow"), s, f, 2), "consistency": clip(ratio(F.abs(total("delta_ok")), total(F.abs("delta_ok"))), 0.0, 1.0),
@@ -173,7 +180,8 @@ def blended_features(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     step = c - F.lag("close", r).over(s)
     out = out.withColumn("move", F.abs(w.change("close", s))).withColumn("path_efficiency", clip(ratio(F.abs(step), w.trailing("sum", "move", s, r, 1)), 0.0, 1.0))
     out = out.withColumn("regime_score", when_ok(sign(step) * F.col("path_efficiency"))).withColumn("volatility", w.trailing("std1", when_ok(F.col("bar_return")), s, r, min(3, r)))
-    out = out.withColumn("volatility_rank", rank("volatility"))
+    # equal spreads must tie, whatever the order of their sums
+    out = out.withColumn("_spread", F.round("volatility", 12)).withColumn("volatility_rank", rank("_spread")).drop("_spread")
     out = out.withColumns({
         "regime": first_match([(~ok, "insufficient"), (F.col("volatility_rank") >= 0.8, "high_volatility"), (F.col("regime_score") >= 0.35, "trend_up"), (F.col("regime_score") <= -0.35, "trend_down")], "range"),
         "alignment": when_ok(clip(p * F.col("regime_score"), -1.0, 1.0)), "large_flow": when_ok(clip(F.col("large_delta_ratio"), -1.0, 1.0) * clip(F.col("large_share"), 0.0, 1.0)),
@@ -195,7 +203,7 @@ def blended_proxies(out: DataFrame, cfg: Config = Config()) -> DataFrame:
     out = out.withColumns({"rolling_vwap": ratio(total("amount_ok"), total("volume_ok")), "cvd_slope": ratio("flow_move", "flow_path"), "price_flow_divergence": -F.col("divergence_score")})
     out = out.withColumns({"rolling_vwap_distance": ratio(F.col("close") - F.col("rolling_vwap"), "rolling_vwap"), "trade_base": w.prior("median", "trade_count", slot(), cfg.baseline, 2)})
     out = out.withColumns({f"{k}_share": ratio(f"{k}_volume", "print_volume") for k in ("buy", "sell", "neutral")})
-    return out.withColumns({"trade_intensity": ratio("trade_count", "trade_base"), "session_last": F.col("minute") + cfg.minutes >= 900}).drop("amount_ok", "flow_move", "flow_path", "trade_base")
+    return out.withColumns({"trade_intensity": ratio("trade_count", "trade_base"), "session_last": session_last(cfg)}).drop("amount_ok", "flow_move", "flow_path", "trade_base")
 
 
 def quote_proxies(quotes: DataFrame, levels: int = 5) -> DataFrame:
@@ -218,7 +226,8 @@ def blended_signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     entry = sure & (true(F.col("score") >= 0.2) | contrary) & (buy | contrary)
     exit_ = sure & (true(F.col("score") <= -0.2) | sell | true(F.col("absorption") <= -0.2) & true(F.col("direction_score") >= 0) | true(F.col("exhaustion") <= -0.1))
     out = feat.withColumns({"entry_candidate": entry, "exit_candidate": exit_})
-    return out.withColumn("signal", F.when(w.persistent("entry_candidate", s, cfg.confirm), 1).when(w.persistent("exit_candidate", s, cfg.confirm), -1).otherwise(0))
+    out = out.withColumns({"entry_signal": w.persistent("entry_candidate", s, cfg.confirm), "exit_signal": w.persistent("exit_candidate", s, cfg.confirm), "session_last": session_last(cfg)})
+    return out.withColumn("signal", F.when(F.col("entry_signal"), 1).when(F.col("exit_signal"), -1).otherwise(0))
 
 
 RANKS = {"volume_rank": "print_volume", "count_rank": "trade_count", "amount_rank": "average_amount", "share_rank": "large_share", "delta_rank": "delta_size", "large_delta_rank": "large_delta_size", "return_rank": "return_size", "vwap_rank": "vwap_size"}
@@ -235,7 +244,7 @@ def participation(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     s, d, n = slot(), day(), cfg.baseline
     ok = F.col("valid")
     out = feat.withColumn("large_delta", F.when((F.col("large_volume") == 0) & (F.col("print_volume") > 0), 0.0).otherwise(F.col("large_delta_ratio")))
-    out = out.withColumns({"average_amount": ratio("amount", "trade_count"), "delta_size": F.abs("delta_ratio"), "large_delta_size": F.abs("large_delta"), "return_size": F.abs("bar_return"), "vwap_size": F.abs("vwap_distance")})
+    out = out.withColumns({"delta_size": F.abs("delta_ratio"), "large_delta_size": F.abs("large_delta"), "return_size": F.abs("bar_return"), "vwap_size": F.abs("vwap_distance")})
     # a broken run of bars starts anew: the step must be one bar exactly
     gap = ~F.col("minute").eqNullSafe(F.lag("minute").over(d) + cfg.minutes)
     out = out.withColumn("run", w.islands(gap, d))
@@ -313,6 +322,33 @@ def forward_labels(bars: DataFrame, minutes: int, horizon: int, cost: float) ->
     return out.withColumn("future_return", F.when(F.col("reason").isNull(), ratio(F.col("exit_open") - F.col("entry_open"), "entry_open"))).withColumn("net_return", F.col("future_return") - cost)
 
 
+REASONS = ("out_of_session", "invalid_order_flow_data", "history_not_ready", "factor_missing", "factor_non_finite", "current_open_invalid", "future_window_missing", "bar_interval_or_gap", "future_price_invalid", "future_return_invalid")
+
+
+def prediction_frame(bars: DataFrame, factor: str, minutes: int, horizon: int = 3, require_ready: bool = True, lags: tuple[int, ...] = ()) -> DataFrame:
+    """Bars with what a prediction from `factor` at their close may use and aims at, all rows kept.
+
+    Entry is the open of the next bar, exit the open `horizon` bars after it, both in the same half session of the date. Adds part, entry_open, exit_open, entry_minute, exit_minute, future_return, feature_eligible,
+    time_aligned, target_available, eligible, invalid_reason (the first of REASONS that holds, else ''), and factor_lag_n for each of `lags`. bars: symbol, date_key, minute, open, the factor, and if they are there valid (else: the factor is there) and ready (else true).
+    """
+    d = w.by("symbol", "date_key", "part", order=("minute",))
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    f, o = F.col(factor), F.col("open")
+    missing = f.isNull() | F.isnan(f)
+    ok = true("valid") if "valid" in bars.columns else ~missing
+    ready = true("ready") if "ready" in bars.columns else F.lit(True)
+    out = bars.withColumn("part", session_part(F.col("minute")))
+    out = out.withColumns({"entry_open": F.lead("open", 1).over(d), "exit_open": F.lead("open", 1 + horizon).over(d), "entry_minute": F.lead("minute", 1).over(d), "exit_minute": F.lead("minute", 1 + horizon).over(d)} | {f"factor_lag_{n}": F.lag(factor, n).over(d) for n in lags})
+    inside, aligned = F.col("part") != "out", true((F.col("entry_minute") == F.col("minute") + minutes) & (F.col("exit_minute") == F.col("minute") + minutes * (1 + horizon)))
+    price = finite(F.col("entry_open")) & finite(F.col("exit_open")) & (F.col("entry_open") > 0) & (F.col("exit_open") > 0)
+    out = out.withColumn("future_return", F.when(F.col("entry_open") != 0, F.col("exit_open") / F.col("entry_open") - 1))
+    target = price & finite(F.col("future_return")) & aligned
+    wanting = ~ready if require_ready else F.lit(False)
+    feature = ok & finite(f) & finite(o) & (o > 0) & inside & ~wanting
+    tests = (~inside, ~ok, wanting, missing, ~finite(f), ~(finite(o) & (o > 0)), F.col("entry_minute").isNull() | F.col("exit_minute").isNull(), ~aligned, ~price, ~target)
+    return out.withColumns({"feature_eligible": true(feature), "time_aligned": aligned, "target_available": true(target), "eligible": true(feature & target), "invalid_reason": first_match([(t, reason) for t, reason in zip(tests, REASONS)], "")})
+
+
 def last_sessions(bars: DataFrame, n: int) -> DataFrame:
     """Bars of each symbol's newest n dates: the dates are ranked, not the bars."""
     days = bars.select("symbol", "date_key").distinct().withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date_key").desc()))).where(F.col("age") <= n)

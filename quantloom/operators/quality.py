@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import col, first_match, parse_clock, session_class, true
+from quantloom.functions.expr import ratio, col, first_match, parse_clock, session_class, true
 
 #: Flags of a print and their direction; any other flag is unknown.
 DIRECTIONS = {0: 1, 1: -1, 2: 0, 5: 0}
@@ -158,3 +158,21 @@ def finite_json(frame: DataFrame) -> DataFrame:
     """One column, json: each row as an object; NaN and infinities are null, dates are ISO, no key is left out."""
     cells = [F.when(finite(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in frame.dtypes]
     return frame.select(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def print_quality(prints: DataFrame, target: DataFrame, daily: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """For each symbol and day with prints: rows, shares of all sessions and of the continuous one, what lies outside it, shares of the target bars (0 without any) and of the daily bar (NULL without one), the three ratios, and `warnings`: which of them are off by more than the tolerance.
+
+    Each side is summed up before the three meet. prints: symbol, day, session, shares; target, daily: symbol, day, volume.
+    """
+    sums = prints.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("transaction_rows"), F.coalesce(F.sum("shares"), F.lit(0.0)).alias("shares_all"), F.coalesce(F.sum(F.when(F.col("session") == "continuous", F.col("shares"))), F.lit(0.0)).alias("shares_continuous"))
+    bars, day = target.groupBy("symbol", "day").agg(F.sum("volume").alias("target_shares")), daily.groupBy("symbol", "day").agg(F.sum("volume").alias("daily_shares"))
+    out = sums.join(bars, ["symbol", "day"], "left").join(day, ["symbol", "day"], "left").withColumn("target_shares", F.coalesce("target_shares", F.lit(0.0)))
+    out = out.withColumns({"all_to_daily": ratio("shares_all", "daily_shares"), "continuous_to_daily": ratio("shares_continuous", "daily_shares"), "continuous_to_target": ratio("shares_continuous", "target_shares"), "excluded_shares": F.col("shares_all") - F.col("shares_continuous")})
+    off = lambda c, name: F.when(F.abs(F.col(c) - 1) > tolerance, F.lit(name))
+    return out.withColumn("warnings", F.array_compact(F.array(off("all_to_daily", "all_differ_from_daily_bar"), off("continuous_to_target", "continuous_differ_from_target_bars"))))
+
+
+def flag_histogram(prints: DataFrame, known: tuple[int, ...]) -> DataFrame:
+    """flag, n, known: how often each flag occurs (NULL too), and whether it is one of the known."""
+    return prints.groupBy("flag").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.coalesce(F.col("flag").isin(*known), F.lit(False)))

@@ -16,23 +16,29 @@ def bar_minute(second: str | Column, minutes: int, ends: bool = False) -> Column
 
 
 def flow(prints: DataFrame, keys: list[str], large: float) -> DataFrame:
-    """Print totals of each bar by direction and size. prints: keys, price, volume, direction."""
-    v, d, big = F.col("volume"), F.col("direction"), F.col("volume") >= large
-    part = lambda test: F.sum(F.when(test, v).otherwise(0.0))
+    """Twenty totals of the prints of each bar: volumes, amounts, trades and rows by direction and size, squared and largest volume.
+
+    prints: keys, price, volume, direction, trade_count, and amount if they have one (else price times volume). A print may stand for several trades.
+    """
+    v, d, big, trades = F.col("volume"), F.col("direction"), F.col("volume") >= large, F.col("trade_count")
+    amount = F.col("amount") if "amount" in prints.columns else F.col("price") * v
+    part = lambda test, of=v: F.sum(F.when(test, of).otherwise(F.lit(0)))
+    sides = {"buy": 1, "sell": -1, "neutral": 0}
     return prints.groupBy(*keys).agg(
-        part(d == 1).alias("buy_volume"), part(d == -1).alias("sell_volume"), part(d == 0).alias("neutral_volume"), F.sum(v).alias("print_volume"),
-        F.sum(F.col("price") * v).alias("amount"), F.count(F.lit(1)).alias("trade_count"), F.sum(v * v).alias("volume_squared"), F.max("volume").alias("max_trade"),
-        part(big).alias("large_volume"), part(big & (d == 1)).alias("large_buy"), part(big & (d == -1)).alias("large_sell"),
+        *[part(d == k).alias(f"{side}_volume") for side, k in sides.items()], *[part(d == k, amount).alias(f"{side}_amount") for side, k in sides.items()], *[part(d == k, trades).alias(f"{side}_trades") for side, k in sides.items()],
+        F.sum(v).alias("print_volume"), F.sum(amount).alias("amount"), F.sum(trades).alias("trade_count"), F.count(F.lit(1)).alias("transaction_rows"), F.sum(v * v).alias("volume_squared"), F.max("volume").alias("max_trade"),
+        part(big).alias("large_volume"), *[part(big & (d == k)).alias(f"large_{side}") for side, k in sides.items()], F.count_if(big).alias("large_rows"),
     )
 
 
 def join_flow(bars: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Bars with their print totals; a bar without prints has NULLs, not zeros. Adds the shares derived from the totals."""
-    delta, large = F.col("buy_volume") - F.col("sell_volume"), F.col("large_buy") - F.col("large_sell")
+    """Bars with their print totals; a bar without prints has NULLs, not zeros. Adds what follows from the totals."""
+    delta, large, trades = F.col("buy_volume") - F.col("sell_volume"), F.col("large_buy") - F.col("large_sell"), F.col("trade_count")
     return bars.join(totals, keys, "left").withColumns({
-        "observed": F.col("print_volume").isNotNull(), "delta": delta, "delta_ratio": ratio(delta, "print_volume"), "vwap": ratio("amount", "print_volume"),
-        "coverage": ratio("print_volume", "volume"), "large_delta_ratio": ratio(large, "large_volume"), "large_share": ratio("large_volume", "print_volume"),
-        "average_size": ratio("print_volume", "trade_count"), "concentration": ratio("volume_squared", F.col("print_volume") * F.col("print_volume")), "max_share": ratio("max_trade", "print_volume"),
+        "observed": F.col("print_volume").isNotNull(), "delta": delta, "delta_ratio": ratio(delta, "print_volume"), "vwap": ratio("amount", "print_volume"), "volume_gap": F.col("volume") - F.col("print_volume"),
+        "coverage": ratio("print_volume", "volume"), "large_delta": large, "large_delta_ratio": ratio(large, "large_volume"), "large_share": ratio("large_volume", "print_volume"),
+        "average_size": ratio("print_volume", trades), "average_amount": ratio("amount", trades), "buy_trade_share": ratio("buy_trades", trades), "sell_trade_share": ratio("sell_trades", trades),
+        "concentration": ratio("volume_squared", F.col("print_volume") * F.col("print_volume")), "max_share": ratio("max_trade", "print_volume"),
     })
 
 

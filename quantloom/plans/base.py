@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HAIR = 1e-11
+
+
 class Registry:
     def __init__(self):
         self.queries, self.oracles = {}, {}
@@ -26,9 +29,9 @@ class Registry:
 
 
 def rounded(df: DataFrame, *keep: str, six: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` as they are and `six` to six places; no negative zeros."""
-    return df.select(*keep, *[(F.round(F.col(c), 6) + 0.0).alias(c) for c in six])
+    """The columns `keep` as they are and `six` to six places; no negative zeros. A hair is added, so that what lies between two such numbers goes the same way in every engine."""
+    return df.select(*keep, *[(F.round(F.col(c) + HAIR, 6) + 0.0).alias(c) for c in six])
 
 
 def six(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0::DOUBLE AS {n}" for n in names)
+    return ", ".join(f"round({n} + {HAIR!r}::DOUBLE, 6) + 0.0::DOUBLE AS {n}" for n in names)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,14 +12,14 @@ from quantloom.plans.base import Registry, rounded, six
 from quantloom.plans.intraday import CFG, PART_SQL, SEGMENT_SQL, features, part
 from quantloom.sources import journal
 from quantloom.sources.tables import table
-from quantloom.streaming.bars import shared_folder
+from quantloom.sources.shared import new_path
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
 def _new(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 @query("factor_values", f"WITH {PART_SQL}, q AS (SELECT symbol, date_key, minute, (buy_volume - sell_volume) / print_volume AS flow_delta_ratio, CASE WHEN eligible THEN 25 * (activity + size + imbalance + control) END AS participation_evidence FROM y) SELECT symbol, date_key, minute, {six('flow_delta_ratio', 'participation_evidence')} FROM q")

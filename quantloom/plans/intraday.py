@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.expr import session_class, session_part
 from quantloom.operators import order_flow as of
-from quantloom.operators import resample
+from quantloom.operators import quality, resample
 from quantloom.plans.base import Registry, rounded, six
 from quantloom.sources.tables import INTRADAY_PRINTS, intraday_prints, table
 
@@ -23,7 +23,7 @@ def _r(a: str, b: str) -> str:
 
 BARS_SQL = INTRADAY_PRINTS + f""",
 ib AS (SELECT symbol, date_key, (second // 1800 * 30)::INTEGER AS minute, first(price ORDER BY second, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY second, event_id) AS close,
-         sum(volume) AS volume, sum(volume) AS print_volume, sum(price * volume) AS amount, count(*) AS trade_count, sum(volume * volume) AS volume_squared, max(volume) AS max_trade,
+         sum(volume) AS volume, sum(volume) AS print_volume, sum(price * volume) AS amount, sum(trade_count)::BIGINT AS trade_count, sum(volume * volume) AS volume_squared, max(volume) AS max_trade,
          sum(CASE WHEN direction = 1 THEN volume ELSE 0 END) AS buy_volume, sum(CASE WHEN direction = -1 THEN volume ELSE 0 END) AS sell_volume, sum(CASE WHEN direction = 0 THEN volume ELSE 0 END) AS neutral_volume,
          sum(CASE WHEN volume >= 300 THEN volume ELSE 0 END) AS large_volume, sum(CASE WHEN volume >= 300 THEN volume * direction ELSE 0 END) AS large_delta0 FROM e GROUP BY 1, 2, 3),
 fb AS (SELECT *, buy_volume - sell_volume AS delta, {_r('buy_volume - sell_volume', 'print_volume')} AS delta_ratio, {_r('amount', 'print_volume')} AS vwap, {_r('print_volume', 'volume')} AS coverage,
@@ -105,7 +105,7 @@ BLEND_SQL = FEAT_SQL + f""",
 v0 AS (SELECT *, {_clip('delta / print_volume', -1, 1)} AS flow FROM g),
 v1 AS (SELECT *, {_ewm(3)} AS ema_fast, {_ewm(12)} AS ema_medium, {_ewm(48)} AS ema_slow, sum(delta) OVER d4 AS ds, sum(abs(delta)) OVER d4 AS das, sum(buy_volume) OVER d4 AS bs, sum(sell_volume) OVER d4 AS ss, sum(neutral_volume) OVER d4 AS ns,
          {_r('high - low', 'close')} AS range_pct, lag(close, 4) OVER d AS past, lag(close) OVER d AS c1, sum(flow) OVER d4 AS fs, coalesce(CASE WHEN relative_prints > 0 THEN relative_prints END, print_volume) AS activity0,
-         CASE WHEN count(bar_return) OVER d4 >= 3 THEN stddev_samp(bar_return) OVER d4 END AS volatility FROM v0 {_WIN}),
+         CASE WHEN count(bar_return) OVER d4 >= 3 THEN round(stddev_samp(bar_return) OVER d4, 12) END AS volatility FROM v0 {_WIN}),
 v2 AS (SELECT *, (ema_fast + ema_medium + ema_slow) / 3 AS pressure, {_clip('ema_fast - lag(ema_fast) OVER d', -1, 1)} AS acceleration, CASE WHEN das > 0 THEN abs(ds) / das END AS consistency, CASE WHEN bs + ss + ns > 0 THEN das / (bs + ss + ns) END AS toxicity, bs + ss + ns AS tot,
          CASE WHEN count(range_pct) OVER d4 >= 2 THEN median(range_pct) OVER d4 END AS atr_pct, abs(flow) AS flow_size, abs(close - c1) AS move FROM v1 {_WIN}),
 v3 AS (SELECT *, {_rank('activity0')} AS activity_rank, {_rank('large_share')} AS large_rank, {_rank('flow_size')} AS pressure_rank, {_rank('toxicity')} AS toxicity_rank, {_rank('concentration')} AS concentration_rank, {_rank('volatility')} AS volatility_rank,
@@ -185,7 +185,7 @@ z0 AS (SELECT *, abs(bar_return) / sqrt(print_volume / median(print_volume) OVER
          CASE WHEN count(trade_count) OVER sp >= 2 THEN median(trade_count) OVER sp END AS trade_base FROM v WINDOW d4 AS ({_SEG} ROWS 3 PRECEDING), sp AS (PARTITION BY symbol, minute ORDER BY date_key ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
 z1 AS (SELECT *, CASE WHEN count(kyle_lambda) OVER d4 >= 3 THEN median(kyle_lambda) OVER d4 END AS lm, CASE WHEN count(kyle_lambda) OVER d4 >= 3 THEN stddev_samp(kyle_lambda) OVER d4 END AS ls FROM z0 WINDOW d4 AS ({_SEG} ROWS 3 PRECEDING)),
 z AS (SELECT * REPLACE (CASE WHEN fp > 0 THEN fs / fp END AS fs), tanh({_clip('CASE WHEN ls > 0 THEN (kyle_lambda - lm) / ls END', -4, 4)} / 2) * sign(pressure) AS impact_score0, ls IS NOT NULL AND ls > 0 AS zed, (close - rolling_vwap) / rolling_vwap AS rolling_vwap_distance, -divergence_score AS price_flow_divergence,
-        buy_volume / print_volume AS buy_share, sell_volume / print_volume AS sell_share, neutral_volume / print_volume AS neutral_share, {_r('trade_count', 'trade_base')} AS trade_intensity, minute + 30 >= 900 AS session_last FROM z1)"""
+        buy_volume / print_volume AS buy_share, sell_volume / print_volume AS sell_share, neutral_volume / print_volume AS neutral_share, {_r('trade_count', 'trade_base')} AS trade_intensity, minute + 30 >= 900 AND (minute BETWEEN 570 AND 690 OR minute BETWEEN 780 AND 899) AS session_last FROM z1)"""
 
 
 @query("flow_segment_proxies", f"WITH {PROXY_SQL}, zz AS (SELECT *, fs AS cvd_slope, CASE WHEN zed THEN impact_score0 END AS impact_score FROM z) SELECT symbol, date_key, minute, segment, session_last, {six(*_PROXY)} FROM zz")
@@ -313,3 +313,57 @@ def session_classes(spark, sf_dir):
 @query("last_sessions", f"WITH {BARS_SQL}, k AS (SELECT symbol, date_key, row_number() OVER (PARTITION BY symbol ORDER BY date_key DESC) AS age FROM (SELECT DISTINCT symbol, date_key FROM ib)) SELECT symbol, date_key, minute, close, age FROM ib JOIN k USING (symbol, date_key) WHERE age <= 5")
 def last_sessions(spark, sf_dir):
     return of.last_sessions(of.flow_bars(intraday_prints(spark, sf_dir), CFG), 5).select("symbol", "date_key", "minute", "close", "age")
+
+
+# every kind of row that can't be used: labels an hour later on some days, gaps, invalid bars, missing and infinite factors, opens of zero
+_ODD = """pk AS (SELECT *, date_key * 13 + minute + event_no AS k FROM (SELECT *, ascii(symbol[2]) AS event_no FROM g)),
+p0 AS (SELECT symbol, date_key, minute + CASE WHEN date_key % 7 = 0 THEN 60 ELSE 0 END AS minute, k % 19 <> 0 AS valid, ready, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 23 = 0 THEN 'inf'::DOUBLE ELSE delta_ratio END AS factor, CASE WHEN k % 29 = 0 THEN 0 ELSE open END AS open FROM pk WHERE k % 17 <> 0),
+p1 AS (SELECT *, CASE WHEN minute BETWEEN 570 AND 690 THEN 'am' WHEN minute BETWEEN 780 AND 899 THEN 'pm' ELSE 'out' END AS part FROM p0),
+p2 AS (SELECT *, lead(open) OVER d AS eo, lead(open, 3) OVER d AS xo, lead(minute) OVER d AS em, lead(minute, 3) OVER d AS xm, lag(factor) OVER d AS factor_lag_1, lag(factor, 2) OVER d AS factor_lag_2 FROM p1 WINDOW d AS (PARTITION BY symbol, date_key, part ORDER BY minute)),
+p3 AS (SELECT *, coalesce(em = minute + 30 AND xm = minute + 90, false) AS time_aligned, coalesce(eo > 0 AND xo > 0, false) AS price, valid AND ready AND factor IS NOT NULL AND isfinite(factor) AND open > 0 AND part <> 'out' AS feature_eligible FROM p2),
+pf AS (SELECT *, time_aligned AND price AS target_available, CASE WHEN part = 'out' THEN 'out_of_session' WHEN NOT valid THEN 'invalid_order_flow_data' WHEN NOT ready THEN 'history_not_ready' WHEN factor IS NULL THEN 'factor_missing' WHEN NOT isfinite(factor) THEN 'factor_non_finite' WHEN NOT open > 0 THEN 'current_open_invalid'
+  WHEN em IS NULL OR xm IS NULL THEN 'future_window_missing' WHEN NOT time_aligned THEN 'bar_interval_or_gap' WHEN NOT price THEN 'future_price_invalid' ELSE '' END AS invalid_reason FROM p3)"""
+_PRED = ("symbol", "date_key", "minute", "part", "feature_eligible", "time_aligned", "target_available", "eligible", "invalid_reason")
+_PRED_SIX = ("future_return", "factor_lag_1", "factor_lag_2")
+
+
+def prediction_rows(spark, sf_dir):
+    k = F.col("date_key") * 13 + F.col("minute") + F.ascii(F.substring("symbol", 2, 1))
+    f = features(spark, sf_dir).withColumn("k", k).where("k % 17 <> 0")
+    f = f.withColumn("minute", F.col("minute") + F.when(F.col("date_key") % 7 == 0, 60).otherwise(0))
+    factor = F.when(F.col("k") % 11 == 0, None).when(F.col("k") % 23 == 0, float("inf")).otherwise(F.col("delta_ratio"))
+    f = f.select("symbol", "date_key", "minute", (F.col("k") % 19 != 0).alias("valid"), "ready", factor.alias("factor"), F.when(F.col("k") % 29 == 0, 0.0).otherwise(F.col("open")).alias("open"))
+    return of.prediction_frame(f, "factor", 30, horizon=2, lags=(1, 2))
+
+
+@query("prediction_frame", f"WITH {FEAT_SQL}, {_ODD} SELECT symbol, date_key, minute, part, feature_eligible, time_aligned, target_available, feature_eligible AND target_available AS eligible, invalid_reason, round(CASE WHEN eo <> 0 THEN xo / eo - 1 END + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS future_return, factor_lag_1::VARCHAR = 'inf' AS lag_1_infinite, round(CASE WHEN isfinite(factor_lag_2) THEN factor_lag_2 END + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS factor_lag_2 FROM pf")
+def prediction_frame(spark, sf_dir):
+    out = prediction_rows(spark, sf_dir).withColumns({"lag_1_infinite": F.col("factor_lag_1") == float("inf"), "factor_lag_2": F.when(F.col("factor_lag_2") != float("inf"), F.col("factor_lag_2"))})
+    return rounded(out, *_PRED, "lag_1_infinite", six=("future_return", "factor_lag_2"))
+
+
+@query("prediction_reasons", f"WITH {FEAT_SQL}, {_ODD} SELECT invalid_reason, count(*) AS n, count(*) FILTER (feature_eligible) AS n_feature_eligible FROM pf GROUP BY 1")
+def prediction_reasons(spark, sf_dir):
+    return prediction_rows(spark, sf_dir).groupBy("invalid_reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("feature_eligible").alias("n_feature_eligible"))
+
+
+_QUALITY = ("all_to_daily", "continuous_to_daily", "continuous_to_target")
+# prints half an hour early, so that some lie before the session; the target bars miss a slot, the daily bars some prints
+_SIDES = """q0 AS (SELECT symbol, date_key AS day, volume AS shares, CASE WHEN second - 1800 >= 33300 AND second - 1800 < 34200 THEN 'auction' WHEN second - 1800 >= 34200 AND second - 1800 < 41400 OR second - 1800 >= 46800 AND second - 1800 < 54000 THEN 'continuous' ELSE 'out' END AS session FROM e),
+qs AS (SELECT symbol, day, count(*) AS transaction_rows, sum(shares) AS shares_all, coalesce(sum(shares) FILTER (session = 'continuous'), 0) AS shares_continuous FROM q0 GROUP BY 1, 2), qt AS (SELECT symbol, date_key AS day, sum(volume) AS target_shares FROM ib WHERE minute <> 570 GROUP BY 1, 2), qd AS (SELECT symbol, date_key AS day, sum(volume) AS daily_shares FROM e WHERE event_id % 13 > 0 GROUP BY 1, 2),
+q1 AS (SELECT qs.*, coalesce(target_shares, 0) AS target_shares, daily_shares, shares_all - shares_continuous AS excluded_shares, CASE WHEN daily_shares > 0 THEN shares_all / daily_shares END AS all_to_daily, CASE WHEN daily_shares > 0 THEN shares_continuous / daily_shares END AS continuous_to_daily, CASE WHEN target_shares > 0 THEN shares_continuous / target_shares END AS continuous_to_target FROM qs LEFT JOIN qt USING (symbol, day) LEFT JOIN qd USING (symbol, day))"""
+
+
+@query("print_quality", f"WITH {BARS_SQL}, {_SIDES} SELECT symbol, day, transaction_rows, shares_all, shares_continuous, excluded_shares, target_shares, daily_shares, {six(*_QUALITY)}, CASE WHEN abs(all_to_daily - 1) > 0.05::DOUBLE AND abs(continuous_to_target - 1) > 0.05::DOUBLE THEN 'all_differ_from_daily_bar|continuous_differ_from_target_bars' WHEN abs(all_to_daily - 1) > 0.05::DOUBLE THEN 'all_differ_from_daily_bar' WHEN abs(continuous_to_target - 1) > 0.05::DOUBLE THEN 'continuous_differ_from_target_bars' ELSE '' END AS warnings FROM q1")
+def print_quality(spark, sf_dir):
+    """Prints, target bars and daily bars side by side, day by day."""
+    p = intraday_prints(spark, sf_dir)
+    prints = p.select("symbol", F.col("date_key").alias("day"), session_class(F.col("second") - 1800).alias("session"), F.col("volume").alias("shares"))
+    target = of.flow_bars(p, CFG).where("minute <> 570").select("symbol", F.col("date_key").alias("day"), "volume")
+    out = quality.print_quality(prints, target, p.where("event_id % 13 > 0").select("symbol", F.col("date_key").alias("day"), "volume"))
+    return rounded(out.withColumn("warnings", F.array_join("warnings", "|")), "symbol", "day", "transaction_rows", "shares_all", "shares_continuous", "excluded_shares", "target_shares", "daily_shares", "warnings", six=_QUALITY)
+
+
+@query("flag_histogram", "SELECT l_linenumber AS flag, count(*) AS n, l_linenumber IN (0, 1, 2) AS known FROM lineitem GROUP BY 1")
+def flag_histogram(spark, sf_dir):
+    return quality.flag_histogram(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("flag")), (0, 1, 2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import backtest, learning, vsa
+from quantloom.operators import backtest, boosting, learning, vsa
 from quantloom.plans.base import Registry, rounded
 from quantloom.plans.market import CFG
 from quantloom.plans.panel import PANEL_SQL, panel
@@ -48,6 +48,18 @@ def ridge_scores(spark, sf_dir):
     return rounded(rows.withColumn("score", model.score()), "symbol", "session", six=("score", "next_return"))
 
 
+BOOSTING = boosting.Rules(rounds=10, depth=3, rate=0.2, bins=32, patience=5)
+
+
+@query("boosted_scores")
+def boosted_scores(spark, sf_dir):
+    """Trees on the months to 1996, stopped by those of 1997, all months scored."""
+    rows = model_rows(spark, sf_dir).withColumn("label", (F.col("next_return") > 0).cast("int"))
+    known = rows.where("session < '1998-01-01'")
+    model = boosting.fit_boosted(known, FEATURES, "label", F.col("session") >= "1997-01-01", BOOSTING)
+    return rounded(rows.withColumn("score", model.probability()), "symbol", "session", "label", six=("score",))
+
+
 @query("walk_forward")
 def walk_forward(spark, sf_dir):
     rows = model_rows(spark, sf_dir)

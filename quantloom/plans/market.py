@@ -76,26 +76,45 @@ def vsa_event_counts(spark, sf_dir):
     return vsa.event_counts(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG))
 
 
-FLOW_SQL = DAILY_PRINTS + """,
-t AS (SELECT symbol, date_trunc('month', day)::DATE AS ts, sum(CASE WHEN direction = 1 THEN volume ELSE 0 END) AS buy_volume, sum(CASE WHEN direction = -1 THEN volume ELSE 0 END) AS sell_volume,
-        sum(volume) AS print_volume, sum(price * volume) AS amount, count(*) AS trade_count, sum(volume * volume) AS volume_squared, max(volume) AS max_trade,
-        sum(CASE WHEN volume >= 40 THEN volume ELSE 0 END) AS large_volume, sum(CASE WHEN volume >= 40 THEN volume * direction ELSE 0 END) AS large_delta
-      FROM p WHERE flag <> 'N' GROUP BY 1, 2)"""
+def _by_side(name: str, of: str, test: str = "true") -> str:
+    return ", ".join(f"coalesce(sum({of}) FILTER ({test} AND direction = {k}), 0) AS {name.format(side)}" for side, k in (("buy", 1), ("sell", -1), ("neutral", 0)))
+
+
+FLOW_SQL = DAILY_PRINTS + f""",
+t AS (SELECT symbol, date_trunc('month', day)::DATE AS ts, {_by_side('{}_volume', 'volume')}, {_by_side('{}_amount', 'price * volume')}, {_by_side('{}_trades', 'trade_count')}, {_by_side('large_{}', 'volume', 'volume >= 40')},
+        sum(volume) AS print_volume, sum(price * volume) AS amount, sum(trade_count) AS trade_count, count(*) AS transaction_rows, sum(volume * volume) AS volume_squared, max(volume) AS max_trade,
+        coalesce(sum(volume) FILTER (volume >= 40), 0) AS large_volume, count(*) FILTER (volume >= 40) AS large_rows
+      FROM p WHERE flag <> 'N' GROUP BY 1, 2),
+bf AS (SELECT * FROM (SELECT symbol, date_trunc('month', day)::DATE AS ts, sum(volume) AS volume FROM p GROUP BY 1, 2) LEFT JOIN t USING (symbol, ts))"""
 
 
 @query(
     "bars_with_flow",
-    f"""WITH {FLOW_SQL}, b AS (SELECT symbol, date_trunc('month', day)::DATE AS ts, sum(volume) AS volume FROM p GROUP BY 1, 2)
+    f"""WITH {FLOW_SQL}
 SELECT symbol, ts, print_volume IS NOT NULL AS observed, trade_count::DOUBLE AS trade_count, buy_volume, sell_volume, buy_volume - sell_volume AS delta,
   round(CASE WHEN print_volume > 0 THEN (buy_volume - sell_volume) / print_volume END, 6) AS delta_ratio, round(CASE WHEN print_volume > 0 THEN amount / print_volume END, 6) AS vwap,
-  round(CASE WHEN volume > 0 THEN print_volume / volume END, 6) AS coverage, round(CASE WHEN large_volume > 0 THEN large_delta / large_volume END, 6) AS large_delta_ratio,
+  round(CASE WHEN volume > 0 THEN print_volume / volume END, 6) AS coverage, round(CASE WHEN large_volume > 0 THEN (large_buy - large_sell) / large_volume END, 6) AS large_delta_ratio,
   round(CASE WHEN print_volume > 0 THEN volume_squared / (print_volume * print_volume) END, 6) AS concentration, round(CASE WHEN print_volume > 0 THEN max_trade / print_volume END, 6) AS max_share
-FROM b LEFT JOIN t USING (symbol, ts)""", dates=("ts",))
+FROM bf""", dates=("ts",))
 def bars_with_flow(spark, sf_dir):
+    return rounded(_bars_with_flow(spark, sf_dir).withColumn("trade_count", F.col("trade_count").cast("double")), "symbol", "ts", "observed", "trade_count", "buy_volume", "sell_volume", "delta", six=("delta_ratio", "vwap", "coverage", "large_delta_ratio", "concentration", "max_share"))
+
+
+def _bars_with_flow(spark, sf_dir):
     p = daily_prints(spark, sf_dir).withColumn("ts", F.trunc("day", "month"))
     bars = p.groupBy("symbol", "ts").agg(F.sum("volume").alias("volume"))
-    out = resample.join_flow(bars, resample.flow(p.where("flag <> 'N'"), ["symbol", "ts"], 40), ["symbol", "ts"])
-    return rounded(out.withColumn("trade_count", F.col("trade_count").cast("double")), "symbol", "ts", "observed", "trade_count", "buy_volume", "sell_volume", "delta", six=("delta_ratio", "vwap", "coverage", "large_delta_ratio", "concentration", "max_share"))
+    return resample.join_flow(bars, resample.flow(p.where("flag <> 'N'"), ["symbol", "ts"], 40), ["symbol", "ts"])
+
+
+_TOTALS = ("buy_volume", "sell_volume", "neutral_volume", "print_volume", "buy_amount", "sell_amount", "neutral_amount", "amount", "volume_squared", "max_trade", "large_volume", "large_buy", "large_sell", "large_neutral")
+_COUNTS = ("trade_count", "transaction_rows", "buy_trades", "sell_trades", "neutral_trades", "large_rows")
+
+
+@query("print_totals", f"""WITH {FLOW_SQL} SELECT symbol, ts, {', '.join(_TOTALS)}, {', '.join(f'{c}::BIGINT AS {c}' for c in _COUNTS)}, volume - print_volume AS volume_gap, large_buy - large_sell AS large_delta, round(CASE WHEN trade_count > 0 THEN print_volume / trade_count END, 6) AS average_size,
+  round(CASE WHEN trade_count > 0 THEN amount / trade_count END, 6) AS average_amount, round(CASE WHEN trade_count > 0 THEN buy_trades / trade_count END, 6) AS buy_trade_share, round(CASE WHEN trade_count > 0 THEN sell_trades / trade_count END, 6) AS sell_trade_share FROM bf""", dates=("ts",))
+def print_totals(spark, sf_dir):
+    """All twenty totals of each bar's prints, and sizes and shares by number of trades."""
+    return rounded(_bars_with_flow(spark, sf_dir), "symbol", "ts", *_TOTALS, *[F.col(c).cast("bigint").alias(c) for c in _COUNTS], "volume_gap", "large_delta", six=("average_size", "average_amount", "buy_trade_share", "sell_trade_share"))
 
 
 def _roll_sql(key: str, base: str = "prev_close") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import windows as w
 from quantloom.operators import daily, technical
 from quantloom.plans.base import Registry, rounded, six
 from quantloom.sources.tables import MONTH_BARS, SUPPLIER_DAY_BARS, month_bars, supplier_day_bars
@@ -179,6 +180,17 @@ def score_auc(spark, sf_dir):
     return rounded(daily.auc(scored(spark, sf_dir).withColumn("year", F.year("ts").cast("bigint")), "year").where("auc IS NOT NULL"), "year", "n_pos", "n_neg", six=("auc",))
 
 
+@query(
+    "score_auc_all",
+    f"""WITH {SCORED_SQL}, g AS (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM (SELECT * REPLACE (1 / (1 + exp(dev_5)) AS score) FROM sc JOIN (SELECT symbol, ts, dev_5 FROM d) USING (symbol, ts)) GROUP BY 1),
+r AS (SELECT *, p * (coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5 * n) AS wins FROM g) SELECT sum(p) AS n_pos, sum(n) AS n_neg, round(sum(wins) / (sum(p) * sum(n)), 6) AS auc FROM r""",
+)
+def score_auc_all(spark, sf_dir):
+    """All rows as one group, scores as they are: about as many ranks as rows."""
+    score = 1 / (1 + F.exp(F.col("dev_5")))
+    return rounded(daily.auc(panel(spark, sf_dir).where("eligible AND dev_5 IS NOT NULL").select(score.alias("score"), "label")), "n_pos", "n_neg", six=("auc",))
+
+
 @query(
     "score_rank_ic",
     f"""WITH {SCORED_SQL}, r AS (SELECT ts, rank() OVER (PARTITION BY ts ORDER BY score) + (count(*) OVER (PARTITION BY ts, score) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY ts ORDER BY outcome) + (count(*) OVER (PARTITION BY ts, outcome) - 1) / 2.0::DOUBLE AS b FROM sc)
@@ -205,3 +217,25 @@ SELECT round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round(tp /
 )
 def score_confusion(spark, sf_dir):
     return rounded(daily.confusion(scored(spark, sf_dir), 0.55), six=("accuracy", "precision", "recall", "f1"))
+
+
+_MEANS = {"mean_3": ("x", 3), "mean_12": ("x", 12), "mean_48": ("x", 48)}
+
+
+def _ewm_sql(span: int, i: int) -> str:
+    a = 2 / (span + 1)
+    d = f"(z.w{i} * {1 - a!r}::DOUBLE)"
+    return f"""CASE WHEN g.x IS NULL THEN z.m{i} WHEN z.m{i} IS NULL THEN g.x ELSE ({d} * z.m{i} + {a!r}::DOUBLE * g.x) / ({d} + {a!r}::DOUBLE) END, CASE WHEN g.x IS NULL AND z.m{i} IS NOT NULL THEN {d} ELSE 1 END"""
+
+
+@query(
+    "exponential_means",
+    f"""WITH RECURSIVE {SUPPLIER_DAY_BARS}, g AS (SELECT symbol, ts, CASE WHEN volume % 3 > 0 THEN close END AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM b),
+e(symbol, n, ts, x, m0, w0, m1, w1, m2, w2) AS (SELECT symbol, n, ts, x, x, 1.0::DOUBLE, x, 1.0::DOUBLE, x, 1.0::DOUBLE FROM g WHERE n = 1 UNION ALL SELECT g.symbol, g.n, g.ts, g.x, {', '.join(_ewm_sql(span, i) for i, (_, span) in enumerate(_MEANS.values()))} FROM e z JOIN g ON g.symbol = z.symbol AND g.n = z.n + 1)
+SELECT symbol, ts, round(m0, 4) AS mean_3, round(m1, 4) AS mean_12, round(m2, 4) AS mean_48 FROM e""",
+    dates=("ts",),
+)
+def exponential_means(spark, sf_dir):
+    """Over a symbol's whole history, a third of its values missing."""
+    b = supplier_day_bars(spark, sf_dir).withColumn("x", F.when(F.col("volume") % 3 > 0, F.col("close")))
+    return w.ewm(b, _MEANS, ["symbol"], ["ts"], block=16).select("symbol", "ts", *[F.round(c, 4).alias(c) for c in _MEANS])

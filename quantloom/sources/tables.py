@@ -67,30 +67,31 @@ BAR_MINUTES = 30
 
 
 def intraday_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as prints, their clock folded onto a four-hour trading day: symbol, day, date_key, second, price (whole cents), volume, direction, event_id.
+    """Events as prints, their clock folded onto a four-hour trading day: symbol, day, date_key, second, price (whole cents), volume, direction, trade_count, event_id.
 
-    A day's seconds are divided by six; the first two hours go to 09:30, the rest to 13:00.
+    Ten users are one symbol, so there are more symbols in a larger table. A day's seconds are divided by six; the first two hours go to 09:30, the rest to 13:00.
     """
     ev = table(spark, sf_dir, "events")
     folded = F.floor((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))) / 6)
     return ev.select(
-        F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")).alias("symbol"),
+        F.concat(F.lit("S"), F.floor(F.col("user_id") / 10).cast("string")).alias("symbol"),
         F.col("ts").cast("date").alias("day"),
         date_key("ts").alias("date_key"),
         F.when(folded < 7200, folded + 34200).otherwise(folded + 39600).cast("int").alias("second"),
         (F.lit(1000.0) + F.floor(F.col("value"))).alias("price"),
         (F.floor(F.col("value") * 100) % 500 + 1).cast("double").alias("volume"),
         F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", -1).otherwise(0).alias("direction"),
+        (F.floor(F.col("value")) % 4 + 1).alias("trade_count"),
         "event_id",
         "event_type",
     )
 
 
 INTRADAY_PRINTS = """e AS (
-  SELECT 'S' || (user_id % 5) AS symbol, ts::DATE AS day, (year(ts) * 10000 + month(ts) * 100 + day(ts))::INTEGER AS date_key,
+  SELECT 'S' || (user_id // 10) AS symbol, ts::DATE AS day, (year(ts) * 10000 + month(ts) * 100 + day(ts))::INTEGER AS date_key,
          (CASE WHEN f < 7200 THEN f + 34200 ELSE f + 39600 END)::INTEGER AS second, 1000.0::DOUBLE + floor(value) AS price,
          floor(value * 100) % 500 + 1 AS volume,
-         CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN -1 WHEN 'view' THEN -1 ELSE 0 END AS direction, event_id, event_type
+         CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN -1 WHEN 'view' THEN -1 ELSE 0 END AS direction, (floor(value) % 4 + 1)::BIGINT AS trade_count, event_id, event_type
   FROM (SELECT *, (hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)))::INTEGER // 6 AS f FROM events)
 )"""
 

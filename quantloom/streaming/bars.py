@@ -5,10 +5,6 @@ The same totals as the batch operators, with watermarks for late prints: in appe
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +19,6 @@ def event_stream(spark: SparkSession, path: str, files_at_once: int | None = Non
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or on a local master, where it is unset, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-
-
 def prints_of(events: DataFrame) -> DataFrame:
     return events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("symbol"), "value", (F.floor(F.col("value") * 100) % 500 + 1).cast("double").alias("volume"))
 
@@ -53,16 +38,8 @@ def session_bars(prints: DataFrame, gap: str = "5 minutes", late: str = "10 minu
 
 
 def running_totals(prints: DataFrame) -> DataFrame:
-    """symbol, n, volume so far, after each batch: state kept for each symbol across batches."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, volume = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, volume = n + len(b), volume + float(b["volume"].sum())
-        state.update((n, volume))
-        yield pd.DataFrame({"symbol": [key[0]], "n": [n], "volume": [volume]})
-
-    return prints.groupBy("symbol").applyInPandasWithState(step, "symbol string, n long, volume double", "n long, volume double", "update", "NoTimeout")
+    """symbol, n, volume so far, after each batch (update mode): sums kept for each symbol across batches."""
+    return prints.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

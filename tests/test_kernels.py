@@ -44,7 +44,10 @@ def test_trailing_deviation(spark, frame):
 
 def test_ewm_with_gaps(spark, frame):
     want = frame.groupby("symbol")["x"].transform(lambda s: s.ewm(span=3, adjust=False, min_periods=1).mean())
-    check(applied(spark, frame, w.ewm("x", w.by("symbol"), 3)), want)
+    df = spark.createDataFrame(frame.astype({"x": object}).where(frame.notna(), None), "symbol string, ts int, x double")
+    for block in (2, 128):
+        got = w.ewm(df, {"m": ("x", 3)}, ["symbol"], ["ts"], block).orderBy("symbol", "ts").toPandas()["m"]
+        check(got, want)
 
 
 def test_trailing_percentile(spark, frame):
@@ -194,9 +197,9 @@ def test_blended_windows_restart_with_segments(spark):
     # 09:30, 10:00, (10:30 missing), 11:00 | 13:00, 13:30, 14:00 invalid, 14:30 | 15:00 out of session | next date
     minutes = [(1, 570), (1, 600), (1, 660), (1, 780), (1, 810), (1, 840), (1, 870), (1, 900), (2, 570)]
     flow = [0.8, 0.4, -0.6, 0.2, -1.0, 1.0, 0.6, 0.2, -0.4]
-    prints = [("x", d, m * 60 + k, 0.0 if m == 840 else 10.0 + k, 50 + side * 50 * f, side, k) for (d, m), f in zip(minutes, flow) for k, side in enumerate((1, -1))]
+    prints = [("x", d, m * 60 + k, 0.0 if m == 840 else 10.0 + k, 50 + side * 50 * f, side, 1, k) for (d, m), f in zip(minutes, flow) for k, side in enumerate((1, -1))]
     cfg = order_flow.Config()
-    feat = order_flow.baseline_features(order_flow.flow_bars(spark.createDataFrame(prints, "symbol string, date_key int, second int, price double, volume double, direction int, event_id int"), cfg), cfg)
+    feat = order_flow.baseline_features(order_flow.flow_bars(spark.createDataFrame(prints, "symbol string, date_key int, second int, price double, volume double, direction int, trade_count int, event_id int"), cfg), cfg)
     out = order_flow.blended_features(feat, cfg)
     rows = out.orderBy("date_key", "minute").collect()
     assert [r["segment"] for r in rows] == [1, 1, 2, 3, 3, 4, 5, 6, 1]
@@ -209,6 +212,23 @@ def test_blended_windows_restart_with_segments(spark):
     assert [r["signal"] for r in sig] == [0, 1, 0, 0, 1, 0, 0, 0, 0]
 
 
+def test_prediction_reasons_in_their_order(spark):
+    bar = lambda minute, open_=10.0, f=1.0, valid=True, ready=True, s="x": (s, 1, minute, open_, f, valid, ready)
+    rows = [bar(570), bar(600, f=None), bar(630, f=float("inf")), bar(660, open_=0.0), bar(690), bar(720, valid=False), bar(780, valid=False, ready=False), bar(810, ready=False, f=None), bar(840), bar(870, open_=11.0)]
+    rows += [bar(570, s="y"), bar(600, s="y", open_=5.0), bar(660, s="y"), bar(780, s="y"), bar(810, s="y", open_=0.0), bar(840, s="y"), bar(870, s="y")]
+    df = spark.createDataFrame(rows, "symbol string, date_key int, minute int, open double, factor double, valid boolean, ready boolean")
+    out = order_flow.prediction_frame(df, "factor", 30, horizon=1, lags=(1,)).orderBy("symbol", "minute").collect()
+    assert [r["invalid_reason"] for r in out] == [
+        "", "factor_missing", "factor_non_finite", "current_open_invalid", "future_window_missing", "out_of_session", "invalid_order_flow_data", "history_not_ready", "future_window_missing", "future_window_missing",
+        "bar_interval_or_gap", "future_window_missing", "future_window_missing", "future_price_invalid", "current_open_invalid", "future_window_missing", "future_window_missing",
+    ]
+    assert [r["minute"] for r in out if r["eligible"]] == [570] and out[0]["future_return"] == 0.0 and out[1]["factor_lag_1"] == 1.0
+    assert out[6]["factor_lag_1"] is None  # lags end with the half session
+    without = order_flow.prediction_frame(df.drop("valid", "ready"), "factor", 30, horizon=1).orderBy("symbol", "minute").collect()
+    assert [r["invalid_reason"] for r in without[5:8]] == ["out_of_session", "", "invalid_order_flow_data"]
+    assert not order_flow.prediction_frame(df, "factor", 30, horizon=1, require_ready=False).where("invalid_reason = 'history_not_ready'").count()
+
+
 def vsa_trades(spark, bars, **rules):
     """Trades as (bar of the buy, bar of the sale, price of the sale, reason). bars: open, high, low, close, signal, stop, target; no slippage."""
     d = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(len(bars))]
@@ -363,3 +383,45 @@ def test_factor_registry_and_bundle(spark, tmp_path):
     with pytest.raises(ValueError, match="repeat"):
         fa.bundle(made.unionByName(made), half, str(tmp_path / "c"), ["k"], "here")
     assert not (tmp_path / "c").exists()
+
+
+def numpy_ridge(pdf, columns, target, penalty=1.0):
+    """A function from rows to scores."""
+    med = pdf[columns].median()
+    x = pdf[columns].fillna(med)
+    mean, scale = x.mean(), x.std(ddof=0)
+    z = ((x - mean) / scale).to_numpy()
+    y = pdf[target].to_numpy()
+    weight = np.linalg.solve(z.T @ z + penalty * np.eye(len(columns)), z.T @ (y - y.mean()))
+    return lambda rows: ((rows[columns].fillna(med) - mean) / scale).to_numpy() @ weight + y.mean()
+
+
+def test_walk_forward_against_numpy(spark):
+    r = np.random.default_rng(6)
+    pdf = pd.DataFrame([(s, k, k + 1 + (s == 3)) for k in range(40) for s in range(8)], columns=["symbol", "session", "label_end"])
+    pdf["f"], pdf["g"] = r.normal(size=len(pdf)), r.normal(size=len(pdf))
+    pdf["y"] = 0.5 * pdf["f"] - 0.2 * pdf["g"] + r.normal(size=len(pdf)) * 0.5
+    pdf.loc[r.random(len(pdf)) < 0.1, "g"] = np.nan
+    df = spark.createDataFrame(pdf.astype({"g": object}).where(pdf.notna(), None), "symbol int, session int, label_end int, f double, g double, y double").repartition(4)
+    candidates, cost = [-0.2, 0.0, 0.1, 0.4], 0.01
+    got = learning.walk_forward(df, ["f", "g"], "y", 12, 5, 6, candidates, cost, least=20).toPandas().sort_values(["session", "symbol"])
+    want = []
+    for c in range(17, 40, 6):
+        b, a = c - 5, c - 17
+        part = lambda lo, hi, end: pdf[(pdf["session"] >= lo) & (pdf["session"] < hi) & (pdf["label_end"] < end)]
+        score = numpy_ridge(part(a, b, b), ["f", "g"], "y")
+        valid = part(b, c, c)
+        net = [(valid["y"] - cost)[score(valid) >= t] for t in candidates]
+        able = [(n.mean(), -i) for i, n in enumerate(net) if len(n) >= 10]
+        threshold = candidates[-max(able)[1]] if able else np.inf
+        test = pdf[(pdf["session"] >= c) & (pdf["session"] < c + 6)].copy()
+        test["score"] = numpy_ridge(part(a, c, c), ["f", "g"], "y")(test)
+        want.append(test.assign(threshold=threshold, fold=c))
+    want = pd.concat(want).sort_values(["session", "symbol"])
+    np.testing.assert_allclose(got["score"], want["score"], rtol=1e-8)
+    assert (got["threshold"].to_numpy() == want["threshold"].to_numpy()).all() and (got["fold"].to_numpy() == want["fold"].to_numpy()).all()
+    assert (got["prediction"].to_numpy() == (want["score"] >= want["threshold"]).astype(int).to_numpy()).all()
+    ic = {r["fold"]: r["ic"] for r in learning.summary(spark.createDataFrame(got), "y", cost).collect()}
+    for fold, part in want.groupby("fold"):
+        assert ic[fold] == pytest.approx(part["score"].rank().corr(part["y"].rank()))
+
