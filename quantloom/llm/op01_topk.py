@@ -2,8 +2,8 @@
 
 A code of B bits is cut into m segments, as many as make probes and codes met by them fewest, each with an index of its own.  After all segments have been searched to radius r, every code within
 m * (r + 1) - 1 bits of a query has been met, for a code farther in every segment differs in m * (r + 1) bits at least.  The radius grows until
-a query's kth verified distance is within that bound; such queries are done, the rest go on, until the next radius would cost a query more probes and codes met by them than there are
-codes: what is still open then is compared with all codes, block by block.
+a query's kth verified distance is within that bound; such queries are done, the rest go on, until a query, with the next radius, would have cost more probes and codes met by them in all than
+there are codes: what is still open then is compared with all codes, block by block, so that no query costs more than twice the cheaper way.
 """
 
 from __future__ import annotations
@@ -148,9 +148,10 @@ def hamming_top_k(items: DataFrame, queries: DataFrame, k: int = TOP, bits: int
     best, open_queries, radius = None, asked, 0
     done, spent = [], [codes, index, crowded, asked]
     w = Window.partitionBy("q").orderBy("distance", "id")
-    scan = False
+    scan, cost = False, 0.0
     while not scan:
-        scan = radius > widest or radius_cost(parts, radius, seen["codes"]) > seen["codes"]
+        cost += radius_cost(parts, radius, seen["codes"])
+        scan = radius > widest or cost > seen["codes"]
         new = _scanned(open_queries, codes, k) if scan else _probed(open_queries, index, crowded, parts, radius)
         # the k ids wanted are among the k codes nearest by (distance, smallest id)
         if scan:
