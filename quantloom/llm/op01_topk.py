@@ -2,8 +2,8 @@
 
 A code of B bits is cut into m segments, as many as make probes and codes met by them fewest, each with an index of its own.  After all segments have been searched to radius r, every code within
 m * (r + 1) - 1 bits of a query has been met, for a code farther in every segment differs in m * (r + 1) bits at least.  The radius grows until
-a query's kth verified distance is within that bound; such queries are done, the rest go on, until a query, with the next radius, would have cost more probes and codes met by them in all than
-there are codes: what is still open then is compared with all codes, block by block, so that no query costs more than twice the cheaper way.
+a query's kth verified distance is within that bound; such queries are done, the rest go on, until a query, with the next radius, would have cost more in all (codes met, and PROBE for each probe) than there
+are codes: what is still open then is compared with all codes, block by block, so that no query costs more than twice the cheaper way.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import dropped, written
 
 TOP, BITS = 10, 64
+#: A probe is a row made, shuffled and looked up; it costs about as much as so many codes met in the join.
+PROBE = 16
 #: Queries and codes that meet in one row when open queries are compared with all codes.
 QUERY_BLOCK, CODE_BLOCK = 1024, 16_384
 #: Codes that a segment's value may have in one group of the index; more are dealt to several.
@@ -35,7 +37,7 @@ def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def _segment(code: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, at).bitwiseAND((1 << width) - 1)
+    return F.shiftrightunsigned(code, at).bitwiseAND((1 << width) - 1 if width < 64 else -1)
 
 
 def segments(bits: int, width: int) -> list[tuple[int, int]]:
@@ -49,7 +51,7 @@ def _cut(bits: int, m: int) -> list[tuple[int, int]]:
 
 
 def cheapest_segments(bits: int, codes: int, k: int) -> list[tuple[int, int]]:
-    """The segments for which a query is expected to cost least, in probes and codes met by them, were codes spread evenly.
+    """The segments for which a query is expected to cost least, in codes met by its probes and PROBE for each probe, were codes spread evenly.
 
     Then the kth nearest of `codes` lies at the least distance d within which codes * P(at most d of the bits differ) reaches k; segments must be searched to the least radius r with m (r + 1) - 1 >= d.
     """
@@ -60,13 +62,13 @@ def cheapest_segments(bits: int, codes: int, k: int) -> list[tuple[int, int]]:
     cost = []
     for m in range(1, bits + 1):
         radius, parts = -(-(d + 1) // m) - 1, _cut(bits, m)
-        cost.append((sum((1 + codes / 2.0**w) * sum(comb(w, i) for i in range(min(radius, w) + 1)) for _, w in parts), m))
+        cost.append((sum((PROBE + codes / 2.0**w) * sum(comb(w, i) for i in range(min(radius, w) + 1)) for _, w in parts), m))
     return _cut(bits, min(cost)[1])
 
 
 def radius_cost(parts: list[tuple[int, int]], radius: int, codes: int) -> float:
-    """Probes of one query at this radius alone, and the codes they are expected to meet."""
-    return sum((1 + codes / 2.0**w) * comb(w, radius) for _, w in parts)
+    """What one query costs at this radius alone: its probes, and the codes they are expected to meet, were codes spread evenly."""
+    return sum((PROBE + codes / 2.0**w) * comb(w, radius) for _, w in parts)
 
 
 def _scanned(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
@@ -89,7 +91,8 @@ def _scanned(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
                 code = code[order]
                 for at in range(0, len(q), 64):
                     some = q[at : at + 64]
-                    far = np.bitwise_count(some[:, None] ^ code[None, :])
+                    # of a signed number bitwise_count takes the absolute value
+                    far = np.bitwise_count((some[:, None] ^ code[None, :]).view(np.uint64))
                     # ties by first id: codes are in that order
                     best = np.argsort(far, axis=1, kind="stable")[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, best.shape[1])), pa.array(code[best].ravel()), pa.array(np.take_along_axis(far, best, 1).ravel().astype(np.int32))], names=["q", "code", "distance"])
