@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources.shared import dropped, new_path, removed, shared_dir, written  # noqa: F401  (for the operators)
+
 #: Separators of words: space and the ASCII controls TAB to CR.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,48 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset, on a local master only, a new local one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not found:
-        master = spark.conf.get("spark.master", "local")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A folder in the shared one that is not there yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more: what was made of them must have been written itself."""
-    for t in tables:
-        removed(t.sparkSession, t._written_to)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of new_path()."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df, written in order, with `number`: its place in the order, from 0 without gaps.
 

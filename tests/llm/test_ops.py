@@ -73,6 +73,21 @@ def test_topk_for_any_width_and_hot_values(spark, width, hot):
     assert got == {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes))[:4] for q in range(0, 210, 50)}
 
 
+@pytest.mark.parametrize("probe", [0, 1, 10**6])
+def test_topk_of_64_bits_whether_probed_or_compared(spark, monkeypatch, probe):
+    """Negative codes, too; from probes alone to a comparison with all codes at once."""
+    monkeypatch.setattr(op01_topk, "PROBE", probe)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
+    codes = [int(b ^ np.int64(1 << int(rng.integers(0, 60)))) for b in np.repeat(base, 10)]
+    df = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint").repartition(3)
+    got = defaultdict(list)
+    for r in op01_topk.hamming_top_k(df, df.where("id % 50 = 0"), k=12).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["id"]))
+    u = [c & (1 << 64) - 1 for c in codes]
+    assert got == {q: sorted(((u[q] ^ c).bit_count(), i) for i, c in enumerate(u))[:12] for q in range(0, 400, 50)}
+
+
 def test_topk_refuses_vectors_that_are_too_long(spark):
     with pytest.raises(Exception, match="more than 4 components"):
         op01_topk.sign_codes(spark.createDataFrame([(1, [1.0] * 5)], "vec_id bigint, embedding array<float>"), bits=4).collect()
