@@ -116,7 +116,7 @@ def _probed(open_queries: DataFrame, index: DataFrame, crowded: DataFrame, parts
     probes = None
     for j, (at, size) in enumerate(parts):
         if radius <= size:
-            masks = np.array([sum(1 << b for b in c) for c in combinations(range(size), radius)], dtype=np.int64)
+            masks = np.array([sum(1 << b for b in c) for c in combinations(range(size), radius)], np.uint64).view(np.int64)
             own = open_queries.select("q", "cap", F.lit(j).alias("seg"), F.explode(F.lit(masks)).alias("mask")).select("q", "cap", "seg", _segment(F.col("q"), at, size).bitwiseXOR(F.col("mask")).alias("value"))
             probes = own if probes is None else probes.unionByName(own)
     probes = probes.join(crowded, ["seg", "value"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("lots", F.lit(1)) - 1))).drop("lots")
