@@ -29,6 +29,32 @@ def concept_filter(catalog: DataFrame) -> DataFrame:
     return catalog.where((F.col("exchange") == "A") & F.left("code", F.lit(3)).isin("885", "886")).select("code", "name")
 
 
+def concepts_of(raw: DataFrame) -> DataFrame:
+    """Concepts of a raw catalogue (code, name, exchange, index_type): exchange `A`, type `concept`, a code from 885 or 886 with the suffix .TI; codes trimmed and in capitals, names trimmed."""
+    code = F.col("code").cast("string")
+    kept = raw.where((F.col("exchange") == "A") & (F.col("index_type") == "concept") & F.left(code, F.lit(3)).isin("885", "886") & (F.right(code, F.lit(3)) == ".TI"))
+    return kept.select(F.upper(F.trim(code)).alias("code"), F.trim(F.col("name").cast("string")).alias("name"))
+
+
+def catalog_faults(catalog: DataFrame) -> DataFrame:
+    """fault, value, n: `empty` codes or names, `duplicate_code`, `duplicate_name`; nothing for a sound catalogue."""
+    void = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    empty = catalog.where(void("code") | void("name")).groupBy().agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("empty").alias("fault"), F.lit("").alias("value"), "n")
+    twice = lambda c: catalog.where(~void(c)).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(f"duplicate_{c}").alias("fault"), "value", "n")
+    return empty.unionByName(twice("code")).unionByName(twice("name"))
+
+
+def checked_catalog(raw: DataFrame) -> DataFrame:
+    """The concepts of a raw catalogue, by code; an empty catalogue, empty or repeated codes and names are errors."""
+    out = concepts_of(raw)
+    if out.isEmpty():
+        raise ValueError("the catalogue has no concepts")
+    faults = catalog_faults(out).limit(5).collect()
+    if faults:
+        raise ValueError("; ".join(f"{r['fault']} {r['value']} ({r['n']})" for r in faults))
+    return out.orderBy("code")
+
+
 def unique_match(catalog: DataFrame, column: str, wanted: str) -> DataFrame:
     """The entry whose column equals `wanted`: two rows at most are read, so that an ambiguous name is seen."""
     return catalog.where(F.col(column) == wanted).limit(2)

@@ -291,6 +291,30 @@ def session_summary(part: DataFrame) -> DataFrame:
     return base.withColumn("dominant", _dominant()).drop("states")
 
 
+def session_report(part: DataFrame) -> DataFrame:
+    """For each symbol and date: bars and scored bars, the P90, mean and peak score, the newest scored bar's score, direction, state, confirmation and confidence, the direction weighted by score (the plain mean where scores
+    add up to nothing), the dominant state, shares of strong and of confirmed bars (also by side) among the scored, the side or sides that were confirmed (buy, sell, mixed, none), and the median confidence. Without a
+    scored bar: `unavailable`, `none`, false, and NULLs. part: from participation()."""
+    sc, d = F.col("participation_score"), F.col("direction_score")
+    scored = part.where(sc.isNotNull())
+    c = F.coalesce("confirmed", F.lit(False))
+    newest = F.max_by(F.struct(sc.alias("score"), d.alias("direction"), "state", c.alias("confirmed"), F.col("participation_confidence").alias("confidence")), "minute")
+    share = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("double"))
+    weight = F.sum(F.when(d.isNotNull(), sc))
+    found = scored.groupBy("symbol", "date_key").agg(
+        F.count(F.lit(1)).alias("valid_bars"), F.percentile(sc, 0.9).alias("p90"), F.avg(sc).alias("mean_score"), F.max(sc).alias("peak_score"), newest.alias("newest"), F.when(weight > 0, F.sum(sc * d) / weight).otherwise(F.avg(d)).alias("direction"),
+        share(F.col("strong")).alias("strong_share"), share(c).alias("confirmed_share"), share(c & (F.col("side") == 1)).alias("confirmed_buy_share"), share(c & (F.col("side") == -1)).alias("confirmed_sell_share"), F.percentile("participation_confidence", 0.5).alias("confidence"),
+        F.array(*[F.struct(F.lit(x).alias("state"), F.sum(F.when(F.col("strong") & (F.col("state") == x), sc)).alias("weight")) for x in STATES]).alias("states"),
+    ).withColumn("states", F.filter("states", lambda x: x.weight.isNotNull()))
+    buy, sell = F.col("confirmed_buy_share") > 0, F.col("confirmed_sell_share") > 0
+    found = found.withColumns({"dominant": F.coalesce(_dominant(), F.lit("no_clear_evidence")), "confirmed_direction": F.when(buy & sell, "mixed").when(buy, "buy").when(sell, "sell").otherwise("none")})
+    out = part.groupBy("symbol", "date_key").agg(F.count(F.lit(1)).alias("total_bars"), F.max("minute").alias("last_minute")).join(found, ["symbol", "date_key"], "left")
+    none = {"valid_bars": F.lit(0), "dominant": F.lit("unavailable"), "confirmed_direction": F.lit("none")}
+    latest = {f"latest_{k}": F.col(f"newest.{k}") for k in ("score", "direction", "state", "confirmed", "confidence")}
+    out = out.withColumns({k: F.coalesce(k, v) for k, v in none.items()} | latest)
+    return out.withColumns({"latest_state": F.coalesce("latest_state", F.lit("unavailable")), "latest_confirmed": F.coalesce("latest_confirmed", F.lit(False))}).drop("newest", "states")
+
+
 def _dominant():
     """The state with the largest sum of scores (to six places), the first name of equals; NULL without strong bars."""
     best = F.array_sort(F.transform("states", lambda x: F.struct((-F.round(x.weight, 6)).alias("w"), x.state.alias("state"))))

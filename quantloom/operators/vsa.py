@@ -94,8 +94,11 @@ def signals(feat: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out.withColumn("risk", risk).withColumn("target", F.when(F.col("risk") > 0, c + cfg.reward * F.col("risk")))
 
 
+#: What can become of a candidate.
+STATUSES = ("confirmed", "invalidated", "invalidated_data", "expired", "pending")
+
+
 def event_counts(sig: DataFrame) -> DataFrame:
-    """Candidates by name and status; names without one count zero."""
-    row = sig.agg(*[F.count_if((F.col("candidate") == k) & (F.col("status") == s)).alias(f"{k}__{s}") for k in CODES for s in ("confirmed", "invalidated", "expired", "pending")])
-    pairs = F.array(*[F.struct(F.lit(k).alias("candidate"), F.lit(s).alias("status"), F.col(f"{k}__{s}").alias("n")) for k in CODES for s in ("confirmed", "invalidated", "expired", "pending")])
-    return row.select(F.inline(pairs))
+    """Candidates by name and status; what there is none of counts zero, so that the counts add up to the candidates."""
+    row = sig.agg(*[F.count_if((F.col("candidate") == k) & (F.col("status") == s)).alias(f"{k}__{s}") for k in CODES for s in STATUSES])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("candidate"), F.lit(s).alias("status"), F.col(f"{k}__{s}").alias("n")) for k in CODES for s in STATUSES])))

@@ -165,3 +165,26 @@ def equity_drawdown(spark, sf_dir):
     d = month_bars(spark, sf_dir).withColumn("dd", w.drawdown("close", s)).withColumn("island", w.islands(F.col("dd") == 0, s))
     longest = d.groupBy("symbol", "island").agg(F.count_if(F.col("dd") > 0).alias("n"), F.max("dd").alias("dd"))
     return rounded(longest.groupBy("symbol").agg(F.max("dd").alias("max_drawdown"), F.max("n").alias("longest")), "symbol", "longest", six=("max_drawdown",))
+
+
+# suppliers as a raw catalogue: of two exchanges and types, with and without the suffix, in small letters, with blanks, some codes and names twice
+_RAW = """rw AS (SELECT (CASE WHEN s_suppkey % 4 = 0 THEN '884' WHEN s_suppkey % 4 = 1 THEN '885' ELSE '886' END || lpad((s_suppkey % 90)::VARCHAR, 3, '0') || CASE WHEN s_suppkey % 7 = 0 THEN '.SH' ELSE '.TI' END) AS code, CASE WHEN s_suppkey % 23 = 0 THEN '  ' ELSE ' ' || substr(s_name, 1, 17) || (s_suppkey % 95)::VARCHAR || ' ' END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'HK' ELSE 'A' END AS exchange, CASE WHEN s_suppkey % 6 = 0 THEN 'industry' ELSE 'concept' END AS index_type FROM supplier),
+ct AS (SELECT upper(trim(code)) AS code, trim(name) AS name FROM rw WHERE exchange = 'A' AND index_type = 'concept' AND left(code, 3) IN ('885', '886') AND right(code, 3) = '.TI')"""
+
+
+def _raw_catalog(spark, sf_dir):
+    k = F.col("s_suppkey")
+    code = F.concat(F.when(k % 4 == 0, "884").when(k % 4 == 1, "885").otherwise("886"), F.lpad((k % 90).cast("string"), 3, "0"), F.when(k % 7 == 0, ".SH").otherwise(".TI"))
+    name = F.when(k % 23 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("s_name", 1, 17), (k % 95).cast("string"), F.lit(" ")))
+    return table(spark, sf_dir, "supplier").select(code.alias("code"), name.alias("name"), F.when(k % 5 == 0, "HK").otherwise("A").alias("exchange"), F.when(k % 6 == 0, "industry").otherwise("concept").alias("index_type"))
+
+
+@query("concepts_of_catalog", f"WITH {_RAW} SELECT code, name FROM ct")
+def concepts_of_catalog(spark, sf_dir):
+    """The four predicates of a catalogue of concepts."""
+    return op.concepts_of(_raw_catalog(spark, sf_dir))
+
+
+@query("catalog_faults", f"WITH {_RAW} SELECT 'empty' AS fault, '' AS value, count(*) AS n FROM ct WHERE code = '' OR name = '' HAVING count(*) > 0 UNION ALL SELECT 'duplicate_code', code, count(*) FROM ct WHERE code <> '' GROUP BY code HAVING count(*) > 1 UNION ALL SELECT 'duplicate_name', name, count(*) FROM ct WHERE name <> '' GROUP BY name HAVING count(*) > 1")
+def catalog_faults(spark, sf_dir):
+    return op.catalog_faults(op.concepts_of(_raw_catalog(spark, sf_dir)))

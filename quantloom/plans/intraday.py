@@ -367,3 +367,24 @@ def print_quality(spark, sf_dir):
 @query("flag_histogram", "SELECT l_linenumber AS flag, count(*) AS n, l_linenumber IN (0, 1, 2) AS known FROM lineitem GROUP BY 1")
 def flag_histogram(spark, sf_dir):
     return quality.flag_histogram(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("flag")), (0, 1, 2))
+
+
+_CONFIDENCE = f"""w0 AS (SELECT *, (activity IS NOT NULL)::INTEGER + (size IS NOT NULL)::INTEGER + (imbalance IS NOT NULL)::INTEGER + (control IS NOT NULL)::INTEGER AS parts, lag(participation_score) OVER r AS before FROM y WINDOW r AS (PARTITION BY symbol, date_key, run ORDER BY minute)),
+w1 AS (SELECT *, CASE WHEN participation_score IS NULL OR before IS NULL THEN 0.5::DOUBLE ELSE {_clip('1 - abs(participation_score - before) / 100', 0, 1)} END AS stable FROM w0),
+w2 AS (SELECT *, 100 * ({_clip('1 - abs(coverage - 1)', 0, 1)} + {_clip('observations / 10.0::DOUBLE', 0, 1)} + parts / 4.0::DOUBLE + stable) / 4 AS participation_confidence FROM w1)"""
+_REPORT = ("p90", "mean_score", "peak_score", "direction", "latest_score", "latest_direction", "latest_confidence", "strong_share", "confirmed_share", "confirmed_buy_share", "confirmed_sell_share", "confidence")
+
+
+@query(
+    "participation_session_report",
+    f"""WITH {PART_SQL}, {_CONFIDENCE}, st AS (SELECT symbol, date_key, state, round(sum(participation_score), 6) AS wt FROM w2 WHERE strong GROUP BY 1, 2, 3), dm AS (SELECT symbol, date_key, first(state ORDER BY wt DESC, state) AS dominant FROM st GROUP BY 1, 2),
+vb AS (SELECT symbol, date_key, count(*) AS valid_bars, quantile_cont(participation_score, 0.9) AS p90, avg(participation_score) AS mean_score, max(participation_score) AS peak_score, CASE WHEN sum(participation_score) FILTER (direction_score IS NOT NULL) > 0 THEN sum(participation_score * direction_score) / sum(participation_score) FILTER (direction_score IS NOT NULL) ELSE avg(direction_score) END AS direction,
+  arg_max(participation_score, minute) AS latest_score, arg_max(direction_score, minute) AS latest_direction, arg_max(state, minute) AS latest_state, arg_max(confirmed, minute) AS latest_confirmed, arg_max(participation_confidence, minute) AS latest_confidence, avg(strong::INTEGER) AS strong_share, avg(confirmed::INTEGER) AS confirmed_share,
+  avg((confirmed AND side = 1)::INTEGER) AS confirmed_buy_share, avg((confirmed AND side = -1)::INTEGER) AS confirmed_sell_share, median(participation_confidence) AS confidence FROM w2 WHERE participation_score IS NOT NULL GROUP BY 1, 2),
+tb AS (SELECT symbol, date_key, count(*) AS total_bars, max(minute) AS last_minute FROM w2 GROUP BY 1, 2)
+SELECT symbol, date_key, total_bars, last_minute, coalesce(valid_bars, 0) AS valid_bars, coalesce(latest_state, 'unavailable') AS latest_state, coalesce(latest_confirmed, false) AS latest_confirmed, CASE WHEN valid_bars IS NULL THEN 'unavailable' ELSE coalesce(dominant, 'no_clear_evidence') END AS dominant,
+  CASE WHEN confirmed_buy_share > 0 AND confirmed_sell_share > 0 THEN 'mixed' WHEN confirmed_buy_share > 0 THEN 'buy' WHEN confirmed_sell_share > 0 THEN 'sell' ELSE 'none' END AS confirmed_direction, {six(*_REPORT)} FROM tb LEFT JOIN vb USING (symbol, date_key) LEFT JOIN dm USING (symbol, date_key)""",
+)
+def participation_session_report(spark, sf_dir):
+    """All that is said of a session, also where no bar could be scored."""
+    return rounded(of.session_report(part(spark, sf_dir)), "symbol", "date_key", "total_bars", "last_minute", "valid_bars", "latest_state", "latest_confirmed", "dominant", "confirmed_direction", six=_REPORT)

@@ -70,7 +70,7 @@ def vsa_signals(spark, sf_dir):
 @query(
     "vsa_event_counts",
     f"""WITH {SIGNAL_SQL} SELECT x.candidate, y.status, (SELECT count(*) FROM t WHERE t.candidate = x.candidate AND t.status = y.status) AS n
-FROM (VALUES ('test'), ('stopping_volume'), ('upthrust'), ('no_demand'), ('no_supply')) x(candidate), (VALUES ('confirmed'), ('invalidated'), ('expired'), ('pending')) y(status)""",
+FROM (VALUES ('test'), ('stopping_volume'), ('upthrust'), ('no_demand'), ('no_supply')) x(candidate), (VALUES ('confirmed'), ('invalidated'), ('invalidated_data'), ('expired'), ('pending')) y(status)""",
 )
 def vsa_event_counts(spark, sf_dir):
     return vsa.event_counts(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG))

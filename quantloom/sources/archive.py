@@ -47,10 +47,27 @@ def _archives(path: str) -> list[str]:
     return sorted(prefix + f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if fnmatch.fnmatch(f.base_name, pattern))
 
 
+class _Seekable:
+    """A file as zipfile wants it: a place before the start is an OSError."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.read, self.tell, self.close = file, file.read, file.tell, file.close
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.file.tell(), self.file.size())[whence]
+        if at < 0:
+            raise OSError("a place before the start of the file")
+        self.file.seek(at)
+        return at
+
+
 def _opened(path: str) -> zipfile.ZipFile:
     fs, at = _file_system(path)
     try:
-        return zipfile.ZipFile(fs.open_input_file(at))
+        return zipfile.ZipFile(_Seekable(fs.open_input_file(at)))
     except (OSError, zipfile.BadZipFile) as e:
         raise ArchiveError(f"{path}: {e}") from e
 

@@ -425,3 +425,29 @@ def test_walk_forward_against_numpy(spark):
     for fold, part in want.groupby("fold"):
         assert ic[fold] == pytest.approx(part["score"].rank().corr(part["y"].rank()))
 
+
+def test_a_candidate_before_an_invalid_bar(spark):
+    """A candidate whose next bar can't be used is counted as that, so that the counts add up to the candidates."""
+    bars = [(10.0, 10.4, 9.6, 10.0, 100.0)] * 12
+    test = (9.75, 9.76, 9.55, 9.72, 50.0)
+    rows = [("x", dt.date(2024, 1, 1) + dt.timedelta(days=k), *b) for k, b in enumerate([*bars, test])]
+    rows += [("x", dt.date(2024, 2, 1), 10.0, 9.0, 11.0, 10.0, 100.0)]  # high under low
+    sig = vsa.signals(vsa.features(spark.createDataFrame(rows, "symbol string, ts date, open double, high double, low double, close double, volume double"), vsa.Config(window=10)), vsa.Config(window=10))
+    found = [(r["candidate"], r["status"]) for r in sig.where("candidate IS NOT NULL").collect()]
+    assert ("test", "invalidated_data") in found
+    counts = {(r["candidate"], r["status"]): r["n"] for r in vsa.event_counts(sig).collect()}
+    assert counts["test", "invalidated_data"] == 1 and sum(counts.values()) == len(found)
+
+
+def test_catalogues_must_be_sound(spark):
+    from quantloom.operators import catalog
+
+    kind = "code string, name string, exchange string, index_type string"
+    good = [("885001.TI", " a ", "A", "concept"), ("886001.TI", "b", "A", "concept"), ("885002.TI", "c", "HK", "concept"), ("885003.TI", "c", "A", "industry"), ("884001.TI", "c", "A", "concept"), ("885004.SH", "c", "A", "concept"), (None, "c", "A", "concept")]
+    assert [tuple(r) for r in catalog.checked_catalog(spark.createDataFrame(good, kind)).collect()] == [("885001.TI", "a"), ("886001.TI", "b")]
+    for extra, said in (([("885001.TI", "z", "A", "concept")], "duplicate_code"), ([("885009.TI", "b", "A", "concept")], "duplicate_name"), ([("885009.TI", " ", "A", "concept")], "empty")):
+        with pytest.raises(ValueError, match=said):
+            catalog.checked_catalog(spark.createDataFrame(good + extra, kind))
+    with pytest.raises(ValueError, match="no concepts"):
+        catalog.checked_catalog(spark.createDataFrame(good[2:], kind))
+

@@ -101,6 +101,16 @@ def test_registry_of_sources():
         registry.source("zip_parquet", "another")(lambda spark, path: None)
 
 
+def test_archives_without_members(spark, bars, tmp_path):
+    path = str(tmp_path / "sparse")
+    one = bars.where("code = '885002'")
+    archive.write_archive(one.repartition(6, "code"), path)
+    assert sorted(map(tuple, registry.read(spark, "zip_parquet", path).collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    archive.write_archive(one.where("false").repartition(2, "code"), str(tmp_path / "nothing"))
+    if (tmp_path / "nothing").exists():
+        assert registry.read(spark, "zip_parquet", str(tmp_path / "nothing"), schema=BARS).count() == 0
+
+
 # the model store
 
 
