@@ -11,8 +11,8 @@ from quantloom.llm.common import dropped, written
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (u, v), two columns of bigint.
 
-    Each step links a node's neighbours to the smallest node near it; minima are combined before the shuffle and joined back, so that
-    a hub is never gathered in one task. Ends when a round changes nothing: about log2 of the longest path.
+    Each step links a node's neighbours to the smallest node near it; minima are combined before the shuffle and joined back. The edges
+    of a hub meet in that join; adaptive execution splits it where it is skewed, and no task holds them in memory. Ends when a round changes nothing: about log2 of the longest path.
     """
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
