@@ -116,10 +116,19 @@ def limit_ratio(code: str | Column) -> Column:
     return F.when(F.left(col(code), F.lit(3)).isin("300", "301", "688", "689"), 0.20).otherwise(0.10)
 
 
-def strict_boolean(raw: str | Column) -> Column:
-    """true/1/yes/y/on and false/0/no/n/off in any case; anything else NULL."""
+#: Words that are true and false, and whether numbers that equal 1 or 0 are, too: of a setting, of a prediction's columns, of a feature's columns.
+BOOLEANS = {"setting": (("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off"), False), "flag": (("true", "t"), ("false", "f"), True), "feature": (("true", "t", "yes", "y"), ("false", "f", "no", "n"), True)}
+
+
+def parse_boolean(raw: str | Column, kind: str = "setting", default: bool | None = False, strict: bool = True) -> Column:
+    """A boolean written as text, in any case and with blanks around; missing (and, but for a setting, blank) text is the default. Anything else is an error, or NULL if not strict."""
+    yes, no, numbers = BOOLEANS[kind]
     c = F.lower(F.trim(col(raw)))
-    return F.when(c.isin("true", "1", "yes", "y", "on"), True).when(c.isin("false", "0", "no", "n", "off"), False)
+    number = c.try_cast("double")
+    is_yes, is_no = (c.isin(*words) | ((number == value) if numbers else F.lit(False)) for words, value in ((yes, 1.0), (no, 0.0)))
+    missing = c.isNull() if kind == "setting" else c.isNull() | (c == "")
+    bad = F.raise_error(F.concat(F.lit("not a boolean: "), col(raw))).cast("boolean") if strict else F.lit(None).cast("boolean")
+    return F.when(missing, F.lit(default).cast("boolean")).when(true(is_yes), True).when(true(is_no), False).otherwise(bad)
 
 
 def canonical_key(fields: dict[str, str | Column]) -> Column:

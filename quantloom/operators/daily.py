@@ -16,20 +16,23 @@ RETURNS, AVERAGES = (1, 5, 10, 20), (5, 10, 20)
 
 def panel_features(bars: DataFrame) -> DataFrame:
     """Returns over 1, 5, 10, 20 bars, distance from means of 5, 10, 20, volatility of 20 (population), volume against its mean of 5 with this bar, limit flags."""
-    s = w.by("symbol")
-    c = F.col("close")
-    out = bars.withColumns({f"ret_{n}": ratio(c - F.lag(c, n).over(s), F.lag(c, n).over(s)) for n in RETURNS})
-    out = out.withColumns({f"dev_{n}": ratio(c - w.trailing("mean", c, s, n), w.trailing("mean", c, s, n)) for n in AVERAGES})
-    return out.withColumns({"vol_20": w.trailing("std0", "ret_1", s, 20), "volume_ratio": ratio("volume", w.trailing("mean", "volume", s, 5)), "limit_up": F.coalesce(F.col("ret_1") >= 0.1 - 1e-6, F.lit(False)), "limit_down": F.coalesce(F.col("ret_1") <= -0.1 + 1e-6, F.lit(False))})
+    s, c = w.by("symbol"), F.col("close")
+    # each window once: the planner does not see that a ratio names one twice
+    past = {f"_lag_{n}": F.lag("close", n).over(s) for n in RETURNS} | {f"_mean_{n}": w.trailing("mean", "close", s, n) for n in AVERAGES} | {"_volume_5": w.trailing("mean", "volume", s, 5)}
+    out = bars.withColumns(past)
+    out = out.withColumns({f"ret_{n}": ratio(c - F.col(f"_lag_{n}"), f"_lag_{n}") for n in RETURNS} | {f"dev_{n}": ratio(c - F.col(f"_mean_{n}"), f"_mean_{n}") for n in AVERAGES} | {"volume_ratio": ratio("volume", "_volume_5")})
+    limit = {"limit_up": F.coalesce(F.col("ret_1") >= 0.1 - 1e-6, F.lit(False)), "limit_down": F.coalesce(F.col("ret_1") <= -0.1 + 1e-6, F.lit(False))}
+    return out.withColumns({"vol_20": w.trailing("std0", "ret_1", s, 20)} | limit).drop(*past)
 
 
 def panel_labels(feat: DataFrame) -> DataFrame:
     """Return from the next open to the next close, its sign as label, and why a row can't be used: no_next_bar, close_limit_up, next_open_limit_up."""
     s = w.by("symbol")
-    nxt_o, nxt_c = F.lead("open").over(s), F.lead("close").over(s)
+    feat = feat.withColumns({"_next_open": F.lead("open").over(s), "_next_close": F.lead("close").over(s)})
+    nxt_o, nxt_c = F.col("_next_open"), F.col("_next_close")
     reason = first_match([(nxt_o.isNull(), "no_next_bar"), (F.col("limit_up"), "close_limit_up"), (nxt_o >= F.col("close") * 1.1 - 1e-6, "next_open_limit_up")])
     out = feat.withColumns({"next_return": ratio(nxt_c - nxt_o, nxt_o), "reason": reason})
-    return out.withColumns({"eligible": F.col("reason").isNull(), "label": F.when(F.col("reason").isNull(), (F.col("next_return") > 0).cast("int"))})
+    return out.drop("_next_open", "_next_close").withColumns({"eligible": F.col("reason").isNull(), "label": F.when(F.col("reason").isNull(), (F.col("next_return") > 0).cast("int"))})
 
 
 def auc(scored: DataFrame, by: str | None = None) -> DataFrame:

@@ -138,7 +138,11 @@ def complete(columns: list[str]) -> Column:
     return out
 
 
-def without_labels(frame: DataFrame, labels: tuple[str, ...] = ("entry_open", "exit_open", "future_return", "net_return", "label_end", "target_available", "eligible", "reason")) -> DataFrame:
+#: Columns that say what came later.
+FUTURE = ("entry_open", "exit_open", "entry_minute", "exit_minute", "future_return", "net_return", "label_end", "feature_eligible", "time_aligned", "target_available", "eligible", "reason", "invalid_reason")
+
+
+def without_labels(frame: DataFrame, labels: tuple[str, ...] = FUTURE) -> DataFrame:
     """frame without the columns that say what came later: nothing that simulates may see them."""
     return frame.drop(*labels)
 

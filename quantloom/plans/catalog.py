@@ -188,3 +188,9 @@ def concepts_of_catalog(spark, sf_dir):
 @query("catalog_faults", f"WITH {_RAW} SELECT 'empty' AS fault, '' AS value, count(*) AS n FROM ct WHERE code = '' OR name = '' HAVING count(*) > 0 UNION ALL SELECT 'duplicate_code', code, count(*) FROM ct WHERE code <> '' GROUP BY code HAVING count(*) > 1 UNION ALL SELECT 'duplicate_name', name, count(*) FROM ct WHERE name <> '' GROUP BY name HAVING count(*) > 1")
 def catalog_faults(spark, sf_dir):
     return op.catalog_faults(op.concepts_of(_raw_catalog(spark, sf_dir)))
+
+
+@query("concept_lookup", f"WITH {CON} SELECT code, name FROM k WHERE name = 'NATION_7'")
+def concept_lookup(spark, sf_dir):
+    """A name's concept; two rows would say that it is ambiguous."""
+    return op.unique_match(concepts(spark, sf_dir), "name", "NATION_7").select("code", "name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import session_class, session_part
+from quantloom.functions.expr import in_session, session_class, session_part
 from quantloom.operators import order_flow as of
 from quantloom.operators import quality, resample
 from quantloom.plans.base import Registry, rounded, six
@@ -388,3 +388,17 @@ SELECT symbol, date_key, total_bars, last_minute, coalesce(valid_bars, 0) AS val
 def participation_session_report(spark, sf_dir):
     """All that is said of a session, also where no bar could be scored."""
     return rounded(of.session_report(part(spark, sf_dir)), "symbol", "date_key", "total_bars", "last_minute", "valid_bars", "latest_state", "latest_confirmed", "dominant", "confirmed_direction", six=_REPORT)
+
+
+@query("session_mask", f"WITH {BARS_SQL} SELECT symbol, date_key, minute, minute >= 570 AND minute < 690 OR minute >= 780 AND minute < 900 AS by_start, minute + 30 > 570 AND minute + 30 <= 690 OR minute + 30 > 780 AND minute + 30 <= 900 AS by_end, minute > 570 AND minute <= 690 OR minute > 780 AND minute <= 900 AS misread FROM ib")
+def session_mask(spark, sf_dir):
+    """Bars in a session by their labels: starts, ends, and starts taken for ends."""
+    b = of.flow_bars(intraday_prints(spark, sf_dir), CFG)
+    return b.select("symbol", "date_key", "minute", in_session("minute", False).alias("by_start"), in_session(F.col("minute") + 30, True).alias("by_end"), in_session("minute", True).alias("misread"))
+
+
+@query("simulator_frame", f"WITH {FEAT_SQL}, {_ODD} SELECT symbol, date_key, minute, valid, ready, factor, factor_lag_1, open FROM pf WHERE factor IS NOT NULL AND isfinite(factor) AND factor_lag_1 IS NOT NULL AND isfinite(factor_lag_1)")
+def simulator_frame(spark, sf_dir):
+    """What a simulation may see of the prediction frame: rows whose features are all there, without anything that came later."""
+    out = quality.without_labels(prediction_rows(spark, sf_dir).where(quality.complete(["factor", "factor_lag_1"])))
+    return out.select([c for c in out.columns if c not in ("part", "factor_lag_2")])

@@ -208,3 +208,28 @@ def fine_coarse_check(spark, sf_dir):
 
     out = history.cross_check(daily_prints(spark, sf_dir).where("trade_count < 7"), supplier_day_bars(spark, sf_dir).withColumnRenamed("ts", "day"))
     return rounded(out, "symbol", "day", "fine", "coarse", "mismatch", six=("share",))
+
+
+_WORDS = ("' TRUE '", "'t'", "'No'", "'1.0'", "'0'", "''", "NULL", "'maybe'", "'on'")
+
+
+def _boolean_sql(kind: str, default: str) -> str:
+    from quantloom.functions.expr import BOOLEANS
+
+    yes, no, numbers = BOOLEANS[kind]
+    listed = lambda words: ", ".join(f"'{x}'" for x in words)
+    number = lambda v: f" OR TRY_CAST(c AS DOUBLE) = {v}" if numbers else ""
+    missing = "c IS NULL" if kind == "setting" else "c IS NULL OR c = ''"
+    return f"CASE WHEN {missing} THEN {default} WHEN c IN ({listed(yes)}){number(1)} THEN true WHEN c IN ({listed(no)}){number(0)} THEN false END"
+
+
+@query("boolean_columns", f"WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE (l_orderkey + l_linenumber) % 9 {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_WORDS))} END AS raw FROM lineitem), u AS (SELECT *, lower(trim(raw)) AS c FROM t) SELECT l_orderkey, l_linenumber, l_partkey, {_boolean_sql('setting', 'false')} AS as_setting, {_boolean_sql('flag', 'false')} AS as_flag, {_boolean_sql('feature', 'true')} AS as_feature FROM u")
+def boolean_columns(spark, sf_dir):
+    """One text read by each law; what a law does not know is NULL."""
+    from quantloom.functions.expr import parse_boolean
+
+    raw = F.lit(None).cast("string")
+    for k, x in enumerate(_WORDS):
+        raw = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 9 == k, F.expr(x).cast("string")).otherwise(raw)
+    t = table(spark, sf_dir, "lineitem").withColumn("raw", raw)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", parse_boolean("raw", strict=False).alias("as_setting"), parse_boolean("raw", "flag", strict=False).alias("as_flag"), parse_boolean("raw", "feature", True, strict=False).alias("as_feature"))

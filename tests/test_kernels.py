@@ -80,7 +80,12 @@ def test_missing_is_not_zero(spark):
     assert [r[0] for r in df.select(expr.ratio("a", "b")).collect()] == [None, None, None, 2.0]
     assert [r[0] for r in df.select(expr.clip("a", 2, 3)).collect()] == [2.0, None, 3.0, 3.0]
     assert [r[0] for r in df.select(expr.mean_of(["a", "b"], 2)).collect()] == [0.5, None, None, 3.0]
-    assert [r[0] for r in spark.createDataFrame([("Yes",), ("off",), ("maybe",), (None,)], "s string").select(expr.strict_boolean("s")).collect()] == [True, False, None, None]
+    given = spark.createDataFrame([("Yes",), ("off",), ("maybe",), (None,), (" 1.0 ",), ("",), ("T",)], "s string")
+    read = lambda kind, default=False: [r[0] for r in given.select(expr.parse_boolean("s", kind, default, strict=False)).collect()]
+    assert read("setting", None) == [True, False, None, None, None, None, None]
+    assert read("flag") == [None, None, None, False, True, False, True] and read("feature", True) == [True, None, None, True, True, True, True]
+    with pytest.raises(Exception, match="not a boolean: maybe"):
+        given.select(expr.parse_boolean("s", "setting")).collect()
 
 
 def bars(spark, n=40, change=None, symbols=("x",)):
