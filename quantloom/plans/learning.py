@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import backtest, boosting, learning, vsa
 from quantloom.plans.base import Registry, rounded
-from quantloom.plans.market import CFG
+from quantloom.plans.market import CFG, SIGNAL_SQL
 from quantloom.plans.panel import PANEL_SQL, panel
 from quantloom.sources.tables import MONTH_BARS, month_bars, table
 
@@ -80,9 +80,33 @@ def latest_scores(spark, sf_dir):
     return rounded(learning.execution_signals(out, 0.5, 0.1), "symbol", "session", "signal", six=("score",))
 
 
-@query("backtest_vsa")
+def vsa_sql(r: backtest.VsaRules) -> str:
+    """The VSA strategy as a recursive query over the signals: its trades vt(symbol, entry_ts, exit_ts, entry_price, exit_price, shares, pnl, reason, held)."""
+    fees, down = f"{r.commission + r.transfer!r}::DOUBLE", lambda x: f"(floor({x} / {r.tick!r}::DOUBLE + 1e-9::DOUBLE) * {r.tick!r}::DOUBLE)"
+    return f"""RECURSIVE {SIGNAL_SQL},
+s0 AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, ts, open, high, low, close, signal, stop AS s_stop, CASE WHEN close - stop > 0 THEN close + 2 * (close - stop) END AS s_target FROM g),
+m(symbol, n, ts, cash, shares, entry, entry_n, entry_ts, pending, ls, lt, stop, target, reason, price, sold, pnl, held, bought_price, bought_ts) AS (
+  SELECT symbol, 0, NULL::DATE, {r.cash!r}::DOUBLE, 0, 0::DOUBLE, 0, NULL::DATE, '', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR, NULL::DOUBLE, NULL::INTEGER, NULL::DOUBLE, NULL::INTEGER, NULL::DOUBLE, NULL::DATE FROM (SELECT DISTINCT symbol FROM s0)
+  UNION ALL
+  SELECT symbol, n, ts, cash, shares, entry, entry_n, entry_ts,
+    CASE WHEN goes THEN 'buy' WHEN shares = 0 OR NOT ts > entry_ts THEN '' WHEN signal = -1 THEN 'exit_signal' WHEN high >= target THEN 'take' WHEN n - entry_n >= {r.max_hold} THEN 'max_hold' ELSE '' END,
+    CASE WHEN goes THEN s_stop WHEN shares > 0 AND NOT ts > entry_ts THEN ls END, CASE WHEN goes THEN s_target WHEN shares > 0 AND NOT ts > entry_ts THEN lt END, stop, target, reason, price, sold, pnl, held, bought_price, bought_ts
+  FROM (SELECT * REPLACE (CASE WHEN shares = 0 THEN NULL WHEN sets AND lt <= close THEN close + {r.reward!r}::DOUBLE * (close - stop) WHEN sets THEN lt ELSE target END AS target)
+    FROM (SELECT * REPLACE (CASE WHEN shares = 0 THEN NULL WHEN sets THEN CASE WHEN {down('ls')} >= close THEN {down(f'close * {r.gap_stop!r}::DOUBLE')} ELSE {down('ls')} END ELSE stop END AS stop)
+      FROM (SELECT *, shares > 0 AND ts > entry_ts AND ls IS NOT NULL AS sets, shares = 0 AND signal = 1 AND coalesce(0 < s_stop AND s_stop < s_target AND s_target > close, false) AS goes
+        FROM (SELECT s.symbol, s.n, s.ts, s.high, s.close, s.signal, s.s_stop, s.s_target, CASE WHEN buys THEN cash - {r.size} * bp * (1 + {fees}) WHEN why IS NOT NULL THEN cash + shares * xp * (1 - {fees} - {r.stamp!r}::DOUBLE) ELSE cash END AS cash,
+            CASE WHEN buys THEN {r.size} WHEN why IS NOT NULL THEN 0 ELSE shares END AS shares, CASE WHEN buys THEN bp ELSE entry END AS entry, CASE WHEN buys THEN s.n ELSE entry_n END AS entry_n, CASE WHEN buys THEN s.ts ELSE entry_ts END AS entry_ts, ls, lt, stop, target,
+            why AS reason, CASE WHEN why IS NOT NULL THEN xp END AS price, CASE WHEN why IS NOT NULL THEN shares END AS sold, CASE WHEN why IS NOT NULL THEN shares * xp * (1 - {fees} - {r.stamp!r}::DOUBLE) - shares * entry * (1 + {fees}) END AS pnl, CASE WHEN why IS NOT NULL THEN s.n - entry_n END AS held, CASE WHEN why IS NOT NULL THEN entry END AS bought_price, CASE WHEN why IS NOT NULL THEN entry_ts END AS bought_ts
+          FROM (SELECT *, CASE WHEN why = 'stop' THEN least(open, stop) ELSE open END * (1 - {r.slippage!r}::DOUBLE) AS xp
+            FROM (SELECT s0 AS s, s0.open AS open, s0.open * (1 + {r.slippage!r}::DOUBLE) AS bp, z.* EXCLUDE (symbol, n, ts, reason, price, sold, pnl, held, bought_price, bought_ts), z.pending = 'buy' AND {r.size} * s0.open * (1 + {r.slippage!r}::DOUBLE) * (1 + {fees}) <= z.cash AS buys,
+                CASE WHEN z.pending = 'buy' OR z.shares = 0 THEN NULL WHEN z.pending <> '' THEN z.pending WHEN s0.low <= z.stop THEN 'stop' END AS why FROM m z JOIN s0 ON s0.symbol = z.symbol AND s0.n = z.n + 1) x0) x1) x2) x3) x4) x5),
+vt AS (SELECT symbol, bought_ts AS entry_ts, ts AS exit_ts, bought_price AS entry_price, price AS exit_price, sold AS shares, pnl, reason, held FROM m WHERE reason IS NOT NULL)"""
+
+
+@query("backtest_vsa", f"WITH {vsa_sql(VSA_RULES)} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, shares::BIGINT AS shares, reason, held, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 2) AS pnl FROM vt", dates=("entry_ts", "exit_ts"))
 def backtest_vsa(spark, sf_dir):
-    return rounded(backtest.simulate_vsa(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), VSA_RULES), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", six=("entry_price", "exit_price", "pnl"))
+    trades = backtest.simulate_vsa(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), VSA_RULES)
+    return rounded(trades.withColumn("pnl", F.round("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", six=("entry_price", "exit_price"))
 
 
 def simulation_sql(bars: str, rules: backtest.Rules) -> str:
