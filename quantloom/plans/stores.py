@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import learning
 from quantloom.plans.base import Registry, rounded
 from quantloom.plans.learning import _LATEST, model_rows
-from quantloom.sources import archive, models, registry  # noqa: F401  (archive registers its source)
+from quantloom.sources import archive, files, models, registry  # noqa: F401  (archive and files register their sources)
 from quantloom.sources.cache import ResponseCache
 from quantloom.sources.shared import new_path
 from quantloom.sources.tables import SUPPLIER_DAY_BARS, supplier_day_bars, table
@@ -108,3 +108,23 @@ def cache_store_hits(spark, sf_dir):
     """A request for each customer, also for those without an entry."""
     asked = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.lit(5).alias("start"), F.lit(100).alias("count"))
     return _cache(spark, sf_dir).get(asked, "2001-07-01 00:00:00", 200 * 86400).select("c_custkey", "hit", "payload")
+
+
+@query("symbol_list", "SELECT DISTINCT c_mktsegment || '_' || c_nationkey AS symbol FROM customer WHERE c_custkey % 5 > 0")
+def symbol_list(spark, sf_dir):
+    """Lists with comments, blanks and repeats, written from customers' segments."""
+    c = table(spark, sf_dir, "customer")
+    name = F.concat("c_mktsegment", F.lit("_"), F.col("c_nationkey").cast("string"))
+    line = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("# "), name)).when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("  "), name, F.lit("  # again"))).otherwise(name)
+    path = new_path(spark, "symbols")
+    c.select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)
+    return registry.read(spark, "symbol_list", path).select("symbol")
+
+
+@query("feature_frame_csv", f"WITH {SUPPLIER_DAY_BARS} SELECT symbol::BIGINT AS symbol, ts, close, CASE WHEN volume > 30 THEN volume END::DOUBLE AS volume FROM b", dates=("ts",))
+def feature_frame_csv(spark, sf_dir):
+    """Bars by way of CSV, missing values and types kept."""
+    b = supplier_day_bars(spark, sf_dir).select(F.col("symbol").cast("bigint").alias("symbol"), "ts", "close", F.when(F.col("volume") > 30, F.col("volume")).alias("volume"))
+    path = f"{new_path(spark, 'frame')}.csv"
+    b.write.option("header", True).csv(path)
+    return registry.read(spark, "feature_frame", path, required=("symbol", "ts"), schema="symbol bigint, ts date, close double, volume double")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import boosting, learning
-from quantloom.sources import archive, cache, models, registry
+from quantloom.sources import archive, cache, files, models, registry  # noqa: F401
 from quantloom.sources.shared import new_path
 
 BARS = "code string, ts date, close double, volume double"
@@ -111,6 +111,25 @@ def test_archives_without_members(spark, bars, tmp_path):
         assert registry.read(spark, "zip_parquet", str(tmp_path / "nothing"), schema=BARS).count() == 0
 
 
+def test_symbol_lists_keep_the_first(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("# all\n b \na # first\n\nb\n  # none\nc#x#y\na\n")
+    got = registry.read(spark, "symbol_list", str(tmp_path / "s.txt")).orderBy("position").collect()
+    assert [r["symbol"] for r in got] == ["b", "a", "c"]
+
+
+def test_feature_frames(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("symbol,x\na,1.5\nb,\n")
+    assert [tuple(r) for r in registry.read(spark, "feature_frame", str(tmp_path / "f.csv"), required=("x",)).collect()] == [("a", 1.5), ("b", None)]
+    with pytest.raises(ValueError, match="missing columns: y"):
+        registry.read(spark, "feature_frame", str(tmp_path / "f.csv"), required=("x", "y"), schema="symbol string, x double, y double")
+    with pytest.raises(Exception):
+        registry.read(spark, "feature_frame", str(tmp_path / "f.csv"), schema="symbol double, x double").collect()
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    assert registry.read(spark, "feature_frame", str(tmp_path / "p"), required=("id",)).count() == 3
+    with pytest.raises(ValueError, match="missing columns: z"):
+        registry.read(spark, "feature_frame", str(tmp_path / "p"), required=("z",))
+
+
 # the model store
 
 
