@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,17 @@ class Registry:
         return keep
 
 
-def rounded(df: DataFrame, *keep: str, six: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `keep` as they are and `six` to six places; no negative zeros. A hair is added, so that what lies between two such numbers goes the same way in every engine."""
-    return df.select(*keep, *[(F.round(F.col(c) + HAIR, 6) + 0.0).alias(c) for c in six])
+def plain_six(c: str) -> Column:
+    """Six places as the SQL's plain round(x, 6) takes them: of the product with a million, halves away from zero."""
+    return F.round(F.col(c) * 1e6) / 1e6
+
+
+def rounded(df: DataFrame, *keep: str, six: tuple[str, ...] = (), plain: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `keep` as they are, `six` and `plain` to six places; no negative zeros.
+
+    To those in `six` a hair is added, so that what lies between two such numbers goes the same way in every engine; their SQL is six(). `plain` are for SQL that rounds without it.
+    """
+    return df.select(*keep, *[(F.round(F.col(c) + HAIR, 6) + 0.0).alias(c) for c in six], *[(plain_six(c) + 0.0).alias(c) for c in plain])
 
 
 def six(*names: str) -> str:

@@ -132,7 +132,7 @@ def daily_reconciliation(spark, sf_dir):
     p = daily_prints(spark, sf_dir)
     a = p.where("NOT (flag = 'A' AND trade_count = 7)").select("day", "volume")
     b = supplier_day_bars(spark, sf_dir).select(F.col("ts").alias("day"), "volume")
-    return rounded(op.reconcile(a, b, ["day"], "volume", 0.05).withColumn("day", F.col("day").cast("string")), "day", "left_total", "right_total", "mismatch", six=("share",))
+    return rounded(op.reconcile(a, b, ["day"], "volume", 0.05).withColumn("day", F.col("day").cast("string")), "day", "left_total", "right_total", "mismatch", plain=("share",))
 
 
 @query("set_operations", "(SELECT c_custkey AS k, 'never_ordered' AS kind FROM customer EXCEPT SELECT o_custkey, 'never_ordered' FROM orders) UNION ALL (SELECT DISTINCT o_custkey, 'large' FROM orders WHERE o_totalprice > 400000 INTERSECT SELECT c_custkey, 'large' FROM customer WHERE c_acctbal > 5000)")
@@ -164,7 +164,7 @@ def equity_drawdown(spark, sf_dir):
     s = w.by("symbol")
     d = month_bars(spark, sf_dir).withColumn("dd", w.drawdown("close", s)).withColumn("island", w.islands(F.col("dd") == 0, s))
     longest = d.groupBy("symbol", "island").agg(F.count_if(F.col("dd") > 0).alias("n"), F.max("dd").alias("dd"))
-    return rounded(longest.groupBy("symbol").agg(F.max("dd").alias("max_drawdown"), F.max("n").alias("longest")), "symbol", "longest", six=("max_drawdown",))
+    return rounded(longest.groupBy("symbol").agg(F.max("dd").alias("max_drawdown"), F.max("n").alias("longest")), "symbol", "longest", plain=("max_drawdown",))
 
 
 # suppliers as a raw catalogue: of two exchanges and types, with and without the suffix, in small letters, with blanks, some codes and names twice

@@ -103,4 +103,4 @@ def request_keys(spark, sf_dir):
 def signal_listing(spark, sf_dir):
     """The first hundred confirmed bars: a report."""
     first = part(spark, sf_dir).where("confirmed").orderBy("symbol", "date_key", "minute").limit(100)
-    return rounded(first, "symbol", "date_key", "minute", "state", six=("participation_score",))
+    return rounded(first, "symbol", "date_key", "minute", "state", plain=("participation_score",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.operators import flow_machine as fm
 from quantloom.operators import order_flow as of
 from quantloom.plans import intraday
-from quantloom.plans.base import Registry, rounded, six
+from quantloom.plans.base import Registry, plain_six, rounded, six
 from quantloom.sources.shared import new_path, removed, written
 from quantloom.sources.tables import DAILY_PRINTS, daily_prints
 from quantloom.streaming import bars as streams
@@ -56,7 +56,7 @@ def bars(spark, sf_dir):
 
 
 def _shown(fills):
-    return fills.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "date_key", "side", "shares", "reason", F.round("price", 6).alias("price"), F.round("fees", 4).alias("fees"), F.round("cash", 2).alias("cash"))
+    return fills.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), "date_key", "side", "shares", "reason", plain_six("price").alias("price"), F.round("fees", 4).alias("fees"), F.round("cash", 2).alias("cash"))
 
 
 @query("flow_fills", f"WITH {machine_sql(_S0, RULES)} {_FILLS}")

@@ -38,7 +38,7 @@ SELECT g::BIGINT AS "group", (1 + {EDGES})::INTEGER AS bucket, count(*) AS n, ro
 )
 def event_study(spark, sf_dir):
     rows = panel(spark, sf_dir).where("eligible").select(F.year("ts").cast("bigint").alias("group"), F.struct("symbol", "ts").alias("key"), F.col("dev_5").alias("factor"), F.col("next_return").alias("outcome"))
-    return rounded(learning.event_study(rows, 5, 0.001), "group", "bucket", "n", six=("low", "high", "mean_factor", "mean_outcome", "mean_net", "hit_rate"))
+    return rounded(learning.event_study(rows, 5, 0.001), "group", "bucket", "n", plain=("low", "high", "mean_factor", "mean_outcome", "mean_net", "hit_rate"))
 
 
 @query("ridge_scores")
@@ -77,7 +77,7 @@ w AS (SELECT *, (n * cxy / sx) / (n + 1.0::DOUBLE) AS weight FROM st), l AS (SEL
 def latest_scores(spark, sf_dir):
     """The newest session scored by what was known before it, and the signals to execute."""
     out = learning.score_latest(model_rows(spark, sf_dir).withColumn("eligible", F.lit(True)), ["dev_5"], "next_return", 1.0)
-    return rounded(learning.execution_signals(out, 0.5, 0.1), "symbol", "session", "signal", six=("score",))
+    return rounded(learning.execution_signals(out, 0.5, 0.1), "symbol", "session", "signal", plain=("score",))
 
 
 def vsa_sql(r: backtest.VsaRules) -> str:
@@ -106,7 +106,7 @@ vt AS (SELECT symbol, bought_ts AS entry_ts, ts AS exit_ts, bought_price AS entr
 @query("backtest_vsa", f"WITH {vsa_sql(VSA_RULES)} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, shares::BIGINT AS shares, reason, held, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 2) AS pnl FROM vt", dates=("entry_ts", "exit_ts"))
 def backtest_vsa(spark, sf_dir):
     trades = backtest.simulate_vsa(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), VSA_RULES)
-    return rounded(trades.withColumn("pnl", F.round("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", six=("entry_price", "exit_price"))
+    return rounded(trades.withColumn("pnl", F.round("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
 
 
 def simulation_sql(bars: str, rules: backtest.Rules) -> str:
@@ -141,7 +141,7 @@ MOMENTUM_TRADES = simulation_sql(_MOMENTUM, RULES)
 @query("momentum_trades", f"WITH {MOMENTUM_TRADES} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, shares::BIGINT AS shares, reason, held, round(pnl, 2) AS pnl FROM t", dates=("entry_ts", "exit_ts"))
 def momentum_trades(spark, sf_dir):
     trades = backtest.simulate(backtest.momentum_signals(month_bars(spark, sf_dir)), RULES)
-    return rounded(trades.withColumn("pnl", F.round("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", six=("entry_price", "exit_price"))
+    return rounded(trades.withColumn("pnl", F.round("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
 
 
 _TABLE = f"""RECURSIVE {MONTH_BARS}, g0 AS (SELECT symbol, ts, close < lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS fell FROM b),
@@ -170,7 +170,7 @@ def trade_listing(spark, sf_dir):
 @query("backtest_momentum", f"WITH {MOMENTUM_TRADES} SELECT symbol::VARCHAR AS symbol, count(*) AS n_trades, round(count(*) FILTER (pnl > 0) / count(*)::DOUBLE, 6) AS win_rate, round(CASE WHEN sum(greatest(-pnl, 0)) > 0 THEN sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)) END, 6) AS profit_factor, round(avg(held), 6) AS mean_held, round(sum(pnl) / {RULES.cash!r}::DOUBLE, 6) AS total_return FROM t GROUP BY 1")
 def backtest_momentum(spark, sf_dir):
     trades = backtest.simulate(backtest.momentum_signals(month_bars(spark, sf_dir)), RULES)
-    return rounded(backtest.trade_metrics(trades, RULES.cash), "symbol", "n_trades", six=("win_rate", "profit_factor", "mean_held", "total_return"))
+    return rounded(backtest.trade_metrics(trades, RULES.cash), "symbol", "n_trades", plain=("win_rate", "profit_factor", "mean_held", "total_return"))
 
 
 @query("momentum_signals", f"WITH {MONTH_BARS}, m AS (SELECT symbol, ts, CASE WHEN count(*) OVER w >= 3 THEN close > avg(close) OVER w END AS a FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING)), k AS (SELECT *, lag(a) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM m) SELECT symbol, ts, CASE WHEN a AND NOT p THEN 1 ELSE -1 END AS signal FROM k WHERE a AND NOT p OR NOT a AND p", dates=("ts",))
@@ -188,7 +188,7 @@ SELECT symbol, n, round(tr, 6) AS total_return, round(sd * sqrt(12), 6) AS volat
 )
 def equity_metrics(spark, sf_dir):
     eq = month_bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("equity"))
-    return rounded(backtest.equity_metrics(eq, 12), "symbol", "n", six=("total_return", "volatility", "sharpe", "sortino", "max_drawdown", "annual_return", "calmar"))
+    return rounded(backtest.equity_metrics(eq, 12), "symbol", "n", plain=("total_return", "volatility", "sharpe", "sortino", "max_drawdown", "annual_return", "calmar"))
 
 
 @query("daily_equity", "SELECT user_id AS symbol, ts::DATE::VARCHAR AS day, arg_max(value, ts) AS equity FROM events GROUP BY 1, 2")
@@ -199,7 +199,7 @@ def daily_equity(spark, sf_dir):
 
 @query("buy_and_hold", f"WITH {MONTH_BARS} SELECT symbol, count(*) AS n, round((arg_max(close, ts) - arg_min(open, ts)) / arg_min(open, ts), 6) AS hold_return FROM b GROUP BY symbol HAVING count(*) >= 2")
 def buy_and_hold(spark, sf_dir):
-    return rounded(backtest.buy_and_hold(month_bars(spark, sf_dir)), "symbol", "n", six=("hold_return",))
+    return rounded(backtest.buy_and_hold(month_bars(spark, sf_dir)), "symbol", "n", plain=("hold_return",))
 
 
 @query("newest_signal", f"WITH {MONTH_BARS}, m AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM b) SELECT symbol, ts, close FROM m WHERE n = 1", dates=("ts",))

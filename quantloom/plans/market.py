@@ -64,7 +64,7 @@ def bars_month(spark, sf_dir):
 @query("vsa_signals", f"WITH {SIGNAL_SQL} SELECT symbol, ts, candidate, candidate_code, status, signal, round(stop, 6) AS stop, round(CASE WHEN close - stop > 0 THEN close + 2 * (close - stop) END, 6) AS target FROM g WHERE candidate_code <> 0 OR signal <> 0", dates=("ts",))
 def vsa_signals(spark, sf_dir):
     s = vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG).where("candidate_code <> 0 OR signal <> 0")
-    return rounded(s, "symbol", "ts", "candidate", "candidate_code", "status", "signal", six=("stop", "target"))
+    return rounded(s, "symbol", "ts", "candidate", "candidate_code", "status", "signal", plain=("stop", "target"))
 
 
 @query(
@@ -97,7 +97,7 @@ SELECT symbol, ts, print_volume IS NOT NULL AS observed, trade_count::DOUBLE AS
   round(CASE WHEN print_volume > 0 THEN volume_squared / (print_volume * print_volume) END, 6) AS concentration, round(CASE WHEN print_volume > 0 THEN max_trade / print_volume END, 6) AS max_share
 FROM bf""", dates=("ts",))
 def bars_with_flow(spark, sf_dir):
-    return rounded(_bars_with_flow(spark, sf_dir).withColumn("trade_count", F.col("trade_count").cast("double")), "symbol", "ts", "observed", "trade_count", "buy_volume", "sell_volume", "delta", six=("delta_ratio", "vwap", "coverage", "large_delta_ratio", "concentration", "max_share"))
+    return rounded(_bars_with_flow(spark, sf_dir).withColumn("trade_count", F.col("trade_count").cast("double")), "symbol", "ts", "observed", "trade_count", "buy_volume", "sell_volume", "delta", plain=("delta_ratio", "vwap", "coverage", "large_delta_ratio", "concentration", "max_share"))
 
 
 def _bars_with_flow(spark, sf_dir):
@@ -114,7 +114,7 @@ _COUNTS = ("trade_count", "transaction_rows", "buy_trades", "sell_trades", "neut
   round(CASE WHEN trade_count > 0 THEN amount / trade_count END, 6) AS average_amount, round(CASE WHEN trade_count > 0 THEN buy_trades / trade_count END, 6) AS buy_trade_share, round(CASE WHEN trade_count > 0 THEN sell_trades / trade_count END, 6) AS sell_trade_share FROM bf""", dates=("ts",))
 def print_totals(spark, sf_dir):
     """All twenty totals of each bar's prints, and sizes and shares by number of trades."""
-    return rounded(_bars_with_flow(spark, sf_dir), "symbol", "ts", *_TOTALS, *[F.col(c).cast("bigint").alias(c) for c in _COUNTS], "volume_gap", "large_delta", six=("average_size", "average_amount", "buy_trade_share", "sell_trade_share"))
+    return rounded(_bars_with_flow(spark, sf_dir), "symbol", "ts", *_TOTALS, *[F.col(c).cast("bigint").alias(c) for c in _COUNTS], "volume_gap", "large_delta", plain=("average_size", "average_amount", "buy_trade_share", "sell_trade_share"))
 
 
 def _roll_sql(key: str, base: str = "prev_close") -> str:
@@ -126,7 +126,7 @@ SELECT symbol, period, ts, open, high, low, close, volume, amount, close - {base
 def _roll(period: str):
     def run(spark, sf_dir):
         out = resample.roll_up(supplier_day_bars(spark, sf_dir), period, complete_sums=period == "iso")
-        return rounded(out, "symbol", "period", "ts", "open", "high", "low", "close", "volume", "amount", "change", six=("pct_change", "amplitude"))
+        return rounded(out, "symbol", "period", "ts", "open", "high", "low", "close", "volume", "amount", "change", plain=("pct_change", "amplitude"))
 
     return run
 
@@ -139,7 +139,7 @@ query("roll_up_month", _roll_sql("date_trunc('month', ts)::DATE"), dates=("perio
 def _adjust(kind: str):
     def run(spark, sf_dir):
         b = month_bars(spark, sf_dir).withColumn("factor", 1 + F.month("ts") / 64.0)
-        return rounded(resample.adjusted(b, kind), "symbol", "ts", six=("open", "close", "pct_change"))
+        return rounded(resample.adjusted(b, kind), "symbol", "ts", plain=("open", "close", "pct_change"))
 
     return run
 
@@ -156,7 +156,7 @@ SELECT symbol, ts, round(open, 6) AS open, round(close, 6) AS close, round(CASE
 
 @query("period_summary", f"WITH {MONTH_BARS} SELECT symbol, count(*) AS n_bars, min(ts) AS first_ts, max(ts) AS last_ts, min(low) AS low, max(high) AS high, round(100 * ((arg_max(close, ts) - arg_min(close, ts)) / arg_min(close, ts)), 6) AS pct_change FROM b GROUP BY symbol", dates=("first_ts", "last_ts"))
 def period_summary(spark, sf_dir):
-    return rounded(resample.period_summary(month_bars(spark, sf_dir)), "symbol", "n_bars", "first_ts", "last_ts", "low", "high", six=("pct_change",))
+    return rounded(resample.period_summary(month_bars(spark, sf_dir)), "symbol", "n_bars", "first_ts", "last_ts", "low", "high", plain=("pct_change",))
 
 
 @query(

@@ -123,7 +123,7 @@ def setup_review(spark, sf_dir):
     dates=("ts", "prev_as_of"),
 )
 def as_of_previous_record(spark, sf_dir):
-    return rounded(technical.as_of_previous(_records(spark, sf_dir), supplier_day_bars(spark, sf_dir)), "symbol", "ts", "prev_as_of", six=("prev_trigger",))
+    return rounded(technical.as_of_previous(_records(spark, sf_dir), supplier_day_bars(spark, sf_dir)), "symbol", "ts", "prev_as_of", plain=("prev_trigger",))
 
 
 def _lagged(n: int) -> str:
@@ -177,7 +177,7 @@ r AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY year ORDER BY score ROWS
 SELECT year, sum(p) AS n_pos, sum(n) AS n_neg, round(sum(wins) / (sum(p) * sum(n)), 6) AS auc FROM r GROUP BY year HAVING sum(p) > 0 AND sum(n) > 0""",
 )
 def score_auc(spark, sf_dir):
-    return rounded(daily.auc(scored(spark, sf_dir).withColumn("year", F.year("ts").cast("bigint")), "year").where("auc IS NOT NULL"), "year", "n_pos", "n_neg", six=("auc",))
+    return rounded(daily.auc(scored(spark, sf_dir).withColumn("year", F.year("ts").cast("bigint")), "year").where("auc IS NOT NULL"), "year", "n_pos", "n_neg", plain=("auc",))
 
 
 @query(
@@ -188,7 +188,7 @@ r AS (SELECT *, p * (coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED
 def score_auc_all(spark, sf_dir):
     """All rows as one group, scores as they are: about as many ranks as rows."""
     score = 1 / (1 + F.exp(F.col("dev_5")))
-    return rounded(daily.auc(panel(spark, sf_dir).where("eligible AND dev_5 IS NOT NULL").select(score.alias("score"), "label")), "n_pos", "n_neg", six=("auc",))
+    return rounded(daily.auc(panel(spark, sf_dir).where("eligible AND dev_5 IS NOT NULL").select(score.alias("score"), "label")), "n_pos", "n_neg", plain=("auc",))
 
 
 @query(
@@ -198,7 +198,7 @@ SELECT ts, count(*) AS n, round(corr(a, b), 6) AS ic FROM r GROUP BY ts HAVING c
     dates=("ts",),
 )
 def score_rank_ic(spark, sf_dir):
-    return rounded(daily.rank_ic(scored(spark, sf_dir), "ts").where("n > 2 AND ic IS NOT NULL"), "ts", "n", six=("ic",))
+    return rounded(daily.rank_ic(scored(spark, sf_dir), "ts").where("n > 2 AND ic IS NOT NULL"), "ts", "n", plain=("ic",))
 
 
 @query(
@@ -207,7 +207,7 @@ def score_rank_ic(spark, sf_dir):
 FROM sc, range(50, 71) x(t) GROUP BY t) SELECT percent::INTEGER AS percent, round(j, 6) AS j, row_number() OVER (ORDER BY j DESC, percent) = 1 AS best FROM g""",
 )
 def score_threshold_grid(spark, sf_dir):
-    return rounded(daily.threshold_grid(scored(spark, sf_dir)), "percent", "best", six=("j",))
+    return rounded(daily.threshold_grid(scored(spark, sf_dir)), "percent", "best", plain=("j",))
 
 
 @query(
@@ -216,7 +216,7 @@ def score_threshold_grid(spark, sf_dir):
 SELECT round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, round(tp / (tp + fp)::DOUBLE, 6) AS "precision", round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM m""",
 )
 def score_confusion(spark, sf_dir):
-    return rounded(daily.confusion(scored(spark, sf_dir), 0.55), six=("accuracy", "precision", "recall", "f1"))
+    return rounded(daily.confusion(scored(spark, sf_dir), 0.55), plain=("accuracy", "precision", "recall", "f1"))
 
 
 _MEANS = {"mean_3": ("x", 3), "mean_12": ("x", 12), "mean_48": ("x", 48)}

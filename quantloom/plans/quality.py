@@ -175,7 +175,7 @@ _AMP = "round(CASE WHEN pc <> 0 THEN (high - low) / pc * 100 END, 6) AS amplitud
 
 def _history(period: str, adjust: str):
     def run(spark, sf_dir):
-        return rounded(history.historical_bars(snapshot(spark, sf_dir), "1997-03-05", "1999-02-10", period, adjust), "day", "code", "volume", "amount", six=("open", "close", "high", "low", "amplitude", "pct_change", "change", "turnover"))
+        return rounded(history.historical_bars(snapshot(spark, sf_dir), "1997-03-05", "1999-02-10", period, adjust), "day", "code", "volume", "amount", plain=("open", "close", "high", "low", "amplitude", "pct_change", "change", "turnover"))
 
     return run
 
@@ -207,7 +207,7 @@ def fine_coarse_check(spark, sf_dir):
     from quantloom.sources.tables import daily_prints
 
     out = history.cross_check(daily_prints(spark, sf_dir).where("trade_count < 7"), supplier_day_bars(spark, sf_dir).withColumnRenamed("ts", "day"))
-    return rounded(out, "symbol", "day", "fine", "coarse", "mismatch", six=("share",))
+    return rounded(out, "symbol", "day", "fine", "coarse", "mismatch", plain=("share",))
 
 
 _WORDS = ("' TRUE '", "'t'", "'No'", "'1.0'", "'0'", "''", "NULL", "'maybe'", "'on'")

@@ -54,7 +54,7 @@ def stored_scores(spark, sf_dir):
     """The newest session scored by a model that another session has saved, with the threshold kept beside it."""
     rows, path, mark = _saved(spark, sf_dir)
     found = models.load_model(spark.newSession(), path, mark)
-    return rounded(learning.execution_signals(rows.withColumn("score", found.model.score()), found.threshold, 0.1), "symbol", "session", "signal", six=("score",))
+    return rounded(learning.execution_signals(rows.withColumn("score", found.model.score()), found.threshold, 0.1), "symbol", "session", "signal", plain=("score",))
 
 
 @query(
