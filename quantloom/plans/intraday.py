@@ -138,7 +138,7 @@ def flow_blended_signals(spark, sf_dir):
 
 
 def _blended_totals(s):
-    return rounded(s.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("signal") == 1).alias("n_entry"), F.count_if(F.col("signal") == -1).alias("n_exit"), F.avg("score").alias("mean_score"), F.percentile("score", 0.5).alias("median_score")), "regime", "n", "n_entry", "n_exit", six=("mean_score", "median_score"))
+    return rounded(s.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("signal") == 1).alias("n_entry"), F.count_if(F.col("signal") == -1).alias("n_exit"), F.avg("score").alias("mean_score"), F.percentile("score", 0.5).alias("median_score")), "regime", "n", "n_entry", "n_exit", plain=("mean_score", "median_score"))
 
 
 @query("flow_blended_summary", f"WITH {BLEND_SIG_SQL} SELECT regime, count(*) AS n, count(*) FILTER (signal = 1) AS n_entry, count(*) FILTER (signal = -1) AS n_exit, round(avg(score), 6) AS mean_score, round(median(score), 6) AS median_score FROM x GROUP BY regime")
@@ -195,7 +195,7 @@ def flow_segment_proxies(spark, sf_dir):
 
 @query("daily_score_factor", f"WITH {SEGMENT_SQL} SELECT symbol, date_key, count(score) AS n_scored, round(avg(score), 6) AS score_factor FROM v GROUP BY 1, 2")
 def daily_score_factor(spark, sf_dir):
-    return rounded(of.daily_score_factor(of.blended_features(features(spark, sf_dir), CFG)), "symbol", "date_key", "n_scored", six=("score_factor",))
+    return rounded(of.daily_score_factor(of.blended_features(features(spark, sf_dir), CFG)), "symbol", "date_key", "n_scored", plain=("score_factor",))
 
 
 _QUOTES = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS bid1, l_extendedprice * (1 + (l_tax - 0.01::DOUBLE)) AS ask1, CASE WHEN l_orderkey % 5 > 0 THEN l_quantity END AS bid_vol1, CASE WHEN l_orderkey % 3 > 0 THEN l_linenumber::DOUBLE END AS bid_vol2, CASE WHEN l_orderkey % 7 > 0 THEN l_quantity + 1 END AS ask_vol1 FROM lineitem)"""
@@ -211,7 +211,7 @@ def quote_imbalance(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("bid1"), (F.col("l_extendedprice") * (1 + (F.col("l_tax") - 0.01))).alias("ask1"), F.when(k % 5 > 0, F.col("l_quantity")).alias("bid_vol1"),
         F.when(k % 3 > 0, F.col("l_linenumber").cast("double")).alias("bid_vol2"), F.when(k % 7 > 0, F.col("l_quantity") + 1).alias("ask_vol1"), none.alias("ask_vol2"),
     )
-    return rounded(of.quote_proxies(q, 2), "l_orderkey", "l_linenumber", "l_partkey", "bid1", "observed", six=("imbalance", "microprice_edge"))
+    return rounded(of.quote_proxies(q, 2), "l_orderkey", "l_linenumber", "l_partkey", "bid1", "observed", plain=("imbalance", "microprice_edge"))
 
 
 def _prank(c: str) -> str:
@@ -253,7 +253,7 @@ def participation(spark, sf_dir):
 x AS (SELECT *, CASE WHEN participation_score IS NULL OR before IS NULL THEN 0.5::DOUBLE ELSE st0 END AS score_stability FROM w)
 SELECT symbol, date_key, minute, round(score_stability, 6) AS score_stability, round(100 * ({_clip('1 - abs(coverage - 1)', 0, 1)} + {_clip('observations / 10.0::DOUBLE', 0, 1)} + parts / 4.0::DOUBLE + score_stability) / 4, 6) AS participation_confidence FROM x""")
 def participation_quality(spark, sf_dir):
-    return rounded(part(spark, sf_dir), "symbol", "date_key", "minute", six=("score_stability", "participation_confidence"))
+    return rounded(part(spark, sf_dir), "symbol", "date_key", "minute", plain=("score_stability", "participation_confidence"))
 
 
 @query("participation_states", f"WITH {PART_SQL} SELECT state, count(*) AS n FROM y GROUP BY state")
@@ -277,7 +277,7 @@ def participation_sessions(spark, sf_dir):
     f"""WITH {PART_SQL} SELECT symbol, date_key, round(sum(buy_volume - sell_volume) / sum(print_volume), 6) AS delta_factor, round(quantile_cont(participation_score, 0.9), 6) AS participation_factor FROM y GROUP BY 1, 2""",
 )
 def daily_factors(spark, sf_dir):
-    return rounded(of.daily_factors(part(spark, sf_dir)), "symbol", "date_key", six=("delta_factor", "participation_factor"))
+    return rounded(of.daily_factors(part(spark, sf_dir)), "symbol", "date_key", plain=("delta_factor", "participation_factor"))
 
 
 @query(
@@ -288,7 +288,7 @@ SELECT symbol, date_key, minute, coalesce(reason, '') AS reason, round(CASE WHEN
 )
 def forward_labels(spark, sf_dir):
     out = of.forward_labels(of.flow_bars(intraday_prints(spark, sf_dir), CFG), 30, 2, 0.0006)
-    return rounded(out.withColumn("reason", F.coalesce("reason", F.lit(""))), "symbol", "date_key", "minute", "reason", six=("net_return",))
+    return rounded(out.withColumn("reason", F.coalesce("reason", F.lit(""))), "symbol", "date_key", "minute", "reason", plain=("net_return",))
 
 
 # the intraday bars as they are; those of S1 relabelled by their ends; those of S2 without the first bar of each half session, by their ends; of S3 without it, by their starts
