@@ -11,6 +11,7 @@ spaces or have none, so no merge crosses them either (the latter is checked when
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from quantloom.llm import textarrays as ta
 #: Pieces whose ids a Python worker keeps.
 KEPT = 500_000
 #: Bytes of pieces that are joined to a string, and strings that the library is given at once.
-JOINED, STRINGS = 20_000, 16
+JOINED, STRINGS = 2_000, 160
 #: SentencePiece's sign for a space.
 SIGN = "▁".encode()
 
@@ -47,18 +48,25 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first[:n])
 
 
-_WORD, _STOP = np.zeros(256, bool), np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_STOP[[ord(c) for c in ".,;:!?"]] = True
+#: A piece may start at a byte if it and the byte before have a bit in common: white space after ASCII that is none; a mark, without the signs of contractions and of special tokens, after a letter or digit.
+_OPENS, _FOLLOWS = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+_OPENS[_SPACE] = 1
+_OPENS[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+_FOLLOWS[:128] = np.where(_SPACE[:128], 0, 1)
+_FOLLOWS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
+#: One word of byte-level BPE whatever surrounds it: a space at most, then letters of ASCII or Latin-1.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def byte_level_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The same for byte-level BPE alone, whose words end before any white space that follows ASCII that is none, and before a mark of the end of a clause that follows an ASCII letter or digit."""
+    """The same for byte-level BPE alone, whose words end before any white space that follows ASCII that is none, and before a mark that follows an ASCII letter or digit."""
     n = len(data)
     first = np.zeros(n + 1, bool)
     if n > 1:
         before, at = data[:-1], data[1:]
-        first[1:n] = (_SPACE[at] & ~_SPACE[before] & (before < 128)) | (_STOP[at] & _WORD[before]) | ((at == 32) & (before >= 128) & (before != SIGN[-1]) & _PLAIN[np.append(data[2:], 0)])
+        first[1:n] = _OPENS[at] & _FOLLOWS[before]
+        k = np.flatnonzero((at == 32) & (before >= 128))
+        first[k + 1] = (before[k] != SIGN[-1]) & _PLAIN[np.append(data, 0)[k + 2]]
     first[offsets] = True
     return np.flatnonzero(first[:n])
 
@@ -75,9 +83,9 @@ def distinct_pieces(data: np.ndarray, offsets: np.ndarray, cut=piece_starts) ->
 class Encoder:
     """Ids of pieces (int32 bytes) by one library; None where the joined tokens are not the piece's bytes."""
 
-    def __init__(self, tokens: list[bytes], encode, cut=piece_starts, skip: int = 0):
-        """tokens: bytes of each id; encode: strings to lists of ids; cut: where pieces start; skip: bytes at the head of a string that the library adds itself."""
-        self.tokens, self.encode, self.cut, self.skip = tokens, encode, cut, skip
+    def __init__(self, tokens: list[bytes], encode, cut=piece_starts, skip: int = 0, words=None):
+        """tokens: bytes of each id; encode: strings to lists of ids; cut: where pieces start; skip: bytes at the head of a string that the library adds itself; words: pieces of letters alone to the ids of all."""
+        self.tokens, self.encode, self.cut, self.skip, self.words = tokens, encode, cut, skip, words
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.known: dict[bytes, bytes | None] = {}
 
@@ -95,6 +103,18 @@ class Encoder:
         return out
 
     def _joined(self, pieces: list[bytes]):
+        if self.words:
+            letters, rest = [], []
+            for p in pieces:
+                (letters if _LETTERS.fullmatch(p) else rest).append(p)
+            for i in range(0, len(letters), 10_000):
+                lot = letters[i : i + 10_000]
+                out = self._split(lot, self.words(lot))
+                if out is None:
+                    rest += lot
+                else:
+                    yield from zip(lot, out)
+            pieces = rest
         ascii_end, ascii_head, alone, space = [], [], [], _SPACE.tolist()
         for p in pieces:
             if len(p) < 2 or not space[p[0]] or space[p[-1]]:
@@ -146,7 +166,7 @@ def byte_symbols() -> dict[str, int]:
 def byte_level(path: str, plain: bool) -> Encoder:
     """The tokenizers library on a byte-level file; plain: special tokens' strings inside texts are ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
@@ -157,7 +177,18 @@ def byte_level(path: str, plain: bool) -> Encoder:
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     for word, i in vocabulary.items():
         tokens[i] = word.encode() if word in special else bytes(symbols[c] for c in word)
-    return Encoder(tokens, lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], byte_level_starts)
+    other = [(chr(b), c) for c, b in symbols.items() if chr(b) != c and b != 10]
+    model, cutter, added = tok.model, tok.pre_tokenizer, [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+
+    def words(pieces: list[bytes]) -> np.ndarray:
+        text = b"\n".join(pieces).decode("latin-1")
+        for byte, letter in other:
+            text = text.replace(byte, letter)
+        return np.array([t.id for w in text.split("\n") for t in model.tokenize(w)], np.int32)
+
+    # the library's model takes a word as it is; where the file has steps before it, or tokens that may lie inside words, whole strings go through all of them
+    alike = tok.normalizer is None and isinstance(model, models.BPE) and isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space and not any(_LETTERS.fullmatch(t) for t in added)
+    return Encoder(tokens, lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)], byte_level_starts, words=words if alike else None)
 
 
 @lru_cache(4)
