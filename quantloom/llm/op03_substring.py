@@ -131,6 +131,8 @@ def _packed_rows(buckets: int, window: int, run: int, hot: np.ndarray):
                     held, size = {}, 0
         if held:
             yield pressed(held)
+            held = {}
+        ta.give_back()
 
     def pressed(held: dict[int, list[bytes]]) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
@@ -210,6 +212,11 @@ def _bucket_ranges(window: int):
     """applyInArrow on a bucket: (doc, fp, start, windows) of the windows that also start earlier."""
 
     def work(table: pa.Table) -> pa.Table:
+        out = found(table)
+        ta.give_back()  # the bucket's arrays are gone
+        return out
+
+    def found(table: pa.Table) -> pa.Table:
         head, text = _unpack(table.column("blob"))
         known, head = head[head["windows"] < 0], head[head["windows"] > 0]
         out = [(known["doc"], known["fp"], known["start"], -known["windows"])]
@@ -289,6 +296,7 @@ def _kept(window: int, digest: bool, carry: bool):
             more = {"text": pa.array([None if t is None else t.decode() for t in texts], pa.string())} if carry else {}
             more |= {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *more.values()], names=[*(batch.schema.names[k] for k in rest), *more])
+        ta.give_back()
 
     return work
 

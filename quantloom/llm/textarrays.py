@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -130,8 +133,22 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """What Arrow and numpy no longer use goes back to the system: workers wait for their next task beside others that run."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000):
-    """Slices of a batch with about `size` bytes of text in a column, a long row alone. What Arrow no longer uses goes back to the system after each."""
+    """Slices of a batch with about `size` bytes of text in a column, a long row alone. What is no longer used goes back to the system after each."""
     n = batch.num_rows
     if not n:
         return
@@ -139,4 +156,4 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 2_000_000):
     cuts = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), n)
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(a, b - a)
-        pa.default_memory_pool().release_unused()
+        give_back()
