@@ -164,7 +164,9 @@ def _verified(threshold: int):
     def work(table: pa.Table) -> pa.Table:
         doc, family = (table.column(c).to_numpy() for c in ("doc", "family"))
         sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("shingles")]
-        return pa.table({"doc": pa.array(doc, pa.int64()), "component": pa.array(link_sets(doc, family, sets, threshold), pa.int64())})
+        component = link_sets(doc, family, sets, threshold)
+        ta.give_back()  # the index of the task is gone
+        return pa.table({"doc": pa.array(doc, pa.int64()), "component": pa.array(component, pa.int64())})
 
     return work
 

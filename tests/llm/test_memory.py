@@ -33,3 +33,13 @@ def test_slices_give_memory_back():
 def test_kept_of_no_rows():
     none = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.struct({"start": pa.int32(), "windows": pa.int32()})))], names=["id", "text", "spans"])
     assert [b.num_rows for b in op03_substring._kept(20, True, False)(iter([none]))] == [0]
+
+
+def test_verification_gives_memory_back(monkeypatch):
+    from quantloom.llm import op04_near_dup
+
+    calls, sets = [], [np.arange(100, dtype=np.uint64)] * 2
+    monkeypatch.setattr(ta, "give_back", lambda: calls.append(1))
+    rows = pa.table({"doc": pa.array([7, 3]), "family": pa.array([1, 1]), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    assert op04_near_dup._verified(85)(rows).column("component").to_pylist() == [3, 3]
+    assert calls
