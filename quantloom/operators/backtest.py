@@ -41,22 +41,21 @@ TRADE = "symbol string, entry_ts date, exit_ts date, entry_price double, exit_pr
 def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
     pdf = pdf.sort_values("ts", kind="mergesort")
     ts, op, hi, lo, cl, sig, valid, last = (pdf[c].tolist() for c in ("ts", "open", "high", "low", "close", "signal", "valid", "session_last"))
-    out, cash, shares, entry, entry_at, pending, free_from, signal_at, reference = [], rules.cash, 0, 0.0, -1, "", 0, -1, 0.0
+    bought, sold = 1 + rules.commission + rules.transfer, 1 - rules.commission - rules.transfer - rules.stamp
+    out, cash, shares, entry, entry_at, pending, free_from, signal_at, reference = [], rules.cash, 0.0, 0.0, -1, "", 0, -1, 0.0
     for i in range(len(ts)):
         if pending == "buy" and shares == 0:
             price = op[i] * (1 + rules.slippage)
-            cost = price * (1 + rules.commission + rules.transfer)
-            shares = floor(cash / (cost * rules.lot)) * rules.lot
+            shares = float(floor(cash / (price * bought * rules.lot)) * rules.lot)
             if shares:
-                cash -= shares * cost
+                cash -= shares * price * bought  # in this order, as in the SQL: sums of 1e20 show the last bit
                 entry, entry_at = price, i
         elif pending and shares and pending != "buy":
             price = op[i] * (1 - rules.slippage)
-            got = shares * price * (1 - rules.commission - rules.transfer - rules.stamp)
-            paid = shares * entry * (1 + rules.commission + rules.transfer)
+            got, paid = shares * price * sold, shares * entry * bought
             out.append((str(pdf["symbol"].iloc[0]), ts[entry_at], ts[i], entry, price, shares, got - paid, pending, i - entry_at))
             cash += got
-            shares = 0
+            shares = 0.0
         pending = ""
         if shares == 0:
             if i >= free_from and valid[i] and sig[i] == 1:

@@ -28,9 +28,13 @@ class Registry:
         return keep
 
 
+def plainly(c: str, places: int) -> Column:
+    """Places as the SQL's plain round(x, places) takes them: of the product with a power of ten, halves away from zero."""
+    return F.round(F.col(c) * 10.0**places) / 10.0**places
+
+
 def plain_six(c: str) -> Column:
-    """Six places as the SQL's plain round(x, 6) takes them: of the product with a million, halves away from zero."""
-    return F.round(F.col(c) * 1e6) / 1e6
+    return plainly(c, 6)
 
 
 def rounded(df: DataFrame, *keep: str, six: tuple[str, ...] = (), plain: tuple[str, ...] = ()) -> DataFrame:

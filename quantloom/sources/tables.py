@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as prints: symbol (supplier), day, price (whole cents), volume, direction, trade_count and a total order `seq`."""
+def daily_prints(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
+    """Line items as prints: symbol (supplier), day, price (whole cents), volume, direction, trade_count and an order `seq`: by day, order and line, with `ties` as in the SQL by part and price, too, where these are equal."""
     li = table(spark, sf_dir, "lineitem")
+    # one number, so that aggregates by it stay in hash tables: day, order, line
+    packed = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * (1 << 47) + F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return li.select(
         F.col("l_suppkey").alias("symbol"),
         F.col("l_shipdate").cast("date").alias("day"),
@@ -23,8 +25,7 @@ def daily_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(0).alias("direction"),
         F.col("l_linenumber").alias("trade_count"),
         F.col("l_returnflag").alias("flag"),
-        # one number, so that aggregates by it stay in hash tables: day, order, line
-        (F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint") * (1 << 47) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        (F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice") if ties else packed).alias("seq"),
     )
 
 
@@ -43,14 +44,14 @@ def bars(prints: DataFrame, key: str, start: Column) -> DataFrame:
     )
 
 
-def month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def month_bars(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
     """One bar for each supplier and month."""
-    return bars(daily_prints(spark, sf_dir), "symbol", F.trunc("day", "month"))
+    return bars(daily_prints(spark, sf_dir, ties), "symbol", F.trunc("day", "month"))
 
 
-def supplier_day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_day_bars(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
     """One bar for each supplier and day with prints."""
-    return bars(daily_prints(spark, sf_dir), "symbol", F.col("day"))
+    return bars(daily_prints(spark, sf_dir, ties), "symbol", F.col("day"))
 
 
 def _bars_sql(name: str, key: str, start: str) -> str:
