@@ -3,12 +3,13 @@
 Each symbol is a state machine over its bars in order.  Symbols are dealt over the cluster; a symbol's bars are one group, in order of ts.
 Fills: a signal at a bar's close fills at the next bar's open, with slippage; lots of 100; sells not on the day of the buy.
 A resting stop fills in the first later bar that reaches it: at the open if that is not above the stop, else at the stop.
+Numbers of shares are doubles: cash that compounds buys more than a long holds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import floor, isfinite
+from math import floor, inf, isfinite
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ class Rules:
     flat_at_session_end: bool = False
 
 
-TRADE = "symbol string, entry_ts date, exit_ts date, entry_price double, exit_price double, shares long, pnl double, reason string, held int"
+TRADE = "symbol string, entry_ts date, exit_ts date, entry_price double, exit_price double, shares double, pnl double, reason string, held int"
 
 
 def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
@@ -46,7 +47,8 @@ def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
     for i in range(len(ts)):
         if pending == "buy" and shares == 0:
             price = op[i] * (1 + rules.slippage)
-            shares = float(floor(cash / (price * bought * rules.lot)) * rules.lot)
+            lots = cash / (price * bought * rules.lot) if price else inf
+            shares = (floor(lots) if isfinite(lots) else lots) * float(rules.lot)
             if shares:
                 cash -= shares * price * bought  # in this order, as in the SQL: sums of 1e20 show the last bit
                 entry, entry_at = price, i
@@ -60,7 +62,7 @@ def _trades(pdf: pd.DataFrame, rules: Rules) -> list[tuple]:
         if shares == 0:
             if i >= free_from and valid[i] and sig[i] == 1:
                 pending, signal_at, reference = "buy", i, cl[i]
-        elif ts[i] > ts[entry_at] and i - signal_at >= rules.min_hold:
+        elif shares > 0 and ts[i] > ts[entry_at] and i - signal_at >= rules.min_hold:  # bought at an open that is missing: held for good
             if lo[i] <= reference * (1 - rules.stop):
                 pending = "stop_loss"
             elif hi[i] >= reference * (1 + rules.take):

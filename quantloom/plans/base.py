@@ -33,6 +33,11 @@ def plainly(c: str, places: int) -> Column:
     return F.round(F.col(c) * 10.0**places) / 10.0**places
 
 
+def whole(c: str) -> Column:
+    """A double without a fraction as a long; null beyond the range of longs, where the SQL's cast raises."""
+    return F.when(F.abs(F.col(c)) < 2.0**63, F.col(c).cast("bigint"))
+
+
 def plain_six(c: str) -> Column:
     return plainly(c, 6)
 

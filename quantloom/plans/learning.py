@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import backtest, boosting, learning, vsa
-from quantloom.plans.base import Registry, plainly, rounded
+from quantloom.plans.base import Registry, plainly, rounded, whole
 from quantloom.plans.market import CFG, SIGNAL_SQL
 from quantloom.plans.panel import PANEL_SQL, panel
 from quantloom.sources.tables import MONTH_BARS, month_bars, table
@@ -103,10 +103,15 @@ m(symbol, n, ts, cash, shares, entry, entry_n, entry_ts, pending, ls, lt, stop,
 vt AS (SELECT symbol, bought_ts AS entry_ts, ts AS exit_ts, bought_price AS entry_price, price AS exit_price, sold AS shares, pnl, reason, held FROM m WHERE reason IS NOT NULL)"""
 
 
+def _listed(trades):
+    """Trades with pnl to two places and shares as a long."""
+    return trades.withColumns({"pnl": plainly("pnl", 2), "shares": whole("shares")})
+
+
 @query("backtest_vsa", f"WITH {vsa_sql(VSA_RULES)} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, shares::BIGINT AS shares, reason, held, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(pnl, 2) AS pnl FROM vt", dates=("entry_ts", "exit_ts"))
 def backtest_vsa(spark, sf_dir):
     trades = backtest.simulate_vsa(vsa.signals(vsa.features(month_bars(spark, sf_dir), CFG), CFG), VSA_RULES)
-    return rounded(trades.withColumn("pnl", plainly("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
+    return rounded(_listed(trades), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
 
 
 def simulation_sql(bars: str, rules: backtest.Rules) -> str:
@@ -141,7 +146,7 @@ MOMENTUM_TRADES = simulation_sql(_MOMENTUM, RULES)
 @query("momentum_trades", f"WITH {MOMENTUM_TRADES} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, shares::BIGINT AS shares, reason, held, round(pnl, 2) AS pnl FROM t", dates=("entry_ts", "exit_ts"))
 def momentum_trades(spark, sf_dir):
     trades = backtest.simulate(backtest.momentum_signals(month_bars(spark, sf_dir)), RULES)
-    return rounded(trades.withColumn("pnl", plainly("pnl", 2)), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
+    return rounded(_listed(trades), "symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl", plain=("entry_price", "exit_price"))
 
 
 _TABLE = f"""RECURSIVE {MONTH_BARS}, g0 AS (SELECT symbol, ts, close < lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS fell FROM b),
@@ -152,13 +157,13 @@ TABLE_RULES = backtest.Rules(cash=1e10, stop=10.0, take=1e6, cooldown=0, max_hol
 
 @query("signal_table_trades", f"WITH {simulation_sql(_TABLE, TABLE_RULES)} SELECT symbol::VARCHAR AS symbol, entry_ts, exit_ts, shares::BIGINT AS shares, reason, held, round(pnl, 2) AS pnl FROM t", dates=("entry_ts", "exit_ts"))
 def signal_table_trades(spark, sf_dir):
-    """A table of signals by symbol and day (some days have none) held and left as it says."""
+    """A table of signals by symbol and day (some days have none) held and left as it says. Cash compounds: shares are null in a trade of more than a long holds, where the SQL raises."""
     from quantloom.functions import windows as w
 
-    b = month_bars(spark, sf_dir, ties=True)
+    b = month_bars(spark, sf_dir, ties=True).where("ts IS NOT NULL")
     told = b.withColumn("fell", F.col("close") < F.lag("close").over(w.by("symbol"))).where("fell AND month(ts) % 5 > 0").select("symbol", "ts", F.lit(1).alias("signal"))
     trades = backtest.simulate(backtest.table_signals(b, told), TABLE_RULES)
-    return trades.withColumn("pnl", plainly("pnl", 2)).select("symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl")
+    return _listed(trades).select("symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl")
 
 
 @query("trade_listing", f"WITH {MOMENTUM_TRADES} SELECT t.symbol::VARCHAR AS symbol, entry_ts, exit_ts, e.close AS entry_close, x.close AS exit_close FROM t JOIN s0 e ON e.symbol = t.symbol AND e.ts = entry_ts JOIN s0 x ON x.symbol = t.symbol AND x.ts = exit_ts", dates=("entry_ts", "exit_ts"))

@@ -13,10 +13,10 @@ import __spark_entry__ as entry
 LINES = "l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_quantity double, l_returnflag string, l_linenumber bigint, l_orderkey bigint, l_partkey bigint"
 
 
-def both(spark, name, folder, duck):
+def both(spark, name, folder, duck, sql=None):
     """Rows of the query and of its SQL, sorted."""
     df = entry.queries()[name](spark, str(folder))
-    want = duck.execute(entry.oracle_sql()[name])
+    want = duck.execute(sql or entry.oracle_sql()[name])
     at = [[d[0] for d in want.description].index(c) for c in df.columns]
     return sorted(map(tuple, df.collect()), key=str), sorted((tuple(r[k] for k in at) for r in want.fetchall()), key=str)
 
@@ -44,3 +44,21 @@ def test_prints_equal_in_day_order_and_line(spark, tmp_path, name):
             rows += two if s % 2 else two[::-1]
     got, want = both(spark, name, tmp_path, lines(spark, tmp_path, rows))
     assert len(want) >= 4 and got == want
+
+
+def test_more_shares_than_a_long_holds(spark, tmp_path):
+    """The SQL raises; where its cast gives null instead, all trades are the same."""
+    prices = [1000.0, 1.0, 1.0, 1000.0, 1000.0] * 12
+    rows = [(3, dt.datetime(1995 + k // 12, 1 + k % 12, 5), p, 1.0, "N", 1, k, 9) for k, p in enumerate(prices)]
+    c, sql = lines(spark, tmp_path, rows), entry.oracle_sql()["signal_table_trades"]
+    with pytest.raises(duckdb.ConversionException):
+        c.execute(sql).fetchall()
+    got, want = both(spark, "signal_table_trades", tmp_path, c, sql.replace("shares::BIGINT", "try_cast(shares AS BIGINT)"))
+    assert got == want and {r[3] is None for r in got} == {True, False}
+
+
+def test_prints_without_day_or_price(spark, tmp_path):
+    prices = [1000.0, 900.0, None, 990.0, 999.0, 900.0, 950.0, 990.0]
+    rows = [(s, dt.datetime(1996, 1 + k, 5), p if s else 900.0 + k % 3, 1.0, "N", 1, k, 9) for s in range(2) for k, p in enumerate(prices)] + [(0, None, 700.0, 1.0, "N", 1, 99, 9)]
+    got, want = both(spark, "signal_table_trades", tmp_path, lines(spark, tmp_path, rows))
+    assert got == want and got
