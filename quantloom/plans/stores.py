@@ -18,9 +18,9 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 def _archive(spark, sf_dir):
     """Bars of suppliers, a member for each, in zip archives."""
-    b = supplier_day_bars(spark, sf_dir).select(F.lpad(F.col("symbol").cast("string"), 6, "0").alias("code"), "ts", "open", "close", "volume")
+    b = supplier_day_bars(spark, sf_dir, ties=True).select(F.lpad(F.col("symbol").cast("string"), 6, "0").alias("code"), "ts", "open", "close", "volume")
     path = new_path(spark, "archive")
-    archive.write_archive(b.repartition(4, "code").sortWithinPartitions("code", "ts"), path)
+    archive.write_archive(b.repartition("code").sortWithinPartitions("code", "ts"), path)
     return registry.read(spark, "zip_parquet", path, schema="code string, ts date, open double, close double, volume double")
 
 
@@ -29,7 +29,7 @@ _ARCHIVE = f"WITH {SUPPLIER_DAY_BARS} SELECT lpad(symbol::VARCHAR, 6, '0') AS co
 
 @query("archive_bars", _ARCHIVE, dates=("ts",))
 def archive_bars(spark, sf_dir):
-    """All members, one partition each."""
+    """All members."""
     return _archive(spark, sf_dir)
 
 

@@ -1,4 +1,4 @@
-"""Zip archives of Parquet members as a Spark data source: one partition for each member, and members that a filter on `code` rules out are not opened.
+"""Zip archives of Parquet members as a Spark data source: one partition for each of few members, for runs of many; members that a filter on `code` rules out are not opened.
 
 A member `885001.parquet` holds the bars of code 885001 and nothing else.  spark.read.format("zip_parquet").option("path", ...) reads one archive, or all of a folder or pattern.
 """
@@ -9,6 +9,8 @@ import fnmatch
 import posixpath
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,9 +27,37 @@ class ArchiveError(ValueError):
     """An archive or member that can't be used as it is."""
 
 
-class Member(InputPartition):
-    def __init__(self, path: str, name: str, code: str):
-        self.path, self.name, self.code = path, name, code
+#: So many members have a partition each; more of them share partitions, of about so many bytes at most.
+ALONE, SHARE = 256, 16 << 20
+
+
+class Member(NamedTuple):
+    path: str
+    name: str
+    code: str
+    size: int
+
+
+class Run(InputPartition):
+    """Members that one task reads, one at a time."""
+
+    def __init__(self, members: list[Member]):
+        self.members = members
+
+
+def runs(found: list[Member]) -> list[Run]:
+    """All members, archive by archive: a task opens as few archives as it can, as opening one reads its whole directory."""
+    if len(found) <= ALONE:
+        return [Run([m]) for m in found]
+    each = min(SHARE, sum(m.size for m in found) // ALONE)
+    out, size = [], 0
+    for m in sorted(found, key=lambda m: m.path):
+        if not out or size + m.size > each:
+            out.append(Run([]))
+            size = 0
+        out[-1].members.append(m)
+        size += m.size
+    return out
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -77,14 +107,14 @@ def members(path: str, codes: set[str] | None = None) -> list[Member]:
     out: dict[str, Member] = {}
     for archive in _archives(path):
         with _opened(archive) as z:
-            for name in z.namelist():
-                base = posixpath.basename(name)
+            for info in z.infolist():
+                base = posixpath.basename(info.filename)
                 code = base.removesuffix(".parquet")
                 if base == code or codes is not None and code not in codes:
                     continue
                 if code in out:
                     raise ArchiveError(f"{archive}: more than one member {base}")
-                out[code] = Member(archive, name, code)
+                out[code] = Member(archive, info.filename, code, info.file_size)
     return [out[c] for c in sorted(out)]
 
 
@@ -101,15 +131,16 @@ class ZipReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Member]:
-        return members(self.path, self.codes) or [Member("", "", "")]
+    def partitions(self) -> list[Run]:
+        return runs(members(self.path, self.codes)) or [Run([])]
 
-    def read(self, member: Member) -> Iterator[pa.RecordBatch]:
-        if not member.name:
-            return
-        with _opened(member.path) as z, z.open(member.name) as f:
-            table = pq.read_table(pa.BufferReader(f.read()))
-        yield from checked(table, member, self.schema, self.options.get("date", "ts")).to_batches(max_chunksize=10_000)
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
+        for path, found in groupby(run.members, key=lambda m: m.path):
+            with _opened(path) as z:
+                for member in found:
+                    with z.open(member.name) as f:
+                        table = pq.ParquetFile(pa.BufferReader(f.read())).read(use_threads=False)
+                    yield from checked(table, member, self.schema, self.options.get("date", "ts")).to_batches(max_chunksize=10_000)
 
 
 def checked(table: pa.Table, member: Member, schema: StructType, date: str) -> pa.Table:

@@ -34,7 +34,7 @@ def test_signal_table_trades_to_the_last_bit(spark, duck):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["signal_table_trades"])
+@pytest.mark.parametrize("name", ["signal_table_trades", "archive_bars"])
 def test_prints_equal_in_day_order_and_line(spark, tmp_path, name):
     """Their parts and prices order them, in whichever order they are read."""
     rows = []

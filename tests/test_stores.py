@@ -93,6 +93,23 @@ def test_bad_archives(spark, tmp_path):
             registry.read(spark, "zip_parquet", str(tmp_path / path), schema=BARS).collect()
 
 
+def test_many_members_share_partitions(spark, tmp_path):
+    """Each is read once, from few tasks; a task reads few archives and no more than a share of bytes unless one member has more."""
+    n = archive.ALONE * 3
+    rows = spark.range(n * 2).select(F.format_string("%06d", F.col("id") % n).alias("code"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") / n).cast("int")).alias("ts"), F.col("id").cast("double").alias("close"), F.lit(1.0).alias("volume"))
+    path = str(tmp_path / "many")
+    archive.write_archive(rows.repartition(3, "code").sortWithinPartitions("code"), path)
+    got = registry.read(spark, "zip_parquet", path, schema=BARS)
+    assert got.rdd.getNumPartitions() <= 2 * archive.ALONE < n
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert [len(r.members) for r in archive.runs(archive.members(path)[: archive.ALONE])] == [1] * archive.ALONE
+    found = [archive.Member(f"{k % 7}.zip", f"{k}.parquet", f"{k}", archive.SHARE if k == 5 else k * 1_000_000 // n) for k in range(n * 20)]
+    dealt = archive.runs(found)
+    assert sorted(m for r in dealt for m in r.members) == sorted(found)
+    assert all(len(r.members) == 1 or sum(m.size for m in r.members) <= archive.SHARE for r in dealt)
+    assert sum(len({m.path for m in r.members}) for r in dealt) <= len(dealt) + 6
+
+
 def test_registry_of_sources():
     assert "zip_parquet" in [s.name for s in registry.sources()]
     with pytest.raises(KeyError, match="no source named nothing"):
