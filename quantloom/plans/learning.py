@@ -8,6 +8,7 @@ from quantloom.operators import backtest, boosting, learning, vsa
 from quantloom.plans.base import Registry, plainly, rounded, whole
 from quantloom.plans.market import CFG, SIGNAL_SQL
 from quantloom.plans.panel import PANEL_SQL, panel
+from quantloom.sources.shared import written
 from quantloom.sources.tables import MONTH_BARS, month_bars, table
 
 query = Registry()
@@ -160,7 +161,7 @@ def signal_table_trades(spark, sf_dir):
     """A table of signals by symbol and day (some days have none) held and left as it says. Cash compounds: shares are null in a trade of more than a long holds, where the SQL raises."""
     from quantloom.functions import windows as w
 
-    b = month_bars(spark, sf_dir, ties=True).where("ts IS NOT NULL")
+    b = written(month_bars(spark, sf_dir, ties=True).where("ts IS NOT NULL"), "signal-bars")
     told = b.withColumn("fell", F.col("close") < F.lag("close").over(w.by("symbol"))).where("fell AND month(ts) % 5 > 0").select("symbol", "ts", F.lit(1).alias("signal"))
     trades = backtest.simulate(backtest.table_signals(b, told), TABLE_RULES)
     return _listed(trades).select("symbol", "entry_ts", "exit_ts", "shares", "reason", "held", "pnl")
